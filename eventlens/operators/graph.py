@@ -2,9 +2,9 @@
 components (J7), renumbering (J8) and the full merge (J9).
 
 Connected components run as iterated min-label propagation with pointer
-jumping, as DataFrame joins. Each round's labels are checkpointed to the
-shared checkpoint folder (spark.checkpoint.dir), which cuts lineage and
-survives executor loss; the loop stops when no label changes.
+jumping, as DataFrame joins. Labels are checkpointed to the shared
+checkpoint folder (spark.checkpoint.dir) every few rounds, which cuts
+lineage and survives executor loss; the loop stops when no label changes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.operators.rows import dense_codes, filter_small_groups
+from eventlens.operators.rows import dense_codes, group_sizes, min_group_size
 from eventlens.operators.vectors import SIM_DECIMALS, centroids, knn_edges
 from eventlens.session import ensure_checkpoint_dir
 
@@ -22,6 +22,10 @@ THRESHOLD_QUANTILE = 0.90
 MIN_GROUP_FLOOR = 10
 MIN_GROUP_FRACTION = 0.001
 
+# Per-cluster tables with at most this many rows (checked by a count) are
+# ranked with a single-partition window; larger ones use the distributed rank.
+LOCAL_RANK_BOUND = 50_000
+
 
 def adaptive_threshold(edges: DataFrame, q: float = THRESHOLD_QUANTILE) -> DataFrame:
     """Exact linear-interpolated quantile of all directed edge similarities (null if none)."""
@@ -34,39 +38,44 @@ def strong_edges(edges: DataFrame, q: float = THRESHOLD_QUANTILE) -> DataFrame:
     return edges.filter((F.col("src") != F.col("dst")) & (F.col("sim") > t))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id", max_rounds: int = 100) -> DataFrame:
-    """(id, component) where component is the smallest id in the node's component."""
+def _propagate(labels: DataFrame, und: DataFrame) -> DataFrame:
+    """One round; returns (id, label, changed)."""
+    # every node takes the smallest label among itself and its neighbours ...
+    offers = und.join(labels.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("label").alias("offer"))
+    step = labels.join(offers.withColumnRenamed("b", "id"), "id", "left").select(
+        "id", F.col("label").alias("old"), F.least(F.col("label"), F.coalesce(F.col("offer"), F.col("label"))).alias("label")
+    )
+    # ... then adopts its label's label (pointer jumping halves chains)
+    parent = step.select(F.col("id").alias("label"), F.col("label").alias("plabel"))
+    nxt = step.join(parent, "label", "left").select(
+        "id", "old", F.least(F.col("label"), F.coalesce(F.col("plabel"), F.col("label"))).alias("label")
+    )
+    return nxt.select("id", "label", (F.col("label") != F.col("old")).alias("changed"))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id", max_rounds: int = 200) -> DataFrame:
+    """(id, component) where component is the smallest id in the node's component.
+
+    Each round is checkpointed with a per-node ``changed`` flag, so the
+    convergence test reads the checkpoint instead of recomputing the round.
+    """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     und = und.checkpoint(eager=True)
     labels = nodes.select(F.col(node_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id"))
-    labels = labels.checkpoint(eager=True)
     for _ in range(max_rounds):
-        # 1) every node takes the smallest label among itself and its neighbours
-        offers = und.join(labels.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("label").alias("offer"))
-        step = labels.join(offers.withColumnRenamed("b", "id"), "id", "left").select(
-            "id", F.least(F.col("label"), F.coalesce(F.col("offer"), F.col("label"))).alias("label")
-        )
-        # 2) pointer jumping: adopt the label of your label
-        parent = step.select(F.col("id").alias("label"), F.col("label").alias("plabel"))
-        step = step.join(parent, "label", "left").select(
-            "id", F.least(F.col("label"), F.coalesce(F.col("plabel"), F.col("label"))).alias("label")
-        ).checkpoint(eager=True)
-        changed = (
-            step.join(labels.withColumnRenamed("label", "old"), "id")
-            .filter(F.col("label") != F.col("old")).limit(1).count()
-        )
-        labels = step
-        if changed == 0:
+        nxt = _propagate(labels, und).checkpoint(eager=True)
+        labels = nxt.select("id", "label")
+        if nxt.filter(F.col("changed")).limit(1).count() == 0:
             break
     return labels.select(F.col("id").alias(node_col), F.col("label").alias("component"))
 
 
-def renumber_components(components: DataFrame, node_col: str = "id") -> DataFrame:
+def renumber_components(components: DataFrame, node_col: str = "id", local_bound: int | None = None) -> DataFrame:
     """Final ids 0..m-1 in the order of each component's smallest member."""
-    codes = dense_codes(components, "component", out="event_id")
+    codes = dense_codes(components, "component", out="event_id", local_bound=local_bound)
     return components.join(codes, "component").select(node_col, "event_id")
 
 
@@ -82,18 +91,25 @@ def merge_events(
     """Small-cluster filter -> dense codes -> centroids -> k-NN -> threshold ->
     components -> renumber; returns ``df`` rows of kept clusters with ``event_id``.
 
-    Only per-cluster tables (one row per cluster) take part in the graph work;
-    fact rows are touched by one filter and one join with the id map.
+    The fact table is read three times: group sizes, centroids (both partial
+    aggregates) and the final id assignment. Everything in between is one row
+    per cluster and is checkpointed to the shared folder once, so no
+    per-cluster table is recomputed from the facts.
     """
-    kept = filter_small_groups(df, key, floor, frac)
-    codes = dense_codes(kept, key, out="_code")
-    coded = kept.join(codes, key)
-    cent = centroids(coded, "_code", vec_col)
-    edges = knn_edges(cent, "_code", "unit", k)
+    ensure_checkpoint_dir(df.sparkSession)
+    sizes = group_sizes(df, key, "_n").checkpoint(eager=True)
+    n_clusters = sizes.count()  # size check: per-cluster tables may be ranked in one task below the bound
+    bound = n_clusters if n_clusters <= LOCAL_RANK_BOUND else None
+    threshold = sizes.agg(min_group_size(F.sum("_n"), floor, frac)).scalar()
+    valid = sizes.filter(F.col("_n") >= threshold).select(key)
+    codes = dense_codes(valid, key, out="_code", local_bound=bound).checkpoint(eager=True)
+    coded = df.join(codes, key)  # inner join: rows of small clusters drop out here (C5/D2)
+    cent = centroids(coded, "_code", vec_col).checkpoint(eager=True)
+    edges = knn_edges(cent, "_code", "unit", k).checkpoint(eager=True)
     strong = strong_edges(edges, q)
     comps = connected_components(cent.select(F.col("_code").alias("id")), strong, "id")
-    final = renumber_components(comps, "id").withColumnRenamed("id", "_code")
-    id_map = codes.join(final, "_code").select(key, F.col("event_id").alias("_event_id"))
-    out = kept.join(id_map, key)
+    final = renumber_components(comps, "id", local_bound=bound).withColumnRenamed("id", "_code")
+    id_map = codes.join(final, "_code").select(key, F.col("event_id").alias("_event_id")).checkpoint(eager=True)
+    out = df.join(id_map, key)
     cols = [c for c in df.columns if c != "event_id"]
     return out.select(*cols, F.col("_event_id").cast("long").alias("event_id"))

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.session import ensure_checkpoint_dir
 
 
 def _cols(x) -> list:
@@ -30,6 +29,21 @@ def _cols(x) -> list:
     return list(x)
 
 
+def keep_rows(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on a predicate over *computed* columns, evaluating them once.
+
+    ``df.filter`` would be pushed below the projection that computes its
+    input, re-evaluating that expression (e.g. a chain of regexes) a second
+    time, and below any repartition, i.e. in the scan task. A zero-or-one-row
+    generator is not pushed, so the columns are computed once, where they are
+    defined.
+    """
+    flag = "__keep"
+    marked = df.withColumn(flag, cond)
+    gate = F.explode(F.when(F.col(flag), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    return marked.select(*[F.col(c) for c in df.columns], gate.alias(flag)).drop(flag)
+
+
 def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
     """F1/H2: one row per key, the one with the smallest ``order`` (a total order).
 
@@ -63,24 +77,27 @@ def filter_small_groups(df: DataFrame, key: str, floor: int = 10, frac: float =
     return df.join(valid, on=key, how="left_semi")
 
 
-def dense_codes(df: DataFrame, keys, out: str = "code") -> DataFrame:
+def dense_codes(df: DataFrame, keys, out: str = "code", local_bound: int | None = None) -> DataFrame:
     """F2/F4 helper: distinct ``keys`` with a dense 0-based rank in ascending key order.
 
-    Distributed: range-partitioned sort, per-partition row numbers from
-    monotonically_increasing_id, and offsets from a table with one row per
-    partition (bounded by the partition count, so broadcasting it is safe).
-    The sorted keys are checkpointed to the shared folder so both uses see
-    the same partitioning even if a task is retried.
+    Distributed: a range-partitioned sort of the distinct keys, positions
+    from monotonically_increasing_id (partition index in the high bits), and
+    offsets from a table with one row per partition (bounded by the
+    partition count, so broadcasting it is safe). Keys are distinct, so the
+    sort is deterministic and both uses of it see the same partitions.
+    With ``local_bound`` (the caller checked the key count against a bound)
+    a single-partition window over the distinct keys is used instead.
     """
     keys = _cols(keys)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    if local_bound is not None:
+        # caller has checked the distinct key count (<= local_bound): rank in one task
+        w = Window.orderBy(*keys)
+        return df.select(*keys).distinct().select(*keys, (F.row_number().over(w) - 1).cast("long").alias(out))
     ranked = (
         df.select(*keys).distinct().orderBy(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_mid", 33))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint(eager=True)
     )
     per_part = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = per_part.select(

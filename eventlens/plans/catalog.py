@@ -20,6 +20,7 @@ from eventlens.operators.schema import conform, resolve_column, title_from_name,
 from eventlens.plans import pipelines as pl
 from eventlens.session import shared_scratch
 from eventlens.sources import files
+from eventlens.sources.tables import read_table
 
 # Fixed values used by the catalogue queries.
 DECORATION_PREFIX = "RT @u"
@@ -32,8 +33,18 @@ VEC_DECIMALS = 9
 COHERENCE_DECIMALS = 12
 
 
+# Row keys of the driver tables; CPU-heavy text tables are spread on them when
+# the scan has fewer partitions than the session's parallelism.
+ROW_KEYS = {
+    "documents": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+    "pages": ("page_id",),
+    "benchmark": ("item_id",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", *ROW_KEYS.get(name, ()))
 
 
 def decorated_documents(spark, sf_dir) -> DataFrame:
@@ -50,8 +61,8 @@ def clean_posts(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
     posts = d.select("doc_id", "source", "lang", F.col("text").alias("raw_text")).withColumn(
         "clean_text", tx.clean_semantic("raw_text")
-    ).filter(tx.has_min_length("clean_text"))
-    return rows.dedupe_first(posts, "clean_text", ["doc_id"])
+    )
+    return rows.dedupe_first(rows.keep_rows(posts, tx.has_min_length("clean_text")), "clean_text", ["doc_id"])
 
 
 # --- flagship -----------------------------------------------------------------
@@ -95,9 +106,11 @@ def q_emotion_features(spark, sf_dir):
 
 
 def q_encoding_suspects(spark, sf_dir):
+    # Double-encoded text: one repair pass leaves single mojibake, which the audit flags.
     d = table(spark, sf_dir, "documents")
-    cleaned = d.select("doc_id", tx.clean_display(to_mojibake(F.col("text"))).alias("clean_text"))
-    return cleaned.filter(is_encoding_suspect("clean_text"))
+    twice = to_mojibake(to_mojibake(F.col("text")))
+    cleaned = d.select("doc_id", tx.clean_display(twice).alias("clean_text"))
+    return rows.keep_rows(cleaned, is_encoding_suspect("clean_text"))
 
 
 def q_null_tokens(spark, sf_dir):
@@ -205,7 +218,8 @@ def _date_strings(spark, sf_dir) -> DataFrame:
 
 
 def q_parse_dates(spark, sf_dir):
-    d = _date_strings(spark, sf_dir).withColumn("_ts", parse_timestamp("date")).filter(F.col("_ts").isNotNull())
+    d = _date_strings(spark, sf_dir).withColumn("_ts", parse_timestamp("date"))
+    d = rows.keep_rows(d, F.col("_ts").isNotNull())
     return d.select(
         "event_id",
         F.date_format("_ts", "yyyy-MM-dd HH:mm:ss").alias("parsed"),
@@ -371,7 +385,7 @@ def q_tsv_ingest(spark, sf_dir):
         d.repartition("source").write.partitionBy("source").option("sep", "\t").option("header", True)
         .option("escape", '"').option("encoding", "ISO-8859-1").mode("overwrite").csv(out)
     )
-    return pl.ingest_labelled(spark, out)
+    return pl.ingest_labelled(spark, out, glob="*.csv")  # Spark's CSV writer names files *.csv
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -60,6 +60,20 @@ def clean_display(x: str) -> str:
     return f"coalesce({t}, '')"
 
 
+def mojibake(x: str) -> str:
+    """UTF-8 bytes of every character, each read back as the Latin-1 character of that byte."""
+    cp = "unicode(c)"
+    b = lambda v: f"chr({v})"
+    return (
+        f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE "
+        f"WHEN {cp} < 128 THEN c "
+        f"WHEN {cp} < 2048 THEN {b(f'192 + {cp} // 64')} || {b(f'128 + {cp} % 64')} "
+        f"WHEN {cp} < 65536 THEN {b(f'224 + {cp} // 4096')} || {b(f'128 + ({cp} // 64) % 64')} || {b(f'128 + {cp} % 64')} "
+        f"ELSE {b(f'240 + {cp} // 262144')} || {b(f'128 + ({cp} // 4096) % 64')} || {b(f'128 + ({cp} // 64) % 64')} "
+        f"|| {b(f'128 + {cp} % 64')} END), '')"
+    )
+
+
 def count_char(x: str, ch: str) -> str:
     return f"(length({x}) - length(replace({x}, '{ch}', '')))"
 
@@ -271,7 +285,8 @@ def oracle_sql() -> dict[str, str]:
     q["repair_encoding"] = "SELECT doc_id, text FROM documents"
     q["emotion_features"] = _features_sql()
     q["encoding_suspects"] = (
-        f"SELECT * FROM (SELECT doc_id, {clean_display('text')} AS clean_text FROM documents) "
+        # Spark repairs the double encoding once, which leaves the single encoding; the oracle starts there.
+        f"SELECT * FROM (SELECT doc_id, {clean_display(mojibake('text'))} AS clean_text FROM documents) "
         "WHERE regexp_matches(clean_text, '[ðâÃ�]')"
     )
     q["null_tokens"] = (

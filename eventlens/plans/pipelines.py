@@ -17,7 +17,7 @@ from eventlens.functions import text as tx
 from eventlens.functions.timewin import global_window, parse_timestamp, time_window
 from eventlens.operators.cluster import COVID_CLUSTERS, SEED, assign_events
 from eventlens.operators.graph import merge_events
-from eventlens.operators.rows import dedupe_first, dense_codes, union_all
+from eventlens.operators.rows import dedupe_first, dense_codes, keep_rows, union_all
 from eventlens.operators.schema import (
     DATE_COLUMNS,
     MERGE_TEXT_COLUMNS,
@@ -62,9 +62,8 @@ def label_posts(
         )
         .filter(F.col("raw_tweet").isNotNull())
         .withColumn("clean_text", tx.clean_semantic("raw_tweet"))
-        .filter(tx.has_min_length("clean_text"))
-        .join(ids, group_col)
     )
+    posts = keep_rows(posts, tx.has_min_length("clean_text")).join(ids, group_col)
     kept = dedupe_first(posts, "clean_text", ["event_id", *order_cols])
     return kept.select(
         "raw_tweet",
@@ -140,7 +139,7 @@ def emotion_features(df: DataFrame, raw_col: str = "raw_text", drop_empty: bool
         tx.word_count("clean_text").alias("word_count"),
     )
     if drop_empty:
-        out = out.filter(F.trim(F.col("clean_text")) != "")
+        out = keep_rows(out, F.trim(F.col("clean_text")) != "")
     return out
 
 
@@ -152,7 +151,7 @@ def emotion_features(df: DataFrame, raw_col: str = "raw_text", drop_empty: bool
 def weekly_counts(df: DataFrame, ts_col: str, keys: Sequence[str] = ()) -> DataFrame:
     """K4: rows per (time_window, keys); unparsable timestamps are dropped."""
     ts = parse_timestamp(F.col(ts_col)) if dict(df.dtypes)[ts_col] == "string" else F.col(ts_col)
-    w = df.select(*keys, ts.alias("_ts")).filter(F.col("_ts").isNotNull())
+    w = keep_rows(df.select(*keys, ts.alias("_ts")), F.col("_ts").isNotNull())
     return w.groupBy(time_window("_ts").alias("time_window"), *keys).agg(F.count(F.lit(1)).alias("num_posts"))
 
 
@@ -191,10 +190,10 @@ def prepare_posts(
     posts = df.select(*cols).filter(F.col("raw_text").isNotNull()).withColumn("clean_text", tx.clean_semantic("raw_text"))
     if with_emotion:
         posts = posts.withColumn("emotion_text", tx.clean_emotion("raw_text"))
-    posts = posts.filter(tx.has_min_length("clean_text"))
+    posts = keep_rows(posts, tx.has_min_length("clean_text"))
     posts = dedupe_first(posts, "clean_text", [order_col])
     if date_col:
-        posts = posts.withColumn("_ts", parse_timestamp(F.col("_date"))).filter(F.col("_ts").isNotNull())
+        posts = keep_rows(posts.withColumn("_ts", parse_timestamp(F.col("_date"))), F.col("_ts").isNotNull())
         posts = posts.withColumn("time_window", time_window("_ts")).drop("_date", "_ts")
     else:
         posts = posts.withColumn("time_window", global_window())
