@@ -1,7 +1,7 @@
 """Readers and writers (A1-A9) and folder-derived columns.
 
-All readers are lazy DataFrame scans; multi-file inputs are one scan per
-distinct header, never a per-file driver loop over data.
+All readers are lazy DataFrame scans; a folder of files with differing
+headers is one scan, never a per-file driver loop over data.
 """
 
 from __future__ import annotations
@@ -74,31 +74,40 @@ def read_headerless_posts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _field_count(raw_record) -> Column:
+    """Fields in a raw delimited record: separators outside quoted sections, plus one."""
+    # back-to-back quoted segments also swallow '""' escapes; a possessive
+    # character-class loop does not recurse on long records
+    unquoted = F.regexp_replace(raw_record, '"[^"]*+"', "")
+    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit("\t"), F.lit(""))) + 1
+
+
 def read_event_folders(
     spark: SparkSession,
     root: str,
     text_candidates: Sequence[str] = TSV_TEXT_COLUMNS,
     glob: str = "*.tsv",
-    max_fields: int = 256,
+    max_fields: int = 64,
 ) -> DataFrame:
     """Every TSV under ``root`` as (path, folder, row_no, raw_tweet) in one scan.
 
     Files may have different headers. All files are read header-less into
-    ``max_fields`` string columns; each file's first row is its header (found
-    with a grouped ``min_by`` on the scan position, one row per file), and the
-    text column is picked per file by priority. pandas-like line rules:
-    a row with more fields than its header is dropped (an empty extra field
-    counts), a short row is kept null-padded, quoted newlines stay in one row.
-    A file without a text column yields null texts (dropped later), but its
-    folder still counts as an event.
+    ``max_fields`` string columns plus the raw record (every row is shorter
+    than the schema, so Spark keeps the raw text in the corrupt-record
+    column). Each file's first row is its header (a grouped ``min_by`` on the
+    scan position, one row per file); the text column is picked per file by
+    priority. pandas-like line rules, counted on the raw record: more fields
+    than the header -> dropped (an empty extra field counts), fewer -> kept
+    null-padded; quoted newlines stay in one row. A file without a text
+    column yields null texts (dropped later), but its folder still counts.
     """
-    sentinel = "\u0000eventlens-null\u0000"  # keeps empty fields as '' so an empty extra field is seen
     fields = [T.StructField(f"_f{i}", T.StringType(), True) for i in range(max_fields)]
+    schema = T.StructType(fields + [T.StructField("_raw", T.StringType(), True)])
     raw = (
-        spark.read.schema(T.StructType(fields))
+        spark.read.schema(schema)
         .option("sep", "\t").option("header", False).option("encoding", "ISO-8859-1")
         .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-        .option("nullValue", sentinel).option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", "_raw")
         .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
         .csv(root)
@@ -106,22 +115,25 @@ def read_event_folders(
             F.col("_metadata.file_path").alias("path"),
             F.monotonically_increasing_id().alias("row_no"),  # files are read whole: increasing within a file
             F.array(*[F.col(f.name) for f in fields]).alias("_fields"),
+            # parsed non-null fields never exceed the raw count; taking the greater keeps
+            # a parsed column in every branch (Spark rejects scans of the raw column alone)
+            F.greatest(
+                _field_count(F.col("_raw")), F.size(F.filter(F.array(*[F.col(f.name) for f in fields]), lambda x: x.isNotNull()))
+            ).alias("_n"),
         )
     )
-    headers = raw.groupBy("path").agg(F.min_by(F.struct("row_no", "_fields"), F.col("row_no")).alias("_h"))
-    width = F.size(F.filter(F.col("_h._fields"), lambda x: x.isNotNull()))
+    headers = raw.groupBy("path").agg(F.min_by(F.struct("row_no", "_fields", "_n"), F.col("row_no")).alias("_h"))
     text_pos = F.coalesce(
         *[F.when(F.array_position(F.col("_h._fields"), c) > 0, F.array_position(F.col("_h._fields"), c))
           for c in text_candidates],
         F.lit(0).cast("long"),
     )
     per_file = headers.select(
-        "path", F.col("_h.row_no").alias("_hrow"), width.alias("_width"), text_pos.alias("_tpos")
+        "path", F.col("_h.row_no").alias("_hrow"), F.col("_h._n").alias("_width"), text_pos.alias("_tpos")
     )
-    rows = raw.join(per_file, "path").filter(F.col("row_no") > F.col("_hrow"))
-    too_long = F.element_at(F.col("_fields"), (F.col("_width") + 1).cast("int")).isNotNull()
+    rows = raw.join(per_file, "path").filter((F.col("row_no") > F.col("_hrow")) & (F.col("_n") <= F.col("_width")))
     text = F.when(F.col("_tpos") > 0, F.element_at(F.col("_fields"), F.col("_tpos").cast("int")))
-    return rows.filter(~too_long).select(
+    return rows.select(
         "path",
         event_name_from_file(F.col("path")).alias("folder"),
         "row_no",
