@@ -350,6 +350,11 @@ def q_silhouette_sq(spark, sf_dir):
     return cluster.silhouette_table(e, "embedding", "label", "squaredEuclidean").select("silhouette")
 
 
+def q_silhouette_exact(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return cluster.silhouette_exact(e, "vec_id", "embedding", "label")
+
+
 # --- ML stages (rows-only checks) -----------------------------------------------------------
 
 def q_reduce_dims(spark, sf_dir):
@@ -435,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_coherence": q_mean_coherence,
     "hashed_tfidf": q_hashed_tfidf,
     "silhouette_sq": q_silhouette_sq,
+    "silhouette_exact": q_silhouette_exact,
     "reduce_dims": q_reduce_dims,
     "assign_events": q_assign_events,
     "discover_events": q_discover_events,

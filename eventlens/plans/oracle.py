@@ -254,11 +254,12 @@ nw AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS nrm FROM w)
 SELECT doc_id, bucket, round(CASE WHEN nrm > 0 THEN w / nrm ELSE 0.0 END, {cat.VEC_DECIMALS}) AS weight FROM nw"""
 
 
-def _silhouette_sql() -> str:
+def _silhouette_sql(squared: bool = True) -> str:
+    dist = "pow(list_distance(a.v, b.v), 2)" if squared else "list_distance(a.v, b.v)"
     return """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sizes AS (SELECT label, count(*) AS n FROM e GROUP BY label),
 pd AS (
-  SELECT a.vec_id, a.label AS la, b.label AS lb, avg(pow(list_distance(a.v, b.v), 2)) AS d
+  SELECT a.vec_id, a.label AS la, b.label AS lb, avg(DIST) AS d
   FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label
 ),
 ab AS (
@@ -271,7 +272,7 @@ s AS (
   SELECT CASE WHEN z.n = 1 OR ab.a IS NULL THEN 0.0 ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END AS s
   FROM ab JOIN sizes z ON ab.la = z.label
 )
-SELECT round(avg(s), 9) AS silhouette FROM s"""
+SELECT round(avg(s), 9) AS silhouette FROM s""".replace("DIST", dist)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -370,5 +371,6 @@ WHERE rn = 1"""
         "count(*) AS scored_events FROM coh"
     )
     q["hashed_tfidf"] = _tfidf_sql()
-    q["silhouette_sq"] = _silhouette_sql()
+    q["silhouette_sq"] = _silhouette_sql(squared=True)
+    q["silhouette_exact"] = _silhouette_sql(squared=False)
     return q
