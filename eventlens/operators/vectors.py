@@ -77,6 +77,26 @@ def dense_vectors(long_table: DataFrame, id_col: str, dim: int, out: str = "embe
     )
 
 
+def text_vectors(
+    df: DataFrame, clean_col: str, dim: int = 256, stop_words=ENGLISH_STOP_WORDS, out: str = "embedding"
+) -> DataFrame:
+    """J1(a) for pipelines: Spark ML HashingTF -> IDF (ln((N+1)/(df+1))) -> L2 Normalizer.
+
+    Per-row hashing needs no shuffle; the IDF fit is one tree-aggregate of a
+    ``dim``-sized vector. Same weighting as ``hashed_tfidf`` (whose md5 bucket
+    is portable to SQL engines for checking); only the bucket hash differs.
+    Returns ``df`` plus a dense array<double> column ``out``.
+    """
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, StopWordsRemover
+
+    words = df.withColumn("_w", F.filter(F.split(F.col(clean_col), " "), lambda x: F.length(x) >= 2))
+    words = StopWordsRemover(inputCol="_w", outputCol="_t", stopWords=list(stop_words), caseSensitive=True).transform(words)
+    tf = HashingTF(inputCol="_t", outputCol="_tf", numFeatures=dim).transform(words)
+    tfidf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
+    unit = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(tfidf)
+    return unit.withColumn(out, vector_to_array(F.col("_unit"))).drop("_w", "_t", "_tf", "_idf", "_unit")
+
+
 def reduce_dims(df: DataFrame, vec_col: str, k: int = 10, out: str = "reduced") -> DataFrame:
     """L2-normalise (cosine geometry) then PCA to k components; distributed fit."""
     from pyspark.ml.feature import PCA, Normalizer

@@ -28,7 +28,7 @@ from eventlens.operators.schema import (
     title_from_name,
 )
 from eventlens.operators.topics import title_events
-from eventlens.operators.vectors import dense_vectors, hashed_tfidf, reduce_dims
+from eventlens.operators.vectors import reduce_dims, text_vectors
 from eventlens.sources.files import read_event_folders
 
 # ---------------------------------------------------------------------------
@@ -204,6 +204,10 @@ def discover_events(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None =
     """Posts -> cleaned/deduped -> text vectors -> reduce -> k-means ->
     merge similar clusters -> titles. Returns one row per kept post with
     (order_col, raw_text, clean_text, [emotion_text,] event_id, event_title, time_window).
+
+    The deduped posts and their vectors are persisted once: the PCA fit, the
+    k-means iterations and the merge all read them (a lost block is rebuilt
+    from lineage).
     """
     from eventlens.operators.rows import sample_n
 
@@ -212,16 +216,11 @@ def discover_events(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None =
     if cfg.sample_cap:
         posts = sample_n(posts, cfg.sample_cap, cfg.seed, order_col)
     posts = posts.persist(StorageLevel.MEMORY_AND_DISK)
-    vecs = dense_vectors(hashed_tfidf(posts, order_col, "clean_text", cfg.embed_dim), order_col, cfg.embed_dim)
-    # posts without a kept term get the zero vector (same as an all-zero tf-idf row)
-    zero = F.array_repeat(F.lit(0.0), cfg.embed_dim)
-    feats = posts.select(order_col).join(vecs, order_col, "left").select(
-        order_col, F.coalesce(F.col("embedding"), zero).alias("embedding")
-    )
-    reduced = reduce_dims(feats, "embedding", cfg.reduced_dim)
-    labelled = assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster").persist(
-        StorageLevel.MEMORY_AND_DISK
+    feats = text_vectors(posts.select(order_col, "clean_text"), "clean_text", cfg.embed_dim).select(
+        order_col, "embedding"
     )
+    reduced = reduce_dims(feats, "embedding", cfg.reduced_dim).persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster")
     merged = merge_events(labelled.select(order_col, "embedding", "_cluster"), "_cluster", "embedding")
     events = posts.join(merged.select(order_col, "event_id"), order_col)
     titles = title_events(events, "event_id", "clean_text")
