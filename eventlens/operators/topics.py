@@ -4,8 +4,9 @@ coherence (J11/E7).
 Scale notes
   * Term counts are a partial aggregate on (event, term): hot terms and hot
     events combine on the map side before the shuffle.
-  * Ranking happens on the (event, term) count table, whose size per event is
-    bounded by the vocabulary, never on raw token rows.
+  * Ranking happens on the (event, term) count table, never on raw token
+    rows, and in two salted phases, so a hot event's vocabulary is ranked by
+    many tasks before its winners meet.
   * Coherence uses the linear identity (below) instead of a V x V matrix.
 """
 
@@ -39,10 +40,31 @@ def term_counts(df: DataFrame, key: str, clean_col: str, stop_words=ENGLISH_STOP
     )
 
 
+# Salt buckets for per-event ranking: a hot event's vocabulary is ranked in
+# this many tasks first, then only the per-bucket winners meet in one task.
+RANK_SALT_BUCKETS = 32
+
+
+def top_n_per_group(df: DataFrame, key: str, order, n: int, rank_col: str = "rank",
+                    salt_col: str = "term", buckets: int = RANK_SALT_BUCKETS) -> DataFrame:
+    """Exact top-n rows per ``key`` in two phases (skew-safe).
+
+    Phase 1 ranks inside (key, hash(salt_col) % buckets); the overall top n of
+    a key are necessarily among the top n of their own bucket. Phase 2 ranks
+    at most ``buckets * n`` candidates per key. ``order`` must be a total order.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(buckets)))
+    first = salted.withColumn(
+        "_r1", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
+    ).filter(F.col("_r1") <= n).drop("_r1", "_salt")
+    return first.withColumn(rank_col, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(
+        F.col(rank_col) <= n
+    )
+
+
 def top_terms(tf: DataFrame, key: str, n: int = TITLE_TERMS) -> DataFrame:
     """(key, term, tf, rank) for the n most frequent terms; ties by term descending."""
-    w = Window.partitionBy(key).orderBy(F.desc("tf"), F.desc("term"))
-    return tf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return top_n_per_group(tf, key, [F.desc("tf"), F.desc("term")], n)
 
 
 def title_events(
@@ -94,11 +116,13 @@ def topic_coherence(
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("num_tweets")).filter(F.col("num_tweets") >= min_rows)
     big = df.join(sizes.select(key), key, "left_semi")
-    toks = _terms(big, key, clean_col, doc_col, stop_words)
-    tf = toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = Window.partitionBy(key).orderBy(F.desc("tf"), F.asc("term"))
-    vocab = tf.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_terms).select(key, "term")
-    present = toks.select(key, doc_col, "term").distinct().join(vocab, [key, "term"], "left_semi")
+    # one explode, one partial aggregate: occurrences per (event, doc, term)
+    dtc = _terms(big, key, clean_col, doc_col, stop_words).groupBy(key, doc_col, "term").agg(
+        F.count(F.lit(1)).alias("_occ")
+    )
+    tf = dtc.groupBy(key, "term").agg(F.sum("_occ").alias("tf"))
+    vocab = top_n_per_group(tf, key, [F.desc("tf"), F.asc("term")], max_terms, "_r").select(key, "term")
+    present = dtc.select(key, doc_col, "term").join(vocab, [key, "term"], "left_semi")
     per_doc = present.groupBy(key, doc_col).agg(F.count(F.lit(1)).alias("_m"))
     s_i = present.join(per_doc, [key, doc_col]).groupBy(key, "term").agg(F.sum("_m").cast("double").alias("_s"))
     score = s_i.groupBy(key).agg(
