@@ -393,6 +393,20 @@ def q_tsv_ingest(spark, sf_dir):
     return pl.ingest_labelled(spark, out, glob="*.csv")  # Spark's CSV writer names files *.csv
 
 
+def q_discover_sentiment(spark, sf_dir):
+    """Headerless Latin-1 CSV written from documents (dates from events joined on id), read back, discovered."""
+    d = table(spark, sf_dir, "documents")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    day_name = F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" PDT "), F.date_format("ts", "yyyy"))
+    rows_ = d.join(e, "doc_id", "left").select(
+        F.when(F.col("doc_id") % 2 == 0, 0).otherwise(4).alias("sentiment"), F.col("doc_id").alias("tweet_id"),
+        day_name.alias("date"), F.lit("NO_QUERY").alias("query"), F.col("source").alias("user"), "text",
+    )
+    out = shared_scratch(spark, "headerless")
+    rows_.write.option("header", False).option("encoding", "ISO-8859-1").option("escape", '"').csv(out)
+    return pl.discover_sentiment(spark, out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_titles": q_source_titles,
     "clean_semantic": q_clean_semantic,
@@ -444,6 +458,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reduce_dims": q_reduce_dims,
     "assign_events": q_assign_events,
     "discover_events": q_discover_events,
+    "discover_sentiment": q_discover_sentiment,
     "csv_roundtrip": q_csv_roundtrip,
     "tsv_ingest": q_tsv_ingest,
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions import text as tx
 from eventlens.functions.timewin import global_window, parse_timestamp, time_window
-from eventlens.operators.cluster import COVID_CLUSTERS, SEED, assign_events
+from eventlens.operators.cluster import COVID_CLUSTERS, SEED, SENTIMENT_CLUSTERS, assign_events
 from eventlens.operators.graph import merge_events
 from eventlens.operators.rows import dedupe_first, dense_codes, keep_rows, union_all
 from eventlens.operators.schema import (
@@ -29,7 +29,7 @@ from eventlens.operators.schema import (
 )
 from eventlens.operators.topics import title_events
 from eventlens.operators.vectors import reduce_dims, text_vectors
-from eventlens.sources.files import read_event_folders
+from eventlens.sources.files import read_event_folders, read_headerless_posts
 
 # ---------------------------------------------------------------------------
 # K1: labelled folders -> events
@@ -176,6 +176,7 @@ def prepare_posts(
     text_candidates: Sequence[str] = POST_TEXT_COLUMNS,
     date_candidates: Sequence[str] = DATE_COLUMNS,
     with_emotion: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Cleaning stages of discovery: resolve columns, drop null text, clean,
     keep clean text longer than 10, dedupe on clean text (first by order),
@@ -185,6 +186,7 @@ def prepare_posts(
     text_col = resolve_column(df, text_candidates)
     date_col = resolve_column(df, date_candidates, required=False)
     cols = [F.col(order_col), F.col(text_col).cast("string").alias("raw_text")]
+    cols += [F.col(c) for c in carry if c not in (order_col, text_col, date_col)]
     if date_col:
         cols.append(F.col(date_col).alias("_date"))
     posts = df.select(*cols).filter(F.col("raw_text").isNotNull()).withColumn("clean_text", tx.clean_semantic("raw_text"))
@@ -194,13 +196,16 @@ def prepare_posts(
     posts = dedupe_first(posts, "clean_text", [order_col])
     if date_col:
         posts = keep_rows(posts.withColumn("_ts", parse_timestamp(F.col("_date"))), F.col("_ts").isNotNull())
-        posts = posts.withColumn("time_window", time_window("_ts")).drop("_date", "_ts")
+        posts = posts.withColumn("time_window", time_window("_ts")).drop("_date")
+        posts = posts.withColumn("date", F.date_format("_ts", "yyyy-MM-dd HH:mm:ss")).drop("_ts")
     else:
         posts = posts.withColumn("time_window", global_window())
     return posts
 
 
-def discover_events(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None) -> DataFrame:
+def discover_events(
+    df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Posts -> cleaned/deduped -> text vectors -> reduce -> k-means ->
     merge similar clusters -> titles. Returns one row per kept post with
     (order_col, raw_text, clean_text, [emotion_text,] event_id, event_title, time_window).
@@ -212,7 +217,7 @@ def discover_events(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None =
     from eventlens.operators.rows import sample_n
 
     cfg = cfg or DiscoveryConfig()
-    posts = prepare_posts(df, order_col, with_emotion=cfg.with_emotion)
+    posts = prepare_posts(df, order_col, with_emotion=cfg.with_emotion, carry=carry)
     if cfg.sample_cap:
         posts = sample_n(posts, cfg.sample_cap, cfg.seed, order_col)
     posts = posts.persist(StorageLevel.MEMORY_AND_DISK)
@@ -225,6 +230,22 @@ def discover_events(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None =
     events = posts.join(merged.select(order_col, "event_id"), order_col)
     titles = title_events(events, "event_id", "clean_text")
     cols = [order_col, "raw_text", "clean_text"] + (["emotion_text"] if cfg.with_emotion else [])
+    cols += [c for c in posts.columns if c not in cols and c != "time_window"]
     return events.join(titles.select("event_id", "event_title"), "event_id").select(
         *cols, "event_id", "event_title", "time_window"
     )
+
+
+SENTIMENT_CONFIG = DiscoveryConfig(clusters=SENTIMENT_CLUSTERS, sample_cap=200_000, with_emotion=False)
+
+
+def discover_sentiment(spark, path: str, cfg: DiscoveryConfig = SENTIMENT_CONFIG) -> DataFrame:
+    """J12, sentiment variant: headerless Latin-1 CSV (A2), early projection of
+    (text, date, sentiment), dedupe on clean text in file order, date parse,
+    seeded exact-size sample cap, k=200, no emotion text.
+    Returns (row_no, raw_text, clean_text, sentiment, date, event_id, event_title, time_window).
+    """
+    posts = read_headerless_posts(spark, path).select(
+        F.monotonically_increasing_id().alias("row_no"), "text", "date", "sentiment"
+    )
+    return discover_events(posts, "row_no", cfg, carry=["sentiment"])
