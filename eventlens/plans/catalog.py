@@ -105,6 +105,25 @@ def q_emotion_features(spark, sf_dir):
     return pl.emotion_features(decorated_documents(spark, sf_dir), "raw_text").drop("raw_text")
 
 
+def q_emotion_report(spark, sf_dir):
+    """C3 count: rows before and after dropping empty display-clean texts."""
+    d = decorated_documents(spark, sf_dir)
+    decorated_or_null = F.when(F.col("doc_id") % 5 == 0, F.lit("@only_a_mention")).otherwise(F.col("raw_text"))
+    clean = tx.clean_display(decorated_or_null)
+    return d.agg(
+        F.count(F.lit(1)).alias("rows_before"),
+        F.count_if(F.trim(clean) != "").cast("long").alias("rows_after"),
+        F.count_if(F.trim(clean) == "").cast("long").alias("removed"),
+    )
+
+
+def q_encoding_audit(spark, sf_dir):
+    """C4 count: texts still holding suspect characters after display cleaning."""
+    d = table(spark, sf_dir, "documents")
+    cleaned = tx.clean_display(to_mojibake(to_mojibake(F.col("text"))))
+    return d.agg(F.count_if(is_encoding_suspect(cleaned)).cast("long").alias("suspects"), F.count(F.lit(1)).alias("rows"))
+
+
 def q_encoding_suspects(spark, sf_dir):
     # Double-encoded text: one repair pass leaves single mojibake, which the audit flags.
     d = table(spark, sf_dir, "documents")
@@ -424,6 +443,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repair_encoding": q_repair_encoding,
     "emotion_features": q_emotion_features,
     "encoding_suspects": q_encoding_suspects,
+    "encoding_audit": q_encoding_audit,
+    "emotion_report": q_emotion_report,
     "null_tokens": q_null_tokens,
     "event_name_from_path": q_event_name_from_path,
     "title_from_name": q_title_from_name,

@@ -290,6 +290,16 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT * FROM (SELECT doc_id, {clean_display(mojibake('text'))} AS clean_text FROM documents) "
         "WHERE regexp_matches(clean_text, '[ðâÃ�]')"
     )
+    em = clean_display("CASE WHEN doc_id % 5 = 0 THEN '@only_a_mention' ELSE raw_text END")
+    q["emotion_report"] = (
+        f"WITH d AS ({DECORATED}) SELECT count(*) AS rows_before, "
+        f"CAST(count(*) FILTER (WHERE trim({em}) <> '') AS BIGINT) AS rows_after, "
+        f"CAST(count(*) FILTER (WHERE trim({em}) = '') AS BIGINT) AS removed FROM d"
+    )
+    q["encoding_audit"] = (
+        f"SELECT CAST(count(*) FILTER (WHERE regexp_matches({clean_display(mojibake('text'))}, '[ðâÃ�]')) AS BIGINT) AS suspects, "
+        "count(*) AS rows FROM documents"
+    )
     q["null_tokens"] = (
         "SELECT doc_id, text FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN '' "
         "ELSE text END AS text FROM documents) WHERE text IS NOT NULL AND text NOT IN ("
