@@ -136,13 +136,31 @@ def sample_key(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), k.cast("string")))
 
 
-def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Exactly min(n, rows) rows, reproducible: smallest md5(seed || key).
+def _sample_point(key: Column | str, seed: int) -> Column:
+    """First 12 hex digits of the sample key as a number in [0, 1); monotone in the key's order."""
+    return F.conv(F.substring(sample_key(key, seed), 1, 12), 16, 10).cast("double") / float(16 ** 12)
 
-    Spark plans this as a per-partition top-n followed by one merge of at most
-    n rows per partition (TakeOrderedAndProject), never a full sort.
+
+def sample_n(df: DataFrame, n: int, seed: int, key: str, margin: float = 1.2) -> DataFrame:
+    """Exactly min(n, rows) rows, reproducible: the n smallest md5(seed || key).
+
+    Bounded at any scale: with N rows, only rows whose hash point is below
+    about margin * n / N are candidates (the threshold widens until at least
+    n qualify), so the final ordered limit merges ~n rows, never n rows from
+    every partition. The candidate set is closed downward in md5 order, so
+    the result equals a full ordered limit.
     """
-    return df.orderBy(sample_key(key, seed), F.col(key)).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    point = _sample_point(key, seed)
+    cut = min(1.0, margin * n / total + 1e-9)
+    while True:
+        cand = df.filter(point <= F.lit(cut))
+        if cut >= 1.0 or cand.count() >= n:
+            break
+        cut = min(1.0, cut * 2)
+    return cand.orderBy(sample_key(key, seed), F.col(key)).limit(n)
 
 
 def stage_counts(**stages: Column) -> list[Column]:
