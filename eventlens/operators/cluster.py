@@ -19,15 +19,22 @@ SENTIMENT_CLUSTERS = 200
 SEED = 42
 
 
-def assign_events(df: DataFrame, vec_col: str, k: int, seed: int = SEED, out: str = "event_id") -> DataFrame:
-    """K-means (k-means|| init, distributed Lloyd iterations); k is capped at the row count."""
+def assign_events(
+    df: DataFrame, vec_col: str, k: int, seed: int = SEED, out: str = "event_id", with_centers: bool = False
+):
+    """K-means (k-means|| init, distributed Lloyd iterations); k is capped at the row count.
+
+    With ``with_centers`` also returns the k centres (k x dim, bounded by k).
+    """
     n = df.count()
     k_eff = max(1, min(k, n))
     v = df.withColumn("_features", array_to_vector(F.col(vec_col)))
     if k_eff == 1:
-        return v.drop("_features").withColumn(out, F.lit(0).cast("long"))
+        res = v.drop("_features").withColumn(out, F.lit(0).cast("long"))
+        return (res, None) if with_centers else res
     model = KMeans(k=k_eff, seed=seed, maxIter=300, tol=1e-4, featuresCol="_features", predictionCol="_pred").fit(v)
-    return model.transform(v).withColumn(out, F.col("_pred").cast("long")).drop("_features", "_pred")
+    res = model.transform(v).withColumn(out, F.col("_pred").cast("long")).drop("_features", "_pred")
+    return (res, [c.tolist() for c in model.clusterCenters()]) if with_centers else res
 
 
 def silhouette(df: DataFrame, vec_col: str, label_col: str, distance: str = "squaredEuclidean") -> float:
