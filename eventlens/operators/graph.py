@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.operators.rows import dense_codes, group_sizes, min_group_size
+from eventlens.operators.rows import dense_codes, exact_quantile, group_sizes, min_group_size
 from eventlens.operators.vectors import SIM_DECIMALS, centroids, knn_edges
 from eventlens.session import ensure_checkpoint_dir
 
@@ -22,14 +22,11 @@ THRESHOLD_QUANTILE = 0.90
 MIN_GROUP_FLOOR = 10
 MIN_GROUP_FRACTION = 0.001
 
-# Per-cluster tables with at most this many rows (checked by a count) are
-# ranked with a single-partition window; larger ones use the distributed rank.
-LOCAL_RANK_BOUND = 50_000
-
 
 def adaptive_threshold(edges: DataFrame, q: float = THRESHOLD_QUANTILE) -> DataFrame:
     """Exact linear-interpolated quantile of all directed edge similarities (null if none)."""
-    return edges.agg(F.round(F.percentile(F.col("sim"), F.lit(q)), SIM_DECIMALS).alias("threshold"))
+    t = exact_quantile(edges, "sim", q)
+    return t.select(F.round(F.col("sim"), SIM_DECIMALS).alias("threshold"))
 
 
 def strong_edges(edges: DataFrame, q: float = THRESHOLD_QUANTILE) -> DataFrame:
@@ -73,9 +70,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id
     return labels.select(F.col("id").alias(node_col), F.col("label").alias("component"))
 
 
-def renumber_components(components: DataFrame, node_col: str = "id", local_bound: int | None = None) -> DataFrame:
+def renumber_components(components: DataFrame, node_col: str = "id") -> DataFrame:
     """Final ids 0..m-1 in the order of each component's smallest member."""
-    codes = dense_codes(components, "component", out="event_id", local_bound=local_bound)
+    codes = dense_codes(components, "component", out="event_id")
     return components.join(codes, "component").select(node_col, "event_id")
 
 
@@ -98,17 +95,15 @@ def merge_events(
     """
     ensure_checkpoint_dir(df.sparkSession)
     sizes = group_sizes(df, key, "_n").checkpoint(eager=True)
-    n_clusters = sizes.count()  # size check: per-cluster tables may be ranked in one task below the bound
-    bound = n_clusters if n_clusters <= LOCAL_RANK_BOUND else None
     threshold = sizes.agg(min_group_size(F.sum("_n"), floor, frac)).scalar()
     valid = sizes.filter(F.col("_n") >= threshold).select(key)
-    codes = dense_codes(valid, key, out="_code", local_bound=bound).checkpoint(eager=True)
+    codes = dense_codes(valid, key, out="_code").checkpoint(eager=True)
     coded = df.join(codes, key)  # inner join: rows of small clusters drop out here (C5/D2)
     cent = centroids(coded, "_code", vec_col).checkpoint(eager=True)
     edges = knn_edges(cent, "_code", "unit", k).checkpoint(eager=True)
     strong = strong_edges(edges, q)
     comps = connected_components(cent.select(F.col("_code").alias("id")), strong, "id")
-    final = renumber_components(comps, "id", local_bound=bound).withColumnRenamed("id", "_code")
+    final = renumber_components(comps, "id").withColumnRenamed("id", "_code")
     id_map = codes.join(final, "_code").select(key, F.col("event_id").alias("_event_id")).checkpoint(eager=True)
     out = df.join(id_map, key)
     cols = [c for c in df.columns if c != "event_id"]

@@ -8,8 +8,9 @@ Scale notes
   * ``filter_small_groups`` counts per key (map-side combine), then keeps the
     qualifying keys with a semi join; the threshold is a scalar subquery, not
     a cross join.
-  * ``dense_codes`` ranks the distinct keys without a single-partition
-    window: sort, number rows per partition, add per-partition offsets.
+  * ``dense_codes`` / ``global_positions`` / ``exact_quantile`` rank rows
+    without a single-partition window: sort, number rows per partition, add
+    per-partition offsets.
 """
 
 from __future__ import annotations
@@ -77,24 +78,19 @@ def filter_small_groups(df: DataFrame, key: str, floor: int = 10, frac: float =
     return df.join(valid, on=key, how="left_semi")
 
 
-def dense_codes(df: DataFrame, keys, out: str = "code", local_bound: int | None = None) -> DataFrame:
-    """F2/F4 helper: distinct ``keys`` with a dense 0-based rank in ascending key order.
+def global_positions(df: DataFrame, order, out: str = "_gpos") -> DataFrame:
+    """Every row of ``df`` with its 0-based position in ``order`` (a total order), distributed.
 
-    Distributed: a range-partitioned sort of the distinct keys, positions
-    from monotonically_increasing_id (partition index in the high bits), and
+    A range-partitioned sort, in-partition positions from
+    monotonically_increasing_id (partition index in the high bits), and
     offsets from a table with one row per partition (bounded by the
-    partition count, so broadcasting it is safe). Keys are distinct, so the
-    sort is deterministic and both uses of it see the same partitions.
-    With ``local_bound`` (the caller checked the key count against a bound)
-    a single-partition window over the distinct keys is used instead.
+    partition count, so broadcasting it is safe). The sort key is a total
+    order, so the sort is deterministic and both uses of it see the same
+    partitions.
     """
-    keys = _cols(keys)
-    if local_bound is not None:
-        # caller has checked the distinct key count (<= local_bound): rank in one task
-        w = Window.orderBy(*keys)
-        return df.select(*keys).distinct().select(*keys, (F.row_number().over(w) - 1).cast("long").alias(out))
+    order = _cols(order)
     ranked = (
-        df.select(*keys).distinct().orderBy(*keys)
+        df.orderBy(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_mid", 33))
         .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -105,10 +101,33 @@ def dense_codes(df: DataFrame, keys, out: str = "code", local_bound: int | None
         (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
     return ranked.join(F.broadcast(offsets), "_part").select(
-        *keys, (F.col("_off") + F.col("_pos")).cast("long").alias(out)
+        *df.columns, (F.col("_off") + F.col("_pos")).cast("long").alias(out)
     )
 
 
+def dense_codes(df: DataFrame, keys, out: str = "code") -> DataFrame:
+    """F2/F4 helper: distinct ``keys`` with a dense 0-based rank in ascending key order (distributed)."""
+    keys = _cols(keys)
+    return global_positions(df.select(*keys).distinct(), keys, out)
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
+    """One row: the exact linearly interpolated q-quantile of ``col`` (null when empty).
+
+    Distributed: values get global positions by a range sort, and only the
+    rows at floor/ceil((n - 1) * q) are read; no task holds all values.
+    """
+    vals = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
+    n = vals.agg(F.count(F.lit(1))).scalar()
+    pos = (n - F.lit(1)).cast("double") * F.lit(q)
+    placed = global_positions(vals, ["_v"], "_i")
+    picked = placed.filter((F.col("_i") == F.floor(pos)) | (F.col("_i") == F.ceil(pos)))
+    lo = F.min_by("_v", "_i")
+    hi = F.max_by("_v", "_i")
+    frac = pos - F.floor(pos)
+    return picked.agg((lo + frac * (hi - lo)).alias(col))
+
+
 def count_distinct(df: DataFrame, col: str, name: str | None = None) -> Column:
     """Exact distinct non-null count as an aggregate column."""
     return F.countDistinct(F.col(col)).alias(name or f"n_{col}")

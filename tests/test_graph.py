@@ -126,9 +126,14 @@ def test_knn_blocked_equals_single_block(spark):
         assert got == want
 
 
-def test_dense_codes_distributed_equals_local(spark):
+def test_dense_codes_and_quantile(spark):
     df = spark.createDataFrame([(k,) for k in [5, 3, 9, 3, 100, -2, 7, 5]], "k long").repartition(4)
     a = sorted(rows.dense_codes(df, "k", "c").collect())
-    b = sorted(rows.dense_codes(df, "k", "c", local_bound=10).collect())
-    assert a == b
-    assert [r.c for r in a] == list(range(6))
+    assert [r.k for r in a] == [-2, 3, 5, 7, 9, 100] and [r.c for r in a] == list(range(6))
+    vals = [0.3, 0.1, 0.9, 0.9, 0.5, 0.7, 0.2]
+    v = spark.createDataFrame([(x,) for x in vals], "sim double").repartition(3)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        got = rows.exact_quantile(v, "sim", q).collect()[0]["sim"]
+        assert abs(got - float(np.quantile(vals, q))) < 1e-12
+    empty = spark.createDataFrame([], "sim double")
+    assert rows.exact_quantile(empty, "sim", 0.9).collect()[0]["sim"] is None
