@@ -405,9 +405,11 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_tsv_ingest(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tweet"), "source")
     out = shared_scratch(spark, "tsv")
+    # one file per folder, rows in doc_id order (file order decides "first"); written as
+    # UTF-8 and read as Latin-1 like the reference, so non-ASCII raw text arrives double-encoded
     (
-        d.repartition("source").write.partitionBy("source").option("sep", "\t").option("header", True)
-        .option("escape", '"').option("encoding", "ISO-8859-1").mode("overwrite").csv(out)
+        d.repartition("source").sortWithinPartitions("doc_id").write.partitionBy("source")
+        .option("sep", "\t").option("header", True).option("escape", '"').mode("overwrite").csv(out)
     )
     return pl.ingest_labelled(spark, out, glob="*.csv")  # Spark's CSV writer names files *.csv
 

@@ -122,19 +122,24 @@ SELECT s.{key}, s.num_tweets,
 FROM sizes s LEFT JOIN joined j ON s.{key} = j.{key}"""
 
 
-LABEL_POSTS = f"""
-ids AS (SELECT source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS event_id FROM (SELECT DISTINCT source FROM documents)),
+def LABEL_POSTS_FOR(folder: str, raw: str) -> str:  # noqa: N802
+    return f"""WITH
+docs AS (SELECT doc_id, {folder} AS folder, text FROM documents),
+ids AS (SELECT folder, CAST(dense_rank() OVER (ORDER BY folder) - 1 AS BIGINT) AS event_id FROM (SELECT DISTINCT folder FROM docs)),
 lp_all AS (
-  SELECT d.doc_id, d.source, d.text AS raw_tweet, {clean_semantic('d.text')} AS clean_text, ids.event_id
-  FROM documents d JOIN ids ON d.source = ids.source WHERE d.text IS NOT NULL
+  SELECT d.doc_id, d.folder, {raw} AS raw_tweet, {clean_semantic(raw)} AS clean_text, ids.event_id
+  FROM docs d JOIN ids ON d.folder = ids.folder WHERE d.text IS NOT NULL
 ),
 labelled AS (
-  SELECT raw_tweet, clean_text, event_id, replace(source, '_', ' ') AS event_title, 'crisisnlp' AS source, doc_id
+  SELECT raw_tweet, clean_text, event_id, replace(folder, '_', ' ') AS event_title, 'crisisnlp' AS source, doc_id
   FROM (SELECT *, row_number() OVER (PARTITION BY clean_text ORDER BY event_id, doc_id) AS rn
         FROM lp_all WHERE length(clean_text) > 10) WHERE rn = 1
 )"""
 
 
+LABEL_POSTS = LABEL_POSTS_FOR("source", "d.text")[len("WITH"):]
+
+
 GROUPS = """
 g AS (SELECT doc_id, source || '/' || lang AS grp FROM documents),
 gs AS (SELECT grp, count(*) AS n FROM g GROUP BY grp),
@@ -322,6 +327,13 @@ SELECT raw_text, event_id, event_title, dataset_name, dataset_name || '_' || CAS
 FROM (SELECT *, row_number() OVER (PARTITION BY raw_text ORDER BY rk, o1, o2) AS rn FROM u WHERE raw_text IS NOT NULL)
 WHERE rn = 1"""
     q["label_posts"] = f"WITH {LABEL_POSTS} SELECT raw_tweet, clean_text, event_id, event_title, source FROM labelled"
+    na = ", ".join("'" + t + "'" for t in PANDAS_NA_TOKENS)
+    q["csv_roundtrip"] = f"SELECT doc_id, CASE WHEN text IN ({na}) THEN NULL ELSE text END AS text, source FROM documents"
+    # folders are 'source=<name>'; the Latin-1 read double-encodes raw text but not its semantic clean text
+    q["tsv_ingest"] = (
+        LABEL_POSTS_FOR("'source=' || source", mojibake("d.text"))
+        + " SELECT raw_tweet, clean_text, event_id, event_title, source FROM labelled"
+    )
     q["dedupe_first"] = f"""SELECT doc_id, clean_text FROM (
   SELECT doc_id, clean_text, row_number() OVER (PARTITION BY clean_text ORDER BY doc_id) AS rn
   FROM (SELECT doc_id, {clean_semantic('text')} AS clean_text FROM documents)) WHERE rn = 1"""
