@@ -2,9 +2,9 @@
 components (J7), renumbering (J8) and the full merge (J9).
 
 Connected components run as iterated min-label propagation with pointer
-jumping, as DataFrame joins. Labels are checkpointed to the shared
-checkpoint folder (spark.checkpoint.dir) every few rounds, which cuts
-lineage and survives executor loss; the loop stops when no label changes.
+jumping, as DataFrame joins. Each round's labels are written as a table in
+the shared checkpoint folder (spark.checkpoint.dir), which cuts lineage and
+survives executor loss; the loop stops when no label changes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.rows import dense_codes, exact_quantile, group_sizes, min_group_size
 from eventlens.operators.vectors import SIM_DECIMALS, centroids, knn_edges
-from eventlens.session import ensure_checkpoint_dir
+from eventlens.session import ensure_checkpoint_dir, materialize
 
 # Fixed values (merge parameters of the event pipeline).
 NEIGHBOURS = 4          # five nearest including self, self removed
@@ -53,17 +53,17 @@ def _propagate(labels: DataFrame, und: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id", max_rounds: int = 200) -> DataFrame:
     """(id, component) where component is the smallest id in the node's component.
 
-    Each round is checkpointed with a per-node ``changed`` flag, so the
-    convergence test reads the checkpoint instead of recomputing the round.
+    Each round is written once (shared folder) with a per-node ``changed``
+    flag, so the convergence test reads the written table instead of
+    recomputing the round.
     """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    und = und.checkpoint(eager=True)
+    und = materialize(und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = nodes.select(F.col(node_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(max_rounds):
-        nxt = _propagate(labels, und).checkpoint(eager=True)
+        nxt = materialize(_propagate(labels, und), "cc-labels")
         labels = nxt.select("id", "label")
         if nxt.filter(F.col("changed")).limit(1).count() == 0:
             break
@@ -90,21 +90,21 @@ def merge_events(
 
     The fact table is read three times: group sizes, centroids (both partial
     aggregates) and the final id assignment. Everything in between is one row
-    per cluster and is checkpointed to the shared folder once, so no
+    per cluster and is written once to the shared checkpoint folder, so no
     per-cluster table is recomputed from the facts.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    sizes = group_sizes(df, key, "_n").checkpoint(eager=True)
+    sizes = materialize(group_sizes(df, key, "_n"), "cluster-sizes")
     threshold = sizes.agg(min_group_size(F.sum("_n"), floor, frac)).scalar()
     valid = sizes.filter(F.col("_n") >= threshold).select(key)
-    codes = dense_codes(valid, key, out="_code").checkpoint(eager=True)
+    codes = materialize(dense_codes(valid, key, out="_code"), "cluster-codes")
     coded = df.join(codes, key)  # inner join: rows of small clusters drop out here (C5/D2)
-    cent = centroids(coded, "_code", vec_col).checkpoint(eager=True)
-    edges = knn_edges(cent, "_code", "unit", k).checkpoint(eager=True)
+    cent = materialize(centroids(coded, "_code", vec_col), "centroids")
+    edges = materialize(knn_edges(cent, "_code", "unit", k), "knn-edges")
     strong = strong_edges(edges, q)
     comps = connected_components(cent.select(F.col("_code").alias("id")), strong, "id")
     final = renumber_components(comps, "id").withColumnRenamed("id", "_code")
-    id_map = codes.join(final, "_code").select(key, F.col("event_id").alias("_event_id")).checkpoint(eager=True)
+    id_map = codes.join(final, "_code").select(key, F.col("event_id").alias("_event_id"))
     out = df.join(id_map, key)
     cols = [c for c in df.columns if c != "event_id"]
     return out.select(*cols, F.col("_event_id").cast("long").alias("event_id"))

@@ -50,3 +50,14 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/eventlens-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` once as Parquet under the shared checkpoint
+    folder and reading it back (one pass; an eager ``checkpoint`` computes its
+    plan twice unless cached). Survives executor loss like any written table.
+    """
+    spark = df.sparkSession
+    path = shared_scratch(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
