@@ -43,3 +43,18 @@ def test_discover_sentiment_headerless_csv(spark):
     assert {r.time_window for r in rows} <= {"2009-04-06/2009-04-12", "2009-04-13/2009-04-19"}
     assert all("no usable date" not in r.raw_text for r in rows)
     assert sorted({r.event_id for r in rows}) == list(range(len({r.event_id for r in rows})))
+
+
+def test_prepare_posts_length_and_first_kept(spark):
+    data = [
+        (1, "abcde fghi", "2024-01-08"),          # clean text of exactly 10 characters: dropped
+        (2, "Flood in the VALLEY!!", "2024-01-07 23:59:59"),
+        (3, "flood in the valley", "2024-01-09"),  # same clean text as 2: the first (2) is kept
+        (4, "fire near the old mill", "garbage"),  # unparsable date: dropped after dedupe
+    ]
+    df = spark.createDataFrame(data, "id long, text string, created_at string")
+    out = {r.id: r for r in pl.prepare_posts(df, "id").collect()}
+    assert set(out) == {2}
+    assert out[2].clean_text == "flood in the valley"
+    assert out[2].emotion_text == "flood in the valley"
+    assert out[2].time_window == "2024-01-01/2024-01-07"
