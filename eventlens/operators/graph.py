@@ -9,7 +9,7 @@ survives executor loss; the loop stops when no label changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventlens.operators.rows import dense_codes, exact_quantile, group_sizes, min_group_size
@@ -53,19 +53,19 @@ def _propagate(labels: DataFrame, und: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id", max_rounds: int = 200) -> DataFrame:
     """(id, component) where component is the smallest id in the node's component.
 
-    Each round is written once (shared folder) with a per-node ``changed``
-    flag, so the convergence test reads the written table instead of
-    recomputing the round.
+    Each round is written once (shared folder); the number of changed labels
+    is observed during that write, so convergence costs no extra job.
     """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     und = materialize(und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = nodes.select(F.col(node_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(max_rounds):
-        nxt = materialize(_propagate(labels, und), "cc-labels")
+    for i in range(max_rounds):
+        seen = Observation(f"cc-round-{i}")  # counted while the round is written: no extra job
+        nxt = materialize(_propagate(labels, und).observe(seen, F.count_if(F.col("changed")).alias("n")), "cc-labels")
         labels = nxt.select("id", "label")
-        if nxt.filter(F.col("changed")).limit(1).count() == 0:
+        if seen.get["n"] == 0:
             break
     return labels.select(F.col("id").alias(node_col), F.col("label").alias("component"))
 
@@ -76,6 +76,32 @@ def renumber_components(components: DataFrame, node_col: str = "id") -> DataFram
     return components.join(codes, "component").select(node_col, "event_id")
 
 
+def cluster_graph(
+    df: DataFrame,
+    key: str,
+    vec_col: str,
+    k: int = NEIGHBOURS,
+    floor: int = MIN_GROUP_FLOOR,
+    frac: float = MIN_GROUP_FRACTION,
+):
+    """C5 -> F2 -> E4 -> J5 on the facts; returns (codes, centroids, edges).
+
+    The fact table is read twice (group sizes, centroids; both partial
+    aggregates). Each result has one row per cluster (edges: k per cluster)
+    and is written once to the shared checkpoint folder, so later steps
+    never recompute anything from the facts.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    sizes = materialize(group_sizes(df, key, "_n"), "cluster-sizes")
+    threshold = sizes.agg(min_group_size(F.sum("_n"), floor, frac)).scalar()
+    valid = sizes.filter(F.col("_n") >= threshold).select(key)
+    codes = materialize(dense_codes(valid, key, out="_code"), "cluster-codes")
+    coded = df.join(codes, key)  # inner join: rows of small clusters drop out here (C5/D2)
+    cent = materialize(centroids(coded, "_code", vec_col), "centroids")
+    edges = materialize(knn_edges(cent, "_code", "unit", k), "knn-edges")
+    return codes, cent, edges
+
+
 def merge_events(
     df: DataFrame,
     key: str,
@@ -93,14 +119,7 @@ def merge_events(
     per cluster and is written once to the shared checkpoint folder, so no
     per-cluster table is recomputed from the facts.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    sizes = materialize(group_sizes(df, key, "_n"), "cluster-sizes")
-    threshold = sizes.agg(min_group_size(F.sum("_n"), floor, frac)).scalar()
-    valid = sizes.filter(F.col("_n") >= threshold).select(key)
-    codes = materialize(dense_codes(valid, key, out="_code"), "cluster-codes")
-    coded = df.join(codes, key)  # inner join: rows of small clusters drop out here (C5/D2)
-    cent = materialize(centroids(coded, "_code", vec_col), "centroids")
-    edges = materialize(knn_edges(cent, "_code", "unit", k), "knn-edges")
+    codes, cent, edges = cluster_graph(df, key, vec_col, k, floor, frac)
     strong = strong_edges(edges, q)
     comps = connected_components(cent.select(F.col("_code").alias("id")), strong, "id")
     final = renumber_components(comps, "id").withColumnRenamed("id", "_code")

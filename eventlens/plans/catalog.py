@@ -280,43 +280,34 @@ def q_dense_codes(spark, sf_dir):
 
 # --- vectors and merging --------------------------------------------------------------------
 
-def _coded_embeddings(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    kept = rows.filter_small_groups(e, "label")
-    codes = rows.dense_codes(kept, "label", out="cid")
-    return kept.join(codes, "label")
-
-
-def _centroids(spark, sf_dir) -> DataFrame:
-    return vectors.centroids(_coded_embeddings(spark, sf_dir), "cid", "embedding")
+def _graph(spark, sf_dir):
+    """(codes, centroids, edges) of the embeddings' labels, each written once to the shared folder."""
+    return graph.cluster_graph(table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
 def q_centroids(spark, sf_dir):
-    c = _centroids(spark, sf_dir)
-    z = c.select("cid", F.posexplode(F.arrays_zip("mean", "unit")).alias("dim", "v"))
+    _, c, _ = _graph(spark, sf_dir)
+    z = c.select(F.col("_code").alias("cid"), F.posexplode(F.arrays_zip("mean", "unit")).alias("dim", "v"))
     return z.select(
         "cid", F.col("dim").cast("long").alias("dim"),
         F.round("v.mean", VEC_DECIMALS).alias("mean"), F.round("v.unit", VEC_DECIMALS).alias("unit"),
     )
 
 
-def _edges(spark, sf_dir) -> DataFrame:
-    return vectors.knn_edges(_centroids(spark, sf_dir), "cid", "unit", graph.NEIGHBOURS)
-
-
 def q_knn_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("src", "dst", "sim", F.col("rank").cast("long").alias("rank"))
+    _, _, e = _graph(spark, sf_dir)
+    return e.select("src", "dst", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 def q_adaptive_threshold(spark, sf_dir):
-    return graph.adaptive_threshold(_edges(spark, sf_dir))
+    _, _, e = _graph(spark, sf_dir)
+    return graph.adaptive_threshold(e)
 
 
 def _components(spark, sf_dir) -> DataFrame:
-    cent = _centroids(spark, sf_dir)
-    edges = vectors.knn_edges(cent, "cid", "unit", graph.NEIGHBOURS)
+    _, cent, edges = _graph(spark, sf_dir)
     strong = graph.strong_edges(edges)
-    return graph.connected_components(cent.select(F.col("cid").alias("id")), strong, "id")
+    return graph.connected_components(cent.select(F.col("_code").alias("id")), strong, "id")
 
 
 def q_connected_components(spark, sf_dir):
