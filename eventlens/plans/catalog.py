@@ -255,6 +255,10 @@ def q_weekly_counts(spark, sf_dir):
     return pl.weekly_counts(table(spark, sf_dir, "events"), "ts", ["event_type"])
 
 
+def q_weekly_orders(spark, sf_dir):
+    return pl.weekly_counts(table(spark, sf_dir, "orders"), "o_orderdate", ["o_orderstatus"])
+
+
 def q_no_date_window(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     assert resolve_column(d, DATE_COLUMNS, required=False) is None
@@ -453,6 +457,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_dates": q_parse_dates,
     "time_window": q_time_window,
     "weekly_counts": q_weekly_counts,
+    "weekly_orders": q_weekly_orders,
     "no_date_window": q_no_date_window,
     "filter_small_groups": q_filter_small_groups,
     "dense_codes": q_dense_codes,

@@ -364,6 +364,10 @@ WHERE rn = 1"""
         f"SELECT {window_sql('ts')} AS time_window, event_type, count(*) AS num_posts FROM events "
         "WHERE ts IS NOT NULL GROUP BY 1, 2"
     )
+    q["weekly_orders"] = (
+        f"SELECT {window_sql('o_orderdate')} AS time_window, o_orderstatus, count(*) AS num_posts FROM orders "
+        "WHERE o_orderdate IS NOT NULL GROUP BY 1, 2"
+    )
     q["no_date_window"] = f"WITH {CLEAN_POSTS} SELECT doc_id, 'global' AS time_window FROM posts"
     q["filter_small_groups"] = f"WITH {GROUPS} SELECT doc_id, grp FROM gkept"
     q["dense_codes"] = (
