@@ -110,9 +110,10 @@ def silhouette_exact(df: DataFrame, id_col: str, vec_col: str, label_col: str, b
         F.max(F.when(F.col("other") == F.col("label"), F.col("mean_d"))).alias("a"),
         F.min(F.when(F.col("other") != F.col("label"), F.col("mean_d"))).alias("b"),
     )
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b"))
-    )
+    # no own-cluster partner, no other cluster, or a == b == 0 (coincident points): score 0
+    s = F.when(
+        F.col("a").isNull() | F.col("b").isNull() | (F.greatest(F.col("a"), F.col("b")) <= 0), F.lit(0.0)
+    ).otherwise((F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
     # points alone in their cluster have no 'a' row at all: they score 0 but still count
     scores = pts.select(F.col("pid").alias("id")).join(ab.select("id", s.alias("s")), "id", "left")
     return scores.agg(F.round(F.avg(F.coalesce(F.col("s"), F.lit(0.0))), 9).alias("silhouette"))

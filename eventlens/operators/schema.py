@@ -45,8 +45,9 @@ def conform(
 ) -> DataFrame:
     """Project to (raw_text, event_id, event_title); defaults fill missing *columns* only."""
     text_col = resolve_column(df, text_candidates)
+    # try_cast: an id read from text that is not a number becomes null instead of failing the job (ANSI mode)
     event_id = (
-        F.col("event_id").cast("long") if "event_id" in df.columns else F.lit(default_event_id).cast("long")
+        F.col("event_id").try_cast("long") if "event_id" in df.columns else F.lit(default_event_id).cast("long")
     )
     event_title = (
         F.col("event_title").cast("string") if "event_title" in df.columns else F.lit(default_event_title)

@@ -46,3 +46,11 @@ def test_keep_rows_evaluates_once(spark):
     out = rows.keep_rows(df, F.col("n") > 1)
     assert [r.id for r in out.collect()] == [2]
     assert out.columns == ["id", "s", "n"]
+
+
+def test_conform_tolerates_text_ids(spark):
+    from eventlens.operators.schema import conform
+
+    df = spark.createDataFrame([("a", "7", "T"), ("b", "x7", "U")], "text string, event_id string, event_title string")
+    got = {r.raw_text: r.event_id for r in conform(df).collect()}
+    assert got == {"a": 7, "b": None}
