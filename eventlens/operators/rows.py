@@ -128,9 +128,10 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
     return picked.agg((lo + frac * (hi - lo)).alias(col))
 
 
-def count_distinct(df: DataFrame, col: str, name: str | None = None) -> Column:
-    """Exact distinct non-null count as an aggregate column."""
-    return F.countDistinct(F.col(col)).alias(name or f"n_{col}")
+def count_distinct(col: str, name: str | None = None, approx: bool = False, rsd: float = 0.01) -> Column:
+    """Distinct non-null count as an aggregate column (exact, or HyperLogLog++ when ``approx``)."""
+    agg = F.approx_count_distinct(F.col(col), rsd) if approx else F.countDistinct(F.col(col))
+    return agg.alias(name or f"n_{col}")
 
 
 def top_groups(df: DataFrame, key: str, n: int = 10, name: str = "num_tweets") -> DataFrame:
@@ -140,9 +141,7 @@ def top_groups(df: DataFrame, key: str, n: int = 10, name: str = "num_tweets") -
 
 def event_stats(df: DataFrame, key: str = "event_id") -> DataFrame:
     """E8 totals: number of events and rows, one row."""
-    return df.agg(
-        F.countDistinct(key).alias("total_events"), F.count(F.lit(1)).alias("total_tweets")
-    )
+    return df.agg(count_distinct(key, "total_events"), F.count(F.lit(1)).alias("total_tweets"))
 
 
 def peek_rows(df: DataFrame, order, n: int = 5) -> DataFrame:

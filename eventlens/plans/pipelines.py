@@ -29,7 +29,7 @@ from eventlens.operators.schema import (
 )
 from eventlens.operators.topics import title_events
 from eventlens.operators.vectors import reduce_dims, text_vectors
-from eventlens.sources.files import read_event_folders, read_headerless_posts
+from eventlens.sources.files import read_event_folders, read_headerless_posts, write_events
 
 # ---------------------------------------------------------------------------
 # K1: labelled folders -> events
@@ -249,3 +249,13 @@ def discover_sentiment(spark, path: str, cfg: DiscoveryConfig = SENTIMENT_CONFIG
         F.monotonically_increasing_id().alias("row_no"), "text", "date", "sentiment"
     )
     return discover_events(posts, "row_no", cfg, carry=["sentiment"])
+
+
+# The export projections of the two discovery variants.
+COVID_EXPORT_COLUMNS = ("raw_text", "clean_text", "emotion_text", "event_id", "event_title", "time_window")
+SENTIMENT_EXPORT_COLUMNS = ("raw_text", "date", "sentiment", "clean_text", "time_window", "event_id", "event_title")
+
+
+def export_events(df: DataFrame, path: str, columns: Sequence[str] = COVID_EXPORT_COLUMNS, fmt: str = "parquet") -> None:
+    """Write the fixed projection of a discovery result (whole table, one write job)."""
+    write_events(df.select(*columns), path, fmt=fmt)

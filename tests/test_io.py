@@ -56,3 +56,24 @@ def test_csv_roundtrip(spark):
     files.write_events(df, out, fmt="csv")
     back = {r.id: r.text for r in files.read_posts_csv(spark, out).select(F.col("id").cast("long").alias("id"), "text").collect()}
     assert back == {1: 'say "hi"\nthen go', 2: None}
+
+
+def test_export_fixed_projection(spark):
+    from eventlens.plans.pipelines import COVID_EXPORT_COLUMNS, export_events
+
+    df = spark.createDataFrame(
+        [("r", "c", "e", 1, "T", "global", "extra")],
+        "raw_text string, clean_text string, emotion_text string, event_id long, event_title string, time_window string, x string",
+    )
+    out = tempfile.mkdtemp(prefix="eventlens-export-") + "/o"
+    export_events(df, out, fmt="csv")
+    back = files.read_posts_csv(spark, out)
+    assert tuple(back.columns) == COVID_EXPORT_COLUMNS
+
+
+def test_count_distinct_exact_and_approx(spark):
+    from eventlens.operators.rows import count_distinct
+
+    df = spark.range(1000).select((F.col("id") % 37).alias("k"))
+    r = df.agg(count_distinct("k", "exact"), count_distinct("k", "approx", approx=True)).first()
+    assert r.exact == 37 and abs(r.approx - 37) <= 2
