@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from eventlens.operators.rows import dense_codes
 COVID_CLUSTERS = 120
 SENTIMENT_CLUSTERS = 200
 SEED = 42
+KMEANS_REL_TOL = 1e-4
 
 
 def assign_events(
@@ -26,13 +28,18 @@ def assign_events(
 
     With ``with_centers`` also returns the k centres (k x dim, bounded by k).
     """
-    n = df.count()
-    k_eff = max(1, min(k, n))
     v = df.withColumn("_features", array_to_vector(F.col(vec_col)))
+    stats = v.agg(F.count(F.lit(1)).alias("n"), Summarizer.variance(F.col("_features")).alias("var")).first()
+    n = stats["n"]
+    k_eff = max(1, min(k, n))
     if k_eff == 1:
         res = v.drop("_features").withColumn(out, F.lit(0).cast("long"))
         return (res, None) if with_centers else res
-    model = KMeans(k=k_eff, seed=seed, maxIter=300, tol=1e-4, featuresCol="_features", predictionCol="_pred").fit(v)
+    # the reference's tolerance is relative: 1e-4 x mean feature variance bounds the
+    # squared centre shift; Spark's tol bounds each centre's shift, so take its root
+    mean_var = float(np.mean(stats["var"].toArray())) if stats["var"] is not None else 0.0
+    tol = max(float(np.sqrt(KMEANS_REL_TOL * mean_var)), 1e-12)
+    model = KMeans(k=k_eff, seed=seed, maxIter=300, tol=tol, featuresCol="_features", predictionCol="_pred").fit(v)
     res = model.transform(v).withColumn(out, F.col("_pred").cast("long")).drop("_features", "_pred")
     return (res, [c.tolist() for c in model.clusterCenters()]) if with_centers else res
 
