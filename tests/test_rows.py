@@ -54,3 +54,15 @@ def test_conform_tolerates_text_ids(spark):
     df = spark.createDataFrame([("a", "7", "T"), ("b", "x7", "U")], "text string, event_id string, event_title string")
     got = {r.raw_text: r.event_id for r in conform(df).collect()}
     assert got == {"a": 7, "b": None}
+
+
+def test_spread_only_when_under_parallel(spark):
+    from eventlens.sources.tables import spread
+
+    target = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=target * 2)
+    assert spread(wide, "id") is wide  # enough scan partitions: no shuffle added
+    narrow = spark.range(0, 1000, numPartitions=1)
+    spread_df = spread(narrow, "id")
+    assert spread_df.rdd.getNumPartitions() == target
+    assert sorted(r.id for r in spread_df.collect()) == list(range(1000))
