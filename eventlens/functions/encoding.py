@@ -49,6 +49,12 @@ def to_mojibake(col) -> Column:
     return F.decode(F.encode(_c(col), "UTF-8"), "ISO-8859-1")
 
 
+def to_cp1252_mojibake(col) -> Column:
+    """Double-encode the CP1252 way: UTF-8 bytes read back as Windows-1252 (bytes without
+    a CP1252 character stay C1 controls, as lenient decoders leave them)."""
+    return F.translate(to_mojibake(col), C1_BYTES, CP1252_HIGH)
+
+
 def is_encoding_suspect(col) -> Column:
     """C4 predicate; null -> false (like na=False)."""
     return F.coalesce(_c(col).rlike(SUSPECT_PATTERN), F.lit(False))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions import text as tx
-from eventlens.functions.encoding import is_encoding_suspect, repair_encoding, to_mojibake
+from eventlens.functions.encoding import is_encoding_suspect, repair_encoding, to_cp1252_mojibake, to_mojibake
 from eventlens.functions.timewin import parse_timestamp, time_window
 from eventlens.operators import cluster, graph, rows, topics, vectors
 from eventlens.operators.schema import conform, resolve_column, title_from_name, DATE_COLUMNS
@@ -101,6 +101,11 @@ def q_repair_encoding(spark, sf_dir):
     return d.select("doc_id", repair_encoding(to_mojibake(F.col("text"))).alias("text"))
 
 
+def q_repair_cp1252(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", repair_encoding(to_cp1252_mojibake(F.col("text"))).alias("text"))
+
+
 def q_emotion_features(spark, sf_dir):
     return pl.emotion_features(decorated_documents(spark, sf_dir), "raw_text").drop("raw_text")
 
@@ -438,6 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cap_mixed": q_cap_mixed,
     "squash_ws": q_squash_ws,
     "repair_encoding": q_repair_encoding,
+    "repair_cp1252": q_repair_cp1252,
     "emotion_features": q_emotion_features,
     "encoding_suspects": q_encoding_suspects,
     "encoding_audit": q_encoding_audit,

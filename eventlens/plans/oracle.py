@@ -289,6 +289,7 @@ def oracle_sql() -> dict[str, str]:
     for name, step in STEPS.items():
         q[name] = _decorated_select(step("raw_text"))
     q["repair_encoding"] = "SELECT doc_id, text FROM documents"
+    q["repair_cp1252"] = "SELECT doc_id, text FROM documents"  # the repair must give the original back
     q["emotion_features"] = _features_sql()
     q["encoding_suspects"] = (
         # Spark repairs the double encoding once, which leaves the single encoding; the oracle starts there.
