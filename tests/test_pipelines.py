@@ -58,3 +58,19 @@ def test_prepare_posts_length_and_first_kept(spark):
     assert out[2].clean_text == "flood in the valley"
     assert out[2].emotion_text == "flood in the valley"
     assert out[2].time_window == "2024-01-01/2024-01-07"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_order_dependent_operators_are_partition_invariant(spark):
+    from eventlens.operators.rows import dense_codes
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    conv = spark.read.parquet(f"{SF}/conversations.parquet").withColumnRenamed("conv_id", "event_id")
+    results = []
+    for parts in (1, 8):
+        d = docs.repartition(parts)
+        lp = pl.label_posts(d, "source", "text", ["doc_id"], carry=["doc_id"])
+        merged = pl.merge_datasets([pl.Dataset("a", lp, ["event_id", "doc_id"]), pl.Dataset("b", conv.repartition(parts), ["event_id", "turn"])])
+        codes = dense_codes(d, "source", "c")
+        results.append((sorted(map(tuple, lp.collect())), sorted(map(tuple, merged.collect())), sorted(map(tuple, codes.collect()))))
+    assert results[0] == results[1]
