@@ -5,12 +5,11 @@ model is read), so no merge crosses the start of a run of word marks. A text the
 into *pre-tokens*, a run of spaces and the word behind it, whose piece counts add up to the
 count of the whole text. No ids of a document are ever made.
 
-One shuffle does the work. A task turns its documents into rows (pre-token, where it occurs):
-one row per distinct pre-token and slice of documents, the occurrences packed as one binary
-column, so a pre-token that fills a third of the corpus is one row per slice. The rows meet
-by pre-token; there each distinct one is counted once by the library and its count is added
-up per document. The document rows (id, byte length) travel along, and a plain sum per
-document ends it.
+A task turns its documents into rows (pre-token, where it occurs): one row per distinct
+pre-token and slice of documents, the occurrences packed as one binary column, so a pre-token
+that fills a third of the corpus is one row per slice. The rows meet by pre-token; there each
+distinct one is counted once by the library, and its count is added up per document. What a
+task has added up for a slice goes back to it as one row, and the slice adds these up.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted row
 by row; an empty table gives an empty result; extra columns are ignored.
@@ -80,110 +79,135 @@ def pre_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), owner[at], coded.dictionary
 
 
-OCCURRENCES = "name string, first long, docs binary, times binary, rid long, doc_id long, n_bytes long"
-_OCCURRENCES = pa.schema(
-    [
-        ("name", pa.large_string()), ("first", pa.int64()), ("docs", pa.large_binary()), ("times", pa.large_binary()),
-        ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()),
-    ]
-)
+#: name: a pre-token, and occurs: (place u2, times u1) of the slice's documents that hold it;
+#: or name null, and occurs: the slice's documents (doc_id, n_bytes) as an Arrow stream.
+OCCURRENCES = "name string, slice long, occurs binary"
+_OCCURRENCES = pa.schema([("name", pa.large_string()), ("slice", pa.int64()), ("occurs", pa.large_binary())])
+SLICE_ROWS, SLICE_BYTES = 65536, 48 << 20  # a document's place within its slice takes two bytes
+_PAIR = np.dtype([("place", "<u2"), ("times", "u1")])
+
+
+def to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice of documents: a row for each distinct pre-token, then a row for each document."""
+    """Per slice of documents: a row for each distinct pre-token, and a row for the documents."""
     ids = RowIds()
     for whole in batches:
-        for batch in small_batches(whole, "text", 48 << 20):
-            for start in range(0, batch.num_rows, 65536):  # a document's place within its slice takes two bytes
-                part = batch.slice(start, 65536)
+        for batch in small_batches(whole, "text", SLICE_BYTES):
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
                 texts = strings(part, "text")
-                rid = ids.take(part.num_rows)
-                size = pc.binary_length(texts)
+                number = int(ids.take(1)[0])
+                size = pc.binary_length(texts).cast(pa.int64())
                 some = np.flatnonzero(size.to_numpy(zero_copy_only=False) > 0)
                 code, owner, names = pre_tokens(texts.take(pa.array(some)))
-                pair, times = np.unique(code * 65536 + some[owner], return_counts=True)
-                doc = (pair % 65536).astype("<u2").tobytes()
-                per = np.bincount(pair // 65536, minlength=len(names))
-                cut = np.concatenate([[0], np.cumsum(per)])
-                binary = lambda raw, width: pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(cut * width), pa.py_buffer(raw)])
-                none = lambda n, t: pa.nulls(n, t)
-                n, m = len(names), part.num_rows
-                first = pa.array(np.full(n, rid[0], np.int64))
+                pair, times = np.unique(code * SLICE_ROWS + some[owner], return_counts=True)
+                # times over 255 take several entries
+                entries = -(-times // 255)
+                last = np.cumsum(entries) - 1
+                out = np.empty(int(entries.sum()), _PAIR)
+                out["place"] = np.repeat(pair % SLICE_ROWS, entries)
+                out["times"] = 255
+                out["times"][last] = times - 255 * (entries - 1)
+                per = np.bincount(pair // SLICE_ROWS, weights=entries, minlength=len(names)).astype(np.int64)
+                cuts = np.concatenate([[0], np.cumsum(per)]) * _PAIR.itemsize
+                occurs = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(cuts), pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), number)), occurs], schema=_OCCURRENCES)
+                docs = pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), size], names=["doc_id", "n_bytes"])
                 yield pa.RecordBatch.from_arrays(
-                    [names, first, binary(doc, 2), binary(times.astype("<u4").tobytes(), 4), *(none(n, pa.int64()) for _ in range(3))],
-                    schema=_OCCURRENCES,
+                    [pa.nulls(1, pa.large_string()), pa.array([number]), pa.array([to_bytes(docs)], pa.large_binary())], schema=_OCCURRENCES
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [none(m, pa.large_string()), none(m, pa.int64()), none(m, pa.large_binary()), none(m, pa.large_binary()),
-                     pa.array(rid), part.column("doc_id").cast(pa.int64()), size.cast(pa.int64())],
-                    schema=_OCCURRENCES,
-                )
 
 
-SUMS = "rid long, doc_id long, n_bytes long, n long"
-_SUMS = pa.schema([(x, pa.int64()) for x in ("rid", "doc_id", "n_bytes", "n")])
+#: Token sums of a slice's documents (place, n) as an Arrow stream; or, passed on, its documents.
+SUMS = "slice long, is_docs boolean, body binary"
+_SUMS = pa.schema([("slice", pa.int64()), ("is_docs", pa.bool_()), ("body", pa.large_binary())])
+
 
+def counted(path: str, most: int = 2_000_000):
+    """mapInArrow function over occurrence rows: each distinct name is counted once, then summed per slice and document."""
 
-def counted(path: str, spill_at: int = 2_000_000):
-    """mapInArrow function over pre-token rows: each distinct name is counted once, then added up per document."""
+    def sums_of(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(at, weights=np.concatenate(sums))
+
+    def packed(key: np.ndarray, n: np.ndarray, slices: list[int]) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(key // SLICE_ROWS, prepend=-1)).tolist()
+        bodies = [
+            to_bytes(pa.RecordBatch.from_arrays([pa.array((key[a:b] % SLICE_ROWS).astype(np.uint16)), pa.array(n[a:b].astype(np.uint32))], names=["place", "n"]))
+            for a, b in zip(cuts, [*cuts[1:], len(key)])
+        ]
+        number = [slices[int(key[a] // SLICE_ROWS)] for a in cuts]
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array([False] * len(cuts)), pa.array(bodies, pa.large_binary())], schema=_SUMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         known: dict[str, int] = {}
+        place: dict[int, int] = {}  # slices by order of appearance
         keys: list[np.ndarray] = []
         sums: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            rid, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate(sums)).astype(np.int64)
-            keys.clear(), sums.clear()
-            none = pa.nulls(len(rid), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(rid), none, none, pa.array(n)], schema=_SUMS)
-
+        held = 0
         for batch in batches:
-            is_doc = pc.is_null(batch.column("name"))
-            docs = batch.filter(is_doc)
+            is_docs = pc.is_null(batch.column("name"))
+            docs = batch.filter(is_docs)
             if docs.num_rows:
-                zero = pa.array(np.zeros(docs.num_rows, np.int64))
-                yield pa.RecordBatch.from_arrays([docs.column("rid"), docs.column("doc_id"), docs.column("n_bytes"), zero], schema=_SUMS)
-            rows = batch.filter(pc.invert(is_doc))
+                yield pa.RecordBatch.from_arrays(
+                    [docs.column("slice"), pa.array([True] * docs.num_rows), docs.column("occurs").cast(pa.large_binary())], schema=_SUMS
+                )
+            rows = batch.filter(pc.invert(is_docs))
             if not rows.num_rows:
                 continue
             names = rows.column("name").to_pylist()
+            if len(known) > most:  # bounded memory; a name that comes again is counted again
+                known.clear()
             new = [x for x in dict.fromkeys(names) if x not in known]
             known.update(zip(new, map(len, model.encode(new, num_threads=1))))
             if "" in known:
                 known[""] = 1  # the mark alone; the library gives an empty text no mark
             pieces = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
-            raw = b"".join(rows.column("docs").to_pylist())
-            times = np.frombuffer(b"".join(rows.column("times").to_pylist()), "<u4")
-            per = pc.binary_length(rows.column("docs")).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-            first = rows.column("first").to_numpy(zero_copy_only=False)
-            key, at = np.unique(np.repeat(first, per) + np.frombuffer(raw, "<u2"), return_inverse=True)
-            keys.append(key)
-            sums.append(np.bincount(at, weights=np.repeat(pieces, per) * times))
-            if len(known) > spill_at:
-                known.clear()
-            if sum(map(len, keys)) > spill_at:
-                keys, sums = [np.concatenate(keys)], [np.concatenate(sums)]
-                key, at = np.unique(keys[0], return_inverse=True)
-                keys, sums = [key], [np.bincount(at, weights=sums[0])]
-                if len(key) > spill_at // 2:
-                    yield flush()
-        if keys:
-            yield flush()
+            occurs = rows.column("occurs")
+            per = pc.binary_length(occurs).to_numpy(zero_copy_only=False).astype(np.int64) // _PAIR.itemsize
+            pairs = np.frombuffer(b"".join(occurs.to_pylist()), _PAIR)
+            at = [place.setdefault(x, len(place)) for x in rows.column("slice").to_pylist()]
+            keys.append(np.repeat(np.array(at, np.int64) * SLICE_ROWS, per) + pairs["place"])
+            sums.append(np.repeat(pieces, per) * pairs["times"].astype(np.float64))
+            held += len(pairs)
+            if held > most:
+                key, n = sums_of(keys, sums)
+                keys, sums, held = [key], [n], len(key)
+                if held > most // 2:
+                    yield packed(key, n, list(place))
+                    keys, sums, held = [], [], 0
+        if held:
+            yield packed(*sums_of(keys, sums), list(place))
 
     return run
 
 
+COUNTS = "doc_id long, n_bytes long, n_tokens long"
+
+
+def summed(parts: pa.Table) -> pa.Table:
+    """applyInArrow function: one slice's documents with their sums."""
+    docs, n = None, np.zeros(SLICE_ROWS, np.int64)
+    for is_docs, body in zip(parts["is_docs"].to_pylist(), parts["body"].to_pylist()):
+        table = pa.ipc.open_stream(body).read_all()
+        if is_docs:
+            docs = table
+        else:
+            n[table["place"].to_numpy()] += table["n"].to_numpy()  # places are unique within a body
+    return docs.append_column("n_tokens", pa.array(n[: docs.num_rows]))
+
+
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     source = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = source.mapInArrow(occurrences, OCCURRENCES)
-    met = found.repartition(shuffle_width(docs), F.xxhash64(F.coalesce("name", F.col("rid").cast("string"))))
+    met = found.repartition(shuffle_width(docs), F.xxhash64(F.coalesce("name", F.col("slice").cast("string"))))
     sums = met.mapInArrow(counted(model_path), SUMS)
-    return (
-        sums.groupBy("rid")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    return sums.groupBy("slice").applyInArrow(summed, COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)
