@@ -238,9 +238,7 @@ def pack(
         fewest = -(-count // group_items) or 1
         groups = max(fewest, -(-groups // fan_in)) if groups else fewest
         dealt = todo.withColumn("g", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)))
-        done = materialize(
-            dealt.groupBy("g").applyInArrow(lambda t, f=packed_group(capacity): f(t.select(["item", "size"])), PACKED), "packed"
-        )
+        done = materialize(dealt.groupBy("g").applyInArrow(packed_group(capacity), PACKED), "packed")
         here = done.select("item", "bin", "offset")
         if placed is None:
             placed = here.withColumnRenamed("bin", "sequence_id")

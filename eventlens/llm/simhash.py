@@ -272,6 +272,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     changes; nodes without edges are not part of the rounds.
     """
     both = materialize(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), "simhash-edges")
+    if both.isEmpty():
+        return nodes.select("fp", F.col("label").alias("component"))
     labels = materialize(both.select("a").distinct().select(F.col("a").alias("fp"), F.col("a").alias("root")), "simhash-roots")
     while True:
         low = both.join(labels, both["b"] == labels["fp"]).groupBy("a").agg(F.min("root").alias("low"))
@@ -304,11 +306,11 @@ def near_duplicates(
     shard: int = SHARD,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (hex), component_id (the least doc_id reachable), n_links of its fingerprint's shard edges are not kept."""
+    """One row per input row: doc_id, fingerprint (hex), component_id (the least doc_id reachable)."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "simhash-nodes")
     placed, dense = shards(nodes.select("fp"), max_bits, sample, shard)
-    edges = placed.groupBy("shard").applyInArrow(lambda t, f=shard_edges(max_bits, block): f(t), EDGES)
+    edges = placed.groupBy("shard").applyInArrow(shard_edges(max_bits, block), EDGES)
     if dense is not None:
         edges = edges.unionByName(dense_edges(dense, max_bits))
     found = components(nodes, edges)
