@@ -39,7 +39,7 @@ CLOSING = ".,!?%*#$&;:|"
 WORD_END = "[a-z0-9ß-öø-ÿ]$"
 #: A word that is one token of its own in any surroundings, put between the parts of one call.
 SEPARATOR = "0"
-CACHE_PARTS = 600_000
+CACHE_PARTS = 250_000
 
 
 class PartEncoder:
@@ -159,7 +159,7 @@ def pieces_of(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rows = PartEncoder.of(path), RowIds()
         for whole in batches:
-            for batch in small_batches(whole, "text", 32 << 20):
+            for batch in small_batches(whole, "text", 12 << 20):
                 ids, sizes = encoder.documents(strings(batch, "text"))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype("<u4")

@@ -237,7 +237,7 @@ def shards(points: DataFrame, max_bits: int, sample: int, shard: int) -> tuple[D
         for name, n in large.items():
             own = todo.where(F.col("shard") == name)
             # a deterministic sample: the fingerprints with the smallest hashes
-            keep = int(2**63 * min(1.0, 1.2 * sample / n)) * 2 - 2**63
+            keep = min(int(2**64 * (1.2 * sample / n)), 2**64 - 1) - 2**63
             taken = own.where(F.xxhash64("fp", F.lit(7)) <= keep).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy().view(np.uint64)
             tree = fit_tree(np.sort(taken), max(16, shard / 2 * len(taken) / n), max_bits)
             if tree is None:
