@@ -6,8 +6,13 @@ A class's model discounts its own n-gram counts and backs off to an interpolated
 model of the counts of both classes together. Where a class knows nothing of its own, both
 models fall back to the same counts, and the word says nothing for either class.
 
-A text's evidence is the difference of its log-likelihoods under the two models per symbol
-(characters and word ends). A logistic curve, fitted on labelled texts that the models were not
+A word counts once for every pair of words around it, so copies and runs of a word teach a
+model little more than one of them.
+
+Most words of a toxic text are ordinary: the toxic likelihood of a word is a mixture, a small
+share from the toxic model and the rest from the ordinary one, so plain words say nearly
+nothing, in whatever language, and toxic expressions nearly all they can. A text's evidence
+is the difference of its two log-likelihoods per symbol (characters and word ends). A logistic curve, fitted on labelled texts that the models were not
 fitted on, makes it a score between 0 and 1.
 
 The models are fitted on a bounded sample of labelled texts: at most ``per_class`` of each
@@ -38,6 +43,8 @@ from eventlens.llm.common import columns, ragged, small_batches, strings, words
 
 ORDER = 6  # characters of an n-gram at most
 PER_CLASS = 6000
+SHARE = 0.002  # of a toxic text's words that its own model makes; the ordinary model makes the others
+STEADY = 100  # symbols of no evidence added to every text, so that a few symbols alone say little
 START, END = "\x02", "\x03"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 POWERS = [np.uint64(pow(int(BASE), k, 1 << 64)) for k in range(ORDER)]
@@ -61,15 +68,26 @@ def word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["label", "gram", "n"])
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, word, n) of lower-cased words, per slice of texts."""
+def word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (label, word, context) of lower-cased words; context: a hash of the words on both sides."""
+    import xxhash
+
     for whole in batches:
         for batch in small_batches(whole, "text"):
             code, counts, names = words(pc.utf8_lower(strings(batch, "text")))
+            if not len(code):
+                continue
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_pylist()), np.uint64, len(names))[code]
+            ends = np.cumsum(counts[counts > 0])
+            before, after = np.roll(h, 1), np.roll(h, -1)
+            before[np.concatenate([[0], ends[:-1]])] = 0
+            after[ends - 1] = 0
             label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            pair, n = np.unique(label * len(names) + code, return_counts=True)
+            context = before * BASE + after
+            keys = np.stack([label.astype(np.uint64), code.astype(np.uint64), context], axis=1)
+            at = np.unique(keys, axis=0, return_index=True)[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((pair // max(1, len(names))).astype(np.int32)), names.take(pa.array(pair % max(1, len(names)))), pa.array(n)], names=["label", "word", "n"]
+                [pa.array(label[at].astype(np.int32)), names.take(pa.array(code[at])), pa.array(context[at].view(np.int64))], names=["label", "word", "context"]
             )
 
 
@@ -186,15 +204,16 @@ def text_evidence(model: Evidence, texts: pa.Array, cache: dict[str, tuple[float
         new = listed
     if new:
         value, size = model.words(new)
+        value = np.log1p(SHARE * np.expm1(np.clip(value, -30, 30)))
         cache.update(zip(new, zip(value.tolist(), size.tolist())))
     both = np.array([cache[w] for w in listed], np.float64).reshape(-1, 2)
     upto = np.concatenate([np.zeros((1, 2)), np.cumsum(both[code], axis=0)])
     ends = np.cumsum(counts)
     sums = upto[ends] - upto[ends - counts]
-    return sums[:, 0] / np.maximum(sums[:, 1], 1)
+    return sums[:, 0] / (sums[:, 1] + STEADY)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float, float, float]:
     """(a, b, scale): score = 1 / (1 + exp(-(a x / scale + b))), by Newton steps."""
     scale = float(x.std()) or 1.0
     z = np.stack([x / scale, np.ones(len(x))], axis=1)
@@ -223,8 +242,8 @@ def fit(docs: DataFrame, learn: DataFrame, per_class: int = PER_CLASS) -> tuple[
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame(known[["doc_id", "label", "h"]]))  # bounded by per_class
     texts = docs.join(keys, "doc_id").select("label", "text", (F.pmod(F.col("h"), F.lit(2)) == 0).alias("curve"))
-    found = texts.where("not curve").mapInArrow(word_counts, "label int, word string, n long")
-    found = found.groupBy("label", "word").agg(F.sum("n").alias("n"))
+    found = texts.where("not curve").mapInArrow(word_contexts, "label int, word string, context long").distinct()
+    found = found.groupBy("label", "word").agg(F.count("*").alias("n"))
     grams = found.mapInPandas(word_grams, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     counts = grams.toPandas()  # the n-grams of at most 2 * per_class texts
     if counts["label"].nunique() < 2:
