@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import columns, ragged, small_batches, strings, words
 
-ORDER = 6  # characters of an n-gram at most
-PER_CLASS = 6000
+ORDER = 5  # characters of an n-gram at most
+PER_CLASS = 3000
 SHARE = 0.002  # of a toxic text's words that its own model makes; the ordinary model makes the others
 STEADY = 100  # symbols of no evidence added to every text, so that a few symbols alone say little
 START, END = "\x02", "\x03"
