@@ -56,8 +56,12 @@ class RowIds:
 
 
 def strings(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """A string column of an Arrow batch, null as empty, with 64-bit offsets."""
-    return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    """A string column of an Arrow batch, null as empty, with 64-bit offsets, in buffers of its own.
+
+    Some text kernels (ascii_lower) misread an array whose offsets don't begin at 0, as a slice's do.
+    """
+    column = pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    return column.take(pa.array(np.arange(len(column))))
 
 
 def small_batches(batch: pa.RecordBatch, name: str, limit: int = 16 << 20):
