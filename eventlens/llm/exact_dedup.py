@@ -42,7 +42,7 @@ def exact_dedup(
     max_chunk: int = MAX_CHUNK,
     hash_bits: int = 64,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, text_key (hash of the original text).
 
     ``hash_bits`` shortens the chunk hash; results do not depend on it (tests use it to
     force hashes that different chunks share).
@@ -51,13 +51,14 @@ def exact_dedup(
     digest = lambda c: F.shiftrightunsigned(F.xxhash64(c), shift) if shift else F.xxhash64(c)
     source = columns(docs, doc_id=id_col, text=text_col)
     cut = source.select(
-        "doc_id", F.char_length(text_of("text")).alias("n_cps"), normalised("text").alias("norm")
+        "doc_id", F.xxhash64("text").alias("text_key"), F.char_length(text_of("text")).alias("n_cps"), normalised("text").alias("norm")
     ).withColumn("chunks", F.regexp_extract_all("norm", F.lit(chunk_pattern(min_chunk, max_chunk)), F.lit(0)))
 
     rows = materialize(
         cut.select(
             F.monotonically_increasing_id().alias("rid"),
             "doc_id",
+            "text_key",
             "n_cps",
             F.sha2("norm", 256).alias("text_sha256"),
             F.transform("chunks", digest).alias("recipe"),
@@ -79,6 +80,7 @@ def exact_dedup(
         (F.col("first.rid") == F.col("rid")).alias("kept"),
         "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"),
+        "text_key",
     )
 
 
@@ -92,6 +94,7 @@ def _ranked(cut: DataFrame, shared: DataFrame, digest) -> DataFrame:
         cut.select(
             F.monotonically_increasing_id().alias("rid"),
             "doc_id",
+            "text_key",
             "n_cps",
             F.sha2("norm", 256).alias("text_sha256"),
             F.posexplode_outer("chunks").alias("pos", "chunk"),
@@ -107,9 +110,9 @@ def _ranked(cut: DataFrame, shared: DataFrame, digest) -> DataFrame:
     told = pieces.join(ranks, ["h", "chunk"], "left")
     item = F.struct("pos", F.array("h", F.coalesce("rank", F.lit(0).cast("long"))).alias("id"))
     return materialize(
-        told.groupBy("rid", "doc_id", "n_cps", "text_sha256")
+        told.groupBy("rid", "doc_id", "text_key", "n_cps", "text_sha256")
         .agg(F.sort_array(F.collect_list(F.when(F.col("chunk").isNotNull(), item))).alias("items"))
-        .select("rid", "doc_id", "n_cps", "text_sha256", F.flatten(F.col("items.id")).alias("recipe")),
+        .select("rid", "doc_id", "text_key", "n_cps", "text_sha256", F.flatten(F.col("items.id")).alias("recipe")),
         "dedup-rows",
     )
 

@@ -62,22 +62,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(((ones * 2 > n).astype(np.uint64) << SHIFTS).sum())
 
 
-PRINTS = "doc_id long, fp long"
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = "doc_id long, fp long, text_key long"
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_key", pa.int64())])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: doc_id, fp (the fingerprint as a signed long)."""
+    """One row per input row: doc_id, fp (the fingerprint as a signed long), text_key (hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole, "text"):
                 texts = strings(batch, "text").cast(pa.large_binary()).to_pylist()
                 fp = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], schema=_PRINTS)
+                ids, keys = (batch.column(c).cast(pa.int64()) for c in ("doc_id", "text_key"))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64)), keys], schema=_PRINTS)
 
     source = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, PRINTS)
+    return source.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, PRINTS)
 
 
 def distance(points: np.ndarray, v: np.uint64) -> np.ndarray:
@@ -306,7 +307,7 @@ def near_duplicates(
     shard: int = SHARD,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (hex), component_id (the least doc_id reachable)."""
+    """One row per input row: doc_id, fingerprint (hex), component_id (the least doc_id reachable), text_key (hash of the text)."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "simhash-nodes")
     placed, dense = shards(nodes.select("fp"), max_bits, sample, shard)
@@ -315,5 +316,5 @@ def near_duplicates(
         edges = edges.unionByName(dense_edges(dense, max_bits))
     found = components(nodes, edges)
     return prints.join(found, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"), "text_key"
     )
