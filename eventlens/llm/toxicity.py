@@ -15,8 +15,8 @@ nothing, in whatever language, and toxic expressions nearly all they can. A text
 is the difference of its two log-likelihoods per symbol (characters and word ends). A logistic curve, fitted on labelled texts that the models were not
 fitted on, makes it a score between 0 and 1.
 
-The models are fitted on a bounded sample of labelled texts: at most ``per_class`` of each
-class, those with the smallest hashes of their doc_id; every second hash goes to the curve.
+The models are fitted on a bounded sample of labelled texts: about ``per_class`` of each class
+at most, those with small hashes of their doc_id; every second one goes to the curve.
 Scoring covers all rows and whole texts.
 
 Defined cases: null and empty texts have evidence 0; a doc_id labelled twice is toxic if any
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import columns, ragged, small_batches, strings, words
+from eventlens.llm.common import columns, hash_sample, ragged, small_batches, strings, words
 
 ORDER = 5  # characters of an n-gram at most
 PER_CLASS = 3000
@@ -194,7 +194,7 @@ def by_hash(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[order], values[order]
 
 
-def text_evidence(model: Evidence, texts: pa.Array, cache: dict[str, tuple[float, int]], most: int = 400_000) -> np.ndarray:
+def text_evidence(model: Evidence, texts: pa.Array, cache: dict[str, tuple[float, int]], most: int = 200_000) -> np.ndarray:
     """Evidence per symbol of every text; cache: what distinct words gave, bounded."""
     code, counts, names = words(pc.utf8_lower(texts))
     listed = names.to_pylist()
@@ -202,10 +202,10 @@ def text_evidence(model: Evidence, texts: pa.Array, cache: dict[str, tuple[float
     if len(cache) + len(new) > most:
         cache.clear()
         new = listed
-    if new:
-        value, size = model.words(new)
+    for a in range(0, len(new), 40_000):
+        value, size = model.words(new[a : a + 40_000])
         value = np.log1p(SHARE * np.expm1(np.clip(value, -30, 30)))
-        cache.update(zip(new, zip(value.tolist(), size.tolist())))
+        cache.update(zip(new[a : a + 40_000], zip(value.tolist(), size.tolist())))
     both = np.array([cache[w] for w in listed], np.float64).reshape(-1, 2)
     upto = np.concatenate([np.zeros((1, 2)), np.cumsum(both[code], axis=0)])
     ends = np.cumsum(counts)
@@ -232,9 +232,9 @@ def fit(docs: DataFrame, learn: DataFrame, per_class: int = PER_CLASS) -> tuple[
     ordered = learn.withColumn("h", F.xxhash64("doc_id"))
     sample = None
     for label in (0, 1):
-        part = ordered.where(F.col("label") == label).orderBy("h", "doc_id").limit(per_class)
+        part = hash_sample(ordered.where(F.col("label") == label), "doc_id", per_class, 4)
         sample = part if sample is None else sample.unionByName(part)
-    known = sample.toPandas()  # at most 2 * per_class ids
+    known = sample.toPandas()  # about 2 * per_class ids at most
     share = float(known["label"].mean()) if len(known) else 0.5
     flat = (0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share == 1 else -30.0), 1.0)
     if known["label"].nunique() < 2:
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, learn: DataFrame, per_class: int = PER_CLASS) -> tuple[
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[float, int]] = {}
         for whole in batches:
-            for batch in small_batches(whole, "text"):
+            for batch in small_batches(whole, "text", 10 << 20):
                 x = text_evidence(shared.value, strings(batch, "text"), cache)
                 yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(x)], names=["label", "x"])
 
@@ -289,7 +289,7 @@ def toxicity_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[float, int]] = {}
         for whole in batches:
-            for batch in small_batches(whole, "text", 32 << 20):
+            for batch in small_batches(whole, "text", 10 << 20):
                 x = text_evidence(shared.value, strings(batch, "text"), cache) if shared.value else np.zeros(batch.num_rows)
                 score = np.round(1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30))), 9)
                 yield pa.RecordBatch.from_arrays(
