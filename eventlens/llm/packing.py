@@ -39,7 +39,7 @@ CLOSING = ".,!?%*#$&;:|"
 WORD_END = "[a-z0-9ß-öø-ÿ]$"
 #: A word that is one token of its own in any surroundings, put between the parts of one call.
 SEPARATOR = "0"
-CACHE_PARTS = 250_000
+CACHE_PARTS = 400_000
 
 
 class PartEncoder:
@@ -94,12 +94,22 @@ class PartEncoder:
         self.flat += lists
         self.size = int(ends[-1]) if len(ends) else self.size
 
+    def keep(self, parts: list[str]) -> None:
+        """Forget all parts but these: a part that came again will come again."""
+        parts = list(dict.fromkeys(parts))
+        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        start, length, flat = self.starts[0][at], self.lengths[0][at], self.flat[0]
+        self.clear()
+        self.place = {p: i for i, p in enumerate(parts)}
+        ends = np.cumsum(length)
+        self.starts, self.lengths, self.flat = [ends - length], [length], [flat[ragged(start, length)]]
+        self.size = int(length.sum())
+
     def lookup(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length) of every part's ids within the array given third."""
         new = [p for p in parts if p not in self.place]
         if len(self.place) + len(new) > CACHE_PARTS:
-            self.clear()
-            new = parts
+            self.keep([p for p in parts if p in self.place])
         if new:
             self.learn(list(dict.fromkeys(new)))
             self.starts, self.lengths = [np.concatenate(self.starts)], [np.concatenate(self.lengths)]
@@ -159,7 +169,7 @@ def pieces_of(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rows = PartEncoder.of(path), RowIds()
         for whole in batches:
-            for batch in small_batches(whole, "text", 12 << 20):
+            for batch in small_batches(whole, "text", 20 << 20):
                 ids, sizes = encoder.documents(strings(batch, "text"))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
