@@ -38,6 +38,15 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows, the same each time: those whose hash of ``key`` is small. All rows if there are no more."""
+    total = df.count()
+    if total <= rows:
+        return df
+    share = int(2**64 * (rows / total)) - 2**63
+    return df.where(F.xxhash64(key, F.lit(seed)) < share)
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

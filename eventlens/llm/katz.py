@@ -4,7 +4,7 @@ Tokens are the words of a text (A-Z lower-cased) and one end. Three passes over
 
 1. the unigram table: (word hash, training count) of every word, written;
 2. the bigram table: (history, word) with training counts, written. Its symbols are the words
-   of at least two training counts, at most ``vocabulary`` of them (the most frequent), the
+   of at least two training counts, the most frequent, at most ``vocabulary`` of them, the
    end, and one class for all other words, so that a symbol has a short number;
 3. scoring: a task packs the bigrams and the rare words of a slice of documents by bucket of
    their key; each bucket meets its part of the two tables, evaluates every token there and
@@ -44,7 +44,7 @@ from eventlens.session import materialize
 
 VOCABULARY, HEAD = 100_000, 50_000
 BUCKET_TOKENS = 700_000
-SLICE_ROWS, SLICE_BYTES = 65536, 32 << 20
+SLICE_ROWS, SLICE_BYTES = 65536, 16 << 20
 RARE, END, START, FIRST = 0, 1, 2, 3  # symbols; words are numbered from FIRST
 BITS = 20  # of a symbol in a bigram's key
 GOOD_TURING = 5
@@ -297,10 +297,28 @@ def gathered(parts: pa.Table) -> pa.Table:
     )
 
 
+def frequent(table: DataFrame, limit: int, least: int = 1):
+    """The rows of the largest counts, at most ``limit``, as pandas: all above a cut in eighths of an octave.
+
+    The cut comes from one number per level, so no task sends more than it has above the cut.
+    """
+    level = F.floor(F.log2("n") * 8)
+    seen = table.where(F.col("n") >= least).groupBy(level.alias("level")).agg(F.count("*").alias("m"))
+    cut, taken = None, 0
+    for r in sorted(seen.collect(), key=lambda r: -r["level"]):
+        taken += r["m"]
+        if taken > limit:
+            break
+        cut = r["level"]
+    if cut is None:
+        return table.limit(0).toPandas()
+    return table.where((F.col("n") >= least) & (level >= cut)).toPandas()
+
+
 def fit_unigrams(unigram: DataFrame, ends: int, vocabulary: int) -> Model:
     """Vocabulary, totals and the class of rare words."""
     words_seen, kinds = unigram.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = unigram.where("n >= 2").orderBy(F.desc("n"), "key").limit(vocabulary).toPandas()  # at most ``vocabulary`` rows
+    top = frequent(unigram, vocabulary, 2)
     counts = np.zeros(FIRST + len(top), np.int64)
     counts[FIRST:] = top["n"]
     counts[END] = ends
@@ -346,7 +364,7 @@ def fit_bigrams(model: Model, bigram: DataFrame, head: int) -> None:
     least = np.where(full, 0.0, np.maximum(left, 0.5 / (n + 1)))  # an exhausted history frees half a count
     model.seen_scale[h] = np.log10((1 - least) / (1 - left))
     model.log_alpha[h] = np.where(full, 0.0, np.log10(np.maximum(least, 1e-300) / np.maximum(room, 1e-12)))
-    top = bigram.orderBy(F.desc("n"), "key").limit(head).toPandas().sort_values("key")  # at most ``head`` rows
+    top = frequent(bigram, head).sort_values("key")
     model.head_keys = top["key"].to_numpy(np.int64)
     model.head_log = model.seen(model.head_keys, top["n"].to_numpy(np.int64))
 

@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import columns, small_batches, strings
+from eventlens.llm.common import columns, hash_sample, small_batches, strings
 from eventlens.session import materialize
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
-SAMPLE = 40_000  # fingerprints that a tree is fitted on
+SAMPLE = 40_000  # fingerprints that a tree is fitted on, about
 SHARD, BLOCK = 24_000, 512  # fingerprints in a task's shard at most, and in a block compared bit by bit
 SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -237,9 +237,7 @@ def shards(points: DataFrame, max_bits: int, sample: int, shard: int) -> tuple[D
         parts = None
         for name, n in large.items():
             own = todo.where(F.col("shard") == name)
-            # a deterministic sample: the fingerprints with the smallest hashes
-            keep = min(int(2**64 * (1.2 * sample / n)), 2**64 - 1) - 2**63
-            taken = own.where(F.xxhash64("fp", F.lit(7)) <= keep).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy().view(np.uint64)
+            taken = hash_sample(own.select("fp"), "fp", sample, 7).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
             tree = fit_tree(np.sort(taken), max(16, shard / 2 * len(taken) / n), max_bits)
             if tree is None:
                 dense = add(dense, own)
