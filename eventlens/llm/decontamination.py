@@ -163,7 +163,7 @@ def least_distance(pattern: list[int], text: list[int], most: int) -> tuple[int,
         masks[w] = masks.get(w, 0) | 1 << i
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
-    vp, vn, score, best = full, 0, m, (most + 1, 0)
+    vp, vn, score, best = full, 0, m, (min(m, most + 1), 0)
     for j, w in enumerate(text):
         eq = masks.get(w, 0)
         xv = eq | vn

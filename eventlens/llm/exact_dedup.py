@@ -91,14 +91,9 @@ def _ranked(cut: DataFrame, shared: DataFrame, digest) -> DataFrame:
     their bytes, and an occurrence finds its rank by (hash, chunk).
     """
     pieces = materialize(
-        cut.select(
-            F.monotonically_increasing_id().alias("rid"),
-            "doc_id",
-            "text_key",
-            "n_cps",
-            F.sha2("norm", 256).alias("text_sha256"),
-            F.posexplode_outer("chunks").alias("pos", "chunk"),
-        ).withColumn("h", digest(F.col("chunk"))),
+        cut.withColumn("rid", F.monotonically_increasing_id())  # a row's number, before it is exploded
+        .select("rid", "doc_id", "text_key", "n_cps", F.sha2("norm", 256).alias("text_sha256"), F.posexplode_outer("chunks").alias("pos", "chunk"))
+        .withColumn("h", digest(F.col("chunk"))),
         "dedup-pieces",
     )
     hit = pieces.join(shared, "h", "left_semi")
