@@ -9,6 +9,8 @@ survives executor loss; the loop stops when no label changes.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -50,18 +52,19 @@ def _propagate(labels: DataFrame, und: DataFrame) -> DataFrame:
     return nxt.select("id", "label", (F.col("label") != F.col("old")).alias("changed"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id", max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id") -> DataFrame:
     """(id, component) where component is the smallest id in the node's component.
 
     Each round is written once (shared folder); the number of changed labels
-    is observed during that write, so convergence costs no extra job.
+    is observed during that write, so convergence costs no extra job. Rounds
+    go on until no label changes; labels only fall, so they end.
     """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     und = materialize(und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = nodes.select(F.col(node_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id"))
-    for i in range(max_rounds):
+    for i in count():
         seen = Observation(f"cc-round-{i}")  # counted while the round is written: no extra job
         nxt = materialize(_propagate(labels, und).observe(seen, F.count_if(F.col("changed")).alias("n")), "cc-labels")
         labels = nxt.select("id", "label")

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.session import materialize
 
 
 def _cols(x) -> list:
@@ -84,16 +85,14 @@ def global_positions(df: DataFrame, order, out: str = "_gpos") -> DataFrame:
     A range-partitioned sort, in-partition positions from
     monotonically_increasing_id (partition index in the high bits), and
     offsets from a table with one row per partition (bounded by the
-    partition count, so broadcasting it is safe). The sort key is a total
-    order, so the sort is deterministic and both uses of it see the same
-    partitions.
+    partition count, so broadcasting it is safe). The sorted rows and their
+    numbers are written once and both uses read that table: range bounds are
+    sampled, so a second evaluation of the sort may cut partitions elsewhere.
     """
     order = _cols(order)
-    ranked = (
-        df.orderBy(*order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_mid", 33))
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = materialize(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    ranked = numbered.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
+        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )
     per_part = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = per_part.select(

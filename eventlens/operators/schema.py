@@ -45,10 +45,10 @@ def conform(
 ) -> DataFrame:
     """Project to (raw_text, event_id, event_title); defaults fill missing *columns* only."""
     text_col = resolve_column(df, text_candidates)
-    # try_cast: an id read from text that is not a number becomes null instead of failing the job (ANSI mode)
-    event_id = (
-        F.col("event_id").try_cast("long") if "event_id" in df.columns else F.lit(default_event_id).cast("long")
-    )
+    # a text id is kept as it is; a numeric one (a float where ids have gaps, too) is a long
+    event_id = F.lit(default_event_id).cast("long")
+    if "event_id" in df.columns:
+        event_id = F.col("event_id") if dict(df.dtypes)["event_id"] == "string" else F.col("event_id").cast("long")
     event_title = (
         F.col("event_title").cast("string") if "event_title" in df.columns else F.lit(default_event_title)
     )
@@ -61,10 +61,10 @@ def conform(
 
 
 def global_event_id(dataset_name, event_id) -> Column:
-    """B7: '<dataset>_<event_id>' with the id printed as an integer."""
+    """B7: '<dataset>_<event_id>': a number printed as an integer, a text id as it is."""
     ds = F.col(dataset_name) if isinstance(dataset_name, str) else dataset_name
     eid = F.col(event_id) if isinstance(event_id, str) else event_id
-    return F.concat(ds.cast("string"), F.lit("_"), eid.cast("long").cast("string"))
+    return F.concat(ds.cast("string"), F.lit("_"), eid.cast("string"))
 
 
 def title_from_name(name) -> Column:

@@ -100,7 +100,7 @@ def topic_coherence(
     key: str,
     doc_col: str,
     clean_col: str,
-    max_terms: int = COHERENCE_MAX_TERMS,
+    max_terms: int | None = None,
     min_rows: int = MIN_EVENT_ROWS,
     eps: float = COHERENCE_EPS,
     stop_words=ENGLISH_STOP_WORDS,
@@ -110,8 +110,8 @@ def topic_coherence(
     With C the V x V document co-occurrence of the event's kept terms and S_i
     its row sums, mean(C / (S + eps)) = (1/V^2) * sum_i S_i / (S_i + eps), and
     S_i = sum over documents containing term i of that document's number of
-    distinct kept terms. Kept terms: top ``max_terms`` by frequency (ties by
-    term). Events under ``min_rows`` rows are skipped; events without any
+    distinct kept terms. Kept terms: all, or the top ``max_terms`` by frequency
+    (ties by term). Events under ``min_rows`` rows are skipped; events without any
     kept term score 0.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("num_tweets")).filter(F.col("num_tweets") >= min_rows)
@@ -120,9 +120,11 @@ def topic_coherence(
     dtc = _terms(big, key, clean_col, doc_col, stop_words).groupBy(key, doc_col, "term").agg(
         F.count(F.lit(1)).alias("_occ")
     )
-    tf = dtc.groupBy(key, "term").agg(F.sum("_occ").alias("tf"))
-    vocab = top_n_per_group(tf, key, [F.desc("tf"), F.asc("term")], max_terms, "_r").select(key, "term")
-    present = dtc.select(key, doc_col, "term").join(vocab, [key, "term"], "left_semi")
+    present = dtc.select(key, doc_col, "term")
+    if max_terms is not None:
+        tf = dtc.groupBy(key, "term").agg(F.sum("_occ").alias("tf"))
+        vocab = top_n_per_group(tf, key, [F.desc("tf"), F.asc("term")], max_terms, "_r").select(key, "term")
+        present = present.join(vocab, [key, "term"], "left_semi")
     per_doc = present.groupBy(key, doc_col).agg(F.count(F.lit(1)).alias("_m"))
     s_i = present.join(per_doc, [key, doc_col]).groupBy(key, "term").agg(F.sum("_m").cast("double").alias("_s"))
     score = s_i.groupBy(key).agg(

@@ -345,7 +345,9 @@ def q_title_events(spark, sf_dir):
 
 
 def _coherence(spark, sf_dir) -> DataFrame:
-    return topics.topic_coherence(clean_posts(spark, sf_dir), "source", "doc_id", "clean_text")
+    return topics.topic_coherence(
+        clean_posts(spark, sf_dir), "source", "doc_id", "clean_text", max_terms=topics.COHERENCE_MAX_TERMS
+    )
 
 
 def q_topic_coherence(spark, sf_dir):

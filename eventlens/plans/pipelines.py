@@ -29,7 +29,7 @@ from eventlens.operators.schema import (
 )
 from eventlens.operators.topics import title_events
 from eventlens.operators.vectors import reduce_dims, text_vectors
-from eventlens.sources.files import read_event_folders, read_headerless_posts, write_events
+from eventlens.sources.files import list_event_folders, read_event_folders, read_headerless_posts, write_events
 
 # ---------------------------------------------------------------------------
 # K1: labelled folders -> events
@@ -78,7 +78,9 @@ def label_posts(
 def ingest_labelled(spark, root: str, dataset_name: str = "crisisnlp", glob: str = "*.tsv") -> DataFrame:
     """K1 on files: one scan of every TSV below ``root`` -> events table."""
     rows = read_event_folders(spark, root, glob=glob)
-    return label_posts(rows, "folder", "raw_tweet", ["path", "row_no"], dataset_name, groups=rows.select("folder"))
+    # a folder counts even if its files hold no data row, no text column or nothing at all
+    folders = list_event_folders(spark, root, glob)
+    return label_posts(rows, "folder", "raw_tweet", ["path", "row_no"], dataset_name, groups=folders)
 
 
 # ---------------------------------------------------------------------------
@@ -90,7 +92,7 @@ def ingest_labelled(spark, root: str, dataset_name: str = "crisisnlp", glob: str
 class Dataset:
     name: str
     df: DataFrame
-    order: Sequence[str]  # up to two integral columns giving the row order inside the dataset
+    order: Sequence[str]  # columns of any number and type giving the row order inside the dataset
 
 
 def merge_datasets(datasets: Sequence[Dataset], text_candidates: Sequence[str] = MERGE_TEXT_COLUMNS) -> DataFrame:
@@ -101,16 +103,18 @@ def merge_datasets(datasets: Sequence[Dataset], text_candidates: Sequence[str] =
     """
     parts = []
     for rank, ds in enumerate(datasets):
-        order = list(ds.order) + [None] * (2 - len(ds.order))
-        o = [F.col(c).cast("long") if c else F.lit(0).cast("long") for c in order]
-        c = conform(ds.df.select("*", o[0].alias("_o1"), o[1].alias("_o2")), text_candidates, extra=["_o1", "_o2"])
+        order = [f"_o{i}" for i in range(len(ds.order))]
+        c = conform(ds.df.select("*", *[F.col(x).alias(o) for x, o in zip(ds.order, order)]), text_candidates, extra=order)
+        # first by the dataset's own order, whatever its types; between datasets the rank decides
+        first = dedupe_first(c.filter(F.col("raw_text").isNotNull()), "raw_text", order).drop(*order)
         parts.append(
-            c.withColumn("dataset_name", F.lit(ds.name))
+            first.withColumn("dataset_name", F.lit(ds.name))
             .withColumn("global_event_id", global_event_id(F.lit(ds.name), F.col("event_id")))
             .withColumn("_rank", F.lit(rank))
         )
-    u = union_all(parts).filter(F.col("raw_text").isNotNull())
-    kept = dedupe_first(u, "raw_text", ["_rank", "_o1", "_o2"])
+    if any(dict(p.dtypes)["event_id"] == "string" for p in parts):
+        parts = [p.withColumn("event_id", F.col("event_id").cast("string")) for p in parts]
+    kept = dedupe_first(union_all(parts), "raw_text", ["_rank"])
     return kept.select("raw_text", "event_id", "event_title", "dataset_name", "global_event_id")
 
 
@@ -166,7 +170,7 @@ class DiscoveryConfig:
     seed: int = SEED
     embed_dim: int = 256
     reduced_dim: int = 10
-    sample_cap: int | None = None  # the sentiment variant caps rows (exact-size seeded sample)
+    sample_cap: int | None = None  # an exact-size seeded sample of the posts; None: all of them
     with_emotion: bool = True
 
 
@@ -236,13 +240,13 @@ def discover_events(
     )
 
 
-SENTIMENT_CONFIG = DiscoveryConfig(clusters=SENTIMENT_CLUSTERS, sample_cap=200_000, with_emotion=False)
+SENTIMENT_CONFIG = DiscoveryConfig(clusters=SENTIMENT_CLUSTERS, with_emotion=False)
 
 
 def discover_sentiment(spark, path: str, cfg: DiscoveryConfig = SENTIMENT_CONFIG) -> DataFrame:
     """J12, sentiment variant: headerless Latin-1 CSV (A2), early projection of
     (text, date, sentiment), dedupe on clean text in file order, date parse,
-    seeded exact-size sample cap, k=200, no emotion text.
+    k=200, no emotion text; a seeded exact-size sample only if ``cfg`` asks for one.
     Returns (row_no, raw_text, clean_text, sentiment, date, event_id, event_title, time_window).
     """
     posts = read_headerless_posts(spark, path).select(

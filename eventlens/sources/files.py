@@ -82,32 +82,15 @@ def _field_count(raw_record) -> Column:
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit("\t"), F.lit(""))) + 1
 
 
-def read_event_folders(
-    spark: SparkSession,
-    root: str,
-    text_candidates: Sequence[str] = TSV_TEXT_COLUMNS,
-    glob: str = "*.tsv",
-    max_fields: int = 64,
-) -> DataFrame:
-    """Every TSV under ``root`` as (path, folder, row_no, raw_tweet) in one scan.
-
-    Files may have different headers. All files are read header-less into
-    ``max_fields`` string columns plus the raw record (every row is shorter
-    than the schema, so Spark keeps the raw text in the corrupt-record
-    column). Each file's first row is its header (a grouped ``min_by`` on the
-    scan position, one row per file); the text column is picked per file by
-    priority. pandas-like line rules, counted on the raw record: more fields
-    than the header -> dropped (an empty extra field counts), fewer -> kept
-    null-padded; quoted newlines stay in one row. A file without a text
-    column yields null texts (dropped later), but its folder still counts.
-    """
-    fields = [T.StructField(f"_f{i}", T.StringType(), True) for i in range(max_fields)]
+def _raw_rows(spark: SparkSession, root: str, glob: str, n_fields: int) -> DataFrame:
+    """Every record of every file: (path, row_no, _fields: the first ``n_fields``, _n: fields in the raw record)."""
+    fields = [T.StructField(f"_f{i}", T.StringType(), True) for i in range(n_fields)]
     schema = T.StructType(fields + [T.StructField("_raw", T.StringType(), True)])
-    raw = (
+    return (
         spark.read.schema(schema)
         .option("sep", "\t").option("header", False).option("encoding", "ISO-8859-1")
         .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_raw")
+        .option("columnNameOfCorruptRecord", "_raw").option("maxColumns", 1_000_000)
         .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
         .csv(root)
@@ -115,13 +98,38 @@ def read_event_folders(
             F.col("_metadata.file_path").alias("path"),
             F.monotonically_increasing_id().alias("row_no"),  # files are read whole: increasing within a file
             F.array(*[F.col(f.name) for f in fields]).alias("_fields"),
-            # parsed non-null fields never exceed the raw count; taking the greater keeps
-            # a parsed column in every branch (Spark rejects scans of the raw column alone)
+            # no raw text: the record has exactly the schema's fields. Parsed non-null fields never exceed
+            # the count; taking the greater keeps a parsed column in every branch (Spark rejects scans of
+            # the raw column alone)
             F.greatest(
-                _field_count(F.col("_raw")), F.size(F.filter(F.array(*[F.col(f.name) for f in fields]), lambda x: x.isNotNull()))
+                F.coalesce(_field_count(F.col("_raw")), F.lit(n_fields)), F.size(F.filter(F.array(*[F.col(f.name) for f in fields]), lambda x: x.isNotNull()))
             ).alias("_n"),
         )
     )
+
+
+def read_event_folders(
+    spark: SparkSession,
+    root: str,
+    text_candidates: Sequence[str] = TSV_TEXT_COLUMNS,
+    glob: str = "*.tsv",
+) -> DataFrame:
+    """Every TSV under ``root`` as (path, folder, row_no, raw_tweet) in one scan.
+
+    Files may have different headers. A first pass finds the widest header
+    (one number per file, one to the driver). All files are then read
+    header-less into one string column more than that, plus the raw record
+    (rows shorter than the schema keep their raw text in the corrupt-record
+    column). Each file's first row is its header (a grouped ``min_by`` on the
+    scan position, one row per file); the text column is picked per file by
+    priority. pandas-like line rules, counted on the raw record: more fields
+    than the header -> dropped (an empty extra field counts), fewer -> kept
+    null-padded; quoted newlines stay in one row. A file without a text
+    column yields null texts (dropped later), but its folder still counts.
+    """
+    narrow = _raw_rows(spark, root, glob, 1)
+    widths = narrow.groupBy("path").agg(F.min_by("_n", "row_no").alias("_w")).agg(F.max("_w")).first()[0]
+    raw = _raw_rows(spark, root, glob, (widths or 0) + 1)
     headers = raw.groupBy("path").agg(F.min_by(F.struct("row_no", "_fields", "_n"), F.col("row_no")).alias("_h"))
     text_pos = F.coalesce(
         *[F.when(F.array_position(F.col("_h._fields"), c) > 0, F.array_position(F.col("_h._fields"), c))
@@ -142,11 +150,12 @@ def read_event_folders(
 
 
 def list_event_folders(spark: SparkSession, root: str, glob: str = "*.tsv") -> DataFrame:
-    """Every folder holding a matching file (files without a text column included)."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .load(root).select("path")
-    )
+    """Every folder holding a matching file (files that are empty or without a text column included).
+
+    From the scan's file listing, which the driver holds anyway: a scan itself leaves empty files out.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    files = spark.createDataFrame([(path,) for path in listed.inputFiles()], "path string")
     return files.select(event_name_from_file(F.col("path")).alias("folder")).distinct()
 
 

@@ -39,6 +39,16 @@ def test_tsv_line_rules(spark):
     assert out == {"fire event": 0, "flood": 1}  # no_text holds id 2
 
 
+def test_wide_header_and_folders_without_rows(spark):
+    root = tempfile.mkdtemp(prefix="eventlens-tsv-")
+    write(f"{root}/a_header_only/a.tsv", "id\ttweet\n")
+    write(f"{root}/b_empty/b.tsv", "")
+    names = [f"c{i}" for i in range(70)]
+    write(f"{root}/c_wide/c.tsv", "\t".join([*names, "tweet"]) + "\n" + "\t".join(["x"] * 70 + ["a tweet behind seventy columns"]) + "\n")
+    out = {r.event_title: (r.event_id, r.raw_tweet) for r in ingest_labelled(spark, root).collect()}
+    assert out == {"c wide": (2, "a tweet behind seventy columns")}
+
+
 def test_event_name_from_path(spark):
     df = spark.createDataFrame([("a/b/c.tsv",), ("http://h/x/1?q",), ("x",), ("a//b",)], "p string")
     got = [r.n for r in df.select(files.event_name_from_path("p").alias("n")).collect()]

@@ -53,7 +53,35 @@ def test_conform_tolerates_text_ids(spark):
 
     df = spark.createDataFrame([("a", "7", "T"), ("b", "x7", "U")], "text string, event_id string, event_title string")
     got = {r.raw_text: r.event_id for r in conform(df).collect()}
-    assert got == {"a": 7, "b": None}
+    assert got == {"a": "7", "b": "x7"}
+    numbers = spark.createDataFrame([("c", 3.0)], "text string, event_id double")
+    out = merge_datasets([Dataset("one", df, ["event_title", "text", "event_id"]), Dataset("two", numbers, [])])
+    assert {r.raw_text: r.global_event_id for r in out.collect()} == {"a": "one_7", "b": "one_x7", "c": "two_3"}
+
+
+def test_merge_takes_any_order_columns(spark):
+    data = [("t", "b", 1, 2, "late"), ("t", "a", 2, 9, "mid"), ("t", "a", 2, 1, "first")]
+    df = spark.createDataFrame(data, "text string, path string, part int, line int, event_title string")
+    out = merge_datasets([Dataset("one", df, ["path", "part", "line"])]).collect()
+    assert [r.event_title for r in out] == ["first"]
+
+
+def test_positions_of_many_rows_with_a_payload(spark):
+    """Positions hold when plans don't share the sort's exchange."""
+    n = 1_000_000
+    df = spark.range(0, n, numPartitions=16).select(
+        (F.col("id") * 7919 % n).alias("v"), F.concat(F.lit("payload "), F.col("id")).alias("payload")
+    )
+    for reuse, adaptive in (("true", "true"), ("false", "false"), ("false", "true")):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            r = rows.global_positions(df, ["v"]).agg(F.count("*").alias("n"), F.count_if(F.col("_gpos") != F.col("v")).alias("bad")).first()
+            assert (r.n, r.bad) == (n, 0)
+            assert rows.exact_quantile(df, "v", 0.9).first()[0] == 0.9 * (n - 1)
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_spread_only_when_under_parallel(spark):

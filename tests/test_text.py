@@ -106,3 +106,20 @@ def test_repair_and_audit(spark):
 )
 def test_time_windows(spark, raw, window):
     assert one(spark, raw, lambda c: time_window(parse_timestamp(c))) == window
+
+
+def test_timestamp_layouts(spark):
+    from eventlens.functions.timewin import parse_timestamp, unparsed_count
+
+    at = "2020-07-25 12:27:21"
+    want = {
+        "Sat Jul 25 12:27:21 +0000 2020": at, "Sat Jul 25 12:27:21 PDT 2020": at, "2020-07-25T12:27:21Z": at,
+        "2020-07-25 12:27:21+00:00": at, "2020-07-25 12:27:21.123": "2020-07-25 12:27:21.123", "2020/07/25": "2020-07-25 00:00:00",
+        "07/25/2020": "2020-07-25 00:00:00", "2020-07-25 12:27": "2020-07-25 12:27:00", "Wed Jul 1 12:27:21 PDT 2020": "2020-07-01 12:27:21",
+        "2020-07-25T12:27:21.123456789Z": "2020-07-25 12:27:21.123456", "2020-07-25": "2020-07-25 00:00:00", "7/5/2020 9:08": "2020-07-05 09:08:00",
+        "no date": None, "2020-13-45": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    got = {r.s: r.t for r in df.select("s", parse_timestamp("s").cast("string").alias("t")).collect()}
+    assert got == want
+    assert df.agg(unparsed_count("s").alias("n")).first().n == 2
