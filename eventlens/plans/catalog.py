@@ -112,10 +112,11 @@ def q_emotion_features(spark, sf_dir):
 
 def q_emotion_report(spark, sf_dir):
     """C3 count: rows before and after dropping empty display-clean texts."""
-    d = decorated_documents(spark, sf_dir)
-    decorated_or_null = F.when(F.col("doc_id") % 5 == 0, F.lit("@only_a_mention")).otherwise(F.col("raw_text"))
-    clean = tx.clean_display(decorated_or_null)
-    return d.agg(
+    d = decorated_documents(spark, sf_dir).select("doc_id", "raw_text")
+    # texts that cleaning empties come as rows of their own
+    emptied = d.where(F.col("doc_id") % 5 == 0).select("doc_id", F.lit("@only_a_mention").alias("raw_text"))
+    clean = tx.clean_display(F.col("raw_text"))
+    return rows.union_all([d, emptied]).agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(F.trim(clean) != "").cast("long").alias("rows_after"),
         F.count_if(F.trim(clean) == "").cast("long").alias("removed"),
@@ -138,10 +139,12 @@ def q_encoding_suspects(spark, sf_dir):
 
 
 def q_null_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 7
-    raw = F.when(k == 0, F.lit("NA")).when(k == 1, F.lit("null")).when(k == 2, F.lit("")).otherwise(F.col("text"))
-    t = d.select("doc_id", files.na_to_null(raw).alias("text"))
+    # missing-value tokens come as rows of their own, beside every real text
+    token = F.when(k == 0, F.lit("NA")).when(k == 1, F.lit("null")).otherwise(F.lit(""))
+    missing = d.where(k < 3).select((-1 - F.col("doc_id")).alias("doc_id"), token.alias("text"))
+    t = rows.union_all([d, missing]).select("doc_id", files.na_to_null("text").alias("text"))
     return t.dropna(subset=["text"])
 
 
@@ -231,14 +234,22 @@ def q_sample_n(spark, sf_dir):
 # --- time -------------------------------------------------------------------------------
 
 def _date_strings(spark, sf_dir) -> DataFrame:
+    """Every event's time in one of eight layouts, and rows of garbage under negative ids."""
     e = table(spark, sf_dir, "events")
-    k = F.col("event_id") % 3
+    k = F.col("event_id") % 8
+    f = lambda layout: F.date_format("ts", layout)
     s = (
-        F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-        .when(k == 1, F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" PDT "), F.date_format("ts", "yyyy")))
-        .otherwise(F.concat(F.lit("week of "), F.col("event_id").cast("string")))
+        F.when(k == 0, f("yyyy-MM-dd HH:mm:ss"))
+        .when(k == 1, F.concat(f("EEE MMM dd HH:mm:ss"), F.lit(" PDT "), f("yyyy")))
+        .when(k == 2, f("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k == 3, f("yyyy-MM-dd HH:mm:ss'+00:00'"))
+        .when(k == 4, f("yyyy/MM/dd"))
+        .when(k == 5, f("MM/dd/yyyy"))
+        .when(k == 6, f("yyyy-MM-dd HH:mm"))
+        .otherwise(F.concat(f("EEE MMM d HH:mm:ss"), F.lit(" +0000 "), f("yyyy")))
     )
-    return e.select("event_id", s.alias("date"))
+    garbage = e.where(k == 2).select((-1 - F.col("event_id")).alias("event_id"), F.concat(F.lit("week of "), F.col("event_id").cast("string")).alias("date"))
+    return rows.union_all([e.select("event_id", s.alias("date")), garbage])
 
 
 def q_parse_dates(spark, sf_dir):
@@ -426,7 +437,8 @@ def q_discover_sentiment(spark, sf_dir):
         day_name.alias("date"), F.lit("NO_QUERY").alias("query"), F.col("source").alias("user"), "text",
     )
     out = shared_scratch(spark, "headerless")
-    rows_.write.option("header", False).option("encoding", "ISO-8859-1").option("escape", '"').csv(out)
+    # written as UTF-8 and read as Latin-1, as tsv_ingest does: no character is lost
+    rows_.write.option("header", False).option("escape", '"').csv(out)
     return pl.discover_sentiment(spark, out)
 
 

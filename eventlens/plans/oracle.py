@@ -225,18 +225,10 @@ FROM f WHERE trim(clean_text) <> ''"""
 
 
 def _date_strings_sql() -> str:
-    return """ds AS (
-  SELECT event_id, CASE event_id % 3
-    WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
-    WHEN 1 THEN strftime(ts, '%a %b %d %H:%M:%S') || ' PDT ' || strftime(ts, '%Y')
-    ELSE 'week of ' || CAST(event_id AS VARCHAR) END AS date
-  FROM events
-),
-dp AS (
-  SELECT event_id, coalesce(
-    try_strptime(date, '%Y-%m-%d %H:%M:%S'),
-    try_strptime(regexp_replace(date, '^[A-Za-z]{3} ([A-Za-z]{3} [0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}) [A-Za-z]{2,5} ([0-9]{4})$', '\\1 \\2'), '%b %d %H:%M:%S %Y')
-  ) AS ts FROM ds
+    # what each layout keeps of the time: layouts 4 and 5 the day, 6 the minute, the others the second
+    return """dp AS (
+  SELECT event_id, CASE WHEN event_id % 8 IN (4, 5) THEN date_trunc('day', ts)
+    WHEN event_id % 8 = 6 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS ts FROM events
 )"""
 
 
@@ -296,9 +288,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT * FROM (SELECT doc_id, {clean_display(mojibake('text'))} AS clean_text FROM documents) "
         "WHERE regexp_matches(clean_text, '[ðâÃ�]')"
     )
-    em = clean_display("CASE WHEN doc_id % 5 = 0 THEN '@only_a_mention' ELSE raw_text END")
+    em = clean_display("raw_text")
     q["emotion_report"] = (
-        f"WITH d AS ({DECORATED}) SELECT count(*) AS rows_before, "
+        f"WITH r AS ({DECORATED}), d AS (SELECT doc_id, raw_text FROM r UNION ALL SELECT doc_id, '@only_a_mention' FROM r WHERE doc_id % 5 = 0) SELECT count(*) AS rows_before, "
         f"CAST(count(*) FILTER (WHERE trim({em}) <> '') AS BIGINT) AS rows_after, "
         f"CAST(count(*) FILTER (WHERE trim({em}) = '') AS BIGINT) AS removed FROM d"
     )
@@ -307,8 +299,9 @@ def oracle_sql() -> dict[str, str]:
         "count(*) AS rows FROM documents"
     )
     q["null_tokens"] = (
-        "SELECT doc_id, text FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN '' "
-        "ELSE text END AS text FROM documents) WHERE text IS NOT NULL AND text NOT IN ("
+        "SELECT doc_id, text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, "
+        "CASE doc_id % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' ELSE '' END FROM documents WHERE doc_id % 7 < 3) "
+        "WHERE text IS NOT NULL AND text NOT IN ("
         + ", ".join("'" + t + "'" for t in PANDAS_NA_TOKENS)
         + ")"
     )
