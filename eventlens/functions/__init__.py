@@ -9,7 +9,6 @@ from eventlens.functions.text import (
     exclamation_count,
     hashtag_count,
     question_count,
-    tokens,
     tweet_length,
     uppercase_word_count,
     word_count,
@@ -18,7 +17,7 @@ from eventlens.functions.timewin import global_window, parse_timestamp, time_win
 
 __all__ = [
     "clean_display", "clean_emotion", "clean_semantic", "emoji_count", "exclamation_count",
-    "hashtag_count", "question_count", "tokens", "tweet_length", "uppercase_word_count",
+    "hashtag_count", "question_count", "tweet_length", "uppercase_word_count",
     "word_count", "is_encoding_suspect", "repair_encoding", "to_mojibake", "global_window",
     "parse_timestamp", "time_window",
 ]

@@ -223,22 +223,6 @@ def has_min_length(clean, n: int = MIN_CLEAN_LENGTH) -> Column:
     return F.length(_c(clean)) > n
 
 
-def title_case(terms_joined) -> Column:
-    """Title Case of space-joined [a-z] terms."""
-    return F.initcap(_c(terms_joined))
-
-
-def tokens(clean, stop_words=ENGLISH_STOP_WORDS) -> Column:
-    """I24 as an array: words of two or more characters, stop words removed.
-
-    On clean_semantic output ([a-z] words, single spaces) this equals the
-    default count-vectorizer token pattern. For long tables prefer
-    ``explode_terms`` which filters after the explode with a hash set.
-    """
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(F.split(_c(clean), " "), lambda x: (F.length(x) >= 2) & ~F.array_contains(stop, x))
-
-
 def term_filter(term_col, stop_words=ENGLISH_STOP_WORDS) -> Column:
     """Predicate for an exploded term column (Catalyst turns the IN list into a hash set)."""
     t = _c(term_col)

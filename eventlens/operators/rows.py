@@ -180,11 +180,6 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str, margin: float = 1.2) ->
     return cand.orderBy(sample_key(key, seed), F.col(key)).limit(n)
 
 
-def stage_counts(**stages: Column) -> list[Column]:
-    """Named conditional counts for a one-pass stage report."""
-    return [F.count_if(cond).cast("long").alias(name) for name, cond in stages.items()]
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """H1: union by column name."""
     out = frames[0]

@@ -66,17 +66,6 @@ def hashed_tfidf(
     )
 
 
-def dense_vectors(long_table: DataFrame, id_col: str, dim: int, out: str = "embedding") -> DataFrame:
-    """Long (id, bucket, weight) -> (id, array<double> of width dim). Each group has <= dim entries."""
-    packed = long_table.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m")
-    )
-    return packed.select(
-        id_col,
-        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(out),
-    )
-
-
 def text_vectors(
     df: DataFrame, clean_col: str, dim: int = 256, stop_words=ENGLISH_STOP_WORDS, out: str = "embedding"
 ) -> DataFrame:
@@ -172,8 +161,3 @@ def knn_edges(cent: DataFrame, id_col: str, vec_col: str = "unit", k: int = 4, b
 
     w = Window.partitionBy("src").orderBy(F.desc("sim"), F.asc("dst"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def inner_product(a: Column, b: Column) -> Column:
-    """Fixed-order dot product of two arrays as a built-in expression."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

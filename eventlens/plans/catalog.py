@@ -8,6 +8,7 @@ DuckDB twins in ``eventlens.plans.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -400,6 +401,48 @@ def q_assign_events(spark, sf_dir):
     return cluster.assign_events(r, "reduced", 10, cluster.SEED).select("vec_id", "event_id")
 
 
+def q_reduce_dims_check(spark, sf_dir):
+    """J2 as a property: every vector has ten components, and their variances do not rise."""
+    r = q_reduce_dims(spark, sf_dir)
+    parts = [F.variance(F.col("reduced")[i]).alias(f"v{i}") for i in range(10)]
+    width = F.size("reduced")
+    stats = r.agg(F.count(F.lit(1)).alias("num_rows"), F.min(width).cast("long").alias("min_width"), F.max(width).cast("long").alias("max_width"), *parts)
+    falling = [F.col(f"v{i}") >= F.col(f"v{i + 1}") - 1e-12 for i in range(9)]
+    return stats.select("num_rows", "min_width", "max_width", reduce(lambda a, b: a & b, falling).alias("falling"))
+
+
+def q_assign_events_check(spark, sf_dir):
+    """J3 as a property: rows that are not with their nearest centre, and labels out of range."""
+    e = table(spark, sf_dir, "embeddings")
+    r = vectors.reduce_dims(e.select("vec_id", "embedding"), "embedding", 10)
+    labelled, centres = cluster.assign_events(r, "reduced", 10, cluster.SEED, with_centers=True)
+    dist = lambda c: F.aggregate(F.zip_with("reduced", F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    far = F.array(*[dist(c) for c in centres])
+    d = labelled.select("event_id", far.alias("far"))
+    wrong = F.col("far")[F.col("event_id").cast("int")] > F.array_min("far") + 1e-9
+    return d.agg(
+        F.count(F.lit(1)).alias("num_rows"),
+        F.count_if(wrong).cast("long").alias("not_nearest"),
+        F.count_if(~F.col("event_id").between(0, 9)).cast("long").alias("out_of_range"),
+    )
+
+
+def q_merge_then_enrich(spark, sf_dir):
+    """K2 into K3: the merged table with display text and emotion features."""
+    return pl.emotion_features(q_merge_datasets(spark, sf_dir), "raw_text")
+
+
+def q_export_events(spark, sf_dir):
+    """The fixed projection written and read back."""
+    d = table(spark, sf_dir, "documents").select(
+        F.col("text").alias("raw_text"), tx.clean_semantic("text").alias("clean_text"), tx.clean_emotion("text").alias("emotion_text"),
+        F.col("doc_id").alias("event_id"), F.col("source").alias("event_title"), F.lit("global").alias("time_window"), "lang", "n_chars",
+    )
+    out = shared_scratch(spark, "export")
+    pl.export_events(d, out)
+    return spark.read.parquet(out)
+
+
 def q_discover_events(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return pl.discover_events(d, "doc_id", pl.DiscoveryConfig())
@@ -496,6 +539,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette_exact": q_silhouette_exact,
     "reduce_dims": q_reduce_dims,
     "assign_events": q_assign_events,
+    "reduce_dims_check": q_reduce_dims_check,
+    "assign_events_check": q_assign_events_check,
+    "merge_then_enrich": q_merge_then_enrich,
+    "export_events": q_export_events,
     "discover_events": q_discover_events,
     "discover_sentiment": q_discover_sentiment,
     "csv_roundtrip": q_csv_roundtrip,

