@@ -271,7 +271,7 @@ def contaminated(
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for whole in batches:
-                for batch in small_batches(whole, "text"):
+                for batch in small_batches(whole, "text", 6 << 20):
                     rows = find_hits(items, strings(batch, "text"), threshold, stride)
                     if rows:
                         row, item, edits, first, end = (np.array(c, np.int64) for c in zip(*rows))
