@@ -1,23 +1,27 @@
 """Katz backoff scoring of texts with partitioned n-gram tables.
 
-Tokens are the words of a text (A-Z lower-cased) and one end. Three passes over the texts:
+Tokens are the words of a text (A-Z lower-cased) and one end. Four passes over the texts:
 
 1. the unigram table: (word hash, training count) of every word, written;
 2. the bigram table: (history, word) with training counts, written. Its symbols are the words
    of at least two training counts, the most frequent, at most ``vocabulary`` of them, the
    end, and one class for all other words, so that a symbol has a short number;
-3. scoring: a task packs the bigrams and the rare words of a slice of documents by bucket of
-   their key; each bucket meets its part of the two tables, evaluates every token there and
-   sends sums per document back to the slice.
+3. the pair table: (history, word) with training counts of every bigram with a word of the
+   class, under the words' own hashes, written; so every bigram of the texts is counted;
+4. scoring: a task packs the bigrams of a slice of documents by bucket: of symbols by their key,
+   of words of the class by the word, the history, or both; each bucket meets its part of
+   the tables, evaluates its share of every token and sends sums per document back to the slice.
 
 The model: P(w | h) = d(n) n / c(h) for a bigram seen n times, with Good-Turing discounts d for
-n <= 5, else alpha(h) P(w). alpha is exact: the mass that h's seen words leave, over the mass
-that they leave in P. P(w) of a symbol adds one to its count. A word of the class has P(class | h)
-times its own share of the class, a Good-Turing share again: words never seen get the
-freed mass. Probabilities of all words and one unknown word sum to 1 after any history.
+n <= 5, else alpha(h) times the next lower distribution. alpha is exact: the mass that h's seen words
+leave, over the mass that they leave below. Below the bigrams of symbols is P(w), which adds one
+to a symbol's count. The class is only backed off to: below the words of the class after a
+symbol are their shares of the class, Good-Turing shares again, where words never seen
+get the freed mass; below the words after a word h of the class is P(w | class), the class as history.
+Probabilities of all words and one unknown word sum to 1 after any history.
 
 Words are told apart by 64-bit hashes. What a task or the driver holds is bounded: the
-vocabulary and one number per history (``vocabulary`` rows), the ``head`` most frequent bigrams
+vocabulary and a few numbers per symbol (``vocabulary`` rows), the ``head`` most frequent bigrams
 (which tasks score by themselves, so that no bucket gets a hot key), a bucket, a slice. The
 tables and what is sent grow with the input.
 
@@ -48,6 +52,8 @@ SLICE_ROWS, SLICE_BYTES = 65536, 16 << 20
 RARE, END, START, FIRST = 0, 1, 2, 3  # symbols; words are numbered from FIRST
 BITS = 20  # of a symbol in a bigram's key
 GOOD_TURING = 5
+KINDS = 3  # of buckets
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = 7919  # a prime; (2**44 - 1) * SPREAD + 2**20 fits a long
 
 
@@ -103,6 +109,12 @@ class Model:
     log_alpha: np.ndarray | None = None
     head_keys: np.ndarray | None = None
     head_log: np.ndarray | None = None
+    to_rare: np.ndarray | None = None  # log10 P(class | symbol)
+    after_rare: np.ndarray | None = None  # log10 P(symbol | class)
+    pair_d: np.ndarray | None = None
+    pair_total: np.ndarray | None = None  # words of the class after a symbol, and the two factors as above
+    pair_scale: np.ndarray | None = None
+    pair_alpha: np.ndarray | None = None
 
     def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -125,22 +137,64 @@ class Model:
         own = np.log10(np.maximum(d * n, 1e-300) / np.maximum(self.history[h], 1)) + self.seen_scale[h]
         return np.where(n > 0, own, self.log_alpha[h] + self.log_p[w])
 
+    def pair(self, n: np.ndarray, total: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """log10 of the discounted share of pairs seen n times of their history's total."""
+        d = np.where(n <= GOOD_TURING, self.pair_d[np.minimum(n, GOOD_TURING)], 1.0)
+        return np.log10(np.maximum(d * n, 1e-300) / np.maximum(total, 1)) + scale
 
-def bigram_keys(model: Model, code: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key and text of every token, ends included."""
-    symbol = model.symbols_of(hashes)[code]
+    def after_any(self, h: np.ndarray, n: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """What a word of the class, seen ``word`` times, n of them after h, adds to log10 P(class | h): nothing after a seen word of the class."""
+        common = is_symbol(h)
+        at = np.where(common, h, 0)
+        seen = np.where(common, self.pair(n, self.pair_total[at], self.pair_scale[at]), 0.0)
+        return np.where(n > 0, seen, self.rare(word) + np.where(common, self.pair_alpha[at], 0.0))
+
+    def after_word(self, w: np.ndarray, n: np.ndarray, total: np.ndarray, kept: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 P(w | h) for a history of the class; but for the word's own share where w is of the class and not seen after h."""
+        scale, alpha = backoff(np.maximum(total, 1), np.where(total > 0, kept, 1.0), p)
+        lower = self.after_rare[np.where(is_symbol(w), w, RARE)]
+        return np.where(n > 0, self.pair(n, total, scale), np.where(total > 0, alpha, 0.0) + lower)
+
+
+def is_symbol(name):
+    """A word goes by its symbol, or by its hash if it is of the class; for columns too."""
+    return (name >= 0) & (name < 1 << BITS)
+
+
+def backoff(n: np.ndarray, kept: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 factors of a history's seen words and of the lower distribution; p: what the seen words have there."""
+    left, room = 1 - kept / n, 1 - p
+    full = room < 1e-12  # everything was seen: nothing to back off to
+    least = np.where(full, 0.0, np.maximum(left, 0.5 / (n + 1)))  # an exhausted history frees half a count
+    return np.log10((1 - least) / (1 - left)), np.where(full, 0.0, np.log10(np.maximum(least, 1e-300) / np.maximum(room, 1e-12)))
+
+
+def follow(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """History, word and text of every token, ends included."""
     ends = np.cumsum(counts + 1)
-    w = np.empty(len(code) + len(counts), np.int64)
+    w = np.empty(len(names) + len(counts), np.int64)
     text = np.repeat(np.arange(len(counts)), counts + 1)
     inner = np.ones(len(w), bool)
     inner[ends - 1] = False
-    w[inner], w[ends - 1] = symbol, END
+    w[inner], w[ends - 1] = names, END
     h = np.empty(len(w), np.int64)
     h[1:] = w[:-1]
     h[ends - counts - 1] = START
+    return h, w, text
+
+
+def bigram_keys(model: Model, code: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and text of every token, ends included."""
+    h, w, text = follow(model.symbols_of(hashes)[code], counts)
     return h << BITS | w, text
 
 
+def named_pairs(model: Model, code: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """History, word and text of every token; words of the class by their hashes."""
+    symbol = model.symbols_of(hashes)
+    return follow(np.where(symbol == RARE, hashes, symbol)[code], counts)
+
+
 def bigrams(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -153,31 +207,59 @@ def bigrams(model: Model):
     return run
 
 
+def pairs(model: Model):
+    """(h, w, n): bigrams of the training texts of a slice that have a word of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "text", SLICE_BYTES):
+                h, w, text = named_pairs(model, *tokens(batch))
+                train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+                use = train[text] & ~(is_symbol(h) & is_symbol(w))
+                h, w = h[use], w[use]
+                order = np.lexsort((w, h))
+                h, w = h[order], w[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+                first = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(h))))], names=["h", "w", "n"])
+
+    return run
+
+
 def bucket_of(key: np.ndarray, kind: int, buckets: int) -> np.ndarray:
-    """Bucket of keys: of bigrams (kind 0) even, of rare words (kind 1) odd numbers."""
+    """Bucket of keys: of bigrams of symbols (kind 0), of words of the class (kind 1), of histories of the class (kind 2)."""
     unsigned = np.ascontiguousarray(key).view(np.uint64)
     mixed = (unsigned >> np.uint64(BITS)) * np.uint64(SPREAD) + (unsigned & np.uint64((1 << BITS) - 1))
-    return (mixed % np.uint64(buckets)).astype(np.int64) * 2 + kind
+    return (mixed % np.uint64(buckets)).astype(np.int64) * KINDS + kind
 
 
 def bucket_column(key: str, kind: int, buckets: int):
     """The same in Spark."""
     mixed = F.expr(f"shiftrightunsigned({key}, {BITS}) * {SPREAD}L + ({key} & {(1 << BITS) - 1}L)")
-    return (mixed % F.lit(buckets)) * 2 + kind
+    return (mixed % F.lit(buckets)) * KINDS + kind
 
 
-def squeeze(key: np.ndarray, place: np.ndarray, times: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, compressed."""
-    planes = np.diff(key, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def squeeze(key: np.ndarray, other: np.ndarray, place: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane, and the rest, compressed."""
+    planes = b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(key, prepend=0), other))
     raw = planes + place.astype("<u2").tobytes() + times.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(key).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unsqueeze(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unsqueeze(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(body[:8], "little")
-    raw = np.frombuffer(pa.decompress(body[8:], 14 * n, codec="zstd", asbytes=True), np.uint8)
-    key = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<i8").ravel())
-    return key, raw[8 * n : 10 * n].view("<u2").astype(np.int64), np.ascontiguousarray(raw[10 * n :].reshape(4, n).T).view("<u4").ravel()
+    raw = np.frombuffer(pa.decompress(body[8:], 22 * n, codec="zstd", asbytes=True), np.uint8)
+    key, other = (np.ascontiguousarray(raw[a * n : (a + 8) * n].reshape(8, n).T).view("<i8").ravel() for a in (0, 8))
+    place, times = raw[16 * n : 18 * n].view("<u2").astype(np.int64), np.ascontiguousarray(raw[18 * n :].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(key), other, place, times
+
+
+def joined(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One hash of a word of the class and its neighbour, or itself (other = RARE)."""
+    mixed = (key.astype(np.int64).view(np.uint64) * MIX) ^ other.astype(np.int64).view(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 STREAM = "bucket long, slice long, body binary"
@@ -187,20 +269,21 @@ _STREAM = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("body", pa.
 def packed_tokens(shared):
     """mapInArrow function: a slice's documents (bucket -1 - slice), and per bucket the tokens that need a table."""
 
-    def parcels(key: np.ndarray, text: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-        order = np.lexsort((text, key))
+    def parcels(key: np.ndarray, other: np.ndarray | None, text: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+        order = np.lexsort((text, key) if other is None else (text, other, key))
+        other = np.zeros(len(key), np.int64) if other is None else other[order]
         key, text = key[order], text[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(key)))
-        key, text = key[first], text[first]
+        key, other, text = key[first], other[first], text[first]
         bucket = bucket_of(key, kind, buckets)
         order = np.argsort(bucket, kind="stable")
-        key, text, times, bucket = key[order], text[order], times[order], bucket[order]
+        key, other, text, times, bucket = key[order], other[order], text[order], times[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(key)]):
-            yield int(bucket[a]), squeeze(key[a:b], text[a:b], times[a:b])
+            yield int(bucket[a]), squeeze(key[a:b], other[a:b], text[a:b], times[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = shared.value, RowIds()
@@ -215,19 +298,23 @@ def packed_tokens(shared):
                     at = np.minimum(np.searchsorted(model.head_keys, key), max(0, len(model.head_keys) - 1))
                     head = model.head_keys[at] == key if len(model.head_keys) else np.zeros(len(key), bool)
                     score = np.bincount(text[head], weights=model.head_log[at[head]], minlength=n_docs)
-                    symbol = key & ((1 << BITS) - 1)
+                    history, symbol = key >> BITS, key & ((1 << BITS) - 1)
                     common = symbol != RARE
+                    late = ~common & (history != RARE)
+                    score = score + np.bincount(text[late], weights=model.to_rare[history[late]], minlength=n_docs)
+                    plain = common & (history != RARE) & ~head
                     base = np.bincount(text[common], weights=model.base(model.counts[symbol[common]]), minlength=n_docs)
                     known = np.bincount(text[common & (model.counts[symbol] > 0)], minlength=n_docs)
                     docs = pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(counts + 1), pa.array(score), pa.array(base), pa.array(known)],
                         names=["doc_id", "held_out", "n_tokens", "score", "base", "known"],
                     )
-                    rare = np.flatnonzero(model.symbols_of(hashes)[code] == RARE)
-                    owner = np.repeat(np.arange(n_docs), counts)
+                    h, w, _ = named_pairs(model, code, counts, hashes)
+                    after = history == RARE
                     rows = [(-1 - number, to_bytes(docs))]
-                    rows += parcels(key[~head], text[~head], 0, model.buckets)
-                    rows += parcels(hashes[code[rare]], owner[rare], 1, model.buckets)
+                    rows += parcels(key[plain], None, text[plain], 0, model.buckets)
+                    rows += parcels(w[~common], h[~common], text[~common], 1, model.buckets)
+                    rows += parcels(h[after], w[after], text[after], 2, model.buckets)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                         schema=_STREAM,
@@ -245,25 +332,33 @@ def evaluated(shared):
         bucket = sent["bucket"][0].as_py()
         if bucket < 0:
             return sent.select(["bucket", "slice", "body"]).cast(_STREAM)
-        model = shared.value
-        keys, n = tables["key"].to_numpy(), tables["n"].to_numpy()
+        model, kind = shared.value, bucket % KINDS
+        keys = joined(tables["key"].to_numpy(), tables["other"].to_numpy())
         order = np.argsort(keys)
-        keys, n = keys[order], n[order]
+        keys, (n, kept, p) = keys[order], (tables[c].to_numpy()[order] for c in ("n", "kept", "p"))
+
+        def found(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            wanted = joined(key, other)
+            if not len(keys):
+                return np.zeros(len(wanted), np.int64), np.zeros(len(wanted)), np.zeros(len(wanted))
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            here = keys[at] == wanted
+            return np.where(here, n[at], 0), np.where(here, kept[at], 0.0), np.where(here, p[at], 0.0)
+
         slices, bodies = [], []
         for number, body in zip(sent["slice"].to_pylist(), sent["body"].to_pylist()):
-            key, place, times = unsqueeze(body)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                count = np.where(keys[at] == key, n[at], 0)
-            else:
-                count = np.zeros(len(key), np.int64)
+            key, other, place, times = unsqueeze(body)
+            count = found(key, other)[0]
             docs, at = np.unique(place, return_inverse=True)
             total = lambda x: np.bincount(at, weights=x * times, minlength=len(docs))
             zero = np.zeros(len(docs))
-            if bucket % 2:
-                score, base, known = total(model.rare(count)), total(model.base(count)), total((count > 0).astype(float))
-            else:
+            if kind == 0:
                 score, base, known = total(model.seen(key, count)), zero, zero
+            elif kind == 1:
+                word = found(key, np.full(len(key), RARE))[0]
+                score, base, known = total(model.after_any(other, count, word)), total(model.base(word)), total((word > 0).astype(float))
+            else:
+                score, base, known = total(model.after_word(other, count, *found(key, np.full(len(key), RARE)))), zero, zero
             part = pa.RecordBatch.from_arrays(
                 [pa.array(docs.astype(np.uint16)), pa.array(score), pa.array(base), pa.array(known.astype(np.int64))], names=["place", "score", "base", "known"]
             )
@@ -359,16 +454,46 @@ def fit_bigrams(model: Model, bigram: DataFrame, head: int) -> None:
     model.seen_scale, model.log_alpha = np.zeros(k), np.zeros(k)
     h, n = sums["h"].to_numpy(np.int64), sums["n"].to_numpy(np.float64)
     model.history[h] = n.astype(np.int64)
-    left, room = 1 - sums["kept"].to_numpy() / n, 1 - sums["p"].to_numpy()
-    full = room < 1e-12  # every symbol was seen: nothing to back off to
-    least = np.where(full, 0.0, np.maximum(left, 0.5 / (n + 1)))  # an exhausted history frees half a count
-    model.seen_scale[h] = np.log10((1 - least) / (1 - left))
-    model.log_alpha[h] = np.where(full, 0.0, np.log10(np.maximum(least, 1e-300) / np.maximum(room, 1e-12)))
-    top = frequent(bigram, head).sort_values("key")
+    model.seen_scale[h], model.log_alpha[h] = backoff(n, sums["kept"].to_numpy(), sums["p"].to_numpy())
+    history, symbol = F.shiftright("key", BITS), F.expr(f"key & {(1 << BITS) - 1}L")
+    edge = bigram.where((history == RARE) | (symbol == RARE)).toPandas()  # at most two rows a symbol
+    key, n, every = edge["key"].to_numpy(np.int64), edge["n"].to_numpy(np.int64), np.arange(k)
+    to, after = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    first, second = key >> BITS, key & ((1 << BITS) - 1)
+    to[first[second == RARE]], after[second[first == RARE]] = n[second == RARE], n[first == RARE]
+    model.to_rare, model.after_rare = model.seen(every << BITS | RARE, to), model.seen(RARE << BITS | every, after)
+    top = frequent(bigram.where((history != RARE) & (symbol != RARE)), head).sort_values("key")
     model.head_keys = top["key"].to_numpy(np.int64)
     model.head_log = model.seen(model.head_keys, top["n"].to_numpy(np.int64))
 
 
+def fit_pairs(model: Model, pair: DataFrame, unigram: DataFrame) -> DataFrame:
+    """Discounts and backoff sums of the pairs with words of the class. (h, n, kept, p) of every history; those of symbols come back."""
+    import pandas as pd
+
+    spark = pair.sparkSession
+    model.pair_d = discounts({r["n"]: r["count"] for r in pair.where(F.col("n") <= GOOD_TURING + 1).groupBy("n").count().collect()})
+
+    def kept(n: str, factors: np.ndarray):
+        d = F.element_at(F.array(*[F.lit(float(x)) for x in factors[1:]]), F.least(n, F.lit(GOOD_TURING)).cast("int"))
+        return F.when(F.col(n) <= GOOD_TURING, d).otherwise(F.lit(1.0)) * F.col(n)
+
+    after = 10**model.after_rare
+    small = F.broadcast(spark.createDataFrame(pd.DataFrame({"w": np.arange(len(after)), "p": after})))  # at most ``vocabulary`` rows
+    share = kept("m", model.rare_d) / max(model.rare_total, 1)
+    rare = pair.where(~is_symbol(F.col("w"))).join(unigram.select(F.col("key").alias("w"), F.col("n").alias("m")), "w")
+    rare = rare.withColumn("p", share * F.when(is_symbol(F.col("h")), 1.0).otherwise(float(after[RARE]))).drop("m")
+    both = pair.where(is_symbol(F.col("w"))).join(small, "w").unionByName(rare)
+    sums = both.groupBy("h").agg(F.sum("n").alias("n"), F.sum(kept("n", model.pair_d)).alias("kept"), F.sum("p").alias("p"))
+    sums = materialize(sums, "katz-histories")
+    own = sums.where(is_symbol(F.col("h"))).toPandas()  # at most ``vocabulary`` rows
+    h, n = own["h"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
+    model.pair_total, model.pair_scale, model.pair_alpha = np.zeros(len(after), np.int64), np.zeros(len(after)), np.zeros(len(after))
+    model.pair_total[h] = n
+    model.pair_scale[h], model.pair_alpha[h] = backoff(n, own["kept"].to_numpy(np.float64), own["p"].to_numpy(np.float64))
+    return sums.where(~is_symbol(F.col("h")))
+
+
 def katz_scores(
     docs: DataFrame,
     folds: int = 7,
@@ -389,14 +514,29 @@ def katz_scores(
     model = fit_unigrams(unigram, ends, min(vocabulary, (1 << BITS) - FIRST))
     bigram = materialize(counted(bigrams(model)), "katz-bigrams")
     fit_bigrams(model, bigram, head)
+    pair = materialize(source.mapInArrow(pairs(model), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")), "katz-pairs")
+    histories = fit_pairs(model, pair, unigram)
     model.buckets = max(1, -(-model.total // bucket_tokens))
     shared = spark.sparkContext.broadcast(model)
 
     sent = source.mapInArrow(packed_tokens(shared), STREAM)
+
+    def part(df: DataFrame, kind: int, key: str, other=None) -> DataFrame:
+        """Rows of the tables of a kind of bucket: the key, its neighbour, the count, and a history's sums."""
+        other = F.lit(RARE).cast("long") if other is None else F.col(other)
+        sums = [F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in ("kept", "p")]
+        return df.select(bucket_column(key, kind, model.buckets).alias("bucket"), F.col(key).alias("key"), other.alias("other"), "n", *sums)
+
+    symbols = bigram.where((F.shiftright("key", BITS) != RARE) & (F.expr(f"key & {(1 << BITS) - 1}L") != RARE))
     rare = unigram.join(_vocabulary(spark, model), "key", "left_anti")
-    tables = bigram.select(bucket_column("key", 0, model.buckets).alias("bucket"), "key", "n").unionByName(
-        rare.select(bucket_column("key", 1, model.buckets).alias("bucket"), "key", "n")
-    )
+    tables = part(symbols, 0, "key")
+    for more in (
+        part(rare, 1, "key"),
+        part(pair.where(~is_symbol(F.col("w"))), 1, "w", "h"),
+        part(histories, 2, "h"),
+        part(pair.where(~is_symbol(F.col("h"))), 2, "h", "w"),
+    ):
+        tables = tables.unionByName(more)
     sums = sent.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(evaluated(shared), STREAM)
     return (
         sums.groupBy("slice")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens.llm import katz, quality, toxicity
 
@@ -76,6 +77,62 @@ def test_katz_is_normalised(spark, docs):
     assert abs((10 ** model.rare(np.array(rare))).sum() + 10 ** model.rare_unknown - 1) < 1e-9
 
 
+def test_katz_counts_bigrams_of_words_outside_the_vocabulary(spark):
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = [(i, "the of the of the of " + ("qa qb" if k % 2 else "qc qd") + " the") for k, i in enumerate(train)]
+    docs = spark.createDataFrame([*texts, (held[0], "qa qb"), (held[1], "qa qd")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in katz.katz_scores(docs, vocabulary=2).collect()}
+    assert score[held[0]] > score[held[1]] + 1
+
+
+@pytest.mark.parametrize("vocabulary", [0, 12])
+def test_katz_against_a_slow_model(spark, docs, vocabulary):
+    """Every bigram counts, in or outside the vocabulary; after any history the probabilities sum to one."""
+    import xxhash
+
+    texts = {r["doc_id"]: lowered(r["text"]) for r in docs.collect()}
+    train = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in train for w in t)
+    unigram = spark.createDataFrame([(xxhash.xxh3_64_intdigest(w) - (xxhash.xxh3_64_intdigest(w) >> 63 << 64), n) for w, n in count.items()], "key long, n long")
+    model = katz.fit_unigrams(unigram, len(train), vocabulary)
+    source = docs.where(~F.col("doc_id").isin([i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2])).select("text", F.lit(False).alias("held_out"))
+    katz.fit_bigrams(model, source.mapInArrow(katz.bigrams(model), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), 5)
+    symbol = {w: int(model.symbols_of(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64))[0]) for t in texts.values() for w in t}
+    symbol |= {None: katz.END, "": katz.START, "unknown": katz.RARE}
+    bigram, classes = Counter(), Counter()
+    for t in train:
+        for h, w in zip(["", *t], [*t, None]):
+            bigram[h, w] += 1
+            classes[symbol[h], symbol[w]] += 1
+    outside = {k: n for k, n in bigram.items() if katz.RARE in (symbol[k[0]], symbol[k[1]])}
+    d = katz.discounts(Counter(outside.values()))
+    kept = lambda n: n * (d[n] if n <= katz.GOOD_TURING else 1)
+    share = lambda w: float(10 ** model.rare(np.array([count[w]]))[0])
+    of_class = lambda h, w: float(10 ** model.seen(np.array([h << katz.BITS | w]), np.array([classes[h, w]]))[0])
+
+    def p(h, w):
+        if katz.RARE not in (symbol[h], symbol[w]):
+            return of_class(symbol[h], symbol[w])
+        rare = symbol[h] == katz.RARE
+        lower = (lambda v: of_class(katz.RARE, symbol[v]) * (share(v) if symbol[v] == katz.RARE else 1)) if rare else share
+        own = {v: n for (g, v), n in outside.items() if g == h}
+        total, here = sum(own.values()), 1 if rare else of_class(symbol[h], katz.RARE)
+        if not own:
+            return here * lower(w)
+        left = 1 - sum(map(kept, own.values())) / total
+        least = max(left, 0.5 / (total + 1))
+        if w in own:
+            return here * kept(own[w]) / total * (1 - least) / (1 - left)
+        return here * least / (1 - sum(map(lower, own))) * lower(w)
+
+    for h in ["", "ba", "x", "nbsp", "unseen", *list(count)[:6]]:
+        assert abs(sum(p(h, w) for w in [*count, None, "unknown"]) - 1) < 1e-9, h
+    for r in katz.katz_scores(docs, vocabulary=vocabulary, head=5, bucket_tokens=500).collect():
+        t = texts[r["doc_id"]]
+        assert abs(r["score"] - sum(math.log10(p(h, w)) for h, w in zip(["", *t], [*t, None]))) < 1e-5 * (len(t) + 1)
+
+
 def test_katz_without_training_rows(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     docs = spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")
