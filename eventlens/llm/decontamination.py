@@ -1,4 +1,4 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH, exact segments and edit verification.
 
 Texts are sequences of words (lower case, punctuation at the ends taken off). The CGK embedding
 walks along a sequence: step j writes the word under it and moves on if the j-th random bit of
@@ -6,7 +6,7 @@ that word says so. Two sequences at a small edit distance meet again after an ed
 write the same, so edit distance becomes Hamming distance. A repetition is one such walk, with
 random bits of its own, of which a few steps are sampled as the hash key.
 
-Items are walked from every word of theirs, documents from every ``stride``-th word; a shared
+Items of SHORT words or more are walked from every word of theirs, documents from every ``stride``-th word; a shared
 key makes the document's window of the item's size, around the place where the item would lie, a
 candidate. With the edits of an item spread at the allowed share, a window of WALK steps is
 met whole by a repetition with probability about 0.8 ** (WALK / 2 + 1) = 0.26; an item of n words
@@ -14,6 +14,10 @@ has about n / stride - 2 windows, each tried by REPEATS walks. (tests measure th
 Keys that come from fewer than PLACES different words are left out: other repetitions of the
 window, and its neighbours, stand in.
 
+A shorter item has too few such windows. It is cut into one segment more than it may have edits, so
+that one of them lies in the document unchanged: the segments are looked up from every word of the
+document, and no occurrence is missed.
+
 Candidates pass a lossless count (at distance d at least n - d words must be shared) and then an
 exact check: the least word edit distance of the item to any part of the window, by Myers' bit
 vectors. A document is contaminated by an item of n words at (1 - threshold) * n edits or fewer.
@@ -44,6 +48,8 @@ from eventlens.llm.common import columns, ragged, small_batches, strings, words
 
 WALK, SAMPLED, PLACES = 10, (1, 3, 5, 7, 9), 4  # steps of a walk, those that make a key, and different words that it must have seen
 REPEATS, STRIDE = 5, 3
+SHORT = 25  # items of fewer words are found by segments
+PAIRS = 1 << 20  # candidates that are tested at a time
 THRESHOLD, MIN_WORDS = 0.8, 5
 BLOCK_BYTES = 16 << 20  # benchmark text in a block
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,14 +95,39 @@ def walk_keys(seq: np.ndarray, at: np.ndarray, repeat: int) -> tuple[np.ndarray,
     return key, moved >= PLACES - 1
 
 
+def segments(size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first word, words) of the segments of items of ``size`` words: one more than the allowed edits."""
+    n = np.minimum(allowed(size, threshold) + 1, size)
+    item = np.repeat(np.arange(len(size)), n)
+    number = ragged(np.zeros(len(size), np.int64), n)
+    first, end = (number * size[item]) // n[item], ((number + 1) * size[item]) // n[item]
+    return item, first, end - first
+
+
+def longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of segments with one word more."""
+    key = (key ^ word) * MIX
+    return key ^ key >> np.uint64(29)
+
+
+def index(key: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, with item and place of each, and which upper 20 bits occur."""
+    order = np.argsort(key, kind="stable")
+    heads = np.zeros(1 << 20, bool)
+    heads[(key[order] >> np.uint64(44)).astype(np.int64)] = True
+    return key[order], item[order], place[order], heads
+
+
 @dataclass
 class Items:
-    """A block of benchmark items and the keys of their walks."""
+    """A block of benchmark items, the keys of the walks of long ones and of the segments of short ones."""
 
     ids: np.ndarray
     seqs: list[np.ndarray]
     #: per repetition: sorted keys, with item and place of each; and which upper 20 bits occur.
     keys: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: the same per number of words in a segment
+    segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     #: sorted (item * distinct words + word) for the count, and the distinct words.
     vocabulary: np.ndarray
     members: np.ndarray
@@ -114,46 +145,73 @@ def build_items(ids: list[int], texts: list[str], threshold: float, min_words: i
     size = np.array([len(s) for s in seqs])
     flat, starts = padded(np.concatenate(seqs), size)
     at, item = ragged(starts, size), np.repeat(np.arange(len(seqs)), size)
-    keys = []
-    for r in range(REPEATS):
-        key, ok = walk_keys(flat, at, r)
-        order = np.flatnonzero(ok)
-        order = order[np.argsort(key[order], kind="stable")]
-        heads = np.zeros(1 << 20, bool)
-        heads[(key[order] >> np.uint64(44)).astype(np.int64)] = True
-        keys.append((key[order], item[order], (at - np.repeat(starts, size))[order], heads))
+    keys, parts = [], {}
+    long = size[item] >= SHORT
+    for r in range(REPEATS if long.any() else 0):
+        key, ok = walk_keys(flat, at[long], r)
+        keys.append(index(key[ok], item[long][ok], (at - np.repeat(starts, size))[long][ok]))
+    short = np.flatnonzero(size < SHORT)
+    owner, first, length = segments(size[short], threshold)
+    owner = short[owner]
+    key = np.zeros(len(owner), np.uint64)
+    for n in range(1, int(length.max(initial=0)) + 1):
+        reach = length >= n
+        key[reach] = longer(key[reach], flat[starts[owner[reach]] + first[reach] + n - 1])
+        if (length == n).any():
+            parts[n] = index(key[length == n], owner[length == n], first[length == n])
     vocabulary = np.unique(np.concatenate(seqs))
     members = np.unique(item * len(vocabulary) + np.searchsorted(vocabulary, np.concatenate(seqs)))
     least = size - allowed(size, threshold)
-    return Items(ids_, seqs, keys, vocabulary, members, least)
+    return Items(ids_, seqs, keys, parts, vocabulary, members, least)
 
 
 def allowed(n, threshold: float):
     return np.floor((1 - threshold) * np.asarray(n) + 1e-9).astype(np.int64)
 
 
-def candidates(items: Items, seq: np.ndarray, starts: np.ndarray, counts: np.ndarray, stride: int) -> np.ndarray:
-    """(document, item, first word of the item) rows, distinct up to a few words' shift."""
+def matches(table: tuple, key: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> Iterator[np.ndarray]:
+    """(document, item, first word of the item) rows of equal keys, distinct up to a few words' shift, about PAIRS at a time."""
+    keys, item, place, heads = table
+    hit = np.flatnonzero(heads[(key >> np.uint64(44)).astype(np.int64)])
+    low = np.searchsorted(keys, key[hit], "left")
+    n = np.searchsorted(keys, key[hit], "right") - low
+    hit, low, n = hit[n > 0], low[n > 0], n[n > 0]
+    part = np.cumsum(n) // PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(hit)]
+    for a, b in zip(cuts, cuts[1:]):
+        which = np.repeat(hit[a:b], n[a:b])
+        found = ragged(low[a:b], n[a:b])
+        first = offset[which] - place[found]
+        yield distinct(np.stack([doc[which], item[found], (first + 4) // 8], axis=1))
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new]
+
+
+def candidates(items: Items, seq: np.ndarray, starts: np.ndarray, counts: np.ndarray, stride: int) -> Iterator[np.ndarray]:
+    """(document, item, first word of the item) rows by walks and by segments, in parts of bounded size."""
     per = -(-counts // stride)
     doc = np.repeat(np.arange(len(counts)), per)
     offset = ragged(np.zeros(len(counts), np.int64), per) * stride
     at = starts[doc] + offset
-    out = []
-    for r, (keys, item, place, heads) in enumerate(items.keys):
+    for r, table in enumerate(items.keys):
         key, ok = walk_keys(seq, at, r)
-        hit = np.flatnonzero(ok & heads[(key >> np.uint64(44)).astype(np.int64)])
-        low, high = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-        n = high - low
-        which = np.repeat(hit, n)
-        found = ragged(low, n)
-        first = offset[which] - place[found]
-        out.append(np.stack([doc[which], item[found], (first + 4) // 8], axis=1))
-    rows = np.concatenate(out)
-    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    return rows[new]
+        yield from matches(table, key[ok], doc[ok], offset[ok])
+    if not items.segments:
+        return
+    doc = np.repeat(np.arange(len(counts)), counts)
+    offset = ragged(np.zeros(len(counts), np.int64), counts)
+    key = np.zeros(len(doc), np.uint64)
+    for n in range(1, max(items.segments) + 1):
+        inside = offset + n <= counts[doc]
+        doc, offset, key = doc[inside], offset[inside], key[inside]
+        key = longer(key, seq[starts[doc] + offset + n - 1])
+        if n in items.segments:
+            yield from matches(items.segments[n], key, doc, offset)
 
 
 def least_distance(pattern: list[int], text: list[int], most: int) -> tuple[int, int] | None:
@@ -193,11 +251,18 @@ def find_hits(items: Items, texts: pa.Array, threshold: float, stride: int) -> l
     """(row, item, edits, first word, end word) of every contaminated pair."""
     h, counts = word_hashes(texts)
     seq, starts = padded(h, counts)
-    found = candidates(items, seq, starts, counts, stride)
-    if not len(found):
-        return []
+    sizes = np.array([len(s) for s in items.seqs])
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    done: set[tuple[int, int, int]] = set()
+    for found in candidates(items, seq, starts, counts, stride):
+        verify(items, seq, starts, counts, sizes, found, best, done)
+    return [(d, i, *row) for (d, i), row in best.items()]
+
+
+def verify(items: Items, seq: np.ndarray, starts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, found: np.ndarray, best: dict, done: set) -> None:
+    """Put the contaminated pairs of ``found`` into ``best``; ``done`` has the candidates that were verified."""
     doc, item, first = found[:, 0], found[:, 1], found[:, 2] * 8 - 4
-    size = np.array([len(s) for s in items.seqs])[item]
+    size = sizes[item]
     slack = size - items.least[item]
     low = np.clip(first - slack, 0, counts[doc])
     high = np.clip(first + 8 + size + slack, 0, counts[doc])
@@ -214,9 +279,11 @@ def find_hits(items: Items, texts: pa.Array, threshold: float, stride: int) -> l
         at = np.minimum(np.searchsorted(items.members, pair), len(items.members) - 1)
         shared = np.bincount(owner[known & (items.members[at] == pair)], minlength=len(n))
         keep[part] = shared >= items.least[item[part]]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k in np.flatnonzero(keep):
         d, i = int(doc[k]), int(item[k])
+        if (d, i, int(first[k])) in done:
+            continue
+        done.add((d, i, int(first[k])))
         window = seq[starts[d] + low[k] : starts[d] + high[k]].tolist()
         pattern = items.seqs[i].tolist()
         hit = least_distance(pattern, window, int(slack[k]))
@@ -227,7 +294,6 @@ def find_hits(items: Items, texts: pa.Array, threshold: float, stride: int) -> l
             row = (edits, int(low[k]) + start, int(low[k]) + end)
             if row < best.get((d, i), (1 << 60, 0, 0)):
                 best[d, i] = row
-    return [(d, i, *row) for (d, i), row in best.items()]
 
 
 def benchmark_blocks(benchmark: DataFrame, threshold: float, min_words: int, block_bytes: int) -> Iterator[Items]:

@@ -149,6 +149,23 @@ def test_recall_and_precision():
     assert len(truth & set(hits)) / len(truth) >= 0.97
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 12, 15, 19, 20, 24, 25, 30])
+def test_recall_by_length(n):
+    """Items at no and at all allowed edits, anywhere in a longer text; short ones are all found."""
+    items = [[rng.choice(VOCABULARY) for _ in range(n)] for _ in range(40)]
+    block = decontamination.build_items(list(range(40)), [" ".join(w) for w in items], 0.8, 5)
+    docs = []
+    for k in range(200):
+        filler = [rng.choice(VOCABULARY) for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(filler))
+        docs.append(filler[:at] + edited(items[k % 40], n // 5 if k % 2 else 0) + filler[at:])
+    hits = {(r[0], r[1]): r[2] for r in decontamination.find_hits(block, pa.array([" ".join(d) for d in docs], pa.large_string()), 0.8, 3)}
+    truth = {(k, k % 40): slow_distance(items[k % 40], d) for k, d in enumerate(docs)}
+    assert all(hits[k] == truth[k] for k in set(hits) & set(truth))
+    found = len(set(hits) & set(truth)) / len(truth)
+    assert found == 1 if n < decontamination.SHORT else found >= 0.97
+
+
 def test_contaminated_rows(spark):
     item = "The quick, brown fox jumps over the lazy dog and then it sleeps all day."
     bench = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, None, 0), (4, "", 0), (5, "the dog", 0)], "item_id long, text string, doc_id int")
