@@ -5,8 +5,8 @@ one, and so on). Every text node lies on a root-to-leaf tag path. Per path, text
 punctuation are added up and divided by the path's number of nodes: long, punctuated prose on
 a few paths stands out from the many short nodes of menus. The two ratios are fused into one
 score, smoothed along the page with a Gaussian, and nodes above a share of the scores' spread
-are the *content nodes*. The content region is the deepest element that holds most of
-their text. All blocks of the region are kept, in page order, but for subtrees that are
+are the *content nodes*. The content region is the deepest element that holds all of
+them. All blocks of the region are kept, in page order, but for subtrees that are
 boilerplate by their tag, role, class or id, and for untyped blocks whose path scores low.
 
 Defined cases: null or empty html, or a page without text, gives an empty text; an unclosed
@@ -177,8 +177,8 @@ def node_scores(nodes: np.ndarray, reach: int = 2) -> np.ndarray:
     return np.minimum(score, smooth / weight) if len(score) > 1 else score
 
 
-def main_text(source: str, share: float = 0.8, spread: float = 0.5) -> str:
-    """The page's main text. share: of the content nodes' text that the region holds; spread: threshold in standard deviations."""
+def main_text(source: str, spread: float = 0.5) -> str:
+    """The page's main text. spread: threshold in standard deviations."""
     page = Page(source)
     if not page.nodes:
         return ""
@@ -189,13 +189,13 @@ def main_text(source: str, share: float = 0.8, spread: float = 0.5) -> str:
         return ""
     threshold = min(spread * float(score.std()), 0.5 * float(score[free].max()))
     content = free & (score >= threshold)
-    # the deepest element that holds most of the content nodes' text
+    # the deepest element that holds all content nodes
     parents = np.array(page.parents)
-    holds = np.bincount(np.array([b[0] for b in page.blocks])[nodes[content, 3]], weights=nodes[content, 1], minlength=len(parents))
+    holds = np.bincount(np.array([b[0] for b in page.blocks])[nodes[content, 3]], minlength=len(parents))
     for e in range(len(parents) - 1, 0, -1):
         holds[parents[e]] += holds[e]
-    # a later element never holds an earlier one; several that hold most of it lie in one line
-    region = int(np.flatnonzero(holds >= share * holds[0])[-1])
+    # a later element never holds an earlier one; several that hold all lie in one line
+    region = int(np.flatnonzero(holds == holds[0])[-1])
     while page.tags[region] in TYPED and region:  # one long paragraph: its surroundings belong to it
         region = int(parents[region])
     inside = np.zeros(len(parents), bool)

@@ -111,6 +111,19 @@ def test_main_text():
     ]
 
 
+PROSE = "This is a long sentence, with commas, which goes on for a while. "
+
+
+@pytest.mark.parametrize("tag", ["section", "div", "ul", "table"])
+def test_main_text_beside_the_largest_part(tag):
+    """What is selected beside one element with most of the text stays."""
+    cell = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(tag, "<p>{}</p>")
+    parts = [f"{i} " + PROSE * 3 for i in range(12)]
+    intro, other = "Intro. " + PROSE * 3, "Other. " + PROSE * 3
+    page = f"<body><nav>menu</nav><article><h1>Head</h1><p>{intro}</p><{tag}>{''.join(cell.format(x) for x in parts)}</{tag}><section><p>{other}</p></section></article></body>"
+    assert html_text.main_text(page).split("\n") == [x.strip() for x in ("Head", intro, *parts, other)]
+
+
 def test_main_text_of_broken_pages():
     for page in ("", "<p", "<script>x", "<!-- x", "<nav>menu</nav>", "<p></p>", "</div></p>", "<a b='>"):
         assert html_text.main_text(page) == ""
