@@ -8,6 +8,9 @@ score, smoothed along the page with a Gaussian, and nodes above a share of the s
 are the *content nodes*. The content region is the deepest element that holds all of
 them. All blocks of the region are kept, in page order, but for subtrees that are
 boilerplate by their tag, role, class or id, and for untyped blocks whose path scores low.
+A class or id, a form, header, fieldset or aside is only a hint: it does not count on a subtree with
+more than half of the page's high-scoring text (a wrapper; four fifths if it names
+comments), nor if nothing would be left.
 
 Defined cases: null or empty html, or a page without text, gives an empty text; an unclosed
 tag at the end is markup; markup in scripts, styles and comments is never read as tags;
@@ -36,6 +39,7 @@ BLOCK = frozenset(
 )
 TYPED = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption summary".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button label fieldset".split()) | RAW
+HINTED = frozenset("form header fieldset aside".split())  # of these: hints
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay"
@@ -44,6 +48,11 @@ HINT = re.compile(
     r"|copyright|legal|disclaimer|tags|tagcloud|toc)(?:$|[\s_-]|\d)",
     re.I,
 )
+HINTED_ROLES = frozenset("banner complementary form".split())
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|disqus|feedback)(?:$|[\s_-]|\d)", re.I)
+#: Marks of an element, and the share of the high-scoring text above which one is overruled.
+FIXED, HINT_OF_COMMENTS, HINT_OF_NAME = 3, 2, 1
+OVERRULED = {FIXED: 1.0, HINT_OF_COMMENTS: 0.8, HINT_OF_NAME: 0.5}
 #: Opening one of these ends the nearest open one of the others, unless a container lies between.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -56,25 +65,30 @@ ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
+def mark(tag: str, attributes: str) -> int:
+    """The element's strongest mark as boilerplate, or 0."""
+    if tag in BOILERPLATE and tag not in HINTED:
+        return FIXED
+    found = HINT_OF_NAME if tag in HINTED else 0
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return found
     for name, *values in ATTR.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
-        if name in ("class", "id") and HINT.search(value) or name == "role" and value.lower() in ROLES:
-            return True
+        if name in ("class", "id") and HINT.search(value):
+            found = max(found, HINT_OF_COMMENTS if COMMENTS.search(value) else HINT_OF_NAME)
+        if name == "role" and value.lower() in ROLES:
+            found = max(found, HINT_OF_NAME if value.lower() in HINTED_ROLES else FIXED)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return FIXED
+    return found
 
 
 class Page:
     """Text nodes and blocks of one page.
 
-    nodes: (path, text length, punctuation, block); blocks: [element, texts, boilerplate, tag];
-    elements: parent of each element, in page order, so that a parent comes before its children.
+    nodes: (path, text length, punctuation, block); blocks: [element, texts, innermost marked element
+    or 0, tag, whether it goes on from the block before]; marks: mark of each marked element, and the marked
+    element around it or 0; elements: parent of each element, in page order, so that a parent comes before its children.
     """
 
     def __init__(self, source: str) -> None:
@@ -83,8 +97,9 @@ class Page:
         self.blocks: list[list] = []
         self.parents: list[int] = [-1]
         self.tags: list[str] = [""]
-        # open elements: (tag, element, path, boilerplate, innermost block element)
-        self.open: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+        self.marks: dict[int, tuple[int, int]] = {}
+        # open elements: (tag, element, path, innermost marked element, innermost block element)
+        self.open: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
         self.fresh = True  # the next text starts a block
         self._read(source)
 
@@ -122,14 +137,16 @@ class Page:
             self._end_open({"p"}, HOLDS - {"blockquote"} | {"td", "th", "li"})
         if tag in ENDS:
             self._end_open(ENDS[tag], HOLDS)
-        _, parent, path, boilerplate, block = self.open[-1]
+        _, parent, path, marked, block = self.open[-1]
         self.parents.append(parent)
         self.tags.append(tag)
         element = len(self.parents) - 1
         path = self.paths.setdefault((path, tag), len(self.paths) + 1)
-        boilerplate = boilerplate or is_boilerplate(tag, attributes)
+        if kind := mark(tag, attributes):
+            self.marks[element] = kind, marked
+            marked = element
         if not attributes.endswith("/") or tag in BLOCK:
-            self.open.append((tag, element, path, boilerplate, element if tag in BLOCK else block))
+            self.open.append((tag, element, path, marked, element if tag in BLOCK else block))
 
     def _end_open(self, tags: set[str], walls: frozenset[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -156,9 +173,10 @@ class Page:
             if text and not self.fresh and self.blocks:
                 self.blocks[-1][1].append(" ")
             return
-        _, _, path, boilerplate, block = self.open[-1]
-        if self.fresh or not self.blocks or self.blocks[-1][0] != block or self.blocks[-1][2] != boilerplate:
-            self.blocks.append([block, [], boilerplate, self.tags[block]])
+        _, _, path, marked, block = self.open[-1]
+        new = self.fresh or not self.blocks or self.blocks[-1][0] != block
+        if new or self.blocks[-1][2] != marked:
+            self.blocks.append([block, [], marked, self.tags[block], not new])
             self.fresh = False
         self.blocks[-1][1].append(text)
         self.nodes.append((path, len(plain), len(PUNCTUATION.findall(plain)), len(self.blocks) - 1))
@@ -184,10 +202,25 @@ def main_text(source: str, spread: float = 0.5) -> str:
         return ""
     nodes = np.array(page.nodes, np.int64)
     score = node_scores(nodes)
-    free = ~np.array([b[2] for b in page.blocks], bool)[nodes[:, 3]]
-    if not free.any():
+    cut = lambda free: min(spread * float(score.std()), 0.5 * float(score[free].max()))
+    owner = np.array([b[2] for b in page.blocks])[nodes[:, 3]]
+    fixed, gone = np.zeros(len(page.parents), bool), np.zeros(len(page.parents), bool)
+    for e, (kind, outer) in page.marks.items():
+        fixed[e] = fixed[outer] or kind == FIXED
+    loose = ~fixed[owner]
+    if not loose.any():
         return ""
-    threshold = min(spread * float(score.std()), 0.5 * float(score[free].max()))
+    high = loose & (score >= cut(loose))
+    held = np.bincount(owner[high], weights=nodes[high, 1], minlength=len(fixed))
+    total = held.sum()
+    for e in reversed(page.marks):
+        held[page.marks[e][1]] += held[e]
+    for e, (kind, outer) in page.marks.items():
+        gone[e] = gone[outer] or fixed[e] or held[e] <= OVERRULED[kind] * total
+    free = ~gone[owner]
+    if not free.any():  # hints alone leave nothing: the ratios decide
+        gone, free = fixed, loose
+    threshold = cut(free)
     content = free & (score >= threshold)
     # the deepest element that holds all content nodes
     parents = np.array(page.parents)
@@ -204,13 +237,15 @@ def main_text(source: str, spread: float = 0.5) -> str:
         inside[e] = inside[parents[e]]
     best = np.zeros(len(page.blocks))
     np.maximum.at(best, nodes[:, 3], score)
-    out = []
-    for i, (element, texts, boilerplate, tag) in enumerate(page.blocks):
-        if not boilerplate and inside[element] and (tag in TYPED or best[i] >= threshold or element == region):
-            line = " ".join("".join(texts).split())
-            if line:
-                out.append(line)
-    return "\n".join(out)
+    out, last = [], -2
+    for i, (element, texts, marked, tag, goes_on) in enumerate(page.blocks):
+        if not gone[marked] and inside[element] and (tag in TYPED or best[i] >= threshold or element == region):
+            if goes_on and last == i - 1:
+                out[-1] += "".join(texts)
+            else:
+                out.append("".join(texts))
+            last = i
+    return "\n".join(filter(None, (" ".join(x.split()) for x in out)))
 
 
 TEXTS = "page_id long, url string, text string, n_chars long"

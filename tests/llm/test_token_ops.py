@@ -124,6 +124,23 @@ def test_main_text_beside_the_largest_part(tag):
     assert html_text.main_text(page).split("\n") == [x.strip() for x in ("Head", intro, *parts, other)]
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="wrapper no-sidebar"', 'div class="with-sidebar"', 'div id="header-fixed"', 'div class="has-side"', 'div class="post comments-open"', 'form id="f"', "header", "aside", "fieldset", 'div role="form"'],
+)
+def test_main_text_in_a_wrapper_with_a_hint(wrapper):
+    paragraphs = [f"{i} " + PROSE * 3 for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    want = ["Head", *(x.strip() for x in paragraphs)]
+    inner = f'<{wrapper}><nav>menu</nav><h1>Head</h1>{body}<div class="related"><p>{PROSE}</p></div></{wrapper.split()[0]}>'
+    assert html_text.main_text(f"<body>{inner}</body>").split("\n") == want
+    comments = f'<section id="comments"><p>{PROSE}</p></section>'
+    got = html_text.main_text(f"<body><p>Skip to content</p>{inner}{comments}</body>").split("\n")
+    assert [x for x in got if x != "Skip to content"] == want
+    span = f'<body><p>Start <b class="share">{PROSE * 3}</b> end.</p></body>'
+    assert html_text.main_text(span) == f"Start {(PROSE * 3).strip()} end."
+
+
 def test_main_text_of_broken_pages():
     for page in ("", "<p", "<script>x", "<!-- x", "<nav>menu</nav>", "<p></p>", "</div></p>", "<a b='>"):
         assert html_text.main_text(page) == ""
