@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import exact_dedup as exact
-from eventlens.llm import decontamination, html_text, katz, packing, quality, secrets, simhash, token_counts, toxicity
+from eventlens.llm import decontamination, html_text, katz, packing, quality, secrets, sharding, simhash, token_counts, toxicity, turn_repair
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,6 +66,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_grams", "log_weight", F.col("selected").alias("kept"))
 
 
+def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations")
+    return turn_repair.audit(convs, turn_repair.repair(turn_repair.damaged(convs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -77,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_rendezvous_sharding": op12_rendezvous_sharding,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact.ORACLE_SQL}
