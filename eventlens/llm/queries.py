@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import exact_dedup as exact
-from eventlens.llm import decontamination, html_text, katz, packing, quality, secrets, sharding, simhash, token_counts, toxicity, turn_repair
+from eventlens.llm import decontamination, html_text, katz, packing, quality, ranked_search, secrets, sharding, simhash, token_counts, toxicity, turn_repair
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,6 +66,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_grams", "log_weight", F.col("selected").alias("kept"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": op11_ranked_search,
     "op12_rendezvous_sharding": op12_rendezvous_sharding,
     "op13_turn_repair": op13_turn_repair,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact.ORACLE_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL}
