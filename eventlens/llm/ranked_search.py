@@ -6,7 +6,7 @@ impacts, a query one of weights, and the score is their inner product in whole n
 *Index.* Rows are dealt at random to segments of about ``SEGMENT`` postings. In a segment, each
 term's posting list is clustered by document similarity (random projections of the vectors;
 every posting joins its nearest pivot of the list) and cut into blocks of at most ``BLOCK``
-documents. A block stores a summary: for every term, the greatest impact in its documents. Only
+documents. A block stores a summary: for every term, the greatest impact in its documents, rounded up. Only
 terms at least as frequent as the list's are in it, for a document is meant to be found in the list of
 the rarest query term that it holds. Vectors and blocks are written as one table.
 
@@ -39,7 +39,9 @@ from eventlens.llm.common import RowIds, columns, ragged, small_batches, strings
 from eventlens.session import materialize
 
 K = 50
-SEGMENT, BLOCK = 1_000_000, 64
+SEGMENT, BLOCK = 500_000, 256
+#: Summaries store impacts (under 1,000,000) in units of so much, rounded up: one byte each, and still bounds.
+UNIT = 8192
 PIVOTS, SKETCH, SEED = 256, 32, 11
 QUERY_BYTES = 16 << 20
 
@@ -60,9 +62,9 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 VECTORS = "row long, doc_id long, n long, terms array<int>, tfs array<int>"
 
 
-def _lists(values: np.ndarray, per: np.ndarray) -> pa.Array:
+def _lists(values: np.ndarray, per: np.ndarray, kind: type = np.int32) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind, copy=False)))
 
 
 def counted(vocabulary: pa.Array) -> Callable:
@@ -85,11 +87,12 @@ def counted(vocabulary: pa.Array) -> Callable:
     return run
 
 
-#: term -1: a document (its id, its place ``at``, its vector); else a block of that term's list (documents by place, summary).
-INDEX = "seg long, term int, at int, doc_id long, members array<int>, codes array<int>, impacts array<int>"
+#: term -1: a document (its id, its place ``at``, its vector of codes and impacts);
+#: else a block of that term's list (documents by place, its summary of codes and their greatest impacts in units).
+INDEX = "seg long, term int, at int, doc_id long, members array<int>, codes array<int>, impacts array<int>, most array<tinyint>"
 _INDEX = pa.schema([
     ("seg", pa.int64()), ("term", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()),
-    ("members", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int32())),
+    ("members", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int32())), ("most", pa.list_(pa.int8())),
 ])
 
 
@@ -157,12 +160,13 @@ def indexed(n_docs: int, n_terms_all: int, rank: np.ndarray, weight: np.ndarray,
             depth[owner[by_term[a:b]]] = by_term[a:b] - starts[owner[by_term[a:b]]] + 1  # terms down to the list's
             at = ragged(starts[docs], depth[docs])
             pair = np.repeat(number, depth[docs]) * (term + 1) + codes[at]
-            sort = np.argsort(pair, kind="stable")
+            sort = np.argsort(pair)
             first = np.flatnonzero(np.diff(pair[sort], prepend=-1))
             top = np.maximum.reduceat(impact[at][sort], first)
             held = pair[sort][first]
             blocks = int(number[-1]) + 1
-            parts.append((term, docs, np.bincount(number), held % (term + 1), top, np.bincount(held // (term + 1), minlength=blocks)))
+            units = (-(-top // UNIT)).astype(np.int8)
+            parts.append((term, docs.astype(np.int32), np.bincount(number), (held % (term + 1)).astype(np.int32), units, np.bincount(held // (term + 1), minlength=blocks)))
         members = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         size = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
         width = np.concatenate([p[5] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -174,8 +178,8 @@ def indexed(n_docs: int, n_terms_all: int, rank: np.ndarray, weight: np.ndarray,
         return pa.table([
             pa.array(np.full(rows, seg)), pa.array(np.concatenate([none - 1, list_of]).astype(np.int32)),
             pa.array(np.concatenate([np.arange(len(per)), np.arange(len(size))]).astype(np.int32)), ids,
-            _lists(members, np.concatenate([none, size])), _lists(np.concatenate([codes, *of(3)]), np.concatenate([per, width])),
-            _lists(np.concatenate([impact, *of(4)]), np.concatenate([per, width])),
+            _lists(members, np.concatenate([none, size])), _lists(np.concatenate([codes.astype(np.int32), *of(3)]), np.concatenate([per, width])),
+            _lists(impact, np.concatenate([per, 0 * width])), _lists(np.concatenate([np.zeros(0, np.int8), *of(4)]), np.concatenate([none, width]), np.int8),
         ], schema=_INDEX)
 
     return run
@@ -198,7 +202,7 @@ class Segment:
         self.members, self.size = _flat(blocks["members"])
         self.begin = _starts(self.size)
         self.sum_codes, self.width = _flat(blocks["codes"])
-        self.sum_impacts, _ = _flat(blocks["impacts"])
+        self.sum_impacts = _flat(blocks["most"])[0] * UNIT
         self.sum_at = _starts(self.width)
         term = blocks["term"].to_numpy().astype(np.int64)
         self.first = np.searchsorted(term, np.arange(n_terms + 1))  # blocks of term t: first[t] to first[t + 1]
