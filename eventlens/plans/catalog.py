@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventlens.functions import text as tx
 from eventlens.functions.encoding import is_encoding_suspect, repair_encoding, to_cp1252_mojibake, to_mojibake
 from eventlens.functions.timewin import parse_timestamp, time_window
-from eventlens.operators import cluster, graph, rows, topics, vectors
+from eventlens.operators import cluster, graph, neighbours, rows, topics, vectors
 from eventlens.operators.schema import conform, resolve_column, title_from_name, DATE_COLUMNS
 from eventlens.plans import pipelines as pl
 from eventlens.session import shared_scratch
@@ -395,6 +395,32 @@ def q_reduce_dims(spark, sf_dir):
     return vectors.reduce_dims(e.select("vec_id", "embedding"), "embedding", 10).select("vec_id", "reduced")
 
 
+def q_reduce_neighbours(spark, sf_dir):
+    """J2 with neighbourhoods kept: spectral layout on an approximate k-NN graph."""
+    return neighbours.reduce_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
+def q_knn_graph_check(spark, sf_dir):
+    """The graph under J2 as a property: a list per vector, no row its own neighbour, recall of 0.9 against brute force."""
+    e = table(spark, sf_dir, "embeddings")
+    g = neighbours.knn_graph(e, "vec_id", "embedding")
+    recall = neighbours.graph_recall(e, "vec_id", "embedding", g, every=10)
+    lists = g.agg(F.count(F.lit(1)).alias("num_rows"), F.count_if(F.array_contains("dsts", F.col("src"))).cast("long").alias("own"))
+    return lists.select("num_rows", "own", (recall.select("recall").scalar() >= 0.9).alias("recall_reached"))
+
+
+def q_reduce_neighbours_check(spark, sf_dir):
+    """J2 as a property: ten components for every vector, and neighbourhoods truer than PCA's."""
+    e = table(spark, sf_dir, "embeddings")
+    kept = neighbours.reduce_neighbours(e, "vec_id", "embedding", 10)
+    near = e.select("vec_id", "embedding").join(kept, "vec_id")
+    ours, pca = (neighbours.trustworthiness(x, "vec_id", "embedding", "reduced", every=1) for x in (near, vectors.reduce_dims(e, "embedding", 10)))
+    width = F.size("reduced").cast("long")
+    sizes = kept.agg(F.count(F.lit(1)).alias("num_rows"), F.min(width).alias("min_width"), F.max(width).alias("max_width"))
+    truer = ours.select("trust").scalar() > pca.select("trust").scalar()
+    return sizes.withColumn("truer_than_pca", truer)
+
+
 def q_assign_events(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     r = vectors.reduce_dims(e.select("vec_id", "embedding"), "embedding", 10)
@@ -538,6 +564,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette_sq": q_silhouette_sq,
     "silhouette_exact": q_silhouette_exact,
     "reduce_dims": q_reduce_dims,
+    "reduce_neighbours": q_reduce_neighbours,
+    "reduce_neighbours_check": q_reduce_neighbours_check,
+    "knn_graph_check": q_knn_graph_check,
     "assign_events": q_assign_events,
     "reduce_dims_check": q_reduce_dims_check,
     "assign_events_check": q_assign_events_check,

