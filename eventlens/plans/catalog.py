@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventlens.functions import text as tx
 from eventlens.functions.encoding import is_encoding_suspect, repair_encoding, to_cp1252_mojibake, to_mojibake
 from eventlens.functions.timewin import parse_timestamp, time_window
-from eventlens.operators import cluster, graph, neighbours, rows, topics, vectors
+from eventlens.operators import cluster, dates, graph, neighbours, rows, topics, vectors
 from eventlens.operators.schema import conform, resolve_column, title_from_name, DATE_COLUMNS
 from eventlens.plans import pipelines as pl
 from eventlens.session import shared_scratch
@@ -263,6 +263,35 @@ def q_parse_dates(spark, sf_dir):
     )
 
 
+# One text column per layout, and what it keeps of the time.
+DATE_COLUMN_FORMATS = (
+    ("yyyy-MM-dd HH:mm:ss", "second"), ("yyyy/MM/dd HH:mm", "minute"), ("yyyy.MM.dd", "day"), ("yyyyMMdd", "day"),
+    ("MM/dd/yyyy hh:mm a", "minute"), ("dd/MM/yyyy HH:mm:ss", "second"), ("dd.MM.yyyy HH:mm", "minute"), ("MM-dd-yyyy", "day"),
+    ("d MMM yyyy", "day"), ("MMMM d, yyyy", "day"), ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "second"),
+    ("EEE MMM dd HH:mm:ss '+0000' yyyy", "second"), ("yyyyMMdd'T'HHmmss", "second"), ("yyyy-MM", "month"),
+)
+
+
+def q_date_layouts(spark, sf_dir):
+    """I20 by column: every event's time as fourteen text columns, each read by the layout that its column votes for."""
+    e = table(spark, sf_dir, "events")
+    names = [f"d{i}" for i in range(len(DATE_COLUMN_FORMATS))]
+    df = e.select("event_id", *[F.date_format("ts", layout).alias(c) for c, (layout, _) in zip(names, DATE_COLUMN_FORMATS)])
+    votes = dates.vote(df, names)
+    for c in names:
+        df = dates.with_timestamp(df, c, votes[c].layout, f"{c}_ts")
+    return df.select("event_id", *[F.date_format(f"{c}_ts", "yyyy-MM-dd HH:mm:ss").alias(c) for c in names], time_window("d0_ts").alias("time_window"))
+
+
+def q_date_rejects(spark, sf_dir):
+    """I20's unread rows: day-first dates, with rows of other layouts, impossible days and plain words beside them."""
+    e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy").alias("date"))
+    k = F.col("event_id") % 4
+    odd = F.when(k == 0, F.lit("31/02/2020")).when(k == 1, F.lit("2020.01.31")).when(k == 2, F.concat(F.lit("week "), F.col("event_id").cast("string"))).otherwise(F.lit(" "))
+    df = rows.union_all([e, e.select((-1 - F.col("event_id")).alias("event_id"), odd.alias("date"))])
+    return dates.rejected(df, "date", dates.column_layout(df, "date"))
+
+
 def q_time_window(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", time_window("ts").alias("time_window"))
@@ -544,6 +573,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peek_rows": q_peek_rows,
     "sample_n": q_sample_n,
     "parse_dates": q_parse_dates,
+    "date_layouts": q_date_layouts,
+    "date_rejects": q_date_rejects,
     "time_window": q_time_window,
     "weekly_counts": q_weekly_counts,
     "weekly_orders": q_weekly_orders,

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions import text as tx
-from eventlens.functions.timewin import global_window, parse_timestamp, time_window
+from eventlens.functions.timewin import global_window, time_window
+from eventlens.operators import dates
 from eventlens.operators.cluster import COVID_CLUSTERS, SEED, SENTIMENT_CLUSTERS, assign_events
 from eventlens.operators.graph import merge_events
 from eventlens.operators.rows import dedupe_first, dense_codes, keep_rows, union_all
@@ -153,9 +154,12 @@ def emotion_features(df: DataFrame, raw_col: str = "raw_text", drop_empty: bool
 
 
 def weekly_counts(df: DataFrame, ts_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """K4: rows per (time_window, keys); unparsable timestamps are dropped."""
-    ts = parse_timestamp(F.col(ts_col)) if dict(df.dtypes)[ts_col] == "string" else F.col(ts_col)
-    w = keep_rows(df.select(*keys, ts.alias("_ts")), F.col("_ts").isNotNull())
+    """K4: rows per (time_window, keys); a text column is read by the layout it votes for, unread rows are dropped (``dates.rejected`` gives them)."""
+    if dates.is_text(df, ts_col):
+        stamped = dates.with_timestamp(df, ts_col, dates.column_layout(df, ts_col))
+    else:
+        stamped = df.withColumn("_ts", F.col(ts_col))
+    w = keep_rows(stamped.select(*keys, "_ts"), F.col("_ts").isNotNull())
     return w.groupBy(time_window("_ts").alias("time_window"), *keys).agg(F.count(F.lit(1)).alias("num_posts"))
 
 
@@ -185,7 +189,8 @@ def prepare_posts(
     """Cleaning stages of discovery: resolve columns, drop null text, clean,
     keep clean text longer than 10, dedupe on clean text (first by order),
     then parse dates (dropping unparsable) or use the single 'global' window.
-    Dedupe runs before date parsing, as in the reference.
+    Dedupe runs before date parsing, as in the reference. A text date column is
+    read by one layout, the one that most of its rows vote for.
     """
     text_col = resolve_column(df, text_candidates)
     date_col = resolve_column(df, date_candidates, required=False)
@@ -199,7 +204,11 @@ def prepare_posts(
     posts = keep_rows(posts, tx.has_min_length("clean_text"))
     posts = dedupe_first(posts, "clean_text", [order_col])
     if date_col:
-        posts = keep_rows(posts.withColumn("_ts", parse_timestamp(F.col("_date"))), F.col("_ts").isNotNull())
+        if dates.is_text(posts, "_date"):
+            posts = dates.with_timestamp(posts, "_date", dates.column_layout(df, date_col))
+        else:
+            posts = posts.withColumn("_ts", F.col("_date").cast("timestamp_ntz"))
+        posts = keep_rows(posts, F.col("_ts").isNotNull())
         posts = posts.withColumn("time_window", time_window("_ts")).drop("_date")
         posts = posts.withColumn("date", F.date_format("_ts", "yyyy-MM-dd HH:mm:ss")).drop("_ts")
     else:
