@@ -273,14 +273,18 @@ DATE_COLUMN_FORMATS = (
 
 
 def q_date_layouts(spark, sf_dir):
-    """I20 by column: every event's time as fourteen text columns, each read by the layout that its column votes for."""
+    """I20 by column: every event's time as fourteen text columns, each read by the layout that its column votes for; a row per value."""
     e = table(spark, sf_dir, "events")
     names = [f"d{i}" for i in range(len(DATE_COLUMN_FORMATS))]
     df = e.select("event_id", *[F.date_format("ts", layout).alias(c) for c, (layout, _) in zip(names, DATE_COLUMN_FORMATS)])
     votes = dates.vote(df, names)
-    for c in names:
-        df = dates.with_timestamp(df, c, votes[c].layout, f"{c}_ts")
-    return df.select("event_id", *[F.date_format(f"{c}_ts", "yyyy-MM-dd HH:mm:ss").alias(c) for c in names], time_window("d0_ts").alias("time_window"))
+    read = [
+        dates.with_timestamp(df.select("event_id", F.lit(i).alias("column_no"), c), c, votes[c].layout).select(
+            "event_id", "column_no", F.date_format("_ts", "yyyy-MM-dd HH:mm:ss").alias("parsed"), time_window("_ts").alias("time_window")
+        )
+        for i, c in enumerate(names)
+    ]
+    return rows.union_all(read)
 
 
 def q_date_rejects(spark, sf_dir):

@@ -368,10 +368,9 @@ WHERE rn = 1"""
         f"WITH {_date_strings_sql()} SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed, "
         f"{window_sql('ts')} AS time_window FROM dp WHERE ts IS NOT NULL"
     )
-    kept = ", ".join(f"strftime(date_trunc('{unit}', ts), '%Y-%m-%d %H:%M:%S') AS d{i}" for i, unit in enumerate(
-        ("second", "minute", "day", "day", "minute", "second", "minute", "day", "day", "day", "second", "second", "second", "month")
-    ))
-    q["date_layouts"] = f"SELECT event_id, {kept}, {window_sql('ts')} AS time_window FROM events"
+    units = ("second", "minute", "day", "day", "minute", "second", "minute", "day", "day", "day", "second", "second", "second", "month")
+    cut = " UNION ALL ".join(f"SELECT event_id, {i} AS column_no, date_trunc('{unit}', ts) AS t FROM events" for i, unit in enumerate(units))
+    q["date_layouts"] = f"SELECT event_id, column_no, strftime(t, '%Y-%m-%d %H:%M:%S') AS parsed, {window_sql('t')} AS time_window FROM ({cut})"
     q["date_rejects"] = (
         "SELECT -1 - event_id AS event_id, CASE event_id % 4 WHEN 0 THEN '31/02/2020' WHEN 1 THEN '2020.01.31' ELSE 'week ' || event_id END AS date, "
         "CASE event_id % 4 WHEN 1 THEN 'another layout' ELSE 'no layout' END AS reason FROM events WHERE event_id % 4 <> 3"
