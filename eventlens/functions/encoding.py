@@ -6,6 +6,12 @@ values, and if the result is pure Latin-1 with at least one byte >= 0x80 and
 those bytes form valid UTF-8, we decode them; otherwise the text is kept.
 ``encode`` throws on unmappable characters, so it only ever sees a guarded
 input.
+
+A text that also holds good characters beyond Latin-1 (an emoji, a Cyrillic
+word, a curly quote) is repaired run by run: characters that spell well-formed
+UTF-8 sequences are decoded where they stand, and the rest is kept
+(``repair_runs``). ``repair_fully`` repeats both until nothing changes, for
+texts that were double-encoded more than once.
 """
 
 from __future__ import annotations
@@ -44,6 +50,59 @@ def repair_encoding(col) -> Column:
     return F.when(t.isNull(), t).otherwise(fixed)
 
 
+def _class(lo: int, hi: int) -> str:
+    """Characters that stand for the bytes lo to hi: Latin-1 ones and CP1252 ones."""
+    high = "".join(c for c, b in zip(CP1252_HIGH, C1_BYTES) if lo <= ord(b) <= hi)
+    return f"[\\x{{{lo:X}}}-\\x{{{hi:X}}}{high}]"
+
+
+# Well-formed UTF-8 sequences (as in the Unicode standard's table), spelled in such characters.
+_NEXT = _class(0x80, 0xBF)
+_THREE = f"\\xE0{_class(0xA0, 0xBF)}{_NEXT}|[\\xE1-\\xEC\\xEE\\xEF]{_NEXT}{{2}}|\\xED{_class(0x80, 0x9F)}{_NEXT}"
+_FOUR = f"\\xF0{_class(0x90, 0xBF)}{_NEXT}{{2}}|[\\xF1-\\xF3]{_NEXT}{{3}}|\\xF4{_class(0x80, 0x8F)}{_NEXT}{{2}}"
+SEQUENCE = f"(?:[\\xC2-\\xDF]{_NEXT}|{_THREE}|{_FOUR})"
+# Beside good text, a lone pair is weak evidence: a quoted word may end in a sharp s, one in capitals in an A with a
+# tilde. A text is taken to hold double-encoded runs if it holds a sequence of three or four, several in a row, a pair
+# that stands for a Latin-1 character (not after a capital, if CP1252 punctuation follows), or one whose first letter,
+# a capital, follows or precedes small ones within a word.
+_SURE = f"{SEQUENCE}{{2,}}|{_THREE}|{_FOUR}"
+EVIDENCE = "|".join([
+    _SURE, f"\\xC2{_NEXT}", f"(?<![A-Z\\xC0-\\xDE])\\xC3{_NEXT}", "\\xC3[\\x{80}-\\x{BF}]",
+    f"(?<=[a-z])[\\xC4-\\xDE]{_NEXT}", f"[\\xC4-\\xDE](?!’){_NEXT}(?=[a-z])",
+])
+# In such a text, every pair for a Latin-1 character counts, and every other one beside a small letter.
+DOUBLE_ENCODED_RUN = f"{_SURE}|[\\xC2\\xC3]{_NEXT}|(?<=[a-z])[\\xC4-\\xDE]{_NEXT}|[\\xC4-\\xDE]{_NEXT}(?=[a-z])"
+
+
+def _decode_run(run: Column) -> Column:
+    return F.encode(F.translate(run, CP1252_HIGH, C1_BYTES), "ISO-8859-1").cast("string")
+
+
+def repair_runs(col) -> Column:
+    """I3 for mixed texts, one level: every double-encoded run is decoded in its place."""
+    t = _c(col)
+    between = F.split(t, DOUBLE_ENCODED_RUN, -1)
+    runs = F.regexp_extract_all(t, F.lit(DOUBLE_ENCODED_RUN), F.lit(0))
+    glued = F.zip_with(between, runs, lambda kept, run: F.concat(kept, F.coalesce(_decode_run(run), F.lit(""))))
+    return F.when(t.rlike(EVIDENCE), F.array_join(glued, "")).otherwise(t)
+
+
+def repair_once(col) -> Column:
+    """I3, one level: as a whole if all of the text is double-encoded, else run by run."""
+    t = _c(col)
+    whole = repair_encoding(t)
+    return F.when(whole != t, whole).otherwise(repair_runs(t))
+
+
+def repair_fully(col) -> Column:
+    """I3 to a fixed point. A level at least halves the characters that it decodes, so there are
+    no more levels than the logarithm of the length; a text without any sequence is not touched."""
+    t = _c(col)
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.length(t) + 1)).cast("int")))
+    found = F.aggregate(levels, t, lambda text, _: F.when(text.rlike(SEQUENCE), repair_once(text)).otherwise(text))
+    return F.when(t.rlike(SEQUENCE), found).otherwise(t)
+
+
 def to_mojibake(col) -> Column:
     """Double-encode: UTF-8 bytes read back as Latin-1 (used to build test inputs)."""
     return F.decode(F.encode(_c(col), "UTF-8"), "ISO-8859-1")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.functions.encoding import repair_encoding
+from eventlens.functions.encoding import repair_fully, repair_once
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference semantics)
@@ -77,7 +77,7 @@ def _ranges(ranges) -> str:
     return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
 
 
-# Regex patterns (Java syntax; the oracle module derives RE2 twins from the same pieces).
+# Patterns that must match what the reference's match (Java syntax; the oracle module derives RE2 twins from the same pieces).
 P_HTTP = f"http[^{WS}]+"
 P_WWW = f"www[^{WS}]+"
 P_AT_ANY = f"@[^{WS}]+"
@@ -167,11 +167,11 @@ def squash_ws(col) -> Column:
     return F.trim(F.regexp_replace(t, P_WS_RUN, " "))
 
 
-def clean_display(col, repair: bool = True) -> Column:
-    """Emotion-preserving display cleaning; null -> ''."""
+def clean_display(col, repair: bool = True, once: bool = False) -> Column:
+    """Emotion-preserving display cleaning; null -> ''. ``once``: only one level of double encoding is repaired."""
     t = _c(col)
     if repair:
-        t = repair_encoding(t)
+        t = repair_once(t) if once else repair_fully(t)
     for step in (strip_urls, strip_mentions, strip_rt, strip_lead_punct, unhash,
                  cap_bang, cap_question, cap_mixed, squash_ws):
         t = step(t)

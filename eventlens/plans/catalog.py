@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions import text as tx
-from eventlens.functions.encoding import is_encoding_suspect, repair_encoding, to_cp1252_mojibake, to_mojibake
+from eventlens.functions.encoding import is_encoding_suspect, repair_encoding, repair_fully, to_cp1252_mojibake, to_mojibake
 from eventlens.functions.timewin import parse_timestamp, time_window
 from eventlens.operators import cluster, dates, graph, neighbours, rows, topics, vectors
 from eventlens.operators.schema import conform, resolve_column, title_from_name, DATE_COLUMNS
@@ -107,6 +107,28 @@ def q_repair_cp1252(spark, sf_dir):
     return d.select("doc_id", repair_encoding(to_cp1252_mojibake(F.col("text"))).alias("text"))
 
 
+# Good characters beyond Latin-1 around damaged text.
+MIXED_HEAD, MIXED_MIDDLE, MIXED_TAIL = "😔 привет “", "” 東京 ", " 🚀 naïve €"
+
+
+def _mixed(first, second):
+    return F.concat(F.lit(MIXED_HEAD), first, F.lit(MIXED_MIDDLE), second, F.lit(MIXED_TAIL))
+
+
+def q_repair_mixed(spark, sf_dir):
+    """I3 by runs, to a fixed point: texts double-encoded once (CP1252) and twice (Latin-1) between good characters."""
+    text = F.col("text")
+    mixed = _mixed(to_cp1252_mojibake(text), to_mojibake(to_mojibake(text)))
+    return table(spark, sf_dir, "documents").select("doc_id", repair_fully(mixed).alias("text"))
+
+
+def q_display_mixed(spark, sf_dir):
+    """I13 on damaged posts with emoji (even ids), and on wholly damaged posts without any (odd ids)."""
+    text = F.col("text")
+    raw = F.when(F.col("doc_id") % 2 == 0, _mixed(text, to_cp1252_mojibake(text))).otherwise(to_mojibake(F.concat(F.lit("RT @ö: «"), text, F.lit("» !!!!!"))))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_display(raw).alias("clean_text"))
+
+
 def q_emotion_features(spark, sf_dir):
     return pl.emotion_features(decorated_documents(spark, sf_dir), "raw_text").drop("raw_text")
 
@@ -125,9 +147,9 @@ def q_emotion_report(spark, sf_dir):
 
 
 def q_encoding_audit(spark, sf_dir):
-    """C4 count: texts still holding suspect characters after display cleaning."""
+    """C4 count: texts still holding suspect characters after display cleaning with one level of repair."""
     d = table(spark, sf_dir, "documents")
-    cleaned = tx.clean_display(to_mojibake(to_mojibake(F.col("text"))))
+    cleaned = tx.clean_display(to_mojibake(to_mojibake(F.col("text"))), once=True)
     return d.agg(F.count_if(is_encoding_suspect(cleaned)).cast("long").alias("suspects"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -135,7 +157,7 @@ def q_encoding_suspects(spark, sf_dir):
     # Double-encoded text: one repair pass leaves single mojibake, which the audit flags.
     d = table(spark, sf_dir, "documents")
     twice = to_mojibake(to_mojibake(F.col("text")))
-    cleaned = d.select("doc_id", tx.clean_display(twice).alias("clean_text"))
+    cleaned = d.select("doc_id", tx.clean_display(twice, once=True).alias("clean_text"))
     return rows.keep_rows(cleaned, is_encoding_suspect("clean_text"))
 
 
@@ -560,6 +582,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "squash_ws": q_squash_ws,
     "repair_encoding": q_repair_encoding,
     "repair_cp1252": q_repair_cp1252,
+    "repair_mixed": q_repair_mixed,
+    "display_mixed": q_display_mixed,
     "emotion_features": q_emotion_features,
     "encoding_suspects": q_encoding_suspects,
     "encoding_audit": q_encoding_audit,

@@ -282,6 +282,12 @@ def oracle_sql() -> dict[str, str]:
         q[name] = _decorated_select(step("raw_text"))
     q["repair_encoding"] = "SELECT doc_id, text FROM documents"
     q["repair_cp1252"] = "SELECT doc_id, text FROM documents"  # the repair must give the original back
+    mixed = "'😔 привет “' || text || '” 東京 ' || text || ' 🚀 naïve €'"
+    q["repair_mixed"] = f"SELECT doc_id, {mixed} AS text FROM documents"
+    q["display_mixed"] = (
+        f"SELECT doc_id, {clean_display('raw')} AS clean_text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {mixed} "
+        "ELSE 'RT @ö: «' || text || '» !!!!!' END AS raw FROM documents)"
+    )
     q["emotion_features"] = _features_sql()
     q["encoding_suspects"] = (
         # Spark repairs the double encoding once, which leaves the single encoding; the oracle starts there.

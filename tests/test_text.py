@@ -123,3 +123,46 @@ def test_timestamp_layouts(spark):
     got = {r.s: r.t for r in df.select("s", parse_timestamp("s").cast("string").alias("t")).collect()}
     assert got == want
     assert df.agg(unparsed_count("s").alias("n")).first().n == 2
+
+
+def _twice(text, encoding="cp1252"):
+    """UTF-8 bytes read back as CP1252, bytes that it lacks as Latin-1."""
+    return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) if encoding == "cp1252" else chr(b) for b in text.encode())
+
+
+MIXED = [
+    ("😔 " + _twice("café – “œuvre” 東京 😀") + " привет", "😔 café – “œuvre” 東京 😀 привет"),
+    ("ok “" + _twice(_twice("Ünïcode…")) + "” 🚀", "ok “Ünïcode…” 🚀"),
+    ("☃ " + _twice(_twice(_twice("é", "latin"), "latin"), "latin"), "☃ é"),
+    ("im “Maß“ und „GROẞ“ ☃", "im “Maß“ und „GROẞ“ ☃"),
+    ("AMANHÃ” ☃ É» «CAFÉ» 東", "AMANHÃ” ☃ É» «CAFÉ» 東"),
+    ("plain ascii", "plain ascii"),
+    ("château naïve £5 São Ã", "château naïve £5 São Ã"),
+    (_twice("cœur déjà vu"), "cœur déjà vu"),
+    ("東 c" + _twice("œ") + "ur " + _twice("Œ") + "uvre " + _twice("привет"), "東 cœur Œuvre привет"),
+    ("☃ bad \x00â€ end ð", "☃ bad \x00â€ end ð"),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_repair_by_runs_to_a_fixed_point(spark):
+    from eventlens.functions.encoding import repair_fully
+
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(MIXED)], "i int, t string")
+    got = {r["i"]: r["t"] for r in df.select("i", repair_fully("t").alias("t")).collect()}
+    for i, (given, want) in enumerate(MIXED):
+        assert got[i] == want, (given, got[i], want)
+    again = df.select("i", repair_fully(repair_fully("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in again} == got
+
+
+def test_repair_decodes_every_character_between_good_ones(spark):
+    """Every code point from U+00A0 on, in threes, damaged and set between good text."""
+    from eventlens.functions.encoding import repair_fully
+
+    points = [c for c in [*range(0xA0, 0x3000), *range(0x4E00, 0x5000), *range(0xFF00, 0xFFF0), *range(0x1F300, 0x1F700)] if not 0xD800 <= c < 0xE000]
+    words = ["".join(map(chr, points[i : i + 3])) for i in range(0, len(points) - 2, 3)]
+    df = spark.createDataFrame([(i, "ŋ " + _twice(w) + " ŋ") for i, w in enumerate(words)], "i int, t string")
+    bad = [(words[r["i"]], r["t"]) for r in df.select("i", repair_fully("t").alias("t")).collect() if r["t"] != "ŋ " + words[r["i"]] + " ŋ"]
+    assert not bad, bad[:5]
