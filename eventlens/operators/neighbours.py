@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.operators.rows import global_positions
@@ -207,11 +207,10 @@ def knn_graph(
 
 
 def _measured(graph: DataFrame) -> tuple[DataFrame, float]:
-    """The graph, written, and the mean distance (1 - cosine) of its entries, counted during the write."""
-    seen = Observation("knn-graph")
+    """The graph, written, and the mean distance (1 - cosine) of its entries."""
+    written = materialize(graph, "knn-graph")
     near = F.aggregate("sims", F.lit(0.0), lambda total, s: total + s.cast("double"))
-    written = materialize(graph.observe(seen, F.sum(near).alias("near"), F.sum(F.size("sims")).alias("n")), "knn-graph")
-    found = seen.get
+    found = written.agg(F.sum(near).alias("near"), F.sum(F.size("sims")).alias("n")).first()
     return written, 1.0 - (found["near"] or 0.0) / max(1, found["n"] or 0)
 
 

@@ -2,9 +2,9 @@
 counts, top-k and exact-size sampling.
 
 Scale notes
-  * ``dedupe_first`` is a grouped ``min_by`` and not a window: the partial
-    aggregate collapses a hot key on the map side, so a key holding a third
-    of all rows never lands whole in one task.
+  * ``dedupe_first`` groups key hashes and row numbers, never the rows: the
+    partial aggregate collapses a hot key on the map side, so a key holding a
+    third of all rows never lands whole in one task, and no text is sorted.
   * ``filter_small_groups`` counts per key (map-side combine), then keeps the
     qualifying keys with a semi join; the threshold is a scalar subquery, not
     a cross join.
@@ -46,19 +46,56 @@ def keep_rows(df: DataFrame, cond: Column) -> DataFrame:
     return marked.select(*[F.col(c) for c in df.columns], gate.alias(flag)).drop(flag)
 
 
-def dedupe_first(df: DataFrame, keys, order) -> DataFrame:
-    """F1/H2: one row per key, the one with the smallest ``order`` (a total order).
+def _key_hash(df: DataFrame, keys: Sequence, salt: int) -> Column:
+    """64 bits of the key, nulls told apart from values; another salt, another function."""
+    parts = [F.lit(salt)]
+    for k in keys:
+        c = F.col(k) if isinstance(k, str) else k
+        if isinstance(k, str) and dict(df.dtypes).get(k) in ("double", "float"):
+            c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # -0.0 is 0.0, as in a grouping
+        parts += [c, c.isNull()]
+    return F.xxhash64(*parts)
 
-    Nulls in the key form one group, as in pandas.
+
+def dedupe_first(df: DataFrame, keys, order, hash_bits: int = 64) -> DataFrame:
+    """F1/H2: one row per key, the one with the smallest ``order`` (of equal orders one).
+
+    Late-materialised: rows are written once, with three 64-bit hashes of the key and a number. Only
+    (hashes, order, number) is grouped, by the first two hashes, with a map-side combine, so a key that
+    holds a third of all rows is no hot task, and no text is sorted or compared. The numbers of the
+    rows that lose are written, and the result is the written rows without them: a broadcast join
+    where they are few (the written size decides), else a join on numbers, which no key skews.
+
+    The third hash verifies the grouping: a group with two of them holds different keys, and the rows
+    of such groups are told apart by their whole keys. Nulls in the key form one group, as in pandas.
+    ``hash_bits`` shortens the first two hashes; results do not depend on it (tests use it).
     """
     keys = _cols(keys)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in _cols(order)]
-    payload = [c for c in df.columns if c not in keys]
-    winner = F.min_by(F.struct(*[F.col(c) for c in payload]), F.struct(*order_cols)).alias("_winner")
-    out = df.groupBy(*keys).agg(winner)
-    return out.select(*[F.col(k) for k in keys], *[F.col(f"_winner.{c}").alias(c) for c in payload]).select(
-        *df.columns
+    cut = 64 - hash_bits
+    short = lambda h: F.shiftrightunsigned(h, cut) if cut else h
+    rows = materialize(
+        df.select(
+            "*", short(_key_hash(df, keys, 1)).alias("__h1"), short(_key_hash(df, keys, 2)).alias("__h2"), _key_hash(df, keys, 3).alias("__h3"),
+            F.struct(*order_cols).alias("__order"), F.monotonically_increasing_id().alias("__rid"),
+        ),
+        "dedupe-rows",
+    )
+    groups = rows.groupBy("__h1", "__h2").agg(
+        F.min(F.struct("__order", "__rid")).alias("__first"), F.min("__h3").alias("__lo"), F.max("__h3").alias("__hi")
     )
+    winners = groups.select(F.col("__first.__rid").alias("__rid"), (F.col("__lo") != F.col("__hi")).alias("__mixed"))
+    # a row that loses, or (mixed) that won a group of different keys
+    told = rows.select("__rid").join(winners, "__rid", "left").where("__mixed is null or __mixed")
+    losers = materialize(told.select("__rid", F.coalesce("__mixed", F.lit(False)).alias("__mixed")), "dedupe-losers")
+    if not losers.where("__mixed").isEmpty():
+        # different keys behind one pair of hashes: their rows are grouped by the keys themselves
+        mixed = rows.join(losers.where("__mixed"), "__rid", "left_semi").select("__h1", "__h2")
+        hit = materialize(rows.join(mixed, ["__h1", "__h2"], "left_semi"), "dedupe-mixed")
+        exact = hit.groupBy(*keys).agg(F.min(F.struct("__order", "__rid")).alias("__first")).select(F.col("__first.__rid").alias("__rid"))
+        lost = hit.select("__rid").join(exact, "__rid", "left_anti")
+        losers = materialize(losers.select("__rid").join(hit.select("__rid"), "__rid", "left_anti").unionByName(lost), "dedupe-losers")
+    return rows.join(losers, "__rid", "left_anti").select(*df.columns)
 
 
 def group_sizes(df: DataFrame, key: str, name: str = "num_tweets") -> DataFrame:

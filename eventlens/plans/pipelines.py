@@ -18,7 +18,7 @@ from eventlens.functions.timewin import global_window, time_window
 from eventlens.operators import dates
 from eventlens.operators.cluster import COVID_CLUSTERS, SEED, SENTIMENT_CLUSTERS, assign_events
 from eventlens.operators.graph import merge_events
-from eventlens.operators.rows import dedupe_first, dense_codes, keep_rows, union_all
+from eventlens.operators.rows import dedupe_first, dense_codes, keep_rows
 from eventlens.operators.schema import (
     DATE_COLUMNS,
     MERGE_TEXT_COLUMNS,
@@ -102,20 +102,24 @@ def merge_datasets(datasets: Sequence[Dataset], text_candidates: Sequence[str] =
 
     Returns (raw_text, event_id, event_title, dataset_name, global_event_id).
     """
-    parts = []
+    parts, order = [], ["_rank"]
     for rank, ds in enumerate(datasets):
-        order = [f"_o{i}" for i in range(len(ds.order))]
-        c = conform(ds.df.select("*", *[F.col(x).alias(o) for x, o in zip(ds.order, order)]), text_candidates, extra=order)
         # first by the dataset's own order, whatever its types; between datasets the rank decides
-        first = dedupe_first(c.filter(F.col("raw_text").isNotNull()), "raw_text", order).drop(*order)
+        own = [f"_o{rank}_{i}" for i in range(len(ds.order))]
+        c = conform(ds.df.select("*", *[F.col(x).alias(o) for x, o in zip(ds.order, own)]), text_candidates, extra=own)
+        order += own
         parts.append(
-            first.withColumn("dataset_name", F.lit(ds.name))
+            c.filter(F.col("raw_text").isNotNull())
+            .withColumn("dataset_name", F.lit(ds.name))
             .withColumn("global_event_id", global_event_id(F.lit(ds.name), F.col("event_id")))
             .withColumn("_rank", F.lit(rank))
         )
     if any(dict(p.dtypes)["event_id"] == "string" for p in parts):
         parts = [p.withColumn("event_id", F.col("event_id").cast("string")) for p in parts]
-    kept = dedupe_first(union_all(parts), "raw_text", ["_rank"])
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p, allowMissingColumns=True)
+    kept = dedupe_first(union, "raw_text", order)
     return kept.select("raw_text", "event_id", "event_title", "dataset_name", "global_event_id")
 
 

@@ -1,4 +1,7 @@
+import random
+
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import rows
@@ -94,3 +97,24 @@ def test_spread_only_when_under_parallel(spark):
     spread_df = spread(narrow, "id")
     assert spread_df.rdd.getNumPartitions() == target
     assert sorted(r.id for r in spread_df.collect()) == list(range(1000))
+
+
+@pytest.mark.parametrize("bits", [1, 64])
+def test_dedupe_first_by_hashes_against_a_dict(spark, bits):
+    rng = random.Random(bits)
+    data = [(rng.choice([None, "", "a", "b" * 500, "é", "c"]), rng.choice([None, 1, 2]), rng.randint(0, 50), i, f"p{i}") for i in range(400)]
+    df = spark.createDataFrame(data, "k string, j long, o long, i long, payload string").repartition(6)
+    best = {}
+    for r in data:
+        best[r[:2]] = min(best.get(r[:2], r), r, key=lambda x: x[2:4])
+    got = [tuple(r) for r in rows.dedupe_first(df, ["k", "j"], ["o", "i"], hash_bits=bits).collect()]
+    assert sorted(got, key=str) == sorted(best.values(), key=str)
+
+
+def test_dedupe_first_keeps_one_of_equal_rows_and_sorts_no_text(spark):
+    df = spark.createDataFrame([("x", 1)] * 50 + [("y", 1)], "k string, o long").repartition(4)
+    out = rows.dedupe_first(df, "k", ["o"])
+    assert sorted(r["k"] for r in out.collect()) == ["x", "y"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "min_by" not in plan
+    assert rows.dedupe_first(df.limit(0), "k", ["o"]).count() == 0
