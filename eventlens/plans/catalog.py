@@ -551,6 +551,41 @@ def q_tsv_ingest(spark, sf_dir):
     return pl.ingest_labelled(spark, out, glob="*.csv")  # Spark's CSV writer names files *.csv
 
 
+# The headers of the mixed folders; the last one has no text column.
+MIXED_HEADERS = ("doc_id\ttweet", "text\tlang\tn", "n\tx\tTweet\ty", "doc_id\tbody")
+
+
+def _mixed_folders(spark, sf_dir) -> str:
+    """Documents as TSV folders with four kinds of header; every 11th line has a field too many, every 13th text is NA. Returns the root."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    kind = F.pmod(F.ascii("source") + F.length("source"), F.lit(4))
+    quoted = F.when(F.col("doc_id") % 13 == 5, F.lit("NA")).otherwise(F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')))
+    n = F.col("doc_id").cast("string")
+    line = (
+        F.when(kind == 0, F.concat_ws("\t", n, quoted)).when(kind == 1, F.concat_ws("\t", quoted, "lang", n))
+        .when(kind == 2, F.concat_ws("\t", n, F.lit("x"), quoted)).otherwise(F.concat_ws("\t", n, quoted))
+    )
+    # a short row (kind 2 lacks its last field) stays short unless it gets fields too many
+    extra = F.when(F.col("doc_id") % 11 == 3, F.when(kind == 2, F.lit("\t\tover")).otherwise(F.lit("\t"))).otherwise(F.lit(""))
+    lines = d.select("source", F.col("doc_id").alias("o"), F.concat(line, extra).alias("value"))
+    heads = d.select("source", F.lit(-1).cast("long").alias("o"), F.element_at(F.array(*map(F.lit, MIXED_HEADERS)), (kind + 1).cast("int")).alias("value")).distinct()
+    out = shared_scratch(spark, "tsv-mixed")
+    one_file = rows.union_all([lines, heads]).repartition("source").sortWithinPartitions("source", "o")
+    one_file.select("source", "value").write.partitionBy("source").text(out)
+    return out
+
+
+def q_tsv_ingest_mixed(spark, sf_dir):
+    """A3-A6 with K1 on folders of mixed headers, over-long and short rows, missing texts and files without a text column."""
+    return pl.ingest_with_ledger(spark, _mixed_folders(spark, sf_dir), glob="*.txt")[0]
+
+
+def q_tsv_ledger(spark, sf_dir):
+    """A5: what that scan left out, by folder and reason."""
+    ledger = pl.ingest_with_ledger(spark, _mixed_folders(spark, sf_dir), glob="*.txt")[1]
+    return ledger.groupBy("folder", "reason").agg(F.sum("rows").alias("rows"))
+
+
 def q_discover_sentiment(spark, sf_dir):
     """Headerless Latin-1 CSV written from documents (dates from events joined on id), read back, discovered."""
     d = table(spark, sf_dir, "documents")
@@ -635,4 +670,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "discover_sentiment": q_discover_sentiment,
     "csv_roundtrip": q_csv_roundtrip,
     "tsv_ingest": q_tsv_ingest,
+    "tsv_ingest_mixed": q_tsv_ingest_mixed,
+    "tsv_ledger": q_tsv_ledger,
 }

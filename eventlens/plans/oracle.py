@@ -349,6 +349,20 @@ WHERE rn = 1"""
         LABEL_POSTS_FOR("'source=' || source", mojibake("d.text"))
         + " SELECT raw_tweet, clean_text, event_id, event_title, source FROM labelled"
     )
+    kind = "((ascii(source) + length(source)) % 4)"
+    long_row = "doc_id % 11 = 3"
+    raw = mojibake("text")
+    q["tsv_ingest_mixed"] = f"""WITH
+docs AS (SELECT doc_id, 'source=' || source AS folder, {kind} AS kind, text FROM documents WHERE text IS NOT NULL),
+ids AS (SELECT folder, CAST(dense_rank() OVER (ORDER BY folder) - 1 AS BIGINT) AS event_id FROM (SELECT DISTINCT folder FROM docs)),
+kept AS (
+  SELECT d.doc_id, d.folder, {raw} AS raw_tweet, {clean_semantic(raw)} AS clean_text, ids.event_id FROM docs d JOIN ids USING (folder)
+  WHERE kind <> 3 AND NOT ({long_row}) AND doc_id % 13 <> 5)
+SELECT raw_tweet, clean_text, event_id, replace(folder, '_', ' ') AS event_title, 'crisisnlp' AS source
+FROM (SELECT *, row_number() OVER (PARTITION BY clean_text ORDER BY event_id, doc_id) AS rn FROM kept WHERE length(clean_text) > 10) WHERE rn = 1"""
+    q["tsv_ledger"] = f"""SELECT 'source=' || source AS folder, reason, CAST(count(*) AS BIGINT) AS rows FROM (
+  SELECT source, CASE WHEN {kind} = 3 THEN 'no text column' WHEN {long_row} THEN 'too many fields' WHEN doc_id % 13 = 5 THEN 'missing text' END AS reason
+  FROM documents WHERE text IS NOT NULL) WHERE reason IS NOT NULL GROUP BY source, reason"""
     q["dedupe_first"] = f"""SELECT doc_id, clean_text FROM (
   SELECT doc_id, clean_text, row_number() OVER (PARTITION BY clean_text ORDER BY doc_id) AS rn
   FROM (SELECT doc_id, {clean_semantic('text')} AS clean_text FROM documents)) WHERE rn = 1"""

@@ -30,7 +30,7 @@ from eventlens.operators.schema import (
 )
 from eventlens.operators.topics import title_events
 from eventlens.operators.vectors import reduce_dims, text_vectors
-from eventlens.sources.files import list_event_folders, read_event_folders, read_headerless_posts, write_events
+from eventlens.sources.files import list_event_folders, read_headerless_posts, scan_event_folders, write_events
 
 # ---------------------------------------------------------------------------
 # K1: labelled folders -> events
@@ -78,10 +78,15 @@ def label_posts(
 
 def ingest_labelled(spark, root: str, dataset_name: str = "crisisnlp", glob: str = "*.tsv") -> DataFrame:
     """K1 on files: one scan of every TSV below ``root`` -> events table."""
-    rows = read_event_folders(spark, root, glob=glob)
+    return ingest_with_ledger(spark, root, dataset_name, glob)[0]
+
+
+def ingest_with_ledger(spark, root: str, dataset_name: str = "crisisnlp", glob: str = "*.tsv") -> tuple[DataFrame, DataFrame]:
+    """K1 on files with A5's ledger: the events table, and (path, folder, reason, rows) of what the scan left out."""
+    scan = scan_event_folders(spark, root, glob=glob)
     # a folder counts even if its files hold no data row, no text column or nothing at all
     folders = list_event_folders(spark, root, glob)
-    return label_posts(rows, "folder", "raw_tweet", ["path", "row_no"], dataset_name, groups=folders)
+    return label_posts(scan.posts, "folder", "raw_tweet", ["path", "row_no"], dataset_name, groups=folders), scan.ledger
 
 
 # ---------------------------------------------------------------------------

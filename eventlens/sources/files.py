@@ -7,12 +7,14 @@ headers is one scan, never a per-file driver loop over data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.operators.schema import TSV_TEXT_COLUMNS, resolve_column
+from eventlens.session import materialize
 
 # The tokens pandas reads as missing by default (its STR_NA_VALUES).
 PANDAS_NA_TOKENS = (
@@ -74,89 +76,126 @@ def read_headerless_posts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _field_count(raw_record) -> Column:
-    """Fields in a raw delimited record: separators outside quoted sections, plus one."""
-    # back-to-back quoted segments also swallow '""' escapes; a possessive
-    # character-class loop does not recurse on long records
-    unquoted = F.regexp_replace(raw_record, '"[^"]*+"', "")
-    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit("\t"), F.lit(""))) + 1
+# No Latin-1 text holds these: a separator that never splits, and a mark for separators outside quotes.
+_NO_SEPARATOR, _CUT = "\ue000", "\uffff"
 
 
-def _raw_rows(spark: SparkSession, root: str, glob: str, n_fields: int) -> DataFrame:
-    """Every record of every file: (path, row_no, _fields: the first ``n_fields``, _n: fields in the raw record)."""
-    fields = [T.StructField(f"_f{i}", T.StringType(), True) for i in range(n_fields)]
-    schema = T.StructType(fields + [T.StructField("_raw", T.StringType(), True)])
+def _fields(record: Column, sep: str = "\t") -> Column:
+    """The fields of a delimited record: separators count outside quoted sections, '""' in one is a quote."""
+    outside = F.transform(F.split(record, '"'), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(sep), F.lit(_CUT))).otherwise(part))
+    pieces = F.split(F.array_join(outside, '"'), _CUT)
+    plain = F.transform(pieces, lambda f: F.when(f.startswith('"'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(F.contains(record, F.lit('"')), plain).otherwise(F.split(record, sep))
+
+
+def _open_quote(line: Column) -> Column:
+    """The line holds an odd number of quotes, so a record goes on in the next line (or came from the last)."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+def _reader(spark: SparkSession, glob: str, encoding: str):
     return (
-        spark.read.schema(schema)
-        .option("sep", "\t").option("header", False).option("encoding", "ISO-8859-1")
-        .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_raw").option("maxColumns", 1_000_000)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .option("ignoreCorruptFiles", True)
-        .csv(root)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.monotonically_increasing_id().alias("row_no"),  # files are read whole: increasing within a file
-            F.array(*[F.col(f.name) for f in fields]).alias("_fields"),
-            # no raw text: the record has exactly the schema's fields. Parsed non-null fields never exceed
-            # the count; taking the greater keeps a parsed column in every branch (Spark rejects scans of
-            # the raw column alone)
-            F.greatest(
-                F.coalesce(_field_count(F.col("_raw")), F.lit(n_fields)), F.size(F.filter(F.array(*[F.col(f.name) for f in fields]), lambda x: x.isNotNull()))
-            ).alias("_n"),
-        )
+        spark.read.option("header", False).option("encoding", encoding).option("mode", "PERMISSIVE")
+        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True)
     )
 
 
+def _lines(spark: SparkSession, root: str, glob: str, encoding: str) -> DataFrame:
+    """(path, at, line) of every non-empty line; files are split. ``at`` orders the lines of a file."""
+    lines = _reader(spark, glob, encoding).schema("line string").option("sep", _NO_SEPARATOR).option("quote", "").csv(root)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return lines.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "line").where("line is not null")
+
+
+def _records(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """(path, at, line) of every record of files whose records may hold newlines; a file is read by one task."""
+    schema = T.StructType([T.StructField("_f", T.StringType(), True), T.StructField("_raw", T.StringType(), True)])
+    rows = (
+        _reader(spark, "*", encoding).schema(schema).option("sep", "\t").option("multiLine", True).option("escape", '"')
+        .option("columnNameOfCorruptRecord", "_raw").option("maxColumns", 1_000_000).csv(list(paths))
+    )
+    # no raw text: the record is one field
+    alone = F.when(F.contains("_f", F.lit('"')) | F.contains("_f", F.lit("\t")), F.concat(F.lit('"'), F.replace("_f", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("_f"))
+    at = F.struct(F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), F.coalesce("_raw", alone).alias("line"))
+
+
+@dataclass
+class FolderScan:
+    """What a scan of event folders gives: the posts, and the files and lines it left out, counted by reason."""
+
+    posts: DataFrame   # path, folder, row_no, raw_tweet
+    ledger: DataFrame  # path, folder, reason, rows
+
+
+# Reasons of the ledger.
+NO_TEXT_COLUMN, EMPTY_FILE, TOO_MANY_FIELDS, MISSING_TEXT = "no text column", "empty file", "too many fields", "missing text"
+
+
+def scan_event_folders(
+    spark: SparkSession, root: str, text_candidates: Sequence[str] = TSV_TEXT_COLUMNS, glob: str = "*.tsv", encoding: str = "ISO-8859-1",
+) -> FolderScan:
+    """Every TSV under ``root``, files of any header, in one split scan, with a ledger of what was left out.
+
+    Lines are read once, split across tasks, cut into fields by built-in functions and written. A
+    file with a line whose quotes do not close may hold newlines in its fields, and only such files
+    are read again, whole, by the CSV reader. Each file's first record is its header; the text column
+    is picked per file by priority. pandas-like rules: more fields than the header -> left out (an empty
+    extra field counts), fewer -> kept, null-padded; missing-value tokens are null.
+
+    Posts hold null texts (``MISSING_TEXT`` counts them in the ledger), so that a folder's rows can be
+    counted. A file that has no text column or no record at all is in the ledger with its rows.
+    """
+    lines = _lines(spark, root, glob, encoding).withColumn("open", _open_quote(F.col("line")))
+    found = materialize(lines.select("path", "at", "open", _fields(F.col("line")).alias("fields")), "tsv-lines")
+    odd = found.where("open").select("path").distinct()
+    paths = [r["path"] for r in odd.toLocalIterator()]  # some of the file names that the driver has listed for the scan
+    if paths:
+        again = _records(spark, paths, encoding).select("path", "at", F.lit(False).alias("open"), _fields(F.col("line")).alias("fields"))
+        found = found.join(odd, "path", "left_anti").unionByName(materialize(again, "tsv-records"))
+    first = found.where("at.block = 0").groupBy("path").agg(F.min("at").alias("_head"))
+    heads = found.where("at.block = 0").join(first, "path").where(F.col("at") == F.col("_head"))
+    names = F.transform("fields", lambda f: F.trim(f))
+    place = F.coalesce(*[F.nullif(F.array_position(names, c), F.lit(0).cast("long")) for c in text_candidates], F.lit(0).cast("long"))
+    per_file = materialize(heads.select("path", "_head", F.size("fields").alias("_width"), place.cast("int").alias("_place")), "tsv-headers")
+    rows = found.join(per_file, "path").where(F.col("at") > F.col("_head"))
+    text = na_to_null(F.when((F.col("_place") > 0) & (F.col("_place") <= F.size("fields")), F.element_at("fields", F.col("_place"))))
+    wide = F.size("fields") > F.col("_width")
+    told = rows.select("path", F.col("at").alias("row_no"), wide.alias("_wide"), F.col("_place"), text.alias("raw_tweet"))
+    folder = event_name_from_file(F.col("path")).alias("folder")
+    posts = told.where("not _wide").select("path", folder, "row_no", "raw_tweet")
+    reason = F.when(F.col("_place") == 0, NO_TEXT_COLUMN).when(F.col("_wide"), TOO_MANY_FIELDS).when(F.col("raw_tweet").isNull(), MISSING_TEXT)
+    counted = told.select("path", reason.alias("reason")).where("reason is not null").groupBy("path", "reason").agg(F.count(F.lit(1)).alias("rows"))
+    no_rows = F.lit(0).cast("long").alias("rows")
+    # files without a data row have no counts
+    textless = per_file.where("_place = 0").select("path", F.lit(NO_TEXT_COLUMN).alias("reason"), no_rows).join(counted.select("path"), "path", "left_anti")
+    # a listing writes file:/x where a scan writes file:///x
+    place_of = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    empty = list_files(spark, root, glob).withColumn("_at", place_of("path")).join(per_file.select(place_of("path").alias("_at")), "_at", "left_anti")
+    empty = empty.select("path", F.lit(EMPTY_FILE).alias("reason"), no_rows)
+    ledger = counted.unionByName(textless).unionByName(empty).select("path", folder, "reason", "rows")
+    return FolderScan(posts, ledger)
+
+
 def read_event_folders(
     spark: SparkSession,
     root: str,
     text_candidates: Sequence[str] = TSV_TEXT_COLUMNS,
     glob: str = "*.tsv",
 ) -> DataFrame:
-    """Every TSV under ``root`` as (path, folder, row_no, raw_tweet) in one scan.
-
-    Files may have different headers. A first pass finds the widest header
-    (one number per file, one to the driver). All files are then read
-    header-less into one string column more than that, plus the raw record
-    (rows shorter than the schema keep their raw text in the corrupt-record
-    column). Each file's first row is its header (a grouped ``min_by`` on the
-    scan position, one row per file); the text column is picked per file by
-    priority. pandas-like line rules, counted on the raw record: more fields
-    than the header -> dropped (an empty extra field counts), fewer -> kept
-    null-padded; quoted newlines stay in one row. A file without a text
-    column yields null texts (dropped later), but its folder still counts.
-    """
-    narrow = _raw_rows(spark, root, glob, 1)
-    widths = narrow.groupBy("path").agg(F.min_by("_n", "row_no").alias("_w")).agg(F.max("_w")).first()[0]
-    raw = _raw_rows(spark, root, glob, (widths or 0) + 1)
-    headers = raw.groupBy("path").agg(F.min_by(F.struct("row_no", "_fields", "_n"), F.col("row_no")).alias("_h"))
-    text_pos = F.coalesce(
-        *[F.when(F.array_position(F.col("_h._fields"), c) > 0, F.array_position(F.col("_h._fields"), c))
-          for c in text_candidates],
-        F.lit(0).cast("long"),
-    )
-    per_file = headers.select(
-        "path", F.col("_h.row_no").alias("_hrow"), F.col("_h._n").alias("_width"), text_pos.alias("_tpos")
-    )
-    rows = raw.join(per_file, "path").filter((F.col("row_no") > F.col("_hrow")) & (F.col("_n") <= F.col("_width")))
-    text = F.when(F.col("_tpos") > 0, F.element_at(F.col("_fields"), F.col("_tpos").cast("int")))
-    return rows.select(
-        "path",
-        event_name_from_file(F.col("path")).alias("folder"),
-        "row_no",
-        na_to_null(text).alias("raw_tweet"),
-    )
-
+    """The posts of ``scan_event_folders`` as (path, folder, row_no, raw_tweet)."""
+    return scan_event_folders(spark, root, text_candidates, glob).posts
 
-def list_event_folders(spark: SparkSession, root: str, glob: str = "*.tsv") -> DataFrame:
-    """Every folder holding a matching file (files that are empty or without a text column included).
 
-    From the scan's file listing, which the driver holds anyway: a scan itself leaves empty files out.
-    """
+def list_files(spark: SparkSession, root: str, glob: str = "*.tsv") -> DataFrame:
+    """(path) of every matching file, from the scan's file listing, which the driver holds anyway: a scan itself leaves empty files out."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    files = spark.createDataFrame([(path,) for path in listed.inputFiles()], "path string")
-    return files.select(event_name_from_file(F.col("path")).alias("folder")).distinct()
+    return spark.createDataFrame([(path,) for path in listed.inputFiles()], "path string")
+
+
+def list_event_folders(spark: SparkSession, root: str, glob: str = "*.tsv") -> DataFrame:
+    """Every folder holding a matching file (files that are empty or without a text column included)."""
+    return list_files(spark, root, glob).select(event_name_from_file(F.col("path")).alias("folder")).distinct()
 
 
 def write_events(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -87,3 +87,34 @@ def test_count_distinct_exact_and_approx(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("k"))
     r = df.agg(count_distinct("k", "exact"), count_distinct("k", "approx", approx=True)).first()
     assert r.exact == 37 and abs(r.approx - 37) <= 2
+
+
+def test_ledger_counts_what_a_scan_leaves_out(spark):
+    root = tempfile.mkdtemp(prefix="eventlens-tsv-")
+    write(f"{root}/one/a.tsv", "id\ttweet\n1\tall good here today\n2\ttoo\tmany\n3\tmany\t\n4\tNA\n5\n")
+    write(f"{root}/one/b.tsv", 'x\ttext\n1\t"tab\there and ""quotes"""\n2\t"new\nline"\n3\t"a"\tb\n')
+    write(f"{root}/two/c.tsv", "foo\tbar\n1\t2\n3\t4\n")
+    write(f"{root}/two/d.tsv", "foo\tbar\n")
+    write(f"{root}/three/e.tsv", "")
+    scan = files.scan_event_folders(spark, root)
+    name = lambda p: p.rsplit("/", 1)[1]
+    assert {(name(r.path), r.folder, r.reason, r.rows) for r in scan.ledger.collect()} == {
+        ("a.tsv", "one", "too many fields", 2), ("a.tsv", "one", "missing text", 2), ("b.tsv", "one", "too many fields", 1),
+        ("c.tsv", "two", "no text column", 2), ("d.tsv", "two", "no text column", 0), ("e.tsv", "three", "empty file", 0),
+    }
+    texts = [r.raw_tweet for r in scan.posts.where("raw_tweet is not null").collect()]
+    assert sorted(texts) == sorted(["all good here today", 'tab\there and "quotes"', "new\nline"])
+
+
+def test_lines_of_a_split_file_keep_their_order(spark):
+    root = tempfile.mkdtemp(prefix="eventlens-tsv-")
+    write(f"{root}/big/a.tsv", "n\ttweet\n" + "".join(f"{i}\trow number {i} é\n" for i in range(20000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        posts = files.read_event_folders(spark, root)
+        rows = posts.orderBy("path", "row_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.raw_tweet for r in rows] == [f"row number {i} é" for i in range(20000)]
+    assert len({r.row_no.block for r in rows}) > 4
