@@ -539,6 +539,33 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
 
 
+def _typed_csv(spark, sf_dir) -> DataFrame:
+    """Events written as CSV text with missing-value tokens, and read back with inferred types."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    text = e.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+        F.when(k % 5 == 0, F.lit("NA")).otherwise(F.col("user_id").cast("string")).alias("user_id"), "value",
+        F.when(k % 2 == 0, F.lit("True")).otherwise(F.lit("False")).alias("even"),
+        F.when(k % 1000 == 7, F.lit("n/a")).when(k % 1000 == 8, F.lit("x")).otherwise(k.cast("string")).alias("mixed"), F.lit("NULL").alias("nothing"), "event_type",
+    )
+    out = shared_scratch(spark, "typed")
+    files.write_events(text, out, fmt="csv")
+    return files.read_posts_csv(spark, out, infer=True)
+
+
+def q_typed_csv(spark, sf_dir):
+    """A1: values of inferred types."""
+    t = _typed_csv(spark, sf_dir)
+    return t.withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "value": F.round("value", 6), "double_id": F.col("event_id") * 2})
+
+
+def q_typed_schema(spark, sf_dir):
+    """A1: the inferred type of every column."""
+    kinds = _typed_csv(spark, sf_dir).dtypes
+    return spark.createDataFrame(kinds, "name string, kind string")
+
+
 def q_tsv_ingest(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("tweet"), "source")
     out = shared_scratch(spark, "tsv")
@@ -669,6 +696,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "discover_events": q_discover_events,
     "discover_sentiment": q_discover_sentiment,
     "csv_roundtrip": q_csv_roundtrip,
+    "typed_csv": q_typed_csv,
+    "typed_schema": q_typed_schema,
     "tsv_ingest": q_tsv_ingest,
     "tsv_ingest_mixed": q_tsv_ingest_mixed,
     "tsv_ledger": q_tsv_ledger,

@@ -349,6 +349,12 @@ WHERE rn = 1"""
         LABEL_POSTS_FOR("'source=' || source", mojibake("d.text"))
         + " SELECT raw_tweet, clean_text, event_id, event_title, source FROM labelled"
     )
+    q["typed_csv"] = """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id, round(value, 6) AS value,
+  event_id % 2 = 0 AS even, CASE event_id % 1000 WHEN 7 THEN NULL WHEN 8 THEN 'x' ELSE CAST(event_id AS VARCHAR) END AS mixed,
+  CAST(NULL AS VARCHAR) AS nothing, event_type, event_id * 2 AS double_id FROM events"""
+    # a column of events is of its own type again; ``mixed`` has words in it, ``nothing`` no value
+    q["typed_schema"] = """SELECT * FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('value', 'double'), ('even', 'boolean'),
+  ('mixed', 'string'), ('nothing', 'string'), ('event_type', 'string')) AS t(name, kind) WHERE (SELECT count(*) FROM events) > 0"""
     kind = "((ascii(source) + length(source)) % 4)"
     long_row = "doc_id % 11 = 3"
     raw = mojibake("text")

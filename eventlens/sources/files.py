@@ -45,6 +45,12 @@ def event_name_from_file(path_col="_metadata.file_path") -> Column:
     return F.try_url_decode(F.replace(event_name_from_path(c), F.lit("+"), F.lit("%2B")))
 
 
+def _holds_newlines(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Some line of the files leaves a quote open, so a field may hold a newline. One pass over split files."""
+    lines = spark.read.schema("line string").option("sep", _NO_SEPARATOR).option("quote", "").option("encoding", encoding).csv(path)
+    return not lines.where("line is not null").where(_open_quote(F.col("line"))).isEmpty()
+
+
 def read_posts_csv(
     spark: SparkSession,
     path: str,
@@ -53,10 +59,18 @@ def read_posts_csv(
     types: Sequence[T.DataType] | None = None,
     encoding: str = "UTF-8",
     schema: T.StructType | None = None,
+    multi_line: bool | None = None,
+    infer: bool = False,
 ) -> DataFrame:
-    """A1/A2: CSV with header (all columns string unless a schema is given) or headerless with names."""
+    """A1/A2: CSV with header or headerless with names; strings, unless a schema is given or types are inferred.
+
+    ``multi_line``: whether fields may hold newlines, in which case a file is read by one task; by default
+    a pass over the lines finds out, so files without such fields are split. ``infer``: see ``typed``.
+    """
+    if multi_line is None:
+        multi_line = _holds_newlines(spark, path, encoding)
     reader = (
-        spark.read.option("header", header).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"')
         .option("encoding", encoding).option("mode", "PERMISSIVE")
     )
     if schema is None and names is not None:
@@ -65,7 +79,61 @@ def read_posts_csv(
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path)
-    return df.select(*[na_to_null(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+    read = df.select(*[na_to_null(f"`{c}`").alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return typed(read) if infer else read
+
+
+# The lattice of inferred types: a column is of the first one that reads all its values, else a string.
+_INTEGER = r"^[+-]?\d{1,19}$"
+_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|^[+-]?inf$"
+_STAMP = r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
+TRUE_WORDS, FALSE_WORDS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
+
+
+def _as(kind: str, c: Column) -> Column:
+    """A text value as one of the types; null if it is none."""
+    if kind == "boolean":
+        return F.when(c.isin(*TRUE_WORDS), True).when(c.isin(*FALSE_WORDS), False)
+    if kind == "bigint":
+        return F.when(c.rlike(_INTEGER), c.try_cast("bigint"))
+    if kind == "double":
+        return F.when(c.rlike(_DECIMAL), F.replace(c, F.lit("inf"), F.lit("Infinity")).try_cast("double"))
+    if kind == "timestamp_ntz":
+        return F.when(c.rlike(_STAMP), c.try_cast("timestamp_ntz"))
+    return c
+
+
+LATTICE = ("boolean", "bigint", "double", "timestamp_ntz", "string")
+
+
+def inferred_types(df: DataFrame) -> dict[str, str]:
+    """The type of every text column from all its values, by one mergeable aggregate: per column and type, whether any value is not of it.
+
+    A column without a value is a string. Integers stay integers beside nulls (pandas makes them floats),
+    and ISO dates are timestamps (pandas leaves them text until they are parsed).
+    """
+    texts = [c for c, t in df.dtypes if t == "string"]
+    if not texts:
+        return {}
+    unread = []
+    for i, name in enumerate(texts):
+        c = F.trim(F.col(f"`{name}`"))
+        there = c.isNotNull()
+        unread.append(F.max(there).alias(f"there{i}"))
+        unread += [F.max(there & _as(kind, c).isNull()).alias(f"{kind}{i}") for kind in LATTICE[:-1]]
+    row = df.agg(*unread).first()
+    return {name: next((k for k in LATTICE[:-1] if row[f"there{i}"] and not row[f"{k}{i}"]), "string") for i, name in enumerate(texts)}
+
+
+def typed(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with its text columns as their inferred (or given) types."""
+    types = inferred_types(df) if types is None else types
+    out = []
+    for name, have in df.dtypes:
+        kind = types.get(name, "string") if have == "string" else have
+        c = F.col(f"`{name}`")
+        out.append((c if kind == have else _as(kind, F.trim(c))).alias(name))
+    return df.select(*out)
 
 
 def read_headerless_posts(spark: SparkSession, path: str) -> DataFrame:

@@ -118,3 +118,34 @@ def test_lines_of_a_split_file_keep_their_order(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r.raw_tweet for r in rows] == [f"row number {i} é" for i in range(20000)]
     assert len({r.row_no.block for r in rows}) > 4
+
+
+def test_inferred_types_go_up_the_lattice(spark):
+    data = [
+        ("1", "1.5", "True", "2020-07-25", "7", "1e3", "9999999999999999999", None, "x", " 4", "1d"),
+        ("-2", "2", "false", "2020-07-25 10:00:01", None, "-.5", "1", None, "2", "5 ", "2"),
+    ]
+    names = list("abcdefghijk")
+    df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in names))
+    want = ["bigint", "double", "boolean", "timestamp_ntz", "bigint", "double", "double", "string", "string", "bigint", "string"]
+    assert files.inferred_types(df) == dict(zip(names, want))
+    got = files.typed(df).collect()
+    assert (got[0].a, got[1].b, got[1].c, got[1].e, got[0].f, got[1].j) == (1, 2.0, False, None, 1000.0, 5)
+    # one value decides for all rows, wherever it lies
+    big = spark.range(5000).selectExpr("if(id = 4321, 'late', cast(id AS string)) AS v").repartition(8)
+    assert files.inferred_types(big) == {"v": "string"} and files.inferred_types(big.limit(0)) == {"v": "string"}
+
+
+def test_files_without_newlines_in_fields_are_split(spark):
+    root = tempfile.mkdtemp(prefix="eventlens-csv-")
+    write(f"{root}/plain/a.csv", "id,text\n" + "".join(f'{i},"row, {i}"\n' for i in range(20000)), "utf-8")
+    write(f"{root}/broken/a.csv", 'id,text\n1,"two\nlines"\n', "utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        plain = files.read_posts_csv(spark, f"{root}/plain", infer=True)
+        assert plain.rdd.getNumPartitions() > 4 and plain.dtypes == [("id", "bigint"), ("text", "string")]
+        assert plain.agg(F.count("*"), F.sum("id")).first()[:] == (20000, 20000 * 19999 // 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in files.read_posts_csv(spark, f"{root}/broken", infer=True).collect()] == [(1, "two\nlines")]
