@@ -1,18 +1,18 @@
-"""Initial clustering (J3) and the silhouette score (J4): Spark ML, plus an exact blocked form."""
+"""Initial clustering (J3), whatever the partitioning, and the silhouette score (J4): Spark ML, plus an exact blocked form."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.operators.rows import dense_codes
+from eventlens.session import materialize
 
 # Clusters per pipeline and seed.
 COVID_CLUSTERS = 120
@@ -21,27 +21,172 @@ SEED = 42
 KMEANS_REL_TOL = 1e-4
 
 
+#: Rows that the first centres are fitted on, drawn by hash; all rows then correct them.
+FIT_ROWS = 20_000
+MAX_ROUNDS = 300
+
+
+def _points(column) -> np.ndarray:
+    return np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), np.float64)
+
+
+class Grid:
+    """Vectors as whole numbers, so small that their distances are exact in doubles, whatever the order of summing."""
+
+    def __init__(self, most: float, dim: int):
+        bits = (50 - int(np.ceil(np.log2(max(2, dim))))) // 2
+        self.unit = (most or 1.0) / (1 << (bits - 1))
+
+    def on(self, vectors: np.ndarray) -> np.ndarray:
+        return np.rint(vectors / self.unit)
+
+    @staticmethod
+    def squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return (points**2).sum(1)[:, None] - 2.0 * (points @ centres.T) + (centres**2).sum(1)[None]
+
+
+def _moved(total: list[int], count: int) -> np.ndarray:
+    """A mean of whole numbers, rounded to one: the same for the same rows."""
+    return np.array([float((2 * t + count) // (2 * count)) for t in total])
+
+
+def _lloyd(points: np.ndarray, weights: np.ndarray, centres: np.ndarray, tol: float) -> np.ndarray:
+    """Weighted Lloyd rounds on few points, in memory."""
+    for _ in range(MAX_ROUNDS):
+        near = np.concatenate([Grid.squares(points[i : i + 4096], centres).argmin(1) for i in range(0, len(points), 4096)])
+        new = centres.copy()
+        for c in np.unique(near):
+            own = near == c
+            # whole numbers: exact below 2^53
+            new[c] = _moved([int(x) for x in (weights[own, None] * points[own]).sum(0)], int(weights[own].sum()))
+        shift = ((new - centres) ** 2).sum()
+        centres = new
+        if shift <= tol:
+            break
+    return centres
+
+
+def _first_centres(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over weighted points; fewer centres if there are fewer distinct points."""
+    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    near = Grid.squares(points, points[chosen])[:, 0]
+    while len(chosen) < k and near.max() > 0:
+        mass = weights * near
+        chosen.append(int(rng.choice(len(points), p=mass / mass.sum())))
+        near = np.minimum(near, Grid.squares(points, points[chosen[-1:]])[:, 0])
+    return points[chosen]
+
+
+def _sums(grid: Grid, centres: np.ndarray):
+    """mapInArrow function: per centre, the number of its rows and their sums, in whole numbers."""
+    dim = centres.shape[1]
+
+    def run(batches):
+        count, total = np.zeros(len(centres), np.int64), np.zeros(centres.shape, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                points, weight = grid.on(_points(batch.column("v"))).astype(np.int64), batch.column("w").to_numpy()
+                near = Grid.squares(points.astype(np.float64), centres).argmin(1)
+                np.add.at(count, near, weight)
+                np.add.at(total, near, points * weight[:, None])
+        some = np.flatnonzero(count)
+        names = ["c", "n", *[f"s{i}" for i in range(dim)]]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), *[pa.array(total[some, i]) for i in range(dim)]], names=names)
+
+    return run
+
+
+def keyed_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = SEED, key: str | None = None, fit_rows: int = FIT_ROWS):
+    """J3's centres, the same for the same rows under any partitioning; returns (centres on the grid, grid).
+
+    Rows are drawn by a hash of ``key`` (by default of the vector), and coordinates are rounded to a grid
+    on which sums and distances are exact, so no order of adding matters. First centres: k-means++ and
+    Lloyd rounds on ``fit_rows`` drawn rows; 2 k more rows, drawn from all by squared distance, join
+    them as candidates, weighted by the rows nearest to each (a far group too small for the draw is
+    found this way). Then Lloyd rounds over all rows, one aggregate each, until the centres' squared
+    shift is within the tolerance, which is relative to the mean variance, as in the reference.
+    """
+    rows = df.select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(F.lit(seed), F.col(key) if key else F.col(vec_col)).alias("h")).where("v is not null")
+    # without a key equal vectors have one hash, so they are one row with a weight
+    rows = rows.withColumn("w", F.lit(1).cast("long")) if key else rows.groupBy("v", "h").agg(F.count(F.lit(1)).alias("w"))
+    rows = materialize(rows, "kmeans-rows")
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), largest.alias("most"), F.max(F.size("v")).alias("dim")).first()
+    n, dim = stats["n"], stats["dim"]
+    if not n:
+        return np.zeros((0, 0)), Grid(1.0, 1)
+    grid, rng = Grid(stats["most"], dim), np.random.default_rng(seed)
+    share = 1.0 if n <= fit_rows else fit_rows / n
+    drawn = rows if share == 1.0 else rows.where(F.col("h") < int(2**64 * share) - 2**63)
+    some = drawn.orderBy("h", "v").select("v", "w").toArrow()
+    points, weights = grid.on(_points(some["v"])), some["w"].to_numpy().astype(np.float64)
+    mean = (weights[:, None] * points).sum(0) / weights.sum()
+    tol = KMEANS_REL_TOL * float(((weights[:, None] * (points - mean) ** 2).sum(0) / weights.sum()).mean())
+    centres = _lloyd(points, weights, _first_centres(points, weights, k, rng), tol)
+    if share < 1.0:
+        centres = _with_far_rows(rows, grid, centres, k, rng, tol)
+    centres = centres[np.lexsort(centres.T[::-1])]
+    schema = "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))
+    for _ in range(MAX_ROUNDS):
+        sums = rows.select("v", "w").mapInArrow(_sums(grid, centres), schema).groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(dim)])
+        new = centres.copy()
+        for r in sums.collect():  # a row per centre
+            new[r["c"]] = _moved([r[f"s{i}"] for i in range(dim)], r["n"])
+        shift = ((new - centres) ** 2).sum()
+        centres = new
+        if shift <= tol:
+            break
+    return centres, grid
+
+
+def _with_far_rows(rows: DataFrame, grid: Grid, centres: np.ndarray, k: int, rng: np.random.Generator, tol: float) -> np.ndarray:
+    """Centres refitted with 2 k rows drawn by squared distance, exactly and by hash, from all rows."""
+
+    def far(batches):
+        for batch in batches:
+            points = grid.on(_points(batch.column("v"))) if batch.num_rows else np.zeros((0, centres.shape[1]))
+            square = Grid.squares(points, centres).min(1)
+            u = (batch.column("h").to_numpy().astype(np.float64) + 2.0**63 + 0.5) / 2.0**64
+            mass = square * batch.column("w").to_numpy()
+            wait = np.where(mass > 0, -np.log(u) / np.maximum(mass, 1), np.inf)  # the least of these: a draw by weight
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("h"), pa.array(wait)], names=["v", "h", "wait"])
+
+    found = rows.mapInArrow(far, "v array<double>, h long, wait double").where(F.col("wait") < float("inf"))
+    more = found.orderBy("wait", "h", "v").limit(2 * k).select("v").toArrow()["v"]
+    if not len(more):
+        return centres
+    points = np.unique(np.vstack([centres, grid.on(_points(more))]), axis=0)
+    dim = points.shape[1]
+    counts = rows.select("v", "w").mapInArrow(_sums(grid, points), "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))).groupBy("c").agg(F.sum("n").alias("n"))
+    weights = np.zeros(len(points))
+    for r in counts.collect():  # a row per candidate
+        weights[r["c"]] = r["n"]
+    held = weights > 0
+    points, weights = points[held], weights[held]
+    return _lloyd(points, weights, _first_centres(points, weights, k, rng), tol)
+
+
 def assign_events(
-    df: DataFrame, vec_col: str, k: int, seed: int = SEED, out: str = "event_id", with_centers: bool = False
+    df: DataFrame, vec_col: str, k: int, seed: int = SEED, out: str = "event_id", with_centers: bool = False, key: str | None = None
 ):
-    """K-means (k-means|| init, distributed Lloyd iterations); k is capped at the row count.
+    """K-means; every row with its nearest centre, the same labels under any partitioning (``keyed_kmeans``).
 
-    With ``with_centers`` also returns the k centres (k x dim, bounded by k).
+    ``k`` is an upper bound: no more centres than distinct vectors. With ``with_centers`` also
+    returns the centres (k x dim, bounded by k). A null vector gets a null label.
     """
-    v = df.withColumn("_features", array_to_vector(F.col(vec_col)))
-    stats = v.agg(F.count(F.lit(1)).alias("n"), Summarizer.variance(F.col("_features")).alias("var")).first()
-    n = stats["n"]
-    k_eff = max(1, min(k, n))
-    if k_eff == 1:
-        res = v.drop("_features").withColumn(out, F.lit(0).cast("long"))
-        return (res, None) if with_centers else res
-    # the reference's tolerance is relative: 1e-4 x mean feature variance bounds the
-    # squared centre shift; Spark's tol bounds each centre's shift, so take its root
-    mean_var = float(np.mean(stats["var"].toArray())) if stats["var"] is not None else 0.0
-    tol = max(float(np.sqrt(KMEANS_REL_TOL * mean_var)), 1e-12)
-    model = KMeans(k=k_eff, seed=seed, maxIter=300, tol=tol, featuresCol="_features", predictionCol="_pred").fit(v)
-    res = model.transform(v).withColumn(out, F.col("_pred").cast("long")).drop("_features", "_pred")
-    return (res, [c.tolist() for c in model.clusterCenters()]) if with_centers else res
+    centres, grid = keyed_kmeans(df, vec_col, k, seed, key)
+
+    @F.pandas_udf("long")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        there = vectors.notna()
+        label = pd.Series([None] * len(vectors), dtype="Int64")
+        if there.any() and len(centres):
+            points = grid.on(np.vstack(vectors[there].to_numpy()).astype(np.float64))
+            label[there.to_numpy()] = Grid.squares(points, centres).argmin(1)
+        return label
+
+    res = df.withColumn(out, nearest(F.col(vec_col).cast("array<double>")))
+    return (res, [(c * grid.unit).tolist() for c in centres]) if with_centers else res
 
 
 def silhouette(df: DataFrame, vec_col: str, label_col: str, distance: str = "squaredEuclidean") -> float:

@@ -508,6 +508,14 @@ def q_assign_events_check(spark, sf_dir):
     )
 
 
+def q_assign_events_layout(spark, sf_dir):
+    """J3 as a property: labels under three layouts, rows whose label is not the same in all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    labels = [cluster.assign_events(e.repartition(n), "embedding", 10, cluster.SEED, out=f"label{n}").select("vec_id", f"label{n}") for n in (1, 8, 200)]
+    all_ = labels[0].join(labels[1], "vec_id").join(labels[2], "vec_id")
+    return all_.agg(F.count(F.lit(1)).alias("num_rows"), F.count_if((F.col("label1") != F.col("label8")) | (F.col("label1") != F.col("label200"))).cast("long").alias("differing"))
+
+
 def q_merge_then_enrich(spark, sf_dir):
     """K2 into K3: the merged table with display text and emotion features."""
     return pl.emotion_features(q_merge_datasets(spark, sf_dir), "raw_text")
@@ -691,6 +699,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assign_events": q_assign_events,
     "reduce_dims_check": q_reduce_dims_check,
     "assign_events_check": q_assign_events_check,
+    "assign_events_layout": q_assign_events_layout,
     "merge_then_enrich": q_merge_then_enrich,
     "export_events": q_export_events,
     "discover_events": q_discover_events,

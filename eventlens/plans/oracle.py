@@ -336,6 +336,7 @@ WHERE rn = 1"""
     q["reduce_neighbours_check"] = (
         "SELECT count(*) AS num_rows, CAST(10 AS BIGINT) AS min_width, CAST(10 AS BIGINT) AS max_width, true AS truer_than_pca FROM embeddings"
     )
+    q["assign_events_layout"] = "SELECT count(*) AS num_rows, CAST(0 AS BIGINT) AS differing FROM embeddings"
     q["knn_graph_check"] = "SELECT count(*) AS num_rows, CAST(0 AS BIGINT) AS own, true AS recall_reached FROM embeddings"
     q["reduce_dims_check"] = (
         "SELECT count(*) AS num_rows, CAST(10 AS BIGINT) AS min_width, CAST(10 AS BIGINT) AS max_width, true AS falling FROM embeddings"

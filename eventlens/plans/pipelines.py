@@ -247,7 +247,7 @@ def discover_events(
         order_col, "embedding"
     )
     reduced = reduce_dims(feats, "embedding", cfg.reduced_dim).persist(StorageLevel.MEMORY_AND_DISK)
-    labelled = assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster")
+    labelled = assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster", key=order_col)
     merged = merge_events(labelled.select(order_col, "embedding", "_cluster"), "_cluster", "embedding")
     events = posts.join(merged.select(order_col, "event_id"), order_col)
     titles = title_events(events, "event_id", "clean_text")

@@ -30,3 +30,42 @@ def test_kmeans_caps_k_at_rows(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(3)], "id long, v array<double>")
     out = cluster.assign_events(df, "v", 120)
     assert out.select("event_id").distinct().count() <= 3
+
+
+def blobs(n, k=8, dim=6, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = 10 * rng.standard_normal((k, dim))
+    return centres[rng.integers(0, k, n)] + rng.standard_normal((n, dim))
+
+
+@pytest.mark.parametrize("fit_rows,key", [(20_000, None), (300, "id"), (300, None)])
+def test_kmeans_labels_do_not_depend_on_partitions(spark, fit_rows, key):
+    points = blobs(2000)
+    points[:600] = points[0]  # one vector as a third of the rows
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    found = []
+    for parts in (1, 8, 60):
+        centres, grid = cluster.keyed_kmeans(df.repartition(parts), "v", 8, key=key, fit_rows=fit_rows)
+        found.append((centres.tolist(), grid.unit))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 8
+    labels = [{r["id"]: r["event_id"] for r in cluster.assign_events(df.repartition(p), "v", 8, key=key).collect()} for p in (1, 60)]
+    assert labels[0] == labels[1]
+
+
+def test_kmeans_is_about_as_tight_as_plain_lloyd_and_finds_a_far_small_group(spark):
+    points = np.vstack([blobs(3000, seed=1), 500 + np.random.default_rng(1).standard_normal((4, 6))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>").repartition(5)
+    centres, grid = cluster.keyed_kmeans(df, "v", 9, key="id", fit_rows=200)
+    cost = cluster.Grid.squares(points, centres * grid.unit).min(1).sum()
+    whole, even = np.rint(points * 1024), np.ones(len(points))
+    tries = [cluster._lloyd(whole, even, cluster._first_centres(whole, even, 9, np.random.default_rng(i)), 1.0) for i in range(5)]
+    best = min(cluster.Grid.squares(whole, c).min(1).sum() for c in tries) / 1024**2
+    assert cost <= 1.3 * best
+    near = cluster.Grid.squares(points[-4:], centres * grid.unit).argmin(1)
+    assert len(set(near)) == 1 and (cluster.Grid.squares(points[:-4], centres * grid.unit).argmin(1) != near[0]).all()
+
+
+def test_kmeans_nulls_and_empty_table(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [5.0, 1.0])], "id long, v array<double>")
+    assert {r["id"]: r["event_id"] is None for r in cluster.assign_events(df, "v", 2).collect()} == {1: False, 2: True, 3: False}
+    assert cluster.assign_events(df.limit(0), "v", 2).count() == 0
