@@ -1,17 +1,15 @@
 """Similarity graph over clusters: adaptive threshold (J6), connected
 components (J7), renumbering (J8) and the full merge (J9).
 
-Connected components run as iterated min-label propagation with pointer
-jumping, as DataFrame joins. Each round's labels are written as a table in
-the shared checkpoint folder (spark.checkpoint.dir), which cuts lineage and
-survives executor loss; the loop stops when no label changes.
+Connected components run as alternating large-star and small-star steps, as
+DataFrame joins. Each round's edges are written as a table in the shared
+checkpoint folder (spark.checkpoint.dir), which cuts lineage and survives
+executor loss; the loop stops when no edge changes.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.operators.rows import dense_codes, exact_quantile, group_sizes, min_group_size
@@ -37,40 +35,59 @@ def strong_edges(edges: DataFrame, q: float = THRESHOLD_QUANTILE) -> DataFrame:
     return edges.filter((F.col("src") != F.col("dst")) & (F.col("sim") > t))
 
 
-def _propagate(labels: DataFrame, und: DataFrame) -> DataFrame:
-    """One round; returns (id, label, changed)."""
-    # every node takes the smallest label among itself and its neighbours ...
-    offers = und.join(labels.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("label").alias("offer"))
-    step = labels.join(offers.withColumnRenamed("b", "id"), "id", "left").select(
-        "id", F.col("label").alias("old"), F.least(F.col("label"), F.coalesce(F.col("offer"), F.col("label"))).alias("label")
-    )
-    # ... then adopts its label's label (pointer jumping halves chains)
-    parent = step.select(F.col("id").alias("label"), F.col("label").alias("plabel"))
-    nxt = step.join(parent, "label", "left").select(
-        "id", "old", F.least(F.col("label"), F.coalesce(F.col("plabel"), F.col("label"))).alias("label")
-    )
-    return nxt.select("id", "label", (F.col("label") != F.col("old")).alias("changed"))
+def _least_neighbour(both: DataFrame) -> DataFrame:
+    """(u, m): the least of a node and its neighbours, combined before the shuffle."""
+    return both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+
+
+def _star(both: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, v) with u > v: every link (u, v) becomes (v, the least neighbour of u).
+
+    The join is of all links with one row per node, which adaptive execution splits at a hub.
+    """
+    met = links.join(_least_neighbour(both), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node links its greater neighbours to the least of its neighbourhood."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    own = edges.select("u", F.col("u").alias("v"))  # a node that has a lesser neighbour is linked to the least as well
+    return _star(both, both.where("v > u").unionByName(own))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node links its lesser neighbours, and itself, to the least of them."""
+    return _star(edges, edges.unionByName(edges.select("u", F.col("u").alias("v"))))
+
+
+def _print(edges: DataFrame) -> tuple:
+    """Number and hash of the edges: equal for equal sets."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id") -> DataFrame:
     """(id, component) where component is the smallest id in the node's component.
 
-    Each round is written once (shared folder); the number of changed labels
-    is observed during that write, so convergence costs no extra job. Rounds
-    go on until no label changes; labels only fall, so they end.
+    Alternating large-star and small-star: each round replaces the edges by as many or fewer that
+    lie nearer to the least node, until every node is linked to the least of its component, which
+    takes a number of rounds of the order of the logarithm of the graph's size, for hubs and long
+    chains alike. A round is written once (shared folder), which cuts lineage; the rounds end when
+    it leaves the edges as they are.
     """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    und = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    und = materialize(und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = nodes.select(F.col(node_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id"))
-    for i in count():
-        seen = Observation(f"cc-round-{i}")  # counted while the round is written: no extra job
-        nxt = materialize(_propagate(labels, und).observe(seen, F.count_if(F.col("changed")).alias("n")), "cc-labels")
-        labels = nxt.select("id", "label")
-        if seen.get["n"] == 0:
+    ensure_checkpoint_dir(nodes.sparkSession)
+    ids = nodes.select(F.col(node_col).cast("long").alias("id")).distinct()
+    pairs = edges.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v"))
+    links = materialize(pairs.where("u > v").distinct(), "cc-edges")
+    known = _print(links)
+    while known[0]:
+        links = materialize(_small_star(_large_star(links)), "cc-edges")
+        before, known = known, _print(links)
+        if known == before:
             break
-    return labels.select(F.col("id").alias(node_col), F.col("label").alias("component"))
+    # stars now: one edge per node that is not the least
+    labels = ids.join(links.withColumnRenamed("u", "id"), "id", "left")
+    return labels.select(F.col("id").alias(node_col), F.coalesce("v", F.col("id")).alias("component"))
 
 
 def renumber_components(components: DataFrame, node_col: str = "id") -> DataFrame:

@@ -127,3 +127,37 @@ def test_dense_codes_and_quantile(spark):
         assert abs(got - float(np.quantile(vals, q))) < 1e-12
     empty = spark.createDataFrame([], "sim double")
     assert rows.exact_quantile(empty, "sim", 0.9).collect()[0]["sim"] is None
+
+
+def test_components_of_random_graphs_against_reachability(spark):
+    rng = np.random.default_rng(3)
+    for n, m in ((60, 30), (60, 60), (40, 150)):
+        pairs = rng.integers(0, n, (m, 2)) * 7  # sparse ids, self loops and repeats among them
+        reach = np.eye(n, dtype=bool)
+        for a, b in pairs // 7:
+            reach[a, b] = reach[b, a] = True
+        for _ in range(7):
+            reach = reach @ reach
+        edges = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "src long, dst long").repartition(3)
+        got = graph.connected_components(spark.range(n).selectExpr("id * 7 AS id"), edges).collect()
+        assert {r["id"]: r["component"] for r in got} == {i * 7: int(reach[i].argmax()) * 7 for i in range(n)}
+
+
+def test_hubs_and_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    count = graph._print
+    monkeypatch.setattr(graph, "_print", lambda e: (rounds.append(e.count()), count(e))[1])
+    star = spark.range(0, 199_999).selectExpr("id AS src", "199999L AS dst")
+    found = graph.connected_components(spark.range(200_000), star)
+    assert found.where("component = 0").count() == 200_000 and len(rounds) <= 5
+    rounds.clear()
+    chain = spark.range(0, 9999).selectExpr("pmod(id * 48271, 10007) AS src", "pmod((id + 1) * 48271, 10007) AS dst")
+    found = graph.connected_components(spark.range(10_007), chain)
+    assert found.groupBy("component").count().count() == 8 and len(rounds) <= 20
+    assert all(a >= b for a, b in zip(rounds, rounds[1:]))  # edges never grow
+
+
+def test_components_without_edges_or_nodes(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert [tuple(r) for r in graph.connected_components(spark.range(2), none).orderBy("id").collect()] == [(0, 0), (1, 1)]
+    assert graph.connected_components(spark.range(0), none).count() == 0
