@@ -52,8 +52,7 @@ def _star(both: DataFrame, links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its greater neighbours to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    own = edges.select("u", F.col("u").alias("v"))  # a node that has a lesser neighbour is linked to the least as well
-    return _star(both, both.where("v > u").unionByName(own))
+    return _star(both, both.where("v > u"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
