@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,14 +223,14 @@ def _block_distance_sums(batches):
             di, dv, dl = np.asarray(d_ids), np.vstack(d_vecs).astype(np.float64), np.asarray(d_labels)
             sq = (qv * qv).sum(1)[:, None] + (dv * dv).sum(1)[None, :] - 2.0 * qv @ dv.T
             dist = np.sqrt(np.maximum(sq, 0.0))
-            not_self = qi[:, None] != di[None, :]
-            for lab in np.unique(dl):
-                mask = (dl == lab)[None, :] & not_self
-                sums = (dist * mask).sum(1)
-                cnts = mask.sum(1)
-                for r in np.nonzero(cnts)[0]:
-                    out.append((int(qi[r]), int(ql[r]), int(lab), float(sums[r]), int(cnts[r])))
-        yield pd.DataFrame(out, columns=["id", "label", "other", "dsum", "cnt"])
+            dist[qi[:, None] == di[None, :]] = 0.0
+            labels, at = np.unique(dl, return_inverse=True)
+            member = np.eye(len(labels))[at]  # one product gives every row's sums by label
+            sums = dist @ member
+            counts = member.sum(0)[None, :] - (qi[:, None] == di[None, :]) @ member
+            r, c = np.nonzero(counts)
+            out.append(pd.DataFrame({"id": qi[r], "label": ql[r], "other": labels[c], "dsum": sums[r, c], "cnt": counts[r, c].astype(np.int64)}))
+        yield pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "other": [], "dsum": [], "cnt": []})
 
 
 def silhouette_exact(df: DataFrame, id_col: str, vec_col: str, label_col: str, block_rows: int = 1024) -> DataFrame:
@@ -269,3 +269,69 @@ def silhouette_exact(df: DataFrame, id_col: str, vec_col: str, label_col: str, b
     # points alone in their cluster have no 'a' row at all: they score 0 but still count
     scores = pts.select(F.col("pid").alias("id")).join(ab.select("id", s.alias("s")), "id", "left")
     return scores.agg(F.round(F.avg(F.coalesce(F.col("s"), F.lit(0.0))), 9).alias("silhouette"))
+
+
+SILHOUETTE_SAMPLE, SAMPLE_BYTES = 200, 64 << 20
+Z_BOUND = 3.0  # standard errors that the bound covers
+
+
+def silhouette_sampled(df: DataFrame, id_col: str, vec_col: str, label_col: str, per_label: int = SILHOUETTE_SAMPLE, seed: int = SEED) -> DataFrame:
+    """J4, Euclidean, at linear cost: one row (silhouette, error_bound, num_rows, sampled).
+
+    Every row is compared with a sample of each cluster (``per_label`` rows by hash, fewer if all samples
+    would pass ``SAMPLE_BYTES``), whose mean distances estimate those to the whole clusters. The bound sums, over
+    rows, how far ``Z_BOUND`` standard errors of the own and the nearest other mean can move the row's score;
+    any other cluster that could be the nearest counts with its own error. A cluster that is sampled
+    whole has none, so with small clusters the score is exact and the bound 0. Rows with a null
+    vector or label are left out.
+    """
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(label_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v")
+    )
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # a number per cluster
+    if len(sizes) < 2:
+        return rows.agg(F.lit(0.0).alias("silhouette"), F.lit(0.0).alias("error_bound"), F.count(F.lit(1)).alias("num_rows"), F.lit(0).cast("long").alias("sampled"))
+    dim = rows.select(F.size("v")).first()[0]
+    most = max(2, min(per_label, SAMPLE_BYTES // (8 * dim * len(sizes))))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    drawn = rows.withColumn("_p", place).where(F.col("_p") <= most).drop("_p").orderBy("label", "id").toArrow()
+    labels = np.array(sorted(sizes))
+    own_ids, own, points = drawn["id"].to_numpy(), np.searchsorted(labels, drawn["label"].to_numpy()), _points(drawn["v"])
+    total = np.array([sizes[x] for x in labels], np.float64)
+    member = np.eye(len(labels))[own]
+
+    def scores(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, at = _points(batch.column("v")), np.searchsorted(labels, batch.column("label").to_numpy())
+            itself = batch.column("id").to_numpy()[:, None] == own_ids[None, :]
+            far = np.sqrt(np.maximum(Grid.squares(v, points), 0.0))
+            far[itself] = 0.0
+            n = member.sum(0)[None, :] - itself @ member
+            mean = np.divide(far @ member, n, out=np.full(n.shape, np.inf), where=n > 0)
+            spread = np.divide((far**2) @ member, n, out=np.zeros(n.shape), where=n > 0) - np.where(n > 0, mean, 0) ** 2
+            row = np.arange(len(v))
+            whole = np.repeat(total[None, :], len(v), 0)
+            whole[row, at] -= 1  # the others of its own cluster
+            left = np.clip(1 - n / np.maximum(whole, 1), 0, 1)
+            error = Z_BOUND * np.sqrt(np.maximum(spread, 0) / np.maximum(n - 1, 1) * left)
+            a, ea = mean[row, at], error[row, at]
+            others = mean.copy()
+            others[row, at] = np.inf
+            b = others.min(1)
+            rivals = np.where(others - error <= (b + error[row, others.argmin(1)])[:, None], error, 0.0)
+            rivals[row, at] = 0.0
+            eb = rivals.max(1)
+            alone = (total[at] <= 1) | ~np.isfinite(a)
+            greater = np.maximum(a, b)
+            flat = alone | ~(greater > 0)
+            s = np.divide(b - a, greater, out=np.zeros(len(a)), where=~flat)
+            low, high = np.maximum(np.minimum(a, b), 0), np.where(greater > 0, greater, 1.0)
+            moved = np.minimum(2.0, (np.where(a < b, ea, eb) + low / high * np.where(a < b, eb, ea)) / np.maximum(high - np.where(a < b, eb, ea), 1e-300))
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.where(flat, 0.0, moved))], names=["s", "e"])
+
+    found = rows.mapInArrow(scores, "s double, e double")
+    return found.agg(
+        F.avg("s").alias("silhouette"), F.avg("e").alias("error_bound"), F.count(F.lit(1)).alias("num_rows"), F.lit(len(own)).cast("long").alias("sampled")
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import ENGLISH_STOP_WORDS, term_filter
+from eventlens.session import materialize
 
 # Fixed values of the reference's event labelling and scoring.
 TITLE_TERMS = 3
@@ -116,17 +117,26 @@ def topic_coherence(
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("num_tweets")).filter(F.col("num_tweets") >= min_rows)
     big = df.join(sizes.select(key), key, "left_semi")
-    # one explode, one partial aggregate: occurrences per (event, doc, term)
-    dtc = _terms(big, key, clean_col, doc_col, stop_words).groupBy(key, doc_col, "term").agg(
-        F.count(F.lit(1)).alias("_occ")
-    )
-    present = dtc.select(key, doc_col, "term")
-    if max_terms is not None:
-        tf = dtc.groupBy(key, "term").agg(F.sum("_occ").alias("tf"))
-        vocab = top_n_per_group(tf, key, [F.desc("tf"), F.asc("term")], max_terms, "_r").select(key, "term")
-        present = present.join(vocab, [key, "term"], "left_semi")
-    per_doc = present.groupBy(key, doc_col).agg(F.count(F.lit(1)).alias("_m"))
-    s_i = present.join(per_doc, [key, doc_col]).groupBy(key, "term").agg(F.sum("_m").cast("double").alias("_s"))
+    # a document's terms are all in its row: sorted there, the first of equal ones carries the number of distinct ones
+    kept = F.array_sort(F.filter(F.split(F.col(clean_col), " "), lambda t: term_filter(t, stop_words)))
+    distinct = F.size(F.array_distinct("_terms"))
+    told = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (t != F.col("_terms")[i - 1]), distinct).otherwise(0).alias("m")))
+    rows = big.select(key, doc_col, kept.alias("_terms")).where(F.size("_terms") > 0)
+    each = rows.select(key, F.explode(told).alias("x")).select(key, "x.term", "x.m")
+    counts = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("m").cast("double").alias("_s"))
+    if max_terms is None:
+        s_i = counts
+    else:
+        counts = materialize(counts, "event-terms")
+        over = materialize(counts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_terms).select(key), "events-over-cap")
+        s_i = counts.join(over, key, "left_anti").select(key, "term", "_s")
+        if not over.isEmpty():
+            # events with more terms: only the top ones count, so the numbers per document are taken again
+            vocab = top_n_per_group(counts.join(over, key, "left_semi"), key, [F.desc("tf"), F.asc("term")], max_terms, "_r").select(key, "term")
+            present = rows.join(over, key, "left_semi").select(key, doc_col, F.explode(F.array_distinct("_terms")).alias("term"))
+            held = present.join(vocab, [key, "term"], "left_semi").groupBy(key, doc_col).agg(F.collect_list("term").alias("_kept"))
+            again = held.select(key, F.explode("_kept").alias("term"), F.size("_kept").alias("m")).groupBy(key, "term").agg(F.sum("m").cast("double").alias("_s"))
+            s_i = s_i.unionByName(again)
     score = s_i.groupBy(key).agg(
         (F.sum(F.col("_s") / (F.col("_s") + F.lit(eps))) / F.pow(F.count(F.lit(1)).cast("double"), 2)).alias("_c")
     )

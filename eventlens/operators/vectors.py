@@ -2,10 +2,11 @@
 cluster centroids (E4) and exact centroid k-NN by inner product (D3/J5/G5).
 
 Scale notes
-  * TF-IDF explodes terms and counts (doc, bucket) with a partial aggregate:
-    all terms of one document sit in one map partition, so the shuffle
-    carries at most ``dim`` rows per document. Document frequencies have at
-    most ``dim`` rows, so broadcasting them is bounded by construction.
+  * TF-IDF counts a document's buckets in its row (Arrow batches); document
+    frequencies are one aggregate of a ``dim``-sized vector, so nothing is
+    shuffled and ``dim`` numbers reach the driver.
+  * A caller's encoder is loaded once per Python worker and gets batches of
+    bounded size.
   * Centroids use Spark ML's Summarizer (an imperative aggregate with a
     map-side combine) - a hot cluster is pre-aggregated before the shuffle.
   * k-NN is exact (like a flat index). Centroids are packed into blocks of at
@@ -17,15 +18,21 @@ Scale notes
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.functions.text import ENGLISH_STOP_WORDS, term_filter
+from eventlens.session import materialize
 
 # Fixed value: similarities are rounded before ranking/quantiles/comparisons so
 # that mirrored pairs tie exactly and last-bit summation order cannot flip a '>'.
@@ -45,45 +52,133 @@ def doc_terms(df: DataFrame, id_col: str, clean_col: str, stop_words=ENGLISH_STO
     )
 
 
+def bucket_counts(df: DataFrame, clean_col: str, dim: int = 256, stop_words=ENGLISH_STOP_WORDS, out: str = "tf") -> DataFrame:
+    """``df`` with the number of kept terms in each of ``dim`` buckets, an array<float> made row by row (no shuffle).
+
+    A bucket is the first 32 bits of the term's md5, modulo ``dim`` (``term_bucket``, the same in SQL engines);
+    a batch hashes each of its distinct terms once.
+    """
+    stop = frozenset(stop_words)
+
+    @F.pandas_udf("array<float>")
+    def counts(texts: pd.Series) -> pd.Series:
+        bucket: dict[str, int] = {}
+        table = np.zeros((len(texts), dim), np.float32)
+        for i, text in enumerate(texts):
+            for term in (text or "").split(" "):
+                if len(term) >= 2 and term not in stop:
+                    at = bucket.get(term)
+                    if at is None:
+                        at = bucket[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+                    table[i, at] += 1
+        return pd.Series(list(table))
+
+    return df.withColumn(out, counts(F.col(clean_col)))
+
+
+def bucket_idf(df: DataFrame, tf_col: str, dim: int) -> list[float]:
+    """ln((N + 1) / (df + 1)) per bucket, from one aggregate of a ``dim``-sized vector; N counts every row."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), Summarizer.numNonZeros(array_to_vector(F.col(tf_col).cast("array<double>"))).alias("d")).first()
+    found = row["d"].toArray() if row["n"] else np.zeros(dim)
+    return [math.log((row["n"] + 1.0) / (x + 1.0)) for x in found]
+
+
+def tfidf_unit(tf_col: str, idf: Sequence[float]) -> Column:
+    """tf x idf to unit length (zeros stay zeros)."""
+    weights = F.array(*[F.lit(float(x)) for x in idf])
+    raw = F.zip_with(F.col(tf_col), weights, lambda tf, w: tf.cast("double") * w)
+    return l2_normalize(raw)
+
+
 def hashed_tfidf(
     df: DataFrame, id_col: str, clean_col: str, dim: int = 256, stop_words=ENGLISH_STOP_WORDS
 ) -> DataFrame:
-    """J1(a): (id, bucket, weight) with tf * ln((N+1)/(df+1)), L2-normalised per document.
+    """J1(a) as a long table: (id, bucket, weight) of the buckets that a document has terms in.
 
-    N counts every input document, including those without a kept term.
+    The vectors are those of ``text_vectors``. N counts every input document, including those without a kept term.
     """
-    n_docs = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    terms = doc_terms(df, id_col, clean_col, stop_words).select(id_col, term_bucket(F.col("term"), dim).alias("bucket"))
-    tf = terms.groupBy(id_col, "bucket").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    dfreq = tf.groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = dfreq.select("bucket", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
-    w = tf.join(F.broadcast(idf), "bucket").select(id_col, "bucket", (F.col("tf") * F.col("idf")).alias("w"))
-    from pyspark.sql import Window
+    v = _weighted(df.select(id_col, clean_col), clean_col, dim, stop_words)
+    long = v.select(id_col, F.posexplode(F.arrays_zip("_tf", "_unit")).alias("bucket", "x"))
+    return long.where("x._tf > 0").select(id_col, "bucket", F.col("x._unit").alias("weight"))
 
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(
-        id_col, "bucket", F.when(norm > 0, F.col("w") / norm).otherwise(F.lit(0.0)).alias("weight")
-    )
+
+def _weighted(df: DataFrame, clean_col: str, dim: int, stop_words) -> DataFrame:
+    counted = materialize(bucket_counts(df, clean_col, dim, stop_words, "_tf"), "term-buckets")
+    return counted.withColumn("_unit", tfidf_unit("_tf", bucket_idf(counted, "_tf", dim)))
 
 
 def text_vectors(
     df: DataFrame, clean_col: str, dim: int = 256, stop_words=ENGLISH_STOP_WORDS, out: str = "embedding"
 ) -> DataFrame:
-    """J1(a) for pipelines: Spark ML HashingTF -> IDF (ln((N+1)/(df+1))) -> L2 Normalizer.
+    """J1(a): ``df`` plus ``out``, hashed TF-IDF with tf * ln((N+1)/(df+1)), L2-normalised, as array<double>.
 
-    Per-row hashing needs no shuffle; the IDF fit is one tree-aggregate of a
-    ``dim``-sized vector. Same weighting as ``hashed_tfidf`` (whose md5 bucket
-    is portable to SQL engines for checking); only the bucket hash differs.
-    Returns ``df`` plus a dense array<double> column ``out``.
+    Counting is per row, the document frequencies are one aggregate: text is shuffled nowhere.
     """
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, StopWordsRemover
+    return _weighted(df, clean_col, dim, stop_words).withColumn(out, F.col("_unit")).drop("_tf", "_unit")
+
+
+# ---------------------------------------------------------------------------
+# J1(b): a caller's encoder
+# ---------------------------------------------------------------------------
+
+ENCODER_BATCH = 64  # as the reference's encoder
+
+
+def embed_text(df: DataFrame, text_col: str, load: Callable[[], Callable], batch: int = ENCODER_BATCH, out: str = "embedding") -> DataFrame:
+    """J1(b): ``df`` plus ``out`` from a model. ``load`` runs once per Python worker and returns a
+    function from a list of texts (at most ``batch``, null as empty) to a matrix with a row for each.
+
+    ``load`` travels to the workers, so it should hold a small model or the name of one that workers can read.
+    """
+
+    def predict_fn():
+        encode = load()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.asarray(encode([t or "" for t in texts.tolist()]), np.float32)
+
+        return predict
+
+    udf = predict_batch_udf(predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    return df.withColumn(out, udf(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+@dataclass(frozen=True)
+class ProjectionEncoder:
+    """A small trained encoder: TF-IDF of hashed terms, projected on the principal axes of the texts it was trained on."""
+
+    idf: tuple[float, ...]
+    axes: tuple[tuple[float, ...], ...]  # one row per bucket
+    stop_words: tuple[str, ...] = tuple(ENGLISH_STOP_WORDS)
+
+    def __call__(self) -> Callable:
+        idf, axes, stop, dim, bucket = np.array(self.idf), np.array(self.axes), frozenset(self.stop_words), len(self.idf), {}
+
+        def encode(texts: Sequence[str]) -> np.ndarray:
+            table = np.zeros((len(texts), dim))
+            for i, text in enumerate(texts):
+                for term in text.split(" "):
+                    if len(term) >= 2 and term not in stop:
+                        if term not in bucket:
+                            if len(bucket) > 1_000_000:  # bounded memory; a term that comes again is hashed again
+                                bucket.clear()
+                            bucket[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+                        table[i, bucket[term]] += 1
+            table *= idf
+            return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12) @ axes
+
+        return encode
+
+
+def train_projection(df: DataFrame, clean_col: str, width: int = 64, dim: int = 1024, stop_words=ENGLISH_STOP_WORDS) -> ProjectionEncoder:
+    """Fits ``ProjectionEncoder`` on all rows: document frequencies, then the principal axes (a distributed fit; dim x dim on the driver)."""
+    from pyspark.ml.feature import PCA
 
-    words = df.withColumn("_w", F.filter(F.split(F.col(clean_col), " "), lambda x: F.length(x) >= 2))
-    words = StopWordsRemover(inputCol="_w", outputCol="_t", stopWords=list(stop_words), caseSensitive=True).transform(words)
-    tf = HashingTF(inputCol="_t", outputCol="_tf", numFeatures=dim).transform(words)
-    tfidf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit", p=2.0).transform(tfidf)
-    return unit.withColumn(out, vector_to_array(F.col("_unit"))).drop("_w", "_t", "_tf", "_idf", "_unit")
+    counted = materialize(bucket_counts(df.select(clean_col), clean_col, dim, stop_words, "_tf"), "term-buckets")
+    idf = bucket_idf(counted, "_tf", dim)
+    unit = counted.select(array_to_vector(tfidf_unit("_tf", idf)).alias("_v"))
+    axes = PCA(k=width, inputCol="_v", outputCol="_p").fit(unit).pc.toArray()
+    return ProjectionEncoder(tuple(idf), tuple(map(tuple, axes.tolist())), tuple(stop_words))
 
 
 def reduce_dims(df: DataFrame, vec_col: str, k: int = 10, out: str = "reduced") -> DataFrame:
@@ -116,24 +211,19 @@ _EDGE_SCHEMA = T.StructType(
 def _topk_block_pairs(k: int):
     def run(batches):
         for pdf in batches:
-            out = []
+            out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             for q_ids, q_vecs, d_ids, d_vecs in zip(pdf["q_ids"], pdf["q_vecs"], pdf["d_ids"], pdf["d_vecs"]):
-                qi = np.asarray(q_ids, dtype=np.int64)
-                di = np.asarray(d_ids, dtype=np.int64)
-                qv = np.vstack(q_vecs).astype(np.float64)
-                dv = np.vstack(d_vecs).astype(np.float64)
-                sims = np.round(qv @ dv.T, SIM_DECIMALS)
+                qi, di = np.asarray(q_ids, dtype=np.int64), np.asarray(d_ids, dtype=np.int64)
+                by_id = np.argsort(di)  # a stable sort by similarity then leaves ties in order of ids
+                di = di[by_id]
+                sims = np.round(np.vstack(q_vecs).astype(np.float64) @ np.vstack(d_vecs).astype(np.float64)[by_id].T, SIM_DECIMALS)
                 sims[qi[:, None] == di[None, :]] = -np.inf  # never pair a vector with itself
-                take = min(k, len(di))
-                for r in range(len(qi)):
-                    # best similarity first, then lower id (np.lexsort: last key is primary)
-                    order = np.lexsort((di, -sims[r]))
-                    picked = [j for j in order[:take + 1] if np.isfinite(sims[r, j])][:take]
-                    for j in picked:
-                        out.append((int(qi[r]), int(di[j]), float(sims[r, j])))
-            yield pd.DataFrame(out, columns=["src", "dst", "sim"]) if out else pd.DataFrame(
-                {"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")}
-            )
+                at = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(sims, at, axis=1)
+                good = np.isfinite(near)
+                found = (np.repeat(qi, good.sum(1)), di[at[good]], near[good])
+                out = [np.concatenate(x) for x in zip(out, found)]
+            yield pd.DataFrame(dict(zip(("src", "dst", "sim"), out)))
 
     return run
 
@@ -149,10 +239,10 @@ def knn_edges(cent: DataFrame, id_col: str, vec_col: str = "unit", k: int = 4, b
     packed = v.groupBy("_blk").agg(
         F.collect_list("_id").alias("ids"), F.collect_list("_v").alias("vecs")
     )
-    n_blocks = v.agg(F.max("_blk")).scalar()
+    present = packed.agg(F.collect_set("_blk")).scalar()  # the blocks that there are: ids may be sparse
     queries = packed.select(
         F.col("_blk").alias("q_blk"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"),
-        F.explode(F.sequence(F.lit(0).cast("long"), n_blocks)).alias("d_blk"),
+        F.explode(present).alias("d_blk"),
     )
     data = packed.select(F.col("_blk").alias("d_blk"), F.col("ids").alias("d_ids"), F.col("vecs").alias("d_vecs"))
     pairs = queries.join(data, "d_blk").select("q_ids", "q_vecs", "d_ids", "d_vecs")

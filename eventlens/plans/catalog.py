@@ -231,7 +231,8 @@ def q_stage_report(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"),
         F.count("text").alias("n_text"),
         F.count_if(long_).cast("long").alias("n_long"),
-        F.countDistinct(F.when(long_, c)).alias("n_unique"),
+        # two independent hashes in place of the text: what is expanded for the distinct counts is narrow
+        F.countDistinct(F.when(long_, F.xxhash64(F.lit(1), c)), F.when(long_, F.xxhash64(F.lit(2), c))).alias("n_unique"),
         F.countDistinct("source").alias("n_sources"),
     )
 
@@ -537,6 +538,42 @@ def q_discover_events(spark, sf_dir):
     return pl.discover_events(d, "doc_id", pl.DiscoveryConfig())
 
 
+def _from_labels(spark, sf_dir) -> pl.Discovery:
+    """Everything of J12 after k-means: the documents' posts, with the embeddings' labels as first clusters."""
+    posts = pl.prepare_posts(table(spark, sf_dir, "documents"), "doc_id")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    return pl.discover_from_labels(posts, e, "doc_id", "label", "embedding")
+
+
+def q_discover_from_labels(spark, sf_dir):
+    return _from_labels(spark, sf_dir).events.select(*[c for c in pl.COVID_EXPORT_COLUMNS if c != "raw_text"], "doc_id")
+
+
+def q_discover_from_labels_summary(spark, sf_dir):
+    """J12's statistics: totals, mean coherence, and the silhouette of the first clusters, which must lie within its error bound of the exact one."""
+    d = _from_labels(spark, sf_dir)
+    exact = cluster.silhouette_exact(d.labelled, "doc_id", "embedding", "label").scalar()
+    near = d.score.select((F.abs(F.col("silhouette") - exact) <= F.col("error_bound") + 1e-6).alias("x")).scalar()
+    return d.summary.withColumns({"mean_coherence": F.round("mean_coherence", COHERENCE_DECIMALS), "silhouette_within_bound": near})
+
+
+def q_discover_from_labels_coherence(spark, sf_dir):
+    c = _from_labels(spark, sf_dir).coherence
+    return c.select("event_id", "num_tweets", F.round("coherence", COHERENCE_DECIMALS).alias("coherence"))
+
+
+def q_discover_stages(spark, sf_dir):
+    """J12's stage counts; the last stage depends on k-means and stays out."""
+    return pl.discover(table(spark, sf_dir, "documents"), "doc_id").stages.where("stage <> 'events'")
+
+
+def q_discover_encoded(spark, sf_dir):
+    """J12 with a caller's encoder (a projection trained on the documents) and the neighbour-preserving layout."""
+    d = table(spark, sf_dir, "documents")
+    encoder = vectors.train_projection(d.select(tx.clean_semantic("text").alias("clean_text")), "clean_text", width=32, dim=256)
+    return pl.discover_events(d, "doc_id", pl.DiscoveryConfig(encoder=encoder, neighbour_layout=True))
+
+
 # --- files (rows-only checks) -------------------------------------------------------------------
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -704,6 +741,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_events": q_export_events,
     "discover_events": q_discover_events,
     "discover_sentiment": q_discover_sentiment,
+    "discover_from_labels": q_discover_from_labels,
+    "discover_from_labels_summary": q_discover_from_labels_summary,
+    "discover_from_labels_coherence": q_discover_from_labels_coherence,
+    "discover_stages": q_discover_stages,
+    "discover_encoded": q_discover_encoded,
     "csv_roundtrip": q_csv_roundtrip,
     "typed_csv": q_typed_csv,
     "typed_schema": q_typed_schema,

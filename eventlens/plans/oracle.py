@@ -432,6 +432,25 @@ FROM (SELECT *, row_number() OVER (PARTITION BY clean_text ORDER BY event_id, do
         f"mposts AS (SELECT p.*, m.event_id FROM posts p JOIN merged m ON p.doc_id = m.doc_id), "
         f"{titles_sql('mposts', 'event_id')}"
     )
+    labels = (
+        f"{EMB}, {CLEAN_POSTS}, merged AS (SELECT e.vec_id AS doc_id, r.event_id FROM ecoded e JOIN erenum r ON e.cid = r.cid), "
+        "mposts AS (SELECT p.*, m.event_id FROM posts p JOIN merged m ON p.doc_id = m.doc_id)"
+    )
+    by_event = COHERENCE.replace("source", "event_id").replace("FROM posts", "FROM mposts")
+    q["discover_from_labels"] = (
+        f"WITH {labels}, named AS (WITH {titles_sql('mposts', 'event_id')}) SELECT p.doc_id, p.clean_text, {clean_emotion('p.raw_text')} AS emotion_text, "
+        "p.event_id, n.event_title, 'global' AS time_window FROM mposts p JOIN named n ON p.event_id = n.event_id"
+    )
+    q["discover_from_labels_coherence"] = f"WITH {labels}, {by_event} SELECT event_id, num_tweets, round(coherence, {cat.COHERENCE_DECIMALS}) AS coherence FROM coh"
+    q["discover_from_labels_summary"] = (
+        f"WITH {labels}, {by_event} SELECT (SELECT count(DISTINCT event_id) FROM mposts) AS total_events, (SELECT count(*) FROM mposts) AS total_tweets, "
+        "(SELECT CAST(count(*) > 0 AS BIGINT) FROM mposts) AS time_windows, "
+        f"(SELECT round(avg(coherence), {cat.COHERENCE_DECIMALS}) FROM coh) AS mean_coherence, (SELECT count(*) FROM coh) AS scored_events, true AS silhouette_within_bound"
+    )
+    q["discover_stages"] = (
+        f"WITH {CLEAN_POSTS} SELECT 'read' AS stage, count(*) AS num_rows FROM documents UNION ALL "
+        "SELECT s, (SELECT count(*) FROM posts) FROM (VALUES ('clean'), ('sampled'), ('clustered')) AS t(s)"
+    )
     q["topic_coherence"] = (
         f"WITH {CLEAN_POSTS}, {COHERENCE} SELECT source, num_tweets, round(coherence, {cat.COHERENCE_DECIMALS}) AS coherence FROM coh"
     )

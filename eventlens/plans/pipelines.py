@@ -6,19 +6,20 @@ must run jobs; fact rows are never collected to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions import text as tx
 from eventlens.functions.timewin import global_window, time_window
 from eventlens.operators import dates
-from eventlens.operators.cluster import COVID_CLUSTERS, SEED, SENTIMENT_CLUSTERS, assign_events
+from eventlens.operators.cluster import COVID_CLUSTERS, SEED, SENTIMENT_CLUSTERS, assign_events, silhouette_sampled
 from eventlens.operators.graph import merge_events
-from eventlens.operators.rows import dedupe_first, dense_codes, keep_rows
+from eventlens.operators.neighbours import reduce_neighbours
+from eventlens.operators.rows import count_distinct, dedupe_first, dense_codes, keep_rows, union_all
 from eventlens.operators.schema import (
     DATE_COLUMNS,
     MERGE_TEXT_COLUMNS,
@@ -28,9 +29,10 @@ from eventlens.operators.schema import (
     resolve_column,
     title_from_name,
 )
-from eventlens.operators.topics import title_events
-from eventlens.operators.vectors import reduce_dims, text_vectors
-from eventlens.sources.files import list_event_folders, read_headerless_posts, scan_event_folders, write_events
+from eventlens.operators.topics import COHERENCE_MAX_TERMS, mean_coherence, title_events, topic_coherence
+from eventlens.operators.vectors import embed_text, reduce_dims, text_vectors
+from eventlens.session import materialize
+from eventlens.sources.files import list_event_folders, read_headerless_posts, scan_event_folders, with_row_numbers, write_events
 
 # ---------------------------------------------------------------------------
 # K1: labelled folders -> events
@@ -185,6 +187,8 @@ class DiscoveryConfig:
     reduced_dim: int = 10
     sample_cap: int | None = None  # an exact-size seeded sample of the posts; None: all of them
     with_emotion: bool = True
+    encoder: Callable[[], Callable] | None = None  # see vectors.embed_text; None: hashed TF-IDF
+    neighbour_layout: bool = False  # reduce by the neighbour graph in place of PCA
 
 
 def prepare_posts(
@@ -225,37 +229,104 @@ def prepare_posts(
     return posts
 
 
-def discover_events(
-    df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Posts -> cleaned/deduped -> text vectors -> reduce -> k-means ->
-    merge similar clusters -> titles. Returns one row per kept post with
-    (order_col, raw_text, clean_text, [emotion_text,] event_id, event_title, time_window).
+TITLE_BYTES = 64  # of an event's id and title, about
+BROADCAST_BYTES = 32 << 20
+
+
+class Discovery:
+    """What a discovery finds: the events, with scores and statistics that are computed when asked for.
+
+    ``facts`` is the written table of posts with their event_id; ``labelled`` the written first clusters.
+    """
+
+    def __init__(self, facts: DataFrame, order_col: str, labelled: DataFrame, label_col: str, vec_col: str, tables: Sequence[tuple[str, DataFrame]] = ()):
+        self.facts, self.order_col, self.labelled, self.label_col, self.vec_col = facts, order_col, labelled, label_col, vec_col
+        self.tables = [*tables, ("clustered", labelled), ("events", facts)]
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """event_id, num_tweets, event_title: a row per event, written."""
+        return materialize(title_events(self.facts, "event_id", "clean_text"), "event-titles")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """A row per kept post: order column, texts, carried columns, event_id, event_title, time_window.
+
+        Titles are sent to all tasks if their counted number allows it, so the posts are not shuffled by a hot event.
+        """
+        named = self.titles.select("event_id", "event_title")
+        if named.count() * TITLE_BYTES <= BROADCAST_BYTES:
+            named = F.broadcast(named)
+        cols = [c for c in self.facts.columns if c not in ("event_id", "time_window")]
+        return self.facts.join(named, "event_id").select(*cols, "event_id", "event_title", "time_window")
+
+    @cached_property
+    def coherence(self) -> DataFrame:
+        """event_id, num_tweets, coherence, for events of ten posts or more."""
+        return topic_coherence(self.facts, "event_id", self.order_col, "clean_text", max_terms=COHERENCE_MAX_TERMS)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row: total_events, total_tweets, time_windows, mean_coherence, scored_events."""
+        mean = mean_coherence(self.coherence)
+        totals = self.facts.agg(count_distinct("event_id", "total_events"), F.count(F.lit(1)).alias("total_tweets"), count_distinct("time_window", "time_windows"))
+        return totals.select("*", mean.select("mean_coherence").scalar().alias("mean_coherence"), mean.select("scored_events").scalar().alias("scored_events"))
+
+    @cached_property
+    def score(self) -> DataFrame:
+        """One row: Euclidean silhouette of the first clusters, error_bound, num_rows, sampled."""
+        return silhouette_sampled(self.labelled, self.order_col, self.vec_col, self.label_col)
+
+    @cached_property
+    def stages(self) -> DataFrame:
+        """(stage, num_rows) in the order of the stages, counted from their tables."""
+        rows = [t.agg(F.lit(i).alias("n"), F.lit(name).alias("stage"), F.count(F.lit(1)).alias("num_rows")) for i, (name, t) in enumerate(self.tables)]
+        return union_all(rows).orderBy("n").select("stage", "num_rows")
+
+
+def discover_from_labels(
+    posts: DataFrame, labelled: DataFrame, order_col: str, label_col: str, vec_col: str, score_col: str | None = None, tables: Sequence[tuple[str, DataFrame]] = (),
+) -> Discovery:
+    """J12 from given first clusters: merge -> events, with titles, coherence, statistics.
+
+    ``posts`` has order_col, clean_text and time_window, ``labelled`` order_col, a label and a vector (``score_col``: the
+    vectors that the silhouette is taken of, by default the same). The events are written once.
+    """
+    merged = merge_events(labelled.select(order_col, F.col(vec_col).alias("_v"), F.col(label_col).alias("_label")), "_label", "_v")
+    facts = materialize(posts.join(merged.select(order_col, "event_id"), order_col), "events")
+    return Discovery(facts, order_col, labelled, label_col, score_col or vec_col, tables)
+
+
+def discover(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None, carry: Sequence[str] = ()) -> Discovery:
+    """Posts -> cleaned/deduped -> vectors -> reduce -> k-means -> ``discover_from_labels``, with score and stage counts.
 
-    The deduped posts and their vectors are persisted once: the PCA fit, the
-    k-means iterations and the merge all read them (a lost block is rebuilt
-    from lineage).
+    Posts, vectors and labels are tables written once; every later step reads them.
     """
     from eventlens.operators.rows import sample_n
 
     cfg = cfg or DiscoveryConfig()
-    posts = prepare_posts(df, order_col, with_emotion=cfg.with_emotion, carry=carry)
-    if cfg.sample_cap:
-        posts = sample_n(posts, cfg.sample_cap, cfg.seed, order_col)
-    posts = posts.persist(StorageLevel.MEMORY_AND_DISK)
-    feats = text_vectors(posts.select(order_col, "clean_text"), "clean_text", cfg.embed_dim).select(
-        order_col, "embedding"
-    )
-    reduced = reduce_dims(feats, "embedding", cfg.reduced_dim).persist(StorageLevel.MEMORY_AND_DISK)
-    labelled = assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster", key=order_col)
-    merged = merge_events(labelled.select(order_col, "embedding", "_cluster"), "_cluster", "embedding")
-    events = posts.join(merged.select(order_col, "event_id"), order_col)
-    titles = title_events(events, "event_id", "clean_text")
-    cols = [order_col, "raw_text", "clean_text"] + (["emotion_text"] if cfg.with_emotion else [])
-    cols += [c for c in posts.columns if c not in cols and c != "time_window"]
-    return events.join(titles.select("event_id", "event_title"), "event_id").select(
-        *cols, "event_id", "event_title", "time_window"
-    )
+    posts = materialize(prepare_posts(df, order_col, with_emotion=cfg.with_emotion, carry=carry), "posts")
+    kept = sample_n(posts, cfg.sample_cap, cfg.seed, order_col) if cfg.sample_cap else posts
+    texts = kept.select(order_col, "clean_text")
+    if cfg.encoder is None:
+        feats = text_vectors(texts, "clean_text", cfg.embed_dim)
+    else:
+        feats = embed_text(texts, "clean_text", cfg.encoder)
+    feats = materialize(feats.select(order_col, "embedding"), "post-vectors")
+    if cfg.neighbour_layout:
+        reduced = feats.join(reduce_neighbours(feats, order_col, "embedding", cfg.reduced_dim), order_col)
+    else:
+        reduced = reduce_dims(feats, "embedding", cfg.reduced_dim)
+    reduced = materialize(reduced, "post-reduced")
+    labelled = materialize(assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster", key=order_col), "post-clusters")
+    return discover_from_labels(kept, labelled, order_col, "_cluster", "embedding", "reduced", [("read", df), ("clean", posts), ("sampled", kept)])
+
+
+def discover_events(
+    df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The events of ``discover``, one row per kept post."""
+    return discover(df, order_col, cfg, carry).events
 
 
 SENTIMENT_CONFIG = DiscoveryConfig(clusters=SENTIMENT_CLUSTERS, with_emotion=False)
@@ -267,9 +338,7 @@ def discover_sentiment(spark, path: str, cfg: DiscoveryConfig = SENTIMENT_CONFIG
     k=200, no emotion text; a seeded exact-size sample only if ``cfg`` asks for one.
     Returns (row_no, raw_text, clean_text, sentiment, date, event_id, event_title, time_window).
     """
-    posts = read_headerless_posts(spark, path).select(
-        F.monotonically_increasing_id().alias("row_no"), "text", "date", "sentiment"
-    )
+    posts = with_row_numbers(read_headerless_posts(spark, path).select("text", "date", "sentiment"), "row_no")
     return discover_events(posts, "row_no", cfg, carry=["sentiment"])
 
 

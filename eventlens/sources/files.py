@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,6 +144,24 @@ def read_headerless_posts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_row_numbers(scan: DataFrame, out: str = "row_no") -> DataFrame:
+    """Rows of a file scan with their place in file order: by path, then by place in the file, from 0 without gaps.
+
+    Rows are written once with the numbers that their split gives them; a table of one row per split says where
+    each split begins. Nothing is sorted.
+    """
+    at = materialize(
+        scan.select(
+            "*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")
+        ),
+        "numbered-rows",
+    )
+    splits = at.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("__path", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return at.join(starts, ["__path", "__block"]).select(*scan.columns, (F.col("__at") + F.col("__shift")).alias(out))
+
+
 # No Latin-1 text holds these: a separator that never splits, and a mark for separators outside quotes.
 _NO_SEPARATOR, _CUT = "\ue000", "\uffff"
 

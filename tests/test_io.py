@@ -149,3 +149,16 @@ def test_files_without_newlines_in_fields_are_split(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [tuple(r) for r in files.read_posts_csv(spark, f"{root}/broken", infer=True).collect()] == [(1, "two\nlines")]
+
+
+def test_row_numbers_follow_path_and_place(spark):
+    root = tempfile.mkdtemp(prefix="eventlens-csv-")
+    for name, first in (("a", 0), ("b", 5000), ("c", 10000)):
+        write(f"{root}/{name}.csv", "".join(f"{i},row {i}\n" for i in range(first, first + 5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = files.with_row_numbers(files.read_posts_csv(spark, root, header=False, names=["n", "t"])).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 15000 and all(int(r["n"]) == r["row_no"] for r in rows)

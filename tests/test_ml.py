@@ -69,3 +69,68 @@ def test_kmeans_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [5.0, 1.0])], "id long, v array<double>")
     assert {r["id"]: r["event_id"] is None for r in cluster.assign_events(df, "v", 2).collect()} == {1: False, 2: True, 3: False}
     assert cluster.assign_events(df.limit(0), "v", 2).count() == 0
+
+
+def _silhouette(points, labels):
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    out = []
+    for i, own in enumerate(labels):
+        means = {c: far[i][(labels == c) & (np.arange(len(points)) != i)].mean() if ((labels == c) & (np.arange(len(points)) != i)).any() else None for c in set(labels)}
+        a, b = means.pop(own), min(means.values())
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+def test_sampled_silhouette_is_within_its_bound_and_exact_for_small_clusters(spark):
+    points = blobs(1200, 5, 4, seed=4)
+    labels = np.append(np.random.default_rng(4).integers(0, 5, 1199), 9)  # and a cluster of one row
+    labels[:900] = cluster.Grid.squares(points[:900], points[900:905]).argmin(1)
+    df = spark.createDataFrame([(i, p.tolist(), int(c)) for i, (p, c) in enumerate(zip(points, labels))], "id long, v array<double>, label long").repartition(4)
+    want = _silhouette(points, labels)
+    bounds = []
+    for most in (40, 150, 10_000):
+        got = cluster.silhouette_sampled(df, "id", "v", "label", per_label=most).first()
+        assert abs(got["silhouette"] - want) <= got["error_bound"] + 1e-9 and got["num_rows"] == 1200
+        bounds.append(got["error_bound"])
+    assert bounds[0] > bounds[1] > bounds[2] and bounds[2] < 1e-12
+    assert cluster.silhouette_exact(df, "id", "v", "label", block_rows=100).first()[0] == pytest.approx(want, abs=1e-8)
+    assert cluster.silhouette_sampled(df.where("label = 9"), "id", "v", "label").first()["silhouette"] == 0
+
+
+def test_encoder_is_loaded_once_per_worker_in_bounded_batches(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import uuid
+
+        open(f"{folder}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def encode(texts):
+            assert len(texts) <= 16
+            return [[len(t), t.count("a")] for t in texts]
+
+        return encode
+
+    df = spark.range(500).selectExpr("id", "if(id % 50 = 0, null, repeat('ab', cast(id % 9 AS int))) AS t").repartition(6)
+    rows = vectors.embed_text(df, "t", load, batch=16).collect()
+    assert all(r["embedding"] == [len(r["t"] or ""), (r["t"] or "").count("a")] for r in rows) and len(rows) == 500
+    loads = [f.split("-")[1] for f in os.listdir(folder)]
+    assert len(loads) == len(set(loads)) <= 6  # one per worker process
+
+
+def test_trained_projection_keeps_topics_apart(spark):
+    words = [["fire", "smoke", "burn"], ["flood", "river", "rain"]]
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words[i % 2], 8))) for i in range(200)], "id long, t string")
+    encoder = vectors.train_projection(df, "t", width=2, dim=64)
+    got = {r["id"]: r["embedding"] for r in vectors.embed_text(df, "t", encoder).collect()}
+    points = np.array([got[i] for i in range(200)])
+    assert points.shape == (200, 2) and ((points[::2] @ points[0] > 0).all() and (points[1::2] @ points[0] < points[::2].mean(0) @ points[0]).all())
+
+
+def test_vectors_of_the_pipeline_are_those_of_the_long_table(spark):
+    df = spark.createDataFrame([(1, "fire fire river the"), (2, "river rain"), (3, ""), (4, None)], "id long, t string")
+    dense = {r["id"]: r["embedding"] for r in vectors.text_vectors(df, "t", 32).collect()}
+    long = {(r["id"], r["bucket"]): r["weight"] for r in vectors.hashed_tfidf(df, "id", "t", 32).collect()}
+    assert all(dense[i][b] == w for (i, b), w in long.items()) and sum(map(bool, dense[1])) == len([1 for i, _ in long if i == 1])
+    assert dense[3] == dense[4] == [0.0] * 32
