@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -85,6 +86,16 @@ def clear_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects its garbage, which a driver with little to do may
+    not do for half an hour, while files of finished phases fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` once as Parquet under the shared checkpoint
     folder and reading it back (one pass; an eager ``checkpoint`` computes its
