@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import RowIds, columns, small_batches, strings, words
 from eventlens.llm.token_counts import to_bytes
 from eventlens.llm.toxicity import fold
-from eventlens.session import materialize
+from eventlens.session import materialize, release_shuffles
 
 VOCABULARY, HEAD = 100_000, 50_000
 BUCKET_TOKENS = 700_000
@@ -511,11 +511,15 @@ def katz_scores(
     counted = lambda f: source.mapInArrow(f, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     ends = source.where("not held_out").count()
     unigram = materialize(counted(unigrams), "katz-unigrams")
+    release_shuffles(spark)  # each table is written: what was sent to count it need not lie on disk beside the next
     model = fit_unigrams(unigram, ends, min(vocabulary, (1 << BITS) - FIRST))
     bigram = materialize(counted(bigrams(model)), "katz-bigrams")
+    release_shuffles(spark)
     fit_bigrams(model, bigram, head)
     pair = materialize(source.mapInArrow(pairs(model), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")), "katz-pairs")
+    release_shuffles(spark)
     histories = fit_pairs(model, pair, unigram)
+    release_shuffles(spark)
     model.buckets = max(1, -(-model.total // bucket_tokens))
     shared = spark.sparkContext.broadcast(model)
 
