@@ -6,10 +6,10 @@ document are the ids of its parts, in order (white space and the cut are always
 the tokenizer's own pre-tokens). Texts with special strings go to the library whole.
 
 Packing: pieces are dealt by hash into groups of about ``group_items``. Each group is packed
-best-fit, longest first; bins that are nearly full leave as finished sequences. The bins that
-are left are the items of the next round, in fewer groups (``fan_in`` to one, never more than
-``group_items`` items in one), until one group is left or a round joins nothing more. A task
-holds one group, so its memory does not grow with the corpus. A bin is named by its first
+best-fit, longest first; bins that nothing left can join leave as finished sequences. The bins
+that are left are the items of the next round, in fewer groups (``fan_in`` to one, never more
+than ``merge_items`` items in one), until one group is left or a round joins nothing more. A
+task holds one group, so its memory does not grow with the corpus. A bin is named by its first
 item, which no other bin holds.
 
 Defined cases: null and empty texts are the end id alone, one piece of length 1. A document
@@ -239,13 +239,18 @@ def packed_group(capacity: int):
 
 
 def pack(
-    items: DataFrame, capacity: int = CAPACITY, group_items: int = 50_000, fan_in: int = 8, slack: int = 8, least_gain: float = 0.001
+    items: DataFrame, capacity: int = CAPACITY, group_items: int = 250_000, merge_items: int = 1_000_000, fan_in: int = 8
 ) -> DataFrame:
-    """Place every (item, size) row, item unique and 1 <= size <= capacity: item, sequence_id, offset."""
+    """Place every (item, size) row, item unique and 1 <= size <= capacity: item, sequence_id, offset.
+
+    Groups hold about ``group_items`` items first and ``merge_items`` at most later. Rounds go on until
+    one group is left, or several that could not join any two bins in a round. A bin leaves the rounds
+    only if it is full or its room is below the smallest bin left, so that nothing can join it.
+    """
     todo = items.select(F.col("item").cast("long").alias("item"), F.col("size").cast("long").alias("size"))
     placed, count, groups, level = None, todo.count(), 0, 0
     while True:
-        fewest = -(-count // group_items) or 1
+        fewest = -(-count // (merge_items if level else group_items)) or 1
         groups = max(fewest, -(-groups // fan_in)) if groups else fewest
         dealt = todo.withColumn("g", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)))
         done = materialize(dealt.groupBy("g").applyInArrow(packed_group(capacity), PACKED), "packed")
@@ -262,10 +267,12 @@ def pack(
             )
         if groups == 1:
             return placed
-        left = done.where(F.col("fill") < capacity - slack).groupBy("bin").agg(F.max("fill").alias("size"))
-        bins, all_bins = left.count(), done.where("offset = 0").count()
-        if level and count - all_bins < least_gain * count:
+        made = done.where("offset = 0").select("bin", F.col("fill").alias("size"))
+        all_bins, smallest = made.agg(F.count(F.lit(1)), F.min("size")).first()
+        if level and groups == fewest and all_bins == count:
             return placed
+        left = made.where(F.col("size") <= capacity - (smallest or 0))
+        bins = left.count()
         todo, count, level = left.withColumnRenamed("bin", "item"), bins, level + 1
         if not count:
             return placed

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from eventlens.llm import html_text, packing, token_counts
@@ -67,6 +68,19 @@ def test_packing(spark, how):
     assert not pieces
 
 
+@pytest.mark.parametrize("groups,over", [({}, 1.0001), ({"group_items": 10_000, "merge_items": 40_000}, 1.006)])
+def test_tree_packs_about_as_well_as_one_pass(spark, groups, over):
+    sizes = np.random.default_rng(2).integers(1, 2049, 120_000)
+    items = spark.createDataFrame(pd.DataFrame({"item": np.arange(len(sizes)), "size": sizes})).repartition(4)
+    out = packing.pack(items, **groups).join(items, "item").toPandas()
+    assert len(out) == len(sizes) and out.groupby("sequence_id")["size"].sum().max() <= 2048
+    assert out["sequence_id"].nunique() <= over * (packing.best_fit(sizes, 2048).max() + 1)
+
+
+def test_packing_of_an_empty_table(spark):
+    assert packing.pack_documents(frame(spark).limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
 def test_part_encoder_forgets_and_slices(monkeypatch):
     import pyarrow as pa
 
