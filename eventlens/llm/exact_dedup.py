@@ -72,7 +72,8 @@ def exact_dedup(
     if not shared.isEmpty():
         rows = _ranked(cut, shared, digest)
     first = F.min(F.struct((-F.col("n_cps")).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", "rid"))
-    groups = rows.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # written, so that the join below is a plain one, whose hot recipe adaptive execution splits
+    groups = materialize(rows.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size")), "dedup-groups")
     return rows.join(groups, "recipe").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
