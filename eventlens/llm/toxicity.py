@@ -6,18 +6,23 @@ A class's model discounts its own n-gram counts and backs off to an interpolated
 model of the counts of both classes together. Where a class knows nothing of its own, both
 models fall back to the same counts, and the word says nothing for either class.
 
-A word counts once for every pair of words around it, so copies and runs of a word teach a
-model little more than one of them.
+Beside them stand two models of words as wholes, of the same kind: a class discounts its own word
+counts and backs off to the counts of both classes together, so an expression that one class
+alone uses tells much, and more with every text that uses it. A word's evidence is the sum of both
+differences; a word that no labelled text holds has that of its characters.
+
+A word counts once for every text, and at most once for every pair of words around it, so copies of a
+text and runs of a word teach a model little more than one of them.
 
 Most words of a toxic text are ordinary: the toxic likelihood of a word is a mixture, a small
 share from the toxic model and the rest from the ordinary one, so plain words say nearly
 nothing, in whatever language, and toxic expressions nearly all they can. A text's evidence
-is the difference of its two log-likelihoods per symbol (characters and word ends). A logistic curve, fitted on labelled texts that the models were not
-fitted on, makes it a score between 0 and 1.
+is the difference of its two log-likelihoods per symbol (characters and word ends). A logistic curve
+makes it a score between 0 and 1; it is fitted on the evidence that each half of the labelled texts
+has under models of the other half, while the models that score are fitted on all of them.
 
 The models are fitted on a bounded sample of labelled texts: about ``per_class`` of each class
-at most, those with small hashes of their doc_id; every second one goes to the curve.
-Scoring covers all rows and whole texts.
+at most, those with small hashes of their doc_id. Scoring covers all rows and whole texts.
 
 Defined cases: null and empty texts have evidence 0; a doc_id labelled twice is toxic if any
 of its labels is; null labels and ids are not learned from; with fewer than two classes among
@@ -39,11 +44,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import columns, hash_sample, ragged, small_batches, strings, words
+from eventlens.llm.common import RowIds, columns, hash_sample, ragged, small_batches, strings, words
+from eventlens.session import materialize
 
 ORDER = 5  # characters of an n-gram at most
 PER_CLASS = 3000
-SHARE = 0.002  # of a toxic text's words that its own model makes; the ordinary model makes the others
+SHARE = 0.001  # of a toxic text's words that its own model makes; the ordinary model makes the others
 STEADY = 100  # symbols of no evidence added to every text, so that a few symbols alone say little
 START, END = "\x02", "\x03"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -69,9 +75,10 @@ def word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (label, word, context) of lower-cased words; context: a hash of the words on both sides."""
+    """Distinct (label, half, word, h, context, doc) of lower-cased words; h: the word's hash, context: one of the words on both sides."""
     import xxhash
 
+    ids = RowIds()
     for whole in batches:
         for batch in small_batches(whole, "text"):
             code, counts, names = words(pc.utf8_lower(strings(batch, "text")))
@@ -82,12 +89,14 @@ def word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             before, after = np.roll(h, 1), np.roll(h, -1)
             before[np.concatenate([[0], ends[:-1]])] = 0
             after[ends - 1] = 0
-            label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            label, half = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int32), counts) for c in ("label", "half"))
+            doc = np.repeat(ids.take(len(counts)), counts)
             context = before * BASE + after
-            keys = np.stack([label.astype(np.uint64), code.astype(np.uint64), context], axis=1)
+            keys = np.stack([doc.view(np.uint64), code.astype(np.uint64), context], axis=1)
             at = np.unique(keys, axis=0, return_index=True)[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(label[at].astype(np.int32)), names.take(pa.array(code[at])), pa.array(context[at].view(np.int64))], names=["label", "word", "context"]
+                [pa.array(label[at]), pa.array(half[at]), names.take(pa.array(code[at])), pa.array(h[at].view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(doc[at])],
+                names=["label", "half", "word", "h", "context", "doc"],
             )
 
 
@@ -111,6 +120,7 @@ class Evidence:
 
     grams: tuple[np.ndarray, np.ndarray]
     contexts: tuple[np.ndarray, np.ndarray]
+    whole: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))  # by word
 
     def words(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(evidence, symbols) of words; a symbol's context are the ORDER - 1 symbols before it, or all back to the word's start."""
@@ -128,7 +138,13 @@ class Evidence:
         known, back = look_up(*self.contexts, context[rest])
         value = np.where(found, value, 0.0)
         value[rest[known]] = back[known]
-        return np.bincount(np.repeat(np.arange(len(size)), size - 1), weights=value, minlength=len(size)), size - 1
+        parts = np.bincount(np.repeat(np.arange(len(size)), size - 1), weights=value, minlength=len(size))
+        if not len(self.whole[0]):
+            return parts, size - 1
+        import xxhash
+
+        known, own = look_up(*self.whole, np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)))
+        return parts + np.where(known, own, 0.0), size - 1
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +204,22 @@ def kneser_ney(counts: pd.DataFrame) -> Evidence:
     return Evidence(by_hash(list(grams[own]), logs[1] - logs[0]), by_hash(contexts, (backs[1] - backs[0])[at]))
 
 
+def whole_words(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word models of counts (word, class 0/1), as differences toxic - ordinary of log probabilities, sorted by hash.
+
+    A class's counts are discounted, and the mass that this frees goes by the counts of both classes.
+    """
+    both = counts.sum(1) / max(1.0, counts.sum())
+    logs = []
+    for label in (0, 1):
+        u = counts[:, label].astype(np.float64)
+        total, discount = max(1.0, u.sum()), discounts(u)
+        free = discount * (u > 0).sum() / total if u.sum() else 1.0
+        logs.append(np.log(np.maximum(u - discount, 0) / total + free * both))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], (logs[1] - logs[0])[order]
+
+
 def by_hash(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = gram_hash(names)
     order = np.argsort(h)
@@ -241,27 +273,46 @@ def fit(docs: DataFrame, learn: DataFrame, per_class: int = PER_CLASS) -> tuple[
         return None, flat
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame(known[["doc_id", "label", "h"]]))  # bounded by per_class
-    texts = docs.join(keys, "doc_id").select("label", "text", (F.pmod(F.col("h"), F.lit(2)) == 0).alias("curve"))
-    found = texts.where("not curve").mapInArrow(word_contexts, "label int, word string, context long").distinct()
-    found = found.groupBy("label", "word").agg(F.count("*").alias("n"))
-    grams = found.mapInPandas(word_grams, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    counts = grams.toPandas()  # the n-grams of at most 2 * per_class texts
-    if counts["label"].nunique() < 2:
-        return None, flat
-    model = kneser_ney(counts)
-    shared = spark.sparkContext.broadcast(model)
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[float, int]] = {}
-        for whole in batches:
-            for batch in small_batches(whole, "text", 10 << 20):
-                x = text_evidence(shared.value, strings(batch, "text"), cache)
-                yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(x)], names=["label", "x"])
+    texts = docs.join(keys, "doc_id").select("label", "text", F.pmod(F.col("h"), F.lit(2)).cast("int").alias("half"))
+    schema = "label int, half int, word string, h long, context long, doc long"
+    found = materialize(texts.mapInArrow(word_contexts, schema).distinct(), "toxicity-words")  # of the sample's texts
+
+    def fitted(use: DataFrame) -> Evidence | None:
+        seen = F.least(F.countDistinct("context"), F.countDistinct("doc"))
+        own = materialize(use.groupBy("label", "word", "h").agg(seen.alias("n")), "toxicity-counts")
+        grams = own.mapInPandas(word_grams, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+        counts = grams.toPandas()  # the n-grams of at most 2 * per_class texts
+        if counts["label"].nunique() < 2:
+            return None
+        model = kneser_ney(counts)
+        of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+        words_seen = own.groupBy("h").agg(of(0).alias("n0"), of(1).alias("n1")).toPandas()  # numbers, a row per word of these texts
+        model.whole = whole_words(words_seen["h"].to_numpy(np.int64), words_seen[["n0", "n1"]].to_numpy(np.float64))
+        return model
+
+    def measured(half: int) -> pd.DataFrame:
+        """(label, x) of a half's texts under models of the other half."""
+        model = fitted(found.where(F.col("half") != half))
+        if model is None:
+            return pd.DataFrame({"label": [], "x": []})
+        shared = spark.sparkContext.broadcast(model)
+
+        def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict[str, tuple[float, int]] = {}
+            for whole in batches:
+                for batch in small_batches(whole, "text", 10 << 20):
+                    x = text_evidence(shared.value, strings(batch, "text"), cache)
+                    yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(x)], names=["label", "x"])
+
+        out = texts.where(F.col("half") == half).select("label", "text").mapInArrow(evidence, "label int, x double").toPandas()
+        shared.destroy()
+        return out
 
-    seen = texts.where("curve").select("label", "text").mapInArrow(evidence, "label int, x double").toPandas()
-    if seen["label"].nunique() < 2:
+    seen = pd.concat([measured(0), measured(1)])
+    model = fitted(found)
+    if model is None or seen["label"].nunique() < 2:
         return None, flat
-    return model, fit_curve(seen["x"].to_numpy(), seen["label"].to_numpy(np.float64))
+    return model, fit_curve(seen["x"].to_numpy(np.float64), seen["label"].to_numpy(np.float64))
 
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int, evidence double"

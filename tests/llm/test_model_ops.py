@@ -203,3 +203,43 @@ def test_gumbel_top_k_draws_by_weight(spark):
     keyed = frame.withColumn("key", quality.F.log(quality.F.lit(1.0) + 2 * quality.F.col("heavy")) + quality.gumbel("pair", "heavy"))
     won = keyed.groupBy("pair").agg(quality.F.max_by("heavy", "key").alias("w")).agg(quality.F.avg("w")).first()[0]
     assert abs(won - 0.75) < 0.02
+
+
+def test_whole_word_models_against_a_slow_one():
+    """Kneser-Ney over words by hand: discounted class counts, the freed mass by the counts of both classes."""
+    rng = np.random.default_rng(1)
+    counts = np.concatenate([rng.integers(0, 6, (40, 2)), [[0, 7], [9, 0], [1, 0], [0, 1]]]).astype(float)
+    counts = counts[counts.sum(1) > 0]
+    h = rng.integers(-(2**62), 2**62, len(counts))
+    keys, values = toxicity.whole_words(h, counts)
+    got = dict(zip(keys.view(np.int64).tolist(), values))
+    probability = []
+    for label in (0, 1):
+        own = [c[label] for c in counts]
+        n1, n2 = own.count(1), own.count(2)
+        d = n1 / (n1 + 2 * n2)
+        free = d * sum(x > 0 for x in own) / sum(own)
+        probability.append([max(x - d, 0) / sum(own) + free * sum(c) / counts.sum() for x, c in zip(own, counts)])
+        assert sum(probability[-1]) == pytest.approx(1)  # a distribution over the words that both classes know
+    for key, ordinary, toxic in zip(h.tolist(), *probability):
+        assert got[key] == pytest.approx(np.log(toxic / ordinary))
+
+
+def test_words_count_once_per_text_and_context():
+    import pyarrow as pa
+
+    texts = ["spam one spam two spam", "spam one spam two spam", "a spam b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 1, 0], pa.int32()), pa.array([0, 1, 0], pa.int32())], names=["text", "label", "half"])
+    rows = pa.Table.from_batches(list(toxicity.word_contexts(iter([batch])))).to_pandas()
+    spam = rows[(rows["word"] == "spam") & (rows["label"] == 1)]
+    assert min(spam["doc"].nunique(), spam["context"].nunique()) == 2 and len(spam) == 6
+
+
+def test_toxicity_of_a_very_long_text_and_repeated_rows(spark):
+    rows = [(i, ("vile nasty " if i % 2 else "kind gentle ") + " ".join(f"w{(i * 7 + j) % 50}" for j in range(20))) for i in range(120)]
+    docs = spark.createDataFrame(rows + [(500, "kind words " * 200_000), (1, rows[1][1])], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, marks).collect()
+    assert len(got) == 122 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert by[500] < 0.5 and min(by[i] for i in range(1, 120, 2)) > max(by[i] for i in range(0, 120, 2))
