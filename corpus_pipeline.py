@@ -5,6 +5,10 @@ and acts on its decisions; its result is written as Parquet and read again. All
 return the columns of ``documents``. A row is known by its doc_id and a hash of its text, so a
 doc_id that occurs with several texts is several documents; rows that repeat both are copies, of
 which exact deduplication keeps one.
+
+Defined cases: a null doc_id is an id like any other, a null text an empty one; of rows that tie at
+the quality cut as many stay as the operator draws, and the copies of those; an empty table gives
+empty tables and an empty result; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ def _matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
+    """Documents that importance resampling draws, with all copies of a row of which any is drawn."""
     found = quality.importance_resample(docs, table(spark, sf_dir, "labels"))
-    return _matched(docs, found.where("not selected"), "left_anti")
+    return _matched(docs, found.where("selected"), "left_semi")
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
