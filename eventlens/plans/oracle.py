@@ -1,20 +1,31 @@
 """DuckDB SQL twins of the catalogue queries (the correctness oracle).
 
 Views ``documents events embeddings pages conversations benchmark ...`` are
-registered by the checker. Regex pieces come from the same constants as the
-Spark expressions; RE2 needs ``\\1`` for group references and has no
+registered by the checker. Patterns and thresholds are written here again,
+not taken from the code under test; RE2 needs ``\\1`` for group references and has no
 look-around, so the upper-case word count is written as "word runs that are
 all capitals", which is the same set of matches.
 """
 
 from __future__ import annotations
 
-from eventlens.functions import text as tx
-from eventlens.operators import graph, topics
+from eventlens.functions.text import ENGLISH_STOP_WORDS
 from eventlens.plans import catalog as cat
 from eventlens.sources.files import PANDAS_NA_TOKENS
 
-STOP_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in tx.ENGLISH_STOP_WORDS) + ")"
+# The rules once more, written for RE2 and apart from the code under test: only fixed word lists are shared with it.
+SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+NO_SPACE = f"[^{SPACE}]+"
+LETTERS = r"\p{L}\p{N}_"
+LINK, WWW, MENTION_ANY = f"http{NO_SPACE}", f"www{NO_SPACE}", f"@{NO_SPACE}"
+KEPT_EMOJI = r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"
+COUNTED_EMOJI = (
+    r"[\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FAFF}]+"
+)
+TITLE_TERMS, MIN_EVENT_ROWS, COHERENCE_MAX_TERMS, COHERENCE_EPS = 3, 10, 3000, 1e-9
+MIN_GROUP_FLOOR, MIN_GROUP_FRACTION, NEIGHBOURS, THRESHOLD_QUANTILE = 10, 0.001, 4, 0.9
+
+STOP_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + ")"
 
 
 def _rr(x: str, pattern: str, repl: str = "") -> str:
@@ -23,31 +34,33 @@ def _rr(x: str, pattern: str, repl: str = "") -> str:
 
 def clean_semantic(x: str) -> str:
     t = f"lower({x})"
-    for p in (tx.P_HTTP, tx.P_WWW, tx.P_AT_ANY):
+    for p in (LINK, WWW, MENTION_ANY):
         t = _rr(t, p)
     t = f"replace({t}, '#', '')"
-    return f"trim({_rr(t, tx.P_NOT_LOWER, ' ')})"
+    found = _rr(t, "[^a-z]+", " ")
+    return f"trim({found})"
 
 
 def clean_emotion(x: str) -> str:
     t = f"lower({x})"
-    for p in (tx.P_HTTP, tx.P_WWW, tx.P_AT_ANY):
+    for p in (LINK, WWW, MENTION_ANY):
         t = _rr(t, p)
     t = f"replace({t}, '#', '')"
-    t = _rr(t, tx.P_EMOTION_DROP, " ")
-    return f"trim({_rr(t, tx.P_WS_RUN, ' ')})"
+    t = _rr(t, f"[^a-zA-Z0-9{SPACE}{KEPT_EMOJI}]+", " ")
+    found = _rr(t, f"[{SPACE}]+", " ")
+    return f"trim({found})"
 
 
 STEPS = {
-    "strip_urls": lambda x: _rr(x, tx.P_URL),
-    "strip_mentions": lambda x: _rr(x, tx.P_MENTION),
-    "strip_rt": lambda x: _rr(x, tx.P_RT),
-    "strip_lead_punct": lambda x: _rr(x, tx.P_LEAD_PUNCT),
-    "unhash": lambda x: _rr(x, tx.P_HASHTAG, "\\1"),
-    "cap_bang": lambda x: _rr(x, tx.P_BANG, "!!!"),
-    "cap_question": lambda x: _rr(x, tx.P_QUESTION, "???"),
-    "cap_mixed": lambda x: _rr(x, tx.P_MIXED, "!!!???"),
-    "squash_ws": lambda x: f"trim({_rr(_rr(x, tx.P_CRLFTAB, ' '), tx.P_WS_RUN, ' ')})",
+    "strip_urls": lambda x: _rr(x, f"https?://{NO_SPACE}|www\\.{NO_SPACE}"),
+    "strip_mentions": lambda x: _rr(x, f"@[{LETTERS}]+"),
+    "strip_rt": lambda x: _rr(x, f"^RT[{SPACE}]+"),
+    "strip_lead_punct": lambda x: _rr(x, f"^[:\\-{SPACE}]+"),
+    "unhash": lambda x: _rr(x, f"#([{LETTERS}]+)", "\\1"),
+    "cap_bang": lambda x: _rr(x, "!{4,}", "!!!"),
+    "cap_question": lambda x: _rr(x, "\\?{4,}", "???"),
+    "cap_mixed": lambda x: _rr(x, "!{3,}\\?{3,}", "!!!???"),
+    "squash_ws": lambda x: "trim(" + _rr(_rr(x, "[\\r\\n\\t]", " "), f"[{SPACE}]+", " ") + ")",
 }
 
 
@@ -80,7 +93,7 @@ def count_char(x: str, ch: str) -> str:
 
 def upper_words(x: str) -> str:
     return (
-        f"coalesce(len(list_filter(regexp_extract_all({x}, '[{tx.WORD}]+'), "
+        f"coalesce(len(list_filter(regexp_extract_all({x}, '[{LETTERS}]+'), "
         f"lambda w: regexp_full_match(w, '[A-Z]{{2,}}'))), 0)"
     )
 
@@ -114,10 +127,10 @@ sizes AS (SELECT {key}, count(*) AS num_tweets FROM {posts} GROUP BY {key}),
 toks AS (SELECT {key}, unnest(string_split(clean_text, ' ')) AS term FROM {posts}),
 tf AS (SELECT {key}, term, count(*) AS tf FROM toks WHERE length(term) >= 2 AND term NOT IN {STOP_SQL} GROUP BY {key}, term),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY tf DESC, term DESC) AS rk FROM tf),
-joined AS (SELECT {key}, string_agg(term, ' ' ORDER BY rk) AS terms FROM ranked WHERE rk <= {topics.TITLE_TERMS} GROUP BY {key})
+joined AS (SELECT {key}, string_agg(term, ' ' ORDER BY rk) AS terms FROM ranked WHERE rk <= {TITLE_TERMS} GROUP BY {key})
 SELECT s.{key}, s.num_tweets,
-  CASE WHEN s.num_tweets < {topics.MIN_EVENT_ROWS} THEN '{topics.SMALL_EVENT}'
-       WHEN j.terms IS NULL OR j.terms = '' THEN '{topics.GENERIC_EVENT}'
+  CASE WHEN s.num_tweets < {MIN_EVENT_ROWS} THEN 'Small Event'
+       WHEN j.terms IS NULL OR j.terms = '' THEN 'Generic Event'
        ELSE {title_case('j.terms')} END AS event_title
 FROM sizes s LEFT JOIN joined j ON s.{key} = j.{key}"""
 
@@ -149,7 +162,7 @@ gkept AS (SELECT g.* FROM g WHERE grp IN (SELECT grp FROM gs WHERE n >= (SELECT
 
 EMB = f"""
 es AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
-ethr AS (SELECT greatest({graph.MIN_GROUP_FLOOR}, CAST(floor(sum(n) * {graph.MIN_GROUP_FRACTION}) AS BIGINT)) AS t FROM es),
+ethr AS (SELECT greatest({MIN_GROUP_FLOOR}, CAST(floor(sum(n) * {MIN_GROUP_FRACTION}) AS BIGINT)) AS t FROM es),
 ekept AS (SELECT * FROM embeddings WHERE label IN (SELECT label FROM es WHERE n >= (SELECT t FROM ethr))),
 ecodes AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS cid FROM (SELECT DISTINCT label FROM ekept)),
 ecoded AS (SELECT e.vec_id, e.label, c.cid, e.embedding FROM ekept e JOIN ecodes c ON e.label = c.label),
@@ -167,9 +180,9 @@ epairs AS (
 ),
 edges AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst ASC) AS rank FROM epairs)
-  WHERE rank <= {graph.NEIGHBOURS}
+  WHERE rank <= {NEIGHBOURS}
 ),
-ethreshold AS (SELECT round(quantile_cont(sim, {graph.THRESHOLD_QUANTILE}), 9) AS threshold FROM edges),
+ethreshold AS (SELECT round(quantile_cont(sim, {THRESHOLD_QUANTILE}), 9) AS threshold FROM edges),
 estrong AS (SELECT src, dst FROM edges WHERE sim > (SELECT threshold FROM ethreshold)),
 eund AS (SELECT src AS a, dst AS b FROM estrong UNION SELECT dst, src FROM estrong),
 ecomp AS (
@@ -187,7 +200,7 @@ erenum AS (
 
 
 COHERENCE = f"""
-csizes AS (SELECT source, count(*) AS num_tweets FROM posts GROUP BY source HAVING count(*) >= {topics.MIN_EVENT_ROWS}),
+csizes AS (SELECT source, count(*) AS num_tweets FROM posts GROUP BY source HAVING count(*) >= {MIN_EVENT_ROWS}),
 ctoks AS (
   SELECT source, doc_id, term FROM (
     SELECT source, doc_id, unnest(string_split(clean_text, ' ')) AS term FROM posts WHERE source IN (SELECT source FROM csizes)
@@ -196,13 +209,13 @@ ctoks AS (
 ctf AS (SELECT source, term, count(*) AS tf FROM ctoks GROUP BY source, term),
 cvocab AS (
   SELECT source, term FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY tf DESC, term ASC) AS r FROM ctf)
-  WHERE r <= {topics.COHERENCE_MAX_TERMS}
+  WHERE r <= {COHERENCE_MAX_TERMS}
 ),
 cpresent AS (SELECT DISTINCT t.source, t.doc_id, t.term FROM ctoks t JOIN cvocab v ON t.source = v.source AND t.term = v.term),
 cdoc AS (SELECT source, doc_id, count(*) AS m FROM cpresent GROUP BY source, doc_id),
 cs AS (SELECT p.source, p.term, CAST(sum(d.m) AS DOUBLE) AS s FROM cpresent p JOIN cdoc d
        ON p.source = d.source AND p.doc_id = d.doc_id GROUP BY p.source, p.term),
-cscore AS (SELECT source, sum(s / (s + {topics.COHERENCE_EPS})) / pow(count(*), 2) AS c FROM cs GROUP BY source),
+cscore AS (SELECT source, sum(s / (s + {COHERENCE_EPS})) / pow(count(*), 2) AS c FROM cs GROUP BY source),
 coh AS (SELECT z.source, z.num_tweets, coalesce(c.c, 0.0) AS coherence FROM csizes z LEFT JOIN cscore c ON z.source = c.source)"""
 
 
@@ -214,7 +227,7 @@ def _features_sql(source: str = DECORATED, carry: str = "doc_id") -> str:
     c = "clean_text"
     return f"""WITH d AS ({source}), f AS (SELECT *, {clean_display('raw_text')} AS clean_text FROM d)
 SELECT {carry}, clean_text,
-  CAST(len(regexp_extract_all({c}, '{tx.P_EMOJI_RUN}')) AS BIGINT) AS emoji_count,
+  CAST(len(regexp_extract_all({c}, '{COUNTED_EMOJI}')) AS BIGINT) AS emoji_count,
   CAST({count_char(c, '!')} AS BIGINT) AS exclamation_count,
   CAST({count_char(c, '?')} AS BIGINT) AS question_count,
   CAST(coalesce({count_char('raw_text', '#')}, 0) AS BIGINT) AS hashtag_count,
