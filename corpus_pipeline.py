@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm import decontamination, exact_dedup, packing, quality, simhash
 from eventlens.llm.queries import table, tokenizer_path
-from eventlens.session import ensure_checkpoint_dir, materialize
+from eventlens.session import discard, ensure_checkpoint_dir, materialize
 
 KEY = "__text_key"
 
@@ -85,5 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(last)  # a stage's table goes once the next one is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.rows import dense_codes, exact_quantile, group_sizes, min_group_size
 from eventlens.operators.vectors import SIM_DECIMALS, centroids, knn_edges
-from eventlens.session import ensure_checkpoint_dir, materialize
+from eventlens.session import discard, ensure_checkpoint_dir, materialize
 
 # Fixed values (merge parameters of the event pipeline).
 NEIGHBOURS = 4          # five nearest including self, self removed
@@ -80,7 +80,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node_col: str = "id
     links = materialize(pairs.where("u > v").distinct(), "cc-edges")
     known = _print(links)
     while known[0]:
-        links = materialize(_small_star(_large_star(links)), "cc-edges")
+        last, links = links, materialize(_small_star(_large_star(links)), "cc-edges")
+        discard(last)
         before, known = known, _print(links)
         if known == before:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.rows import global_positions
 from eventlens.operators.vectors import l2_normalize, reduce_dims
-from eventlens.session import materialize
+from eventlens.session import discard, materialize
 
 NEIGHBOURS = 30           # as the reference's reduction
 TABLES, BLOCK_ROWS = 6, 512
@@ -199,8 +199,9 @@ def knn_graph(
     found = blocks.applyInArrow(_near_in_block(k), LISTS)
     graph, far = _measured(_best(found, k))
     for i in range(rounds):
-        before = far
+        before, last = far, graph
         graph, far = _measured(_best(graph.unionByName(_round(graph, base, k, reverse, seed + i)), k))
+        discard(last)
         if before - far < SETTLED * before:
             break
     return graph
@@ -351,8 +352,9 @@ def spectral_layout(start: DataFrame, id_col: str, vec_col: str, graph: DataFram
     width = nodes.select(F.size("x")).first()[0]
     for _ in range(power):
         shift, turn = _orthonormal(_second_moments(nodes, "x", "x"))
-        even = _mapped(nodes, "x", shift, turn, "x")
+        even, last = _mapped(nodes, "x", shift, turn, "x"), nodes
         nodes = materialize(_walked(even, edges, width, n).select("id", "d", F.col("y").alias("x")), "layout")
+        discard(last)
     shift, turn = _orthonormal(_second_moments(nodes, "x", "x"))
     last = materialize(_walked(_mapped(nodes, "x", shift, turn, "x"), edges, width, n), "layout")
     inner = _second_moments(last, "x", "y")[:-1, :-1]

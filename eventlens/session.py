@@ -104,4 +104,15 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = shared_scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Remove the table behind a frame that ``materialize`` returned, once no plan will read it again."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
