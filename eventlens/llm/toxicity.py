@@ -61,8 +61,12 @@ def fold(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
+GRAMS = "label int, g long, suffix long, context long, size int, first boolean, n long"
+
+
 def word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(label, gram, n) of words (label, word, n): all character n-grams up to ORDER, borders included."""
+    """Character n-grams up to ORDER, borders included, of words (label, word, n), as numbers: the hashes of
+    the n-gram, of it without its first and without its last symbol, its size, and whether it begins a word."""
     for batch in batches:
         sums: Counter[tuple[int, str]] = Counter()
         for label, word, n in zip(batch["label"], batch["word"], batch["n"]):
@@ -70,8 +74,12 @@ def word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i in range(1, len(w)):
                 for k in range(1, min(ORDER, i + 1) + 1):
                     sums[label, w[i + 1 - k : i + 1]] += n
-        rows = [(label, gram, n) for (label, gram), n in sums.items()]
-        yield pd.DataFrame(rows, columns=["label", "gram", "n"])
+        grams = [gram for _, gram in sums]
+        yield pd.DataFrame({
+            "label": np.array([label for label, _ in sums], np.int32), "g": gram_hash(grams).view(np.int64),
+            "suffix": gram_hash([g[1:] for g in grams]).view(np.int64), "context": gram_hash([g[:-1] for g in grams]).view(np.int64),
+            "size": np.array([len(g) for g in grams], np.int32), "first": np.array([g[0] == START for g in grams], bool), "n": np.array(list(sums.values()), np.int64),
+        })
 
 
 def word_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,34 +167,32 @@ def discounts(counts: np.ndarray) -> float:
     return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
-def kneser_ney(counts: pd.DataFrame) -> Evidence:
-    """The two models of (label 0/1, gram, n), as differences toxic - ordinary of log probabilities.
+def kneser_ney(grams: pd.DataFrame) -> Evidence:
+    """The two models of n-grams (g, suffix, context, size, first, n0, n1), as differences toxic - ordinary of log probabilities.
 
     Over both classes together: interpolated Kneser-Ney of all orders. Each class: its own
     counts of the longest n-grams, discounted, and the rest of the mass after the shared model.
     """
-    n = counts.pivot_table(index="gram", columns="label", values="n", aggfunc="sum", fill_value=0).reindex(columns=[0, 1], fill_value=0)
-    grams = n.index.to_numpy().astype(object)
-    size = np.fromiter(map(len, grams), np.int64, len(grams))
-    raw = n.to_numpy(np.float64)
-    place = {g: i for i, g in enumerate(grams)}
+    column = lambda c: grams[c].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(column("g"))
+    g, suffix, context = (column(c)[order] for c in ("g", "suffix", "context"))
+    size, first = grams["size"].to_numpy()[order], grams["first"].to_numpy(bool)[order]
+    raw = grams[["n0", "n1"]].to_numpy(np.float64)[order]
+    place = np.minimum(np.searchsorted(g, suffix), len(g) - 1)  # every n-gram's suffix is one too, but for single symbols
+    contexts, code = np.unique(context, return_inverse=True)
     # lower orders count distinct characters in front; at the start of a word, where there are none, occurrences
-    longer = np.flatnonzero(size > 1)
-    suffix = np.fromiter((place[grams[i][1:]] for i in longer), np.int64, len(longer))
-    shared = np.bincount(suffix, minlength=len(grams)).astype(np.float64)
-    top = (size == ORDER) | np.fromiter((g[0] == START for g in grams), bool, len(grams))
+    shared = np.bincount(place[size > 1], minlength=len(g)).astype(np.float64)
+    top = (size == ORDER) | first
     shared[top] = raw[top].sum(1)
-    prob = np.zeros(len(grams))
+    prob = np.zeros(len(g))
     alphabet = max(1, int((size == 1).sum()))
-    context_of: dict[str, int] = {}
-    code = np.fromiter((context_of.setdefault(g[:-1], len(context_of)) for g in grams), np.int64, len(grams))
     for k in range(1, ORDER + 1):
         own = np.flatnonzero(size == k)
         u, c = shared[own], code[own]
         discount = discounts(u)
-        total = np.bincount(c, weights=u, minlength=len(context_of))[c]
-        kinds = np.bincount(c, minlength=len(context_of))[c]
-        below = 1.0 / alphabet if k == 1 else prob[[place[g[1:]] for g in grams[own]]]
+        total = np.bincount(c, weights=u, minlength=len(contexts))[c]
+        kinds = np.bincount(c, minlength=len(contexts))[c]
+        below = 1.0 / alphabet if k == 1 else prob[place[own]]
         prob[own] = np.maximum(u - discount, 0) / total + discount * kinds / total * below
 
     own = np.flatnonzero(top)
@@ -194,14 +200,13 @@ def kneser_ney(counts: pd.DataFrame) -> Evidence:
     for label in (0, 1):
         u = raw[own, label]
         discount = discounts(u)
-        total = np.bincount(c, weights=u, minlength=len(context_of))
-        kinds = np.bincount(c, weights=u > 0, minlength=len(context_of))
+        total = np.bincount(c, weights=u, minlength=len(contexts))
+        kinds = np.bincount(c, weights=u > 0, minlength=len(contexts))
         back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.maximum(u - discount, 0) / np.maximum(total, 1)[c] + back[c] * prob[own]))
         backs.append(np.log(back))
-    contexts = [g for g in context_of if len(g) == ORDER - 1 or g[:1] == START]
-    at = [context_of[g] for g in contexts]
-    return Evidence(by_hash(list(grams[own]), logs[1] - logs[0]), by_hash(contexts, (backs[1] - backs[0])[at]))
+    used = np.unique(c)
+    return Evidence((g[own], logs[1] - logs[0]), (contexts[used], (backs[1] - backs[0])[used]))
 
 
 def whole_words(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +225,6 @@ def whole_words(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h.view(np.uint64)[order], (logs[1] - logs[0])[order]
 
 
-def by_hash(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = gram_hash(names)
-    order = np.argsort(h)
-    return h[order], values[order]
-
-
 def text_evidence(model: Evidence, texts: pa.Array, cache: dict[str, tuple[float, int]], most: int = 200_000) -> np.ndarray:
     """Evidence per symbol of every text; cache: what distinct words gave, bounded."""
     code, counts, names = words(pc.utf8_lower(texts))
@@ -280,12 +279,12 @@ def fit(docs: DataFrame, learn: DataFrame, per_class: int = PER_CLASS) -> tuple[
     def fitted(use: DataFrame) -> Evidence | None:
         seen = F.least(F.countDistinct("context"), F.countDistinct("doc"))
         own = materialize(use.groupBy("label", "word", "h").agg(seen.alias("n")), "toxicity-counts")
-        grams = own.mapInPandas(word_grams, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-        counts = grams.toPandas()  # the n-grams of at most 2 * per_class texts
-        if counts["label"].nunique() < 2:
+        of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+        grams = own.mapInPandas(word_grams, GRAMS).groupBy("g", "suffix", "context", "size", "first").agg(of(0).alias("n0"), of(1).alias("n1"))
+        counts = grams.toPandas()  # numbers, a row per n-gram of at most 2 * per_class texts
+        if not len(counts) or not (counts[["n0", "n1"]].sum() > 0).all():
             return None
         model = kneser_ney(counts)
-        of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
         words_seen = own.groupBy("h").agg(of(0).alias("n0"), of(1).alias("n1")).toPandas()  # numbers, a row per word of these texts
         model.whole = whole_words(words_seen["h"].to_numpy(np.int64), words_seen[["n0", "n1"]].to_numpy(np.float64))
         return model

@@ -243,3 +243,51 @@ def test_toxicity_of_a_very_long_text_and_repeated_rows(spark):
     assert len(got) == 122 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
     by = {r["doc_id"]: r["score"] for r in got}
     assert by[500] < 0.5 and min(by[i] for i in range(1, 120, 2)) > max(by[i] for i in range(0, 120, 2))
+
+
+def test_character_models_against_a_slow_one():
+    """Kneser-Ney over characters by dictionaries of strings, on a few words."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = [(label, "".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))), rng.randint(1, 4)) for label in (0, 1) for _ in range(60)]
+    table = pd.DataFrame(rows, columns=["label", "word", "n"]).drop_duplicates(["label", "word"])
+    long = pd.concat(list(toxicity.word_grams(iter([table]))))
+    for label in (0, 1):
+        long[f"n{label}"] = long["n"].where(long["label"] == label, 0)
+    model = toxicity.kneser_ney(long.groupby(["g", "suffix", "context", "size", "first"])[["n0", "n1"]].sum().reset_index())
+    order, own = toxicity.ORDER, [Counter(), Counter()]
+    for label, word, n in table.itertuples(index=False):
+        w = toxicity.START + word + toxicity.END
+        for i in range(1, len(w)):
+            for k in range(1, min(order, i + 1) + 1):
+                own[label][w[i + 1 - k : i + 1]] += n
+    grams = set(own[0]) | set(own[1])
+    top = {g for g in grams if len(g) == order or g[0] == toxicity.START}
+    shared = {g: own[0][g] + own[1][g] if g in top else len({h[0] for h in grams if h[1:] == g}) for g in grams}
+
+    def discount(values):
+        n1, n2 = values.count(1), values.count(2)
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    d = {k: discount([shared[g] for g in grams if len(g) == k]) for k in range(1, order + 1)}
+
+    def prob(g):
+        if not g:
+            return 1 / sum(len(x) == 1 for x in grams)
+        same = [shared[x] for x in grams if x[:-1] == g[:-1] and len(x) == len(g)]
+        return (max(shared.get(g, 0) - d[len(g)], 0) + d[len(g)] * len(same) * prob(g[1:])) / sum(same) if same else prob(g[1:])
+
+    own_d = [discount([own[label][g] for g in top]) for label in (0, 1)]
+
+    def log(label, g):
+        same = [own[label][x] for x in top if x[:-1] == g[:-1] and own[label][x]]
+        if not same:
+            return math.log(prob(g))
+        return math.log((max(own[label][g] - own_d[label], 0) + own_d[label] * len(same) * prob(g)) / sum(same))
+
+    keys = toxicity.gram_hash(sorted(top))
+    found, value = toxicity.look_up(*model.grams, keys)
+    assert found.all()
+    for g, x in zip(sorted(top), value):
+        assert x == pytest.approx(log(1, g) - log(0, g), abs=1e-9), g
