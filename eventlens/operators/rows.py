@@ -204,16 +204,15 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str, margin: float = 1.2) ->
     every partition. The candidate set is closed downward in md5 order, so
     the result equals a full ordered limit.
     """
-    total = df.count()
+    # the points alone are written, so that however often they are counted ``df`` is run once for them
+    points = materialize(df.select(_sample_point(key, seed).alias("p")), "sample-points")
+    total = points.count()
     if total <= n:
         return df
-    point = _sample_point(key, seed)
     cut = min(1.0, margin * n / total + 1e-9)
-    while True:
-        cand = df.filter(point <= F.lit(cut))
-        if cut >= 1.0 or cand.count() >= n:
-            break
+    while cut < 1.0 and points.where(F.col("p") <= cut).count() < n:
         cut = min(1.0, cut * 2)
+    cand = df.filter(_sample_point(key, seed) <= F.lit(cut))
     return cand.orderBy(sample_key(key, seed), F.col(key)).limit(n)
 
 
