@@ -17,7 +17,7 @@ from eventlens.plans.catalog import QUERIES  # noqa: E402
 from eventlens.session import local_session  # noqa: E402
 
 HEADLINE = ["source_titles", "clean_display", "emotion_features", "merge_datasets", "label_posts", "term_counts",
-            "topic_coherence", "hashed_tfidf", "weekly_counts", "title_events", "sample_n"]
+            "topic_coherence", "hashed_tfidf", "weekly_counts", "title_events", "dedupe_first", "tsv_ingest_mixed", "sample_n"]
 
 
 def summarise(plan: str) -> dict:
@@ -50,6 +50,20 @@ def main() -> None:
         s = summarise(buf.getvalue())
         print(f"| {name} | {s['exchanges']} | {s['partial aggregates']} | {s['broadcast joins']} | {s['sort-merge joins']} | "
               f"{s['windows']} | {s['python']} | {'<br>'.join(s['read schemas'])} | {'<br>'.join(s['pushed filters'])} |")
+    print(NOTES)
+
+
+NOTES = """
+Notes
+- Plans begin at the tables that a query has written (deduplicated rows, terms per event, lines of a
+  folder, centroids): counts are those of the last job. The jobs before it are narrow scans
+  with one write each, and aggregates of (hashes, order, row number) for a dedupe.
+- Every scan reads only the columns the query needs (read schema), and null filters on
+  raw text reach the Parquet reader (pushed filters). Regex-based filters stay above
+  the scan on purpose: `keep_rows` keeps them from being re-evaluated in the scan task.
+- The aggregates are partial/final pairs (map-side combine before every shuffle). No
+  window runs without a partition key over fact rows, and no text is sorted by a dedupe.
+- Arrow stages appear in the vectoriser, the blocked k-NN, k-means and the silhouettes."""
 
 
 if __name__ == "__main__":
