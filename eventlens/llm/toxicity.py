@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import RowIds, columns, hash_sample, ragged, small_batches, strings, words
-from eventlens.session import materialize
+from eventlens.session import materialize, release_shuffles
 
 ORDER = 5  # characters of an n-gram at most
 PER_CLASS = 3000
@@ -281,12 +281,16 @@ def fit(docs: DataFrame, learn: DataFrame, per_class: int = PER_CLASS) -> tuple[
         own = materialize(use.groupBy("label", "word", "h").agg(seen.alias("n")), "toxicity-counts")
         of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
         grams = own.mapInPandas(word_grams, GRAMS).groupBy("g", "suffix", "context", "size", "first").agg(of(0).alias("n0"), of(1).alias("n1"))
-        counts = grams.toPandas()  # numbers, a row per n-gram of at most 2 * per_class texts
+        # numbers, a row per n-gram of at most 2 * per_class texts; moved, not copied
+        counts = grams.toArrow().to_pandas(self_destruct=True, split_blocks=True)
         if not len(counts) or not (counts[["n0", "n1"]].sum() > 0).all():
             return None
         model = kneser_ney(counts)
         words_seen = own.groupBy("h").agg(of(0).alias("n0"), of(1).alias("n1")).toPandas()  # numbers, a row per word of these texts
         model.whole = whole_words(words_seen["h"].to_numpy(np.int64), words_seen[["n0", "n1"]].to_numpy(np.float64))
+        del counts, words_seen
+        pa.default_memory_pool().release_unused()
+        release_shuffles(spark)  # three models are fitted one after the other: what the last one took is given back
         return model
 
     def measured(half: int) -> pd.DataFrame:
