@@ -210,3 +210,31 @@ def test_pipeline_decisions(spark, tmp_path):
     assert final == [*range(60), 102]
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in pieces.where(F.col("piece") == 0).collect()) == final
+
+
+def test_pipeline_keeps_copies_at_the_quality_cut(spark, tmp_path):
+    """Rows that repeat id and text stay together: not one of them is lost because another was not drawn."""
+    import corpus_pipeline
+
+    def prose(n):
+        return " ".join(rng.choice(VOCABULARY) for _ in range(n)).capitalize() + "."
+
+    rows = [(i, prose(60)) for i in range(40)] + [(100 + i, prose(40).upper() + " !!! " * 20) for i in range(40)]
+    rows += [r for r in rows for _ in range(2)] + [(None, None), (7, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).collect()
+    seen = {}
+    for r in kept:
+        seen[r["doc_id"], r["text"]] = seen.get((r["doc_id"], r["text"]), 0) + 1
+    assert {k for k in seen if k[1]} >= set(rows[:40]) and all(n == rows.count(k) for k, n in seen.items())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
