@@ -7,13 +7,18 @@ Scale notes
   * Ranking happens on the (event, term) count table, never on raw token
     rows, and in two salted phases, so a hot event's vocabulary is ranked by
     many tasks before its winners meet.
-  * Coherence uses the linear identity (below) instead of a V x V matrix.
+  * Coherence uses the linear identity (below) instead of a V x V matrix; its
+    sums are taken in Arrow batches, so the shuffle carries (event, term) counts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlens.functions.text import ENGLISH_STOP_WORDS, term_filter
 from eventlens.session import materialize
@@ -96,6 +101,93 @@ def title_events(
     return sizes.join(joined, key, "left").select(key, "num_tweets", title.alias("event_title"))
 
 
+#: Clean text that is split at a time, and (event, term) pairs of capped events that may be sent to all tasks.
+TEXT_BYTES = 8 << 20
+VOCAB_ROWS = 600_000
+
+
+def _slices(batch: pa.RecordBatch, limit: int = TEXT_BYTES):
+    """Slices of a batch with about ``limit`` bytes of text (at least one row each)."""
+    part = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _term_sums(key: str, stop_words, kept: pa.Table | None = None):
+    """mapInArrow function: (key, term, tf, _s) of each slice; ``_s`` sums, over rows holding the term, their numbers of distinct terms.
+
+    ``kept``: the only (key, term) pairs that count.
+    """
+    stop = pa.array(list(stop_words), pa.large_string())
+    if kept is not None:
+        events, words = kept[key].unique(), kept["term"].cast(pa.large_string()).unique()
+        at = lambda column, values: pc.index_in(column, values).to_numpy().astype(np.int64)
+        allowed = np.sort(at(kept[key], events) * len(words) + at(kept["term"].cast(pa.large_string()), words))
+
+    def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = pc.split_pattern(batch.column("_text").cast(pa.large_string()), " ")
+        per_row = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded, event = pc.list_flatten(parts).dictionary_encode(), batch.column(key).dictionary_encode()
+        terms, width = coded.dictionary, max(1, len(coded.dictionary))
+        good = (pc.greater_equal(pc.utf8_length(terms), 2).to_numpy(zero_copy_only=False)) & ~pc.is_in(terms, stop).to_numpy(zero_copy_only=False)
+        code, of_row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), event.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), per_row)[good[code]]
+        held, tf = np.unique(row * width + code[good[code]], return_counts=True)  # a row's distinct terms
+        row, code = held // width, held % width
+        pair, place = np.unique(of_row[row] * width + code, return_inverse=True)
+        if kept is not None:
+            e, w = (pc.fill_null(pc.index_in(d, v), -1).to_numpy(zero_copy_only=False).astype(np.int64) for d, v in ((event.dictionary, events), (terms, words)))
+            e, w = e[pair // width], w[pair % width]
+            wanted = e * len(words) + w
+            there = np.searchsorted(allowed, wanted)
+            counts = (e >= 0) & (w >= 0) & (allowed[np.minimum(there, len(allowed) - 1)] == wanted)
+            some = counts[place]
+            row, tf = row[some], tf[some]
+            pair, place = pair[counts], (np.cumsum(counts) - 1)[place[some]]
+        distinct = np.bincount(row, minlength=batch.num_rows)
+        whole = lambda x: np.bincount(place, x, len(pair)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [event.dictionary.take(pa.array(pair // width)), terms.take(pa.array(pair % width)).cast(pa.string()), pa.array(whole(tf)), pa.array(whole(distinct[row]))],
+            names=[key, "term", "tf", "_s"],
+        )
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from map(sums, _slices(batch))
+
+    return run
+
+
+def _event_terms(rows: DataFrame, key: str, stop_words, kept: pa.Table | None = None) -> DataFrame:
+    """(key, term, tf, _s) of whole events; a row of ``rows`` (key, _text) is a document."""
+    schema = T.StructType([rows.schema[key], *(T.StructField(n, t) for n, t in (("term", T.StringType()), ("tf", T.LongType()), ("_s", T.LongType())))])
+    partial = rows.select(key, "_text").mapInArrow(_term_sums(key, stop_words, kept), schema)
+    return partial.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.sum("_s").cast("double").alias("_s"))
+
+
+def _capped_sums(rows: DataFrame, key: str, doc_col: str, vocab: DataFrame, stop_words) -> DataFrame:
+    """(key, term, _s) where only the terms of ``vocab`` count.
+
+    A vocabulary of at most ``VOCAB_ROWS`` rows, counted, is sent to the tasks, and no text is shuffled. Larger ones, and
+    rows that share a document's number, are joined by term and collected by document.
+    """
+    out, joined = None, rows
+    if vocab.count() <= VOCAB_ROWS:
+        again = materialize(rows.groupBy(key, doc_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("_k"), F.col(doc_col).alias("_d")), "repeated-documents")
+        same = (F.col(key) == F.col("_k")) & F.col(doc_col).eqNullSafe(F.col("_d"))
+        out = _event_terms(rows.join(again, same, "left_anti"), key, stop_words, vocab.toArrow()).select(key, "term", "_s")
+        if again.isEmpty():
+            return out
+        joined = rows.join(again, same, "left_semi")
+    terms = F.array_distinct(F.filter(F.split("_text", " "), lambda t: term_filter(t, stop_words)))
+    present = joined.select(key, doc_col, F.explode(terms).alias("term"))
+    held = present.join(vocab, [key, "term"], "left_semi").groupBy(key, doc_col).agg(F.collect_list("term").alias("_kept"))
+    slow = held.select(key, F.explode("_kept").alias("term"), F.size("_kept").alias("m")).groupBy(key, "term").agg(F.sum("m").cast("double").alias("_s"))
+    return slow if out is None else out.unionByName(slow).groupBy(key, "term").agg(F.sum("_s").alias("_s"))
+
+
 def topic_coherence(
     df: DataFrame,
     key: str,
@@ -116,14 +208,8 @@ def topic_coherence(
     kept term score 0.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("num_tweets")).filter(F.col("num_tweets") >= min_rows)
-    big = df.join(sizes.select(key), key, "left_semi")
-    # a document's terms are all in its row: sorted there, the first of equal ones carries the number of distinct ones
-    kept = F.array_sort(F.filter(F.split(F.col(clean_col), " "), lambda t: term_filter(t, stop_words)))
-    distinct = F.size(F.array_distinct("_terms"))
-    told = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (t != F.col("_terms")[i - 1]), distinct).otherwise(0).alias("m")))
-    rows = big.select(key, doc_col, kept.alias("_terms")).where(F.size("_terms") > 0)
-    each = rows.select(key, F.explode(told).alias("x")).select(key, "x.term", "x.m")
-    counts = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("m").cast("double").alias("_s"))
+    big = df.join(sizes.select(key), key, "left_semi").select(key, doc_col, F.coalesce(F.col(clean_col), F.lit("")).alias("_text"))
+    counts = _event_terms(big, key, stop_words)
     if max_terms is None:
         s_i = counts
     else:
@@ -132,11 +218,9 @@ def topic_coherence(
         s_i = counts.join(over, key, "left_anti").select(key, "term", "_s")
         if not over.isEmpty():
             # events with more terms: only the top ones count, so the numbers per document are taken again
-            vocab = top_n_per_group(counts.join(over, key, "left_semi"), key, [F.desc("tf"), F.asc("term")], max_terms, "_r").select(key, "term")
-            present = rows.join(over, key, "left_semi").select(key, doc_col, F.explode(F.array_distinct("_terms")).alias("term"))
-            held = present.join(vocab, [key, "term"], "left_semi").groupBy(key, doc_col).agg(F.collect_list("term").alias("_kept"))
-            again = held.select(key, F.explode("_kept").alias("term"), F.size("_kept").alias("m")).groupBy(key, "term").agg(F.sum("m").cast("double").alias("_s"))
-            s_i = s_i.unionByName(again)
+            top = top_n_per_group(counts.join(over, key, "left_semi"), key, [F.desc("tf"), F.asc("term")], max_terms, "_r")
+            vocab = materialize(top.select(key, "term"), "event-vocabulary")
+            s_i = s_i.unionByName(_capped_sums(big.join(over, key, "left_semi"), key, doc_col, vocab, stop_words))
     score = s_i.groupBy(key).agg(
         (F.sum(F.col("_s") / (F.col("_s") + F.lit(eps))) / F.pow(F.count(F.lit(1)).cast("double"), 2)).alias("_c")
     )

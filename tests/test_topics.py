@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from eventlens.operators import topics
@@ -44,3 +46,26 @@ def test_coherence_linear_form_equals_matrix(spark):
     assert abs(got["e"] - matrix_coherence(docs)) < 1e-12
     capped = {r.ev: r.coherence for r in topics.topic_coherence(df, "ev", "doc", "clean_text", max_terms=7).collect()}
     assert abs(capped["e"] - matrix_coherence(docs, 7)) < 1e-12
+
+
+def test_coherence_of_long_documents_is_linear(spark):
+    # the work per document grew with the square of its terms
+    docs = [" ".join(f"t{i}x{j}" for j in range(20_000)) for i in range(10)]
+    df = spark.createDataFrame([("e", i, d) for i, d in enumerate(docs)], "ev string, doc long, clean_text string")
+    start = time.monotonic()
+    got = topics.topic_coherence(df, "ev", "doc", "clean_text").first()
+    assert time.monotonic() - start < 60
+    assert abs(got.coherence - 1 / 200_000) < 1e-12  # all terms in one document each: V rows that sum to 1
+
+
+def test_capped_coherence_joins_large_vocabularies_and_repeated_documents(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}x" for i in range(40)]
+    docs = [" ".join(rng.choice(words, size=rng.integers(1, 12))) for _ in range(25)]
+    rows = [(e, i, d) for e in ("e", "f") for i, d in enumerate(docs)]
+    twice = spark.createDataFrame([*rows, ("f", 3, "w1x w2x"), ("f", None, "w1x"), ("f", None, "w3x w1x"), ("e", 50, None)], "ev string, doc long, clean_text string")
+    sent = {r.ev: r.coherence for r in topics.topic_coherence(twice, "ev", "doc", "clean_text", max_terms=7).collect()}
+    monkeypatch.setattr(topics, "VOCAB_ROWS", 3)
+    joined = {r.ev: r.coherence for r in topics.topic_coherence(twice, "ev", "doc", "clean_text", max_terms=7).collect()}
+    assert abs(sent["e"] - matrix_coherence(docs, 7)) < 1e-12
+    assert sent.keys() == joined.keys() and all(abs(sent[k] - joined[k]) < 1e-12 for k in sent)
