@@ -29,17 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import RowIds, columns, hash_sample, small_batches, strings, words
+from eventlens.llm.common import RowIds, columns, small_batches, strings, words
 from eventlens.session import materialize
 
 WORD_BUCKETS, SHAPES = 1 << 14, 256
 N_BUCKETS = 2 * WORD_BUCKETS + SHAPES * SHAPES
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Labelled scores that the cut is chosen on, about: those with small hashes.
-CUT_ROWS = 50_000
 
 
 def word_traits(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,17 +160,37 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, small: int = 20_000
     return value, above + listed.index(value)
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray, prefer: float) -> float:
-    """The log weight that parts good from bad best, midway between its two neighbours; prefer: how much heavier a lost good text weighs than a kept bad one."""
-    if not good.any() or good.all():
-        return -np.inf
-    order = np.argsort(weights, kind="stable")
-    lost_good = np.concatenate([[0], np.cumsum(good[order])]) / good.sum()
-    kept_bad = 1 - np.concatenate([[0], np.cumsum(~good[order])]) / (~good).sum()
-    at = int(np.argmin(prefer * lost_good + kept_bad))
-    if at == 0:
+def best_cut(labelled: DataFrame, prefer: float) -> float:
+    """The log weight that parts good from bad best, midway between its two neighbours; prefer: how much heavier a lost good text weighs than a kept bad one.
+
+    ``labelled`` has log_weight and good (boolean), every row of which counts: rows are added up by weight, the weights
+    split into ranges, and each range is scanned in order from the counts of those below it.
+    """
+    weights = labelled.groupBy("log_weight").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    weights = materialize(weights.repartitionByRange("log_weight").withColumn("part", F.spark_partition_id()), "weights-by-range")
+    parts = weights.groupBy("part").agg(F.sum("g"), F.sum("b"), F.max("log_weight")).orderBy("part").collect()  # a row per range
+    n_good, n_bad = sum(p[1] for p in parts), sum(p[2] for p in parts)
+    if not n_good or not n_bad:
         return -np.inf
-    return float(weights[order[at - 1]] + weights[order[at]]) / 2 if at < len(order) else np.inf
+    # before each range: the good and bad rows below it, and the weight next below it
+    below, good, bad, last = [], 0, 0, None
+    for part, g, b, most in parts:
+        below.append((part, good, bad, last))
+        good, bad, last = good + g, bad + b, most
+    start = weights.sparkSession.createDataFrame(below, "part int, good long, bad long, last double")
+    inside = Window.partitionBy("part").orderBy("log_weight")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = weights.join(F.broadcast(start), "part").select(
+        "log_weight",
+        (F.col("good") + F.coalesce(F.sum("g").over(before), F.lit(0))).alias("lost"),
+        (F.col("bad") + F.coalesce(F.sum("b").over(before), F.lit(0))).alias("left"),
+        F.coalesce(F.lag("log_weight").over(inside), "last").alias("under"),
+    )
+    cost = F.lit(float(prefer)) * (F.col("lost") / n_good) + (F.lit(1.0) - F.col("left") / n_bad)
+    best = cuts.agg(F.min(F.struct(cost.alias("cost"), "log_weight", "under")).alias("x")).select("x.*").first()
+    if float(prefer) < best["cost"]:  # dropping all costs the good ones
+        return np.inf
+    return -np.inf if best["under"] is None else (best["under"] + best["log_weight"]) / 2
 
 
 def importance_resample(
@@ -205,9 +223,7 @@ def importance_resample(
     )
     total = rows.count()
     if k is None:
-        seen = hash_sample(rows.where((F.col("good") >= 0) & ~fits), "doc_id", CUT_ROWS, 1)
-        seen = seen.select("log_weight", "good").toPandas()
-        cut = best_cut(seen["log_weight"].to_numpy(), seen["good"].to_numpy() == 1, prefer)
+        cut = best_cut(rows.where((F.col("good") >= 0) & ~fits).select("log_weight", (F.col("good") == 1).alias("good")), prefer)
         k = total if cut == -np.inf else rows.where(F.col("log_weight") >= cut).count()
     out = ["doc_id", "text_key", "n_grams", "log_weight", "key"]
     if k >= total or k <= 0:

@@ -189,6 +189,22 @@ def test_quality_drops_junk_and_keeps_prose(spark):
     assert quality.importance_resample(docs, labels, k=17).where("selected").count() == 17
 
 
+def test_the_cut_counts_every_labelled_row(spark):
+    # more rows than were drawn for it before; many equal weights
+    draw = np.random.default_rng(4)
+    good = draw.random(60_000) < 0.3
+    weights = np.round(draw.normal(good * 1.0, 1.0), 3)
+    df = spark.createDataFrame([(float(w), bool(g)) for w, g in zip(weights, good)], "log_weight double, good boolean").repartition(5)
+    listed = np.unique(weights)
+    below = np.searchsorted(np.sort(weights[good]), listed), np.searchsorted(np.sort(weights[~good]), listed)
+    cost = 3.0 * (below[0] / good.sum()) + (1.0 - below[1] / (~good).sum())
+    at = int(np.argmin(cost))
+    assert at > 0 and quality.best_cut(df, 3.0) == (listed[at - 1] + listed[at]) / 2
+    assert quality.best_cut(df.unionByName(df.limit(1).select(F.lit(99.0).alias("log_weight"), F.lit(False).alias("good"))), 1e-9) == np.inf
+    assert quality.best_cut(df.where("good"), 3.0) == quality.best_cut(df.limit(0), 3.0) == -np.inf
+    assert quality.best_cut(df.withColumn("log_weight", F.lit(0.0)), 3.0) == -np.inf
+
+
 def test_kth_largest_with_ties(spark):
     values = [float(rng.randrange(50)) for _ in range(3000)]
     frame = spark.createDataFrame([(v,) for v in values], "key double")
