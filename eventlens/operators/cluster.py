@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -27,7 +28,14 @@ MAX_ROUNDS = 300
 
 
 def _points(column) -> np.ndarray:
-    return np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), np.float64)
+    """A matrix of an Arrow list column without nulls, from its buffer: no value becomes a Python number."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different lengths: {sizes}")
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 class Grid:
@@ -77,7 +85,26 @@ def _first_centres(points: np.ndarray, weights: np.ndarray, k: int, rng: np.rand
     return points[chosen]
 
 
-def _sums(grid: Grid, centres: np.ndarray):
+def _packed(grid: Grid):
+    """mapInArrow function: points on the grid as bytes of 32-bit whole numbers (a grid has at most 24 bits), which every round reads."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                points = grid.on(_points(batch.column("v"))).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in points], pa.binary()), batch.column("w")], names=["p", "w"])
+
+    return run
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view("<i4").reshape(len(column), -1).astype(np.int64)
+
+
+def _sums(centres: np.ndarray):
     """mapInArrow function: per centre, the number of its rows and their sums, in whole numbers."""
     dim = centres.shape[1]
 
@@ -85,10 +112,12 @@ def _sums(grid: Grid, centres: np.ndarray):
         count, total = np.zeros(len(centres), np.int64), np.zeros(centres.shape, np.int64)
         for batch in batches:
             if batch.num_rows:
-                points, weight = grid.on(_points(batch.column("v"))).astype(np.int64), batch.column("w").to_numpy()
+                points, weight = _unpacked(batch.column("p")), batch.column("w").to_numpy()
                 near = Grid.squares(points.astype(np.float64), centres).argmin(1)
-                np.add.at(count, near, weight)
-                np.add.at(total, near, points * weight[:, None])
+                order = np.argsort(near, kind="stable")
+                there, first = np.unique(near[order], return_index=True)
+                count[there] += np.add.reduceat(weight[order], first)
+                total[there] += np.add.reduceat((points * weight[:, None])[order], first)
         some = np.flatnonzero(count)
         names = ["c", "n", *[f"s{i}" for i in range(dim)]]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), *[pa.array(total[some, i]) for i in range(dim)]], names=names)
@@ -116,6 +145,7 @@ def keyed_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = SEED, key: str
     if not n:
         return np.zeros((0, 0)), Grid(1.0, 1)
     grid, rng = Grid(stats["most"], dim), np.random.default_rng(seed)
+    packed = materialize(rows.mapInArrow(_packed(grid), "p binary, w long"), "kmeans-points")
     share = 1.0 if n <= fit_rows else fit_rows / n
     drawn = rows if share == 1.0 else rows.where(F.col("h") < int(2**64 * share) - 2**63)
     some = drawn.orderBy("h", "v").select("v", "w").toArrow()
@@ -124,11 +154,11 @@ def keyed_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = SEED, key: str
     tol = KMEANS_REL_TOL * float(((weights[:, None] * (points - mean) ** 2).sum(0) / weights.sum()).mean())
     centres = _lloyd(points, weights, _first_centres(points, weights, k, rng), tol)
     if share < 1.0:
-        centres = _with_far_rows(rows, grid, centres, k, rng, tol)
+        centres = _with_far_rows(rows, packed, grid, centres, k, rng, tol)
     centres = centres[np.lexsort(centres.T[::-1])]
     schema = "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))
     for _ in range(MAX_ROUNDS):
-        sums = rows.select("v", "w").mapInArrow(_sums(grid, centres), schema).groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(dim)])
+        sums = packed.mapInArrow(_sums(centres), schema).groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(dim)])
         new = centres.copy()
         for r in sums.collect():  # a row per centre
             new[r["c"]] = _moved([r[f"s{i}"] for i in range(dim)], r["n"])
@@ -139,7 +169,7 @@ def keyed_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = SEED, key: str
     return centres, grid
 
 
-def _with_far_rows(rows: DataFrame, grid: Grid, centres: np.ndarray, k: int, rng: np.random.Generator, tol: float) -> np.ndarray:
+def _with_far_rows(rows: DataFrame, packed: DataFrame, grid: Grid, centres: np.ndarray, k: int, rng: np.random.Generator, tol: float) -> np.ndarray:
     """Centres refitted with 2 k rows drawn by squared distance, exactly and by hash, from all rows."""
 
     def far(batches):
@@ -157,7 +187,7 @@ def _with_far_rows(rows: DataFrame, grid: Grid, centres: np.ndarray, k: int, rng
         return centres
     points = np.unique(np.vstack([centres, grid.on(_points(more))]), axis=0)
     dim = points.shape[1]
-    counts = rows.select("v", "w").mapInArrow(_sums(grid, points), "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))).groupBy("c").agg(F.sum("n").alias("n"))
+    counts = packed.mapInArrow(_sums(points), "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))).groupBy("c").agg(F.sum("n").alias("n"))
     weights = np.zeros(len(points))
     for r in counts.collect():  # a row per candidate
         weights[r["c"]] = r["n"]
@@ -219,43 +249,55 @@ def _block_distance_sums(batches):
         for q_ids, q_labels, q_vecs, d_ids, d_labels, d_vecs in zip(
             pdf["q_ids"], pdf["q_labels"], pdf["q_vecs"], pdf["d_ids"], pdf["d_labels"], pdf["d_vecs"]
         ):
-            qi, qv, ql = np.asarray(q_ids), np.vstack(q_vecs).astype(np.float64), np.asarray(q_labels)
             di, dv, dl = np.asarray(d_ids), np.vstack(d_vecs).astype(np.float64), np.asarray(d_labels)
-            sq = (qv * qv).sum(1)[:, None] + (dv * dv).sum(1)[None, :] - 2.0 * qv @ dv.T
-            dist = np.sqrt(np.maximum(sq, 0.0))
-            dist[qi[:, None] == di[None, :]] = 0.0
             labels, at = np.unique(dl, return_inverse=True)
             member = np.eye(len(labels))[at]  # one product gives every row's sums by label
-            sums = dist @ member
-            counts = member.sum(0)[None, :] - (qi[:, None] == di[None, :]) @ member
-            r, c = np.nonzero(counts)
-            out.append(pd.DataFrame({"id": qi[r], "label": ql[r], "other": labels[c], "dsum": sums[r, c], "cnt": counts[r, c].astype(np.int64)}))
+            all_ids, all_labels, all_vecs, squares = np.asarray(q_ids), np.asarray(q_labels), np.vstack(q_vecs).astype(np.float64), (dv * dv).sum(1)
+            step = max(1, SILHOUETTE_CELLS // len(di))
+            for i in range(0, len(all_ids), step):
+                qi, ql, qv = all_ids[i : i + step], all_labels[i : i + step], all_vecs[i : i + step]
+                dist = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] + squares[None, :] - 2.0 * qv @ dv.T, 0.0))
+                counts = np.repeat(member.sum(0)[None, :], len(qi), 0)
+                both = np.flatnonzero(np.isin(qi, di))
+                if len(both):
+                    itself = qi[both, None] == di[None, :]
+                    dist[both] = np.where(itself, 0.0, dist[both])
+                    counts[both] -= itself.astype(np.float64) @ member
+                sums = dist @ member
+                r, c = np.nonzero(counts)
+                out.append(pd.DataFrame({"id": qi[r], "label": ql[r], "other": labels[c], "dsum": sums[r, c], "cnt": counts[r, c].astype(np.int64)}))
         yield pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "other": [], "dsum": [], "cnt": []})
 
 
+#: Blocks that every point is sent to, about; rows of the largest such block; distances in memory at a time.
+SILHOUETTE_BLOCKS, SILHOUETTE_BLOCK_ROWS, SILHOUETTE_CELLS = 48, 16_384, 4_000_000
+
+
 def silhouette_exact(df: DataFrame, id_col: str, vec_col: str, label_col: str, block_rows: int = 1024) -> DataFrame:
     """J4 with plain Euclidean distance over all pairs (the reference's definition).
 
     Quadratic work, but never materialised as pair rows: points are packed in
-    blocks of ``block_rows`` (dense ids, so every block is bounded), block
-    pairs are formed by an equi-join, and each pair emits per-point distance
-    sums by cluster. Returns one row (silhouette).
+    blocks of ``block_rows`` (dense ids, so every block is bounded), each is
+    joined with all of the larger data blocks, and each pair emits per-point
+    distance sums by cluster. There are about ``SILHOUETTE_BLOCKS`` data blocks,
+    so what is shuffled grows with the points, until a data block would pass
+    ``SILHOUETTE_BLOCK_ROWS``. Returns one row (silhouette).
     """
     codes = dense_codes(df, id_col, out="_pid")
     pts = df.join(codes, id_col).select(
         F.col("_pid").alias("pid"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"),
         F.floor(F.col("_pid") / F.lit(block_rows)).cast("long").alias("blk"),
     )
-    packed = pts.groupBy("blk").agg(
-        F.collect_list("pid").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("vec").alias("vecs")
-    )
-    last = pts.agg(F.max("blk")).scalar()
-    q = packed.select(
+    n = (pts.agg(F.max("pid")).first()[0] or 0) + 1
+    wide = block_rows * max(1, min(SILHOUETTE_BLOCK_ROWS, n // SILHOUETTE_BLOCKS) // block_rows)
+    pack = lambda x, c: x.groupBy(c).agg(F.collect_list("pid").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("vec").alias("vecs"))
+    q = pack(pts, "blk").select(
         F.col("ids").alias("q_ids"), F.col("labels").alias("q_labels"), F.col("vecs").alias("q_vecs"),
-        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("d_blk"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // wide).cast("long"))).alias("d_blk"),
+    )
+    d = pack(pts.withColumn("d_blk", F.floor(F.col("pid") / F.lit(wide)).cast("long")), "d_blk").select(
+        "d_blk", F.col("ids").alias("d_ids"), F.col("labels").alias("d_labels"), F.col("vecs").alias("d_vecs")
     )
-    d = packed.select(F.col("blk").alias("d_blk"), F.col("ids").alias("d_ids"), F.col("labels").alias("d_labels"),
-                      F.col("vecs").alias("d_vecs"))
     partial = q.join(d, "d_blk").drop("d_blk").mapInPandas(_block_distance_sums, _PARTIAL_SCHEMA)
     per = partial.groupBy("id", "label", "other").agg((F.sum("dsum") / F.sum("cnt")).alias("mean_d"))
     ab = per.groupBy("id", "label").agg(

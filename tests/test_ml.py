@@ -97,6 +97,42 @@ def test_sampled_silhouette_is_within_its_bound_and_exact_for_small_clusters(spa
     assert cluster.silhouette_sampled(df.where("label = 9"), "id", "v", "label").first()["silhouette"] == 0
 
 
+def test_exact_silhouette_sends_points_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    # a point was sent to every block of the table, so what is shuffled grew with the square of the rows
+    points = blobs(900, 4, 3, seed=5)
+    labels = np.random.default_rng(5).integers(0, 4, 900)
+    df = spark.createDataFrame([(i, p.tolist(), int(c)) for i, (p, c) in enumerate(zip(points, labels))], "id long, v array<double>, label long").repartition(3)
+    monkeypatch.setattr(cluster, "SILHOUETTE_BLOCKS", 5)
+    monkeypatch.setattr(cluster, "SILHOUETTE_CELLS", 1000)
+    seen = spark.sparkContext.accumulator(0)
+    plain = cluster._block_distance_sums
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield from plain([pdf])
+
+    monkeypatch.setattr(cluster, "_block_distance_sums", counted)
+    got = cluster.silhouette_exact(df, "id", "v", "label", block_rows=20).first()[0]
+    assert got == pytest.approx(_silhouette(points, labels), abs=1e-8)
+    assert seen.value == 45 * 5  # 45 blocks of 20 rows, each with 5 of 180
+
+
+def test_points_are_read_and_packed_whole():
+    import pyarrow as pa
+
+    listed = [[1.5, -2.0, 8.0], [0.0, 3.25, -8.0]]
+    column = pa.array([[9.0] * 3, *listed], pa.list_(pa.float64())).slice(1)
+    assert cluster._points(column).tolist() == cluster._points(pa.chunked_array([column])).tolist() == listed
+    with pytest.raises(ValueError):
+        cluster._points(pa.array([[1.0], [1.0, 2.0, 3.0]]))
+    grid = cluster.Grid(8.0, 3)
+    batch = pa.RecordBatch.from_arrays([column, pa.array([1, 2])], names=["v", "w"])
+    (packed,) = cluster._packed(grid)([batch])
+    assert (cluster._unpacked(packed.column("p").slice(1)) == grid.on(np.array(listed[1:]))).all()
+    assert packed.column("w").to_pylist() == [1, 2]
+
+
 def test_encoder_is_loaded_once_per_worker_in_bounded_batches(spark, tmp_path):
     folder = str(tmp_path)
 
