@@ -94,7 +94,7 @@ P_QUESTION = "\\?{4,}"
 P_MIXED = "!{3,}\\?{3,}"
 P_CRLFTAB = "[\\r\\n\\t]"
 P_EMOJI_RUN = f"[{_ranges(EMOJI_COUNT_RANGES)}]+"
-P_UPPER_WORD = f"(?<![{WORD}])[A-Z]{{2,}}(?![{WORD}])"
+P_UPPER_WORD = f"(?=[A-Z])(?<![{WORD}])[A-Z]{{2,}}(?![{WORD}])"
 
 
 def _c(col) -> Column:

@@ -166,3 +166,15 @@ def test_repair_decodes_every_character_between_good_ones(spark):
     df = spark.createDataFrame([(i, "ŋ " + _twice(w) + " ŋ") for i, w in enumerate(words)], "i int, t string")
     bad = [(words[r["i"]], r["t"]) for r in df.select("i", repair_fully("t").alias("t")).collect() if r["t"] != "ŋ " + words[r["i"]] + " ŋ"]
     assert not bad, bad[:5]
+
+
+def test_a_damaged_text_is_computed_once_for_its_repair(spark):
+    from eventlens.functions import encoding as enc
+
+    # the text's expression stood in the plan once for every place that reads it, and was computed as often
+    df = spark.createDataFrame([("plain",), ("naïve €",), (None,)], "t string")
+    for repair in (enc.repair_encoding, enc.repair_once, enc.repair_fully, enc.repair_runs):
+        found = df.select(repair(enc.to_mojibake(enc.to_mojibake(F.col("t")))).alias("r"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("utf-8") == 2, repair.__name__
+        assert found.collect()[2]["r"] is None
