@@ -43,10 +43,9 @@ def unparsed_count(col) -> Column:
 
 def time_window(ts) -> Column:
     """Monday..Sunday week of a timestamp as 'YYYY-MM-DD/YYYY-MM-DD'."""
-    monday = F.to_date(F.date_trunc("week", _c(ts)))
-    return F.concat(
-        F.date_format(monday, "yyyy-MM-dd"), F.lit("/"), F.date_format(F.date_add(monday, 6), "yyyy-MM-dd")
-    )
+    day = F.to_date(_c(ts))
+    monday = F.date_sub(day, F.weekday(day))
+    return F.concat(monday.cast("string"), F.lit("/"), F.date_add(monday, 6).cast("string"))
 
 
 def global_window() -> Column:

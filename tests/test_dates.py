@@ -79,3 +79,27 @@ def test_unread_rows_come_back_with_a_reason(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "d string")
     assert dates.column_layout(df, "d") is None and dates.rejected(df, "d", None).count() == 0
+
+
+def test_a_vote_reads_a_date_once_however_many_values_hold_it(spark):
+    stamps = [dt.datetime(2021, 3, 1) + dt.timedelta(minutes=7 * n) for n in range(2000)]
+    df = spark.createDataFrame([(f"{t:%d/%m/%Y %H:%M:%S}", f"{t:%B %d, %Y}", "13/13/2020 25:00") for t in stamps], "a string, b string, c string")
+    counted = dates.date_counts(df, ["a", "b", "c"])
+    days = len({t.date() for t in stamps})
+    assert {(r["name"], r["clock"]): r["count"] for r in counted.groupBy("name", "clock").count().collect()} == {("a", True): days, ("b", True): days, ("c", False): 1}
+    found = dates.vote(df, ["a", "b", "c"])
+    assert (found["a"].layout, found["a"].read["day/month/year"], found["b"].read["monthname day year"]) == ("day/month/year", 2000, 2000)
+    assert (found["c"].layout, found["c"].values) == (None, 2000)
+
+
+@pytest.mark.parametrize(
+    "value,date,hour,minute,second",
+    [
+        ("12:30 2020-07-25 12:30", "2020-07-25", 12, 30, "0"), ("2020-07-25 1:02:03.5 PM", "2020-07-25", 13, 2, "3.5"), ("2020-07-25 13:02 pm", "2020-07-25", None, 2, "0"),
+        ("2020-07-25 12:30:", "2020-07-25", 12, 30, "0"), ("2020-07-25\t 12:30 Z", "2020-07-25", 12, 30, "0"), ("202007251227", "20200725", 12, 27, "0"),
+        (", Jul 25,  2020 ,", "Jul 25, 2020", 0, 0, "0"), ("a:b", "a:b", 0, 0, "0"), ("2020-07-25\n", "2020-07-25", 0, 0, "0"),
+    ],
+)
+def test_parts_of_odd_values(spark, value, date, hour, minute, second):
+    got = dates.split_value(spark.createDataFrame([(value,)], "v string"), "v").first()
+    assert (got["__date"], got["__hour"], got["__minute"], float(got["__second"])) == (date, hour, minute, float(second))
