@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -223,28 +224,33 @@ def scan_event_folders(
 ) -> FolderScan:
     """Every TSV under ``root``, files of any header, in one split scan, with a ledger of what was left out.
 
-    Lines are read once, split across tasks, cut into fields by built-in functions and written. A
-    file with a line whose quotes do not close may hold newlines in its fields, and only such files
-    are read again, whole, by the CSV reader. Each file's first record is its header; the text column
-    is picked per file by priority. pandas-like rules: more fields than the header -> left out (an empty
+    A pass over the lines, split across tasks, finds the files with a line whose quotes do not close: these
+    may hold newlines in their fields and are read whole by the CSV reader, the others by lines. Records are
+    cut into fields by built-in functions and written once. Each file's first record is its header; the text
+    column is picked per file by priority. pandas-like rules: more fields than the header -> left out (an empty
     extra field counts), fewer -> kept, null-padded; missing-value tokens are null.
 
     Posts hold null texts (``MISSING_TEXT`` counts them in the ledger), so that a folder's rows can be
     counted. A file that has no text column or no record at all is in the ledger with its rows.
     """
-    lines = _lines(spark, root, glob, encoding).withColumn("open", _open_quote(F.col("line")))
-    found = materialize(lines.select("path", "at", "open", _fields(F.col("line")).alias("fields")), "tsv-lines")
-    odd = found.where("open").select("path").distinct()
+    lines = _lines(spark, root, glob, encoding)
+    odd = lines.where(_open_quote(F.col("line"))).select("path").distinct()
     paths = [r["path"] for r in odd.toLocalIterator()]  # some of the file names that the driver has listed for the scan
+    found = []
     if paths:
-        again = _records(spark, paths, encoding).select("path", "at", F.lit(False).alias("open"), _fields(F.col("line")).alias("fields"))
-        found = found.join(odd, "path", "left_anti").unionByName(materialize(again, "tsv-records"))
-    first = found.where("at.block = 0").groupBy("path").agg(F.min("at").alias("_head"))
-    heads = found.where("at.block = 0").join(first, "path").where(F.col("at") == F.col("_head"))
+        found.append(_records(spark, paths, encoding))
+        lines = lines.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path", "left_anti")
+    if not paths or len(_listing(spark, root, glob)) > len(paths):
+        found.append(lines)
+    found = reduce(DataFrame.unionByName, [f.select("path", "at", _fields(F.col("line")).alias("fields")) for f in found])
+    found = materialize(found, "tsv-records")
+    # a row per file, broadcast: rows meet their file's header where they are, however many a file has
+    first = found.where("at.block = 0").groupBy("path").agg(F.min("at.n").alias("_n"))
+    heads = found.where("at.block = 0").join(F.broadcast(first), "path").where("at.n = _n").withColumnRenamed("at", "_head")
     names = F.transform("fields", lambda f: F.trim(f))
     place = F.coalesce(*[F.nullif(F.array_position(names, c), F.lit(0).cast("long")) for c in text_candidates], F.lit(0).cast("long"))
     per_file = materialize(heads.select("path", "_head", F.size("fields").alias("_width"), place.cast("int").alias("_place")), "tsv-headers")
-    rows = found.join(per_file, "path").where(F.col("at") > F.col("_head"))
+    rows = found.join(F.broadcast(per_file), "path").where(F.col("at") > F.col("_head"))
     text = na_to_null(F.when((F.col("_place") > 0) & (F.col("_place") <= F.size("fields")), F.element_at("fields", F.col("_place"))))
     wide = F.size("fields") > F.col("_width")
     told = rows.select("path", F.col("at").alias("row_no"), wide.alias("_wide"), F.col("_place"), text.alias("raw_tweet"))
@@ -273,10 +279,13 @@ def read_event_folders(
     return scan_event_folders(spark, root, text_candidates, glob).posts
 
 
+def _listing(spark: SparkSession, root: str, glob: str) -> Sequence[str]:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).inputFiles()
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*.tsv") -> DataFrame:
     """(path) of every matching file, from the scan's file listing, which the driver holds anyway: a scan itself leaves empty files out."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return spark.createDataFrame([(path,) for path in listed.inputFiles()], "path string")
+    return spark.createDataFrame([(path,) for path in _listing(spark, root, glob)], "path string")
 
 
 def list_event_folders(spark: SparkSession, root: str, glob: str = "*.tsv") -> DataFrame:

@@ -162,3 +162,21 @@ def test_row_numbers_follow_path_and_place(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(rows) == 15000 and all(int(r["n"]) == r["row_no"] for r in rows)
+
+
+def test_files_with_open_quotes_are_cut_once_and_meet_their_header_without_a_shuffle(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="eventlens-tsv-")
+    write(f"{root}/open/a.tsv", "id\ttweet\n" + "".join(f'{i}\t"two\nlines {i}"\n' for i in range(300)))
+    write(f"{root}/plain/b.tsv", "text\tx\n" + "".join(f"one line {i}\t{i}\n" for i in range(200)))
+    written = []
+    keep = files.materialize
+    monkeypatch.setattr(files, "materialize", lambda df, name="table": (written.append((name, t := keep(df, name))), t)[1])
+    scan = files.scan_event_folders(spark, root)
+    records = [t.count() for name, t in written if "fields" in t.columns]
+    assert records == [502]  # every record and header, written once; no line of a file that is read whole
+    plan = scan.posts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    got = {r.folder: r.n for r in scan.posts.groupBy("folder").agg(F.count("raw_tweet").alias("n")).collect()}
+    assert got == {"open": 300, "plain": 200}
+    only = files.scan_event_folders(spark, f"{root}/open")  # no other file: the lines are not scanned again
+    assert only.posts.where("raw_tweet is not null").count() == 300
