@@ -101,7 +101,11 @@ def split_value(df: DataFrame, col: str) -> DataFrame:
     whole = F.regexp_replace("__plain", TIME + ZONE, " ")
     date = F.when(c("__bare").rlike(r"^[0-9A-Za-z./-]*\z"), c("__bare")).otherwise(F.trim(F.regexp_replace(whole, r"^[\s,]+|[\s,]+$|\s(?=\s)", "")))
     parts = {"__date": date, "__hour": hour, "__minute": F.coalesce(minute, F.lit(0)), "__second": second}
-    return at.withColumns(parts).drop("__trimmed", "__named", "__spaced", "__plain", "__time", "__cut", "__bare", "__said", "__half", "__digits")
+    at = at.withColumns(parts)
+    # a generator of one row: a filter on what is read from the date would else be moved below the split, with
+    # every shared column written out again in it
+    kept = [c(x) for x in [*df.columns, *PARTS[1:]]]
+    return at.select(*kept, F.explode(F.array("__date")).alias("__date"))
 
 
 def read_date(layout: Layout) -> Column:

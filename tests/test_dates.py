@@ -103,3 +103,12 @@ def test_a_vote_reads_a_date_once_however_many_values_hold_it(spark):
 def test_parts_of_odd_values(spark, value, date, hour, minute, second):
     got = dates.split_value(spark.createDataFrame([(value,)], "v string"), "v").first()
     assert (got["__date"], got["__hour"], got["__minute"], float(got["__second"])) == (date, hour, minute, float(second))
+
+
+def test_a_filter_on_a_read_date_does_not_repeat_the_split(spark):
+    df = spark.createDataFrame([(1, "25/07/2020 10:00"), (2, "soon")], "i int, d string")
+    good = dates.with_timestamp(df, "d", "day/month/year").where(F.col("_ts").isNotNull())
+    assert [r["i"] for r in good.collect()] == [1]
+    for frame in (good, dates.rejected(df, "d", "day/month/year")):
+        assert len(frame._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    assert [(r["i"], r["reason"]) for r in dates.rejected(df, "d", "day/month/year").collect()] == [(2, "no layout")]
