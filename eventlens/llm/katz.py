@@ -49,6 +49,7 @@ from eventlens.session import materialize, release_shuffles
 VOCABULARY, HEAD = 100_000, 50_000
 BUCKET_TOKENS = 700_000
 SLICE_ROWS, SLICE_BYTES = 65536, 16 << 20
+TABLE_ROWS = 1 << 20
 RARE, END, START, FIRST = 0, 1, 2, 3  # symbols; words are numbered from FIRST
 BITS = 20  # of a symbol in a bigram's key
 GOOD_TURING = 5
@@ -234,12 +235,6 @@ def bucket_of(key: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     return (mixed % np.uint64(buckets)).astype(np.int64) * KINDS + kind
 
 
-def bucket_column(key: str, kind: int, buckets: int):
-    """The same in Spark."""
-    mixed = F.expr(f"shiftrightunsigned({key}, {BITS}) * {SPREAD}L + ({key} & {(1 << BITS) - 1}L)")
-    return (mixed % F.lit(buckets)) * KINDS + kind
-
-
 def squeeze(key: np.ndarray, other: np.ndarray, place: np.ndarray, times: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane, and the rest, compressed."""
     planes = b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(key, prepend=0), other))
@@ -262,6 +257,58 @@ def joined(key: np.ndarray, other: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, byte plane by byte plane: what they share lies together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def squeeze_table(keys: np.ndarray, numbers: list[np.ndarray]) -> bytes:
+    """Sorted hashes as differences and their numbers (counts; a history's sums too), compressed."""
+    raw = planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(map(planes, numbers))
+    return len(keys).to_bytes(8, "little") + len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze_table(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and sums (0 where there are none)."""
+    n, width = (int.from_bytes(body[a : a + 8], "little") for a in (0, 8))
+    raw = np.frombuffer(pa.decompress(body[16:], 8 * n * (1 + width), codec="zstd", asbytes=True), np.uint8)
+    part = [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).ravel() for i in range(1 + width)]
+    sums = [x.view("<f8") for x in part[2:]] or [np.zeros(n), np.zeros(n)]
+    return np.cumsum(part[0].view("<u8"), dtype=np.uint64), part[1].view("<i8"), *sums
+
+
+TABLE = "bucket long, body binary"
+
+
+def packed_table(kind: int, buckets: int, rows: int = TABLE_ROWS):
+    """mapInArrow function: rows of a table (key, other, n and a history's sums), packed by bucket, ``rows`` or a batch more at a time."""
+
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        key = table["key"].to_numpy()
+        bucket, hashes = bucket_of(key, kind, buckets), joined(key, table["other"].to_numpy())
+        order = np.lexsort((hashes, bucket))
+        bucket, hashes = bucket[order], hashes[order]
+        numbers = [table[c].to_numpy()[order] for c in table.column_names[2:]]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(cuts[1:], len(bucket))
+        bodies = [squeeze_table(hashes[a:b], [x[a:b] for x in numbers]) for a, b in zip(cuts.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= rows:
+                yield pack(held)
+                held, count = [], 0
+        if count:
+            yield pack(held)
+
+    return run
+
+
 STREAM = "bucket long, slice long, body binary"
 _STREAM = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("body", pa.binary())])
 
@@ -333,9 +380,10 @@ def evaluated(shared):
         if bucket < 0:
             return sent.select(["bucket", "slice", "body"]).cast(_STREAM)
         model, kind = shared.value, bucket % KINDS
-        keys = joined(tables["key"].to_numpy(), tables["other"].to_numpy())
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        keys, n, kept, p = map(np.concatenate, zip(empty, *map(unsqueeze_table, tables["body"].to_pylist())))
         order = np.argsort(keys)
-        keys, (n, kept, p) = keys[order], (tables[c].to_numpy()[order] for c in ("n", "kept", "p"))
+        keys, n, kept, p = keys[order], n[order], kept[order], p[order]
 
         def found(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             wanted = joined(key, other)
@@ -526,10 +574,10 @@ def katz_scores(
     sent = source.mapInArrow(packed_tokens(shared), STREAM)
 
     def part(df: DataFrame, kind: int, key: str, other=None) -> DataFrame:
-        """Rows of the tables of a kind of bucket: the key, its neighbour, the count, and a history's sums."""
+        """A table of a kind of bucket, packed: the hash of a key and its neighbour, the count, and a history's sums."""
         other = F.lit(RARE).cast("long") if other is None else F.col(other)
-        sums = [F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in ("kept", "p")]
-        return df.select(bucket_column(key, kind, model.buckets).alias("bucket"), F.col(key).alias("key"), other.alias("other"), "n", *sums)
+        sums = [c for c in ("kept", "p") if c in df.columns]
+        return df.select(F.col(key).alias("key"), other.alias("other"), "n", *sums).mapInArrow(packed_table(kind, model.buckets), TABLE)
 
     symbols = bigram.where((F.shiftright("key", BITS) != RARE) & (F.expr(f"key & {(1 << BITS) - 1}L") != RARE))
     rare = unigram.join(_vocabulary(spark, model), "key", "left_anti")

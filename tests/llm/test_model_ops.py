@@ -307,3 +307,22 @@ def test_character_models_against_a_slow_one():
     assert found.all()
     for g, x in zip(sorted(top), value):
         assert x == pytest.approx(log(1, g) - log(0, g), abs=1e-9), g
+
+
+def test_katz_tables_are_sent_packed_by_bucket():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    key = rng.integers(-(2**63), 2**63 - 1, 9000)
+    other, n, kept, p = rng.integers(0, 1 << 20, 9000), rng.integers(1, 2**40, 9000), rng.random(9000), rng.random(9000)
+    batch = lambda a, b, **more: pa.RecordBatch.from_pydict({"key": key[a:b], "other": other[a:b], "n": n[a:b], **{c: x[a:b] for c, x in more.items()}})
+    for more in ({}, {"kept": kept, "p": p}):
+        sent = list(katz.packed_table(2, 4, rows=5000)([batch(a, a + 1000, **more) for a in range(0, 9000, 1000)]))
+        assert [b.num_rows for b in sent] == [4, 4]  # a row per bucket and 5,000 rows, not one per row
+        got = {}
+        for bucket, body in ((k, v) for b in sent for k, v in zip(b["bucket"].to_pylist(), b["body"].to_pylist())):
+            got |= {h: (bucket, *x) for h, *x in zip(*(c.tolist() for c in katz.unsqueeze_table(body)))}
+        sums = (kept, p) if more else (np.zeros(9000), np.zeros(9000))
+        want = zip(katz.bucket_of(key, 2, 4).tolist(), n.tolist(), *(x.tolist() for x in sums))
+        assert got == dict(zip(katz.joined(key, other).tolist(), want))
