@@ -48,7 +48,8 @@ from eventlens.session import materialize, release_shuffles
 
 VOCABULARY, HEAD = 100_000, 50_000
 BUCKET_TOKENS = 700_000
-SLICE_ROWS, SLICE_BYTES = 65536, 16 << 20
+PLACE_BITS = 16  # of a text in a slice
+SLICE_ROWS, SLICE_BYTES = 1 << PLACE_BITS, 16 << 20
 TABLE_ROWS = 1 << 20
 RARE, END, START, FIRST = 0, 1, 2, 3  # symbols; words are numbered from FIRST
 BITS = 20  # of a symbol in a bigram's key
@@ -235,19 +236,53 @@ def bucket_of(key: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     return (mixed % np.uint64(buckets)).astype(np.int64) * KINDS + kind
 
 
-def squeeze(key: np.ndarray, other: np.ndarray, place: np.ndarray, times: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, and the rest, compressed."""
-    planes = b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(key, prepend=0), other))
-    raw = planes + place.astype("<u2").tobytes() + times.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(key).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """Stable order of buckets; numpy sorts short numbers by their digits."""
+    return np.argsort(bucket.astype(np.min_scalar_type(int(bucket.max(initial=0)))), kind="stable")
 
 
-def unsqueeze(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(body[:8], "little")
-    raw = np.frombuffer(pa.decompress(body[8:], 22 * n, codec="zstd", asbytes=True), np.uint8)
-    key, other = (np.ascontiguousarray(raw[a * n : (a + 8) * n].reshape(8, n).T).view("<i8").ravel() for a in (0, 8))
-    place, times = raw[16 * n : 18 * n].view("<u2").astype(np.int64), np.ascontiguousarray(raw[18 * n :].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(key), other, place, times
+def within(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys, less what their bucket tells of them; in a bucket, in the same order."""
+    unsigned = np.ascontiguousarray(key).view(np.uint64)
+    parts = np.uint64(-(-(1 << BITS) // buckets))
+    return (unsigned >> np.uint64(BITS)) * parts + (unsigned & np.uint64((1 << BITS) - 1)) // np.uint64(buckets)
+
+
+def restored(short: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """The keys of ``within``."""
+    parts, count = np.uint64(-(-(1 << BITS) // buckets)), np.uint64(buckets)
+    high = short // parts
+    low = (short % parts) * count + (np.uint64(bucket // KINDS) + count - high * np.uint64(SPREAD) % count) % count
+    return (high << np.uint64(BITS) | low).view(np.int64)
+
+
+def pack(*numbers: np.ndarray) -> bytes:
+    """Columns of eight-byte numbers, byte plane by byte plane: what they share lies together; compressed. The highest planes are left out if zero."""
+    parts = []
+    for x in numbers:
+        x = np.ascontiguousarray(x)
+        width = (int(x.view(np.uint64).max(initial=0)).bit_length() + 7) // 8
+        parts += [bytes([width]), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    raw = b"".join(parts)
+    return len(numbers[0]).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    """The columns of ``pack``, unsigned."""
+    n, size = (int.from_bytes(body[a : a + 8], "little") for a in (0, 8))
+    raw, at, found = np.frombuffer(pa.decompress(body[16:], size, codec="zstd", asbytes=True), np.uint8), 0, []
+    while at < size:
+        width = int(raw[at])
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = raw[at + 1 : at + 1 + width * n].reshape(width, n).T
+        found.append(x.view("<u8").ravel())
+        at += 1 + width * n
+    return found
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers; their running sums are the numbers again."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 def joined(key: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -257,37 +292,33 @@ def joined(key: np.ndarray, other: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Eight-byte numbers, byte plane by byte plane: what they share lies together."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
 def squeeze_table(keys: np.ndarray, numbers: list[np.ndarray]) -> bytes:
-    """Sorted hashes as differences and their numbers (counts; a history's sums too), compressed."""
-    raw = planes(np.diff(keys, prepend=np.uint64(0))) + b"".join(map(planes, numbers))
-    return len(keys).to_bytes(8, "little") + len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Sorted hashes as differences and their numbers (counts; a history's sums too)."""
+    return pack(steps(keys), *numbers)
 
 
 def unsqueeze_table(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, counts and sums (0 where there are none)."""
-    n, width = (int.from_bytes(body[a : a + 8], "little") for a in (0, 8))
-    raw = np.frombuffer(pa.decompress(body[16:], 8 * n * (1 + width), codec="zstd", asbytes=True), np.uint8)
-    part = [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).ravel() for i in range(1 + width)]
-    sums = [x.view("<f8") for x in part[2:]] or [np.zeros(n), np.zeros(n)]
-    return np.cumsum(part[0].view("<u8"), dtype=np.uint64), part[1].view("<i8"), *sums
+    keys, n, *sums = unpack(body)
+    sums = [x.view("<f8") for x in sums] or [np.zeros(len(keys)), np.zeros(len(keys))]
+    return np.cumsum(keys, dtype=np.uint64), n.view("<i8"), *sums
 
 
 TABLE = "bucket long, body binary"
 
 
 def packed_table(kind: int, buckets: int, rows: int = TABLE_ROWS):
-    """mapInArrow function: rows of a table (key, other, n and a history's sums), packed by bucket, ``rows`` or a batch more at a time."""
+    """mapInArrow function: rows of a table (key, other, n and a history's sums), packed by bucket, ``rows`` or a batch more at a time.
+
+    Bigrams of symbols go by their keys, others by a hash of key and neighbour.
+    """
 
-    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches)
         key = table["key"].to_numpy()
-        bucket, hashes = bucket_of(key, kind, buckets), joined(key, table["other"].to_numpy())
-        order = np.lexsort((hashes, bucket))
+        bucket, hashes = bucket_of(key, kind, buckets), joined(key, table["other"].to_numpy()) if kind else within(key, buckets)
+        order = np.argsort(hashes)
+        order = order[by_bucket(bucket[order])]
         bucket, hashes = bucket[order], hashes[order]
         numbers = [table[c].to_numpy()[order] for c in table.column_names[2:]]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -301,10 +332,10 @@ def packed_table(kind: int, buckets: int, rows: int = TABLE_ROWS):
             held.append(batch)
             count += batch.num_rows
             if count >= rows:
-                yield pack(held)
+                yield packed(held)
                 held, count = [], 0
         if count:
-            yield pack(held)
+            yield packed(held)
 
     return run
 
@@ -317,20 +348,25 @@ def packed_tokens(shared):
     """mapInArrow function: a slice's documents (bucket -1 - slice), and per bucket the tokens that need a table."""
 
     def parcels(key: np.ndarray, other: np.ndarray | None, text: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-        order = np.lexsort((text, key) if other is None else (text, other, key))
-        other = np.zeros(len(key), np.int64) if other is None else other[order]
-        key, text = key[order], text[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(key)))
-        key, other, text = key[first], other[first], text[first]
-        bucket = bucket_of(key, kind, buckets)
-        order = np.argsort(bucket, kind="stable")
-        key, other, text, times, bucket = key[order], other[order], text[order], times[order], bucket[order]
+        if other is None:  # keys of symbols leave room for the text's place
+            both = np.sort(key << PLACE_BITS | text)
+            new = np.ones(len(both), bool)
+            new[1:] = both[1:] != both[:-1]
+            first = np.flatnonzero(new)
+            key, text, rest = both[first] >> PLACE_BITS, both[first] & (SLICE_ROWS - 1), []
+        else:  # texts ascend already
+            order = np.lexsort((other, key))
+            key, other, text = key[order], other[order], text[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])
+            first = np.flatnonzero(new)
+            key, text, rest = key[first], text[first], [other[first]]
+        times, bucket, short = np.diff(np.append(first, len(new))), bucket_of(key, kind, buckets), within(key, buckets)
+        order = by_bucket(bucket)
+        bucket, short, *rest = (x[order] for x in (bucket, short, text, times, *rest))
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(key)]):
-            yield int(bucket[a]), squeeze(key[a:b], other[a:b], text[a:b], times[a:b])
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            yield int(bucket[a]), pack(steps(short[a:b]), *(x[a:b] for x in rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = shared.value, RowIds()
@@ -385,8 +421,7 @@ def evaluated(shared):
         order = np.argsort(keys)
         keys, n, kept, p = keys[order], n[order], kept[order], p[order]
 
-        def found(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            wanted = joined(key, other)
+        def found(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if not len(keys):
                 return np.zeros(len(wanted), np.int64), np.zeros(len(wanted)), np.zeros(len(wanted))
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -395,23 +430,23 @@ def evaluated(shared):
 
         slices, bodies = [], []
         for number, body in zip(sent["slice"].to_pylist(), sent["body"].to_pylist()):
-            key, other, place, times = unsqueeze(body)
-            count = found(key, other)[0]
-            docs, at = np.unique(place, return_inverse=True)
-            total = lambda x: np.bincount(at, weights=x * times, minlength=len(docs))
-            zero = np.zeros(len(docs))
+            short, place, times, *other = unpack(body)
+            short, place, times = np.cumsum(short, dtype=np.uint64), place.view("<i8"), times.view("<i8")
+            key = restored(short, bucket, model.buckets)
+            docs = np.flatnonzero(np.bincount(place))
+            total = lambda x: np.bincount(place, weights=x * times)[docs]
             if kind == 0:
-                score, base, known = total(model.seen(key, count)), zero, zero
-            elif kind == 1:
-                word = found(key, np.full(len(key), RARE))[0]
-                score, base, known = total(model.after_any(other, count, word)), total(model.base(word)), total((word > 0).astype(float))
+                sums = [total(model.seen(key, found(short)[0]))]
             else:
-                score, base, known = total(model.after_word(other, count, *found(key, np.full(len(key), RARE)))), zero, zero
-            part = pa.RecordBatch.from_arrays(
-                [pa.array(docs.astype(np.uint16)), pa.array(score), pa.array(base), pa.array(known.astype(np.int64))], names=["place", "score", "base", "known"]
-            )
+                other = other[0].view("<i8")
+                count, alone = found(joined(key, other))[0], found(joined(key, np.full(len(key), RARE)))
+                if kind == 1:
+                    word = alone[0]
+                    sums = [total(model.after_any(other, count, word)), total(model.base(word)), total((word > 0).astype(float))]
+                else:
+                    sums = [total(model.after_word(other, count, *alone))]
             slices.append(number)
-            bodies.append(to_bytes(part))
+            bodies.append(pack(steps(docs), *sums))
         return pa.Table.from_arrays([pa.array([bucket] * len(slices), pa.int64()), pa.array(slices, pa.int64()), pa.array(bodies, pa.binary())], schema=_STREAM)
 
     return run
@@ -425,13 +460,13 @@ def gathered(parts: pa.Table) -> pa.Table:
     docs, sums = None, np.zeros((3, SLICE_ROWS))
     # in order of buckets, so that sums do not depend on the order of arrival
     for bucket, body in sorted(zip(parts["bucket"].to_pylist(), parts["body"].to_pylist()), key=lambda x: x[0]):
-        table = pa.ipc.open_stream(body).read_all()
         if bucket < 0:
-            docs = table
+            docs = pa.ipc.open_stream(body).read_all()
         else:
-            place = table["place"].to_numpy()
-            for i, c in enumerate(("score", "base", "known")):
-                sums[i, place] += table[c].to_numpy()
+            place, *more = unpack(body)
+            place = np.cumsum(place.view("<i8"))
+            for i, x in enumerate(more):  # the score; for words of the class the base and the known too
+                sums[i, place] += x.view("<f8")
     n = docs.num_rows
     score, base, known = (docs[c].to_numpy() + sums[i, :n] for i, c in enumerate(("score", "base", "known")))
     return pa.Table.from_arrays(
@@ -533,7 +568,7 @@ def fit_pairs(model: Model, pair: DataFrame, unigram: DataFrame) -> DataFrame:
     rare = rare.withColumn("p", share * F.when(is_symbol(F.col("h")), 1.0).otherwise(float(after[RARE]))).drop("m")
     both = pair.where(is_symbol(F.col("w"))).join(small, "w").unionByName(rare)
     sums = both.groupBy("h").agg(F.sum("n").alias("n"), F.sum(kept("n", model.pair_d)).alias("kept"), F.sum("p").alias("p"))
-    sums = materialize(sums, "katz-histories")
+    sums = materialize(sums, "katz-histories", "zstd")
     own = sums.where(is_symbol(F.col("h"))).toPandas()  # at most ``vocabulary`` rows
     h, n = own["h"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
     model.pair_total, model.pair_scale, model.pair_alpha = np.zeros(len(after), np.int64), np.zeros(len(after)), np.zeros(len(after))
@@ -558,13 +593,13 @@ def katz_scores(
     source = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held)
     counted = lambda f: source.mapInArrow(f, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     ends = source.where("not held_out").count()
-    unigram = materialize(counted(unigrams), "katz-unigrams")
+    unigram = materialize(counted(unigrams), "katz-unigrams", "zstd")
     release_shuffles(spark)  # each table is written: what was sent to count it need not lie on disk beside the next
     model = fit_unigrams(unigram, ends, min(vocabulary, (1 << BITS) - FIRST))
-    bigram = materialize(counted(bigrams(model)), "katz-bigrams")
+    bigram = materialize(counted(bigrams(model)), "katz-bigrams", "zstd")
     release_shuffles(spark)
     fit_bigrams(model, bigram, head)
-    pair = materialize(source.mapInArrow(pairs(model), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")), "katz-pairs")
+    pair = materialize(source.mapInArrow(pairs(model), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")), "katz-pairs", "zstd")
     release_shuffles(spark)
     histories = fit_pairs(model, pair, unigram)
     release_shuffles(spark)

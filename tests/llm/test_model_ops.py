@@ -4,8 +4,11 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +329,52 @@ def test_katz_tables_are_sent_packed_by_bucket():
         sums = (kept, p) if more else (np.zeros(9000), np.zeros(9000))
         want = zip(katz.bucket_of(key, 2, 4).tolist(), n.tolist(), *(x.tolist() for x in sums))
         assert got == dict(zip(katz.joined(key, other).tolist(), want))
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 1000])
+def test_katz_keys_lose_only_what_their_bucket_tells(buckets):
+    rng = np.random.default_rng(5)
+    symbols = rng.integers(0, 1 << 2 * katz.BITS, 5000)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 5000)
+    for kind, key in ((0, symbols), (1, hashes), (2, np.array([-1, -(2**63), 2**63 - 1, 0]))):
+        bucket, short = katz.bucket_of(key, kind, buckets), katz.within(key, buckets)
+        for b in np.unique(bucket).tolist():
+            assert (katz.restored(short[bucket == b], b, buckets) == key[bucket == b]).all()
+    numbers = [symbols, hashes, rng.random(5000), np.zeros(5000)]
+    assert all((x.view(y.dtype) == y).all() for x, y in zip(katz.unpack(katz.pack(*numbers)), numbers, strict=True))
+
+
+def test_katz_sends_few_bytes_between_slices_and_buckets():
+    rng, k, buckets, docs = np.random.default_rng(6), 20_000 + katz.FIRST, 4, 400
+    names = [f"w{i}" for i in range(k - katz.FIRST)]
+    texts = [" ".join(names[i] for i in rng.integers(0, len(names), 300)) for _ in range(docs)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(docs)), "text": texts, "held_out": [False] * docs})
+    hashes = katz.tokens(pa.RecordBatch.from_pydict({"text": [" ".join(names)]}))[2]
+    order, ones = np.argsort(hashes), np.ones(6)
+    log_p, alpha = -rng.random(k), -rng.random(k)
+    model = katz.Model(
+        hashes[order], katz.FIRST + order, np.ones(k, np.int64), k, k, 0, ones, 0.0, buckets, bigram_d=ones, log_p=log_p, history=np.arange(1, k + 1), seen_scale=np.zeros(k),
+        log_alpha=alpha, head_keys=np.zeros(0, np.int64), head_log=np.zeros(0), to_rare=np.zeros(k), after_rare=np.zeros(k),
+    )
+    shared = SimpleNamespace(value=model)
+    key, text = katz.bigram_keys(model, *katz.tokens(batch))
+    counted, n = np.unique(key, return_counts=True)
+    known = rng.random(len(counted)) < 0.5
+    rows = pa.RecordBatch.from_arrays([pa.array(counted[known]), pa.array(np.zeros(known.sum(), np.int64)), pa.array(n[known])], names=["key", "other", "n"])
+    table = pa.Table.from_batches(list(katz.packed_table(0, buckets)([rows])))
+    sent = pa.Table.from_batches(list(katz.packed_tokens(shared)([batch])))
+    size = lambda t: sum(len(x) for x in t["body"].to_pylist())
+    score, entries, replied, asked = np.zeros(docs), 0, 0, 0
+    for b in range(0, katz.KINDS * buckets, katz.KINDS):
+        of = lambda t: t.filter(pc.equal(t["bucket"], b))  # noqa: B023, E731
+        reply = katz.evaluated(shared)(of(sent), of(table))
+        asked, replied = asked + size(of(sent)), replied + size(reply)
+        for body in reply["body"].to_pylist():
+            place, sums = katz.unpack(body)
+            entries += len(place)
+            score[np.cumsum(place.view("<i8"))] += sums.view("<f8")
+    want = model.seen(key, np.where(known, n, 0)[np.searchsorted(counted, key)])
+    assert np.allclose(score, np.bincount(text, weights=want, minlength=docs))
+    assert size(table) < 3 * known.sum()  # bytes a bigram; 6.87 as hashes
+    assert asked < 3.6 * len(key)  # bytes a token; 3.67 with whole keys
+    assert replied < 8 * entries  # bytes a sum of a document; 27.5 with places and columns of zeros as they are
