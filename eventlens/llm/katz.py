@@ -22,8 +22,8 @@ Probabilities of all words and one unknown word sum to 1 after any history.
 
 Words are told apart by 64-bit hashes. What a task or the driver holds is bounded: the
 vocabulary and a few numbers per symbol (``vocabulary`` rows), the ``head`` most frequent bigrams
-(which tasks score by themselves, so that no bucket gets a hot key), a bucket, a slice. The
-tables and what is sent grow with the input.
+(which tasks score by themselves, so that no bucket gets a hot key), a bucket, the numbers of a
+slice and the texts of a piece of it. The tables and what is sent grow with the input.
 
 Defined cases: null and empty texts are one end token; a null doc_id is a training row; without
 training rows every text has base score 0 and words count as unknown; repeated rows count and
@@ -50,7 +50,9 @@ VOCABULARY, HEAD = 100_000, 50_000
 BUCKET_TOKENS = 700_000
 PLACE_BITS = 16  # of a text in a slice
 SLICE_ROWS, SLICE_BYTES = 1 << PLACE_BITS, 16 << 20
+PIECE_BYTES = 4 << 20  # of a slice's texts, split into words at once
 TABLE_ROWS = 1 << 20
+OUT_ROWS = 1 << 17  # of a batch of counts
 RARE, END, START, FIRST = 0, 1, 2, 3  # symbols; words are numbered from FIRST
 BITS = 20  # of a symbol in a bigram's key
 GOOD_TURING = 5
@@ -61,21 +63,66 @@ SPREAD = 7919  # a prime; (2**44 - 1) * SPREAD + 2**20 fits a long
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word code per token, words per text, and the hash of each distinct word."""
-    import xxhash
-
     code, counts, names = words(pc.ascii_lower(strings(batch, "text")))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_pylist()), np.uint64, len(names)).view(np.int64)
-    return code, counts, hashes
+    return code, counts, hashes_of(names)
+
+
+def hashes_of(names: pa.LargeStringArray) -> np.ndarray:
+    """XXH3 of the bytes of every name; the names are not made Python strings."""
+    from xxhash import xxh3_64_intdigest
+
+    if not len(names):
+        return np.zeros(0, np.int64)
+    _, offsets, data = names.buffers()
+    cuts, raw = np.frombuffer(offsets, np.int64, len(names) + 1, 8 * names.offset).tolist(), data.to_pybytes()
+    return np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(cuts, cuts[1:])), np.uint64, len(names)).view(np.int64)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def by_slice(counted):
+    """mapInArrow function: what ``counted`` makes of each slice (the columns of a table, by name), in batches of OUT_ROWS.
+
+    It gets the pieces of a slice, so that only what is kept of a text lies in memory for all texts of the slice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "text", SLICE_BYTES):
+                out = pa.RecordBatch.from_pydict(counted(small_batches(batch, "text", PIECE_BYTES)))
+                for start in range(0, out.num_rows, OUT_ROWS):
+                    yield out.slice(start, OUT_ROWS)
+
+    return run
+
+
+def training(piece: pa.RecordBatch) -> np.ndarray:
+    return ~piece.column("held_out").to_numpy(zero_copy_only=False)
 
 
 def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n): distinct words of the training texts of a slice."""
-    for whole in batches:
-        for batch in small_batches(whole, "text", SLICE_BYTES):
-            code, counts, hashes = tokens(batch)
-            train = ~np.repeat(batch.column("held_out").to_numpy(zero_copy_only=False), counts)
-            n = np.bincount(code[train], minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0]), pa.array(n[n > 0])], names=["key", "n"])
+
+    def counted(pieces: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        found = []
+        for piece in pieces:
+            code, counts, hashes = tokens(piece)
+            n = np.bincount(code[np.repeat(training(piece), counts)], minlength=len(hashes))
+            found.append((hashes[n > 0], n[n > 0]))
+        key, n = map(np.concatenate, zip(*found))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = runs(key)
+        return {"key": key[first], "n": np.add.reduceat(n, first) if len(first) else n}
+
+    return by_slice(counted)(batches)
 
 
 def discounts(counts_of_counts: dict[int, int], k: int = GOOD_TURING) -> np.ndarray:
@@ -198,35 +245,39 @@ def named_pairs(model: Model, code: np.ndarray, counts: np.ndarray, hashes: np.n
 
 
 def bigrams(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_batches(whole, "text", SLICE_BYTES):
-                key, text = bigram_keys(model, *tokens(batch))
-                train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-                key, n = np.unique(key[train[text]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+    """(key, n): bigrams of symbols of the training texts of a slice."""
 
-    return run
+    def counted(pieces: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        found = []
+        for piece in pieces:
+            key, text = bigram_keys(model, *tokens(piece))
+            found.append(key[training(piece)[text]])
+        key = np.concatenate(found)
+        del found
+        key.sort()
+        first = runs(key)
+        return {"key": key[first], "n": np.diff(first, append=len(key))}
+
+    return by_slice(counted)
 
 
 def pairs(model: Model):
     """(h, w, n): bigrams of the training texts of a slice that have a word of the class."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_batches(whole, "text", SLICE_BYTES):
-                h, w, text = named_pairs(model, *tokens(batch))
-                train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-                use = train[text] & ~(is_symbol(h) & is_symbol(w))
-                h, w = h[use], w[use]
-                order = np.lexsort((w, h))
-                h, w = h[order], w[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-                first = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(h))))], names=["h", "w", "n"])
+    def counted(pieces: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        found = []
+        for piece in pieces:
+            h, w, text = named_pairs(model, *tokens(piece))
+            use = training(piece)[text] & ~(is_symbol(h) & is_symbol(w))
+            found.append((h[use], w[use]))
+        h, w = map(np.concatenate, zip(*found))
+        del found
+        order = np.lexsort((w, h))
+        h, w = h[order], w[order]
+        first = runs(h, w)
+        return {"h": h[first], "w": w[first], "n": np.diff(first, append=len(h))}
 
-    return run
+    return by_slice(counted)
 
 
 def bucket_of(key: np.ndarray, kind: int, buckets: int) -> np.ndarray:
@@ -340,6 +391,30 @@ def packed_table(kind: int, buckets: int, rows: int = TABLE_ROWS):
     return run
 
 
+def tokens_of(model: Model, piece: pa.RecordBatch, place: int) -> tuple[tuple[np.ndarray, ...], list[tuple[np.ndarray, ...]]]:
+    """Numbers of every text (words, score, base, known) as far as the model has them, and per kind of bucket the tokens that need a table.
+
+    ``place``: of the first text in its slice. Tokens: of symbols a key with the place; others word, neighbour and place.
+    """
+    code, counts, hashes = tokens(piece)
+    n_docs = len(counts)
+    key, text = bigram_keys(model, code, counts, hashes)
+    at = np.minimum(np.searchsorted(model.head_keys, key), max(0, len(model.head_keys) - 1))
+    head = model.head_keys[at] == key if len(model.head_keys) else np.zeros(len(key), bool)
+    score = np.bincount(text[head], weights=model.head_log[at[head]], minlength=n_docs)
+    history, symbol = key >> BITS, key & ((1 << BITS) - 1)
+    common = symbol != RARE
+    late = ~common & (history != RARE)
+    score = score + np.bincount(text[late], weights=model.to_rare[history[late]], minlength=n_docs)
+    plain, after = common & (history != RARE) & ~head, history == RARE
+    base = np.bincount(text[common], weights=model.base(model.counts[symbol[common]]), minlength=n_docs)
+    known = np.bincount(text[common & (model.counts[symbol] > 0)], minlength=n_docs)
+    h, w, _ = named_pairs(model, code, counts, hashes)
+    text += place
+    looked_up = [(key[plain] << PLACE_BITS | text[plain],), (w[~common], h[~common], text[~common]), (h[after], w[after], text[after])]
+    return (counts, score, base, known), looked_up
+
+
 STREAM = "bucket long, slice long, body binary"
 _STREAM = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("body", pa.binary())])
 
@@ -347,26 +422,34 @@ _STREAM = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("body", pa.
 def packed_tokens(shared):
     """mapInArrow function: a slice's documents (bucket -1 - slice), and per bucket the tokens that need a table."""
 
-    def parcels(key: np.ndarray, other: np.ndarray | None, text: np.ndarray, kind: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-        if other is None:  # keys of symbols leave room for the text's place
-            both = np.sort(key << PLACE_BITS | text)
-            new = np.ones(len(both), bool)
-            new[1:] = both[1:] != both[:-1]
-            first = np.flatnonzero(new)
-            key, text, rest = both[first] >> PLACE_BITS, both[first] & (SLICE_ROWS - 1), []
+    def parcels(found: list[tuple[np.ndarray, ...]], kind: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+        key, *more = map(np.concatenate, zip(*found))
+        found.clear()
+        if kind == 0:  # keys of symbols leave room for the text's place
+            key.sort()
+            first, end = runs(key), len(key)
+            key, text, rest = key[first] >> PLACE_BITS, key[first] & (SLICE_ROWS - 1), []
         else:  # texts ascend already
+            other, text = more
             order = np.lexsort((other, key))
             key, other, text = key[order], other[order], text[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])
-            first = np.flatnonzero(new)
+            first, end = runs(key, other, text), len(key)
             key, text, rest = key[first], text[first], [other[first]]
-        times, bucket, short = np.diff(np.append(first, len(new))), bucket_of(key, kind, buckets), within(key, buckets)
+        rest = [text, np.diff(first, append=end), *rest]
+        bucket, short = bucket_of(key, kind, buckets), within(key, buckets)
+        del key, more, first
         order = by_bucket(bucket)
-        bucket, short, *rest = (x[order] for x in (bucket, short, text, times, *rest))
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        bucket = bucket[order]
+        cuts = runs(bucket).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-            yield int(bucket[a]), pack(steps(short[a:b]), *(x[a:b] for x in rest))
+            at = order[a:b]
+            yield int(bucket[a]), pack(steps(short[at]), *(x[at] for x in rest))
+
+    def sent(number: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+            schema=_STREAM,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = shared.value, RowIds()
@@ -374,34 +457,22 @@ def packed_tokens(shared):
             for large in small_batches(whole, "text", SLICE_BYTES):
                 for start in range(0, large.num_rows, SLICE_ROWS):
                     batch = large.slice(start, SLICE_ROWS)
-                    number = int(ids.take(1)[0])
-                    code, counts, hashes = tokens(batch)
-                    n_docs = len(counts)
-                    key, text = bigram_keys(model, code, counts, hashes)
-                    at = np.minimum(np.searchsorted(model.head_keys, key), max(0, len(model.head_keys) - 1))
-                    head = model.head_keys[at] == key if len(model.head_keys) else np.zeros(len(key), bool)
-                    score = np.bincount(text[head], weights=model.head_log[at[head]], minlength=n_docs)
-                    history, symbol = key >> BITS, key & ((1 << BITS) - 1)
-                    common = symbol != RARE
-                    late = ~common & (history != RARE)
-                    score = score + np.bincount(text[late], weights=model.to_rare[history[late]], minlength=n_docs)
-                    plain = common & (history != RARE) & ~head
-                    base = np.bincount(text[common], weights=model.base(model.counts[symbol[common]]), minlength=n_docs)
-                    known = np.bincount(text[common & (model.counts[symbol] > 0)], minlength=n_docs)
+                    number, n_docs = int(ids.take(1)[0]), 0
+                    found, numbers = [[] for _ in range(KINDS)], []
+                    for piece in small_batches(batch, "text", PIECE_BYTES):
+                        texts, looked_up = tokens_of(model, piece, n_docs)
+                        numbers.append(texts)
+                        for kind in range(KINDS):
+                            found[kind].append(looked_up[kind])
+                        n_docs += piece.num_rows
+                    counts, score, base, known = map(np.concatenate, zip(*numbers))
                     docs = pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(counts + 1), pa.array(score), pa.array(base), pa.array(known)],
                         names=["doc_id", "held_out", "n_tokens", "score", "base", "known"],
                     )
-                    h, w, _ = named_pairs(model, code, counts, hashes)
-                    after = history == RARE
-                    rows = [(-1 - number, to_bytes(docs))]
-                    rows += parcels(key[plain], None, text[plain], 0, model.buckets)
-                    rows += parcels(w[~common], h[~common], text[~common], 1, model.buckets)
-                    rows += parcels(h[after], w[after], text[after], 2, model.buckets)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                        schema=_STREAM,
-                    )
+                    yield sent(number, [(-1 - number, to_bytes(docs))])
+                    for kind in range(KINDS):
+                        yield sent(number, list(parcels(found[kind], kind, model.buckets)))
 
     return run
 

@@ -378,3 +378,31 @@ def test_katz_sends_few_bytes_between_slices_and_buckets():
     assert size(table) < 3 * known.sum()  # bytes a bigram; 6.87 as hashes
     assert asked < 3.6 * len(key)  # bytes a token; 3.67 with whole keys
     assert replied < 8 * entries  # bytes a sum of a document; 27.5 with places and columns of zeros as they are
+
+
+def test_katz_splits_a_slice_piece_by_piece(monkeypatch):
+    rng, docs = np.random.default_rng(7), 1500
+    names = np.array([f"w{i}" for i in range(20_000)])
+    texts = [None, "", *(" ".join(names[rng.integers(0, 20_000, 1200)]) for _ in range(docs - 2))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(docs)), "text": texts, "held_out": [i % 7 == 2 for i in range(docs)]})
+    hashes = katz.tokens(pa.RecordBatch.from_pydict({"text": [" ".join(names)]}))[2][:5000]
+    order, k = np.argsort(hashes), 5000 + katz.FIRST
+    model = katz.Model(hashes[order], katz.FIRST + order, np.arange(k), 10**6, k, 9, np.ones(6), 0.0, 3, to_rare=-rng.random(k))
+    model.head_keys = np.unique(katz.bigram_keys(model, *katz.tokens(batch))[0])[::50]
+    model.head_log = -rng.random(len(model.head_keys))
+    split, words = [], katz.words
+    monkeypatch.setattr(katz, "words", lambda x: split.append(sum(map(len, x.to_pylist()))) or words(x))
+
+    def made() -> list:
+        tables = [pa.Table.from_batches(list(f(iter([batch])))) for f in (katz.unigrams, katz.bigrams(model), katz.pairs(model))]
+        tables = [t.sort_by([(c, "ascending") for c in t.column_names]).to_pydict() for t in tables]
+        return [*tables, *pa.Table.from_batches(list(katz.packed_tokens(SimpleNamespace(value=model))([batch]))).to_pylist()]
+
+    usual = made()
+    assert sum(split) > 4 * (8 << 20) and max(split) < 5 << 20  # the four passes; no slice is split into words whole
+    for limit in (200_000, 1 << 30):
+        monkeypatch.setattr(katz, "PIECE_BYTES", limit)
+        assert made() == usual
+    counts = Counter(" ".join(x or "" for i, x in enumerate(texts) if i % 7 != 2).split())
+    code, _, hashes = katz.tokens(pa.RecordBatch.from_pydict({"text": [" ".join(counts)]}))
+    assert dict(zip(usual[0]["key"], usual[0]["n"])) == dict(zip(hashes[code].tolist(), counts.values()))
