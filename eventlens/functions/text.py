@@ -82,7 +82,7 @@ P_HTTP = f"http[^{WS}]+"
 P_WWW = f"www[^{WS}]+"
 P_AT_ANY = f"@[^{WS}]+"
 P_NOT_LOWER = "[^a-z]+"
-P_EMOTION_DROP = f"[^a-zA-Z0-9{WS}{_ranges(EMOTION_KEEP_RANGES)}]+"
+P_NOT_EMOTION = f"[^a-zA-Z0-9{_ranges(EMOTION_KEEP_RANGES)}]+"  # what is dropped, and white space, in one run
 P_WS_RUN = f"[{WS}]+"
 P_URL = f"https?://[^{WS}]+|www\\.[^{WS}]+"
 P_MENTION = f"@[{WORD}]+"
@@ -101,12 +101,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _bound(col, fn) -> Column:
+    """``fn`` of a column that is computed once, however often ``fn`` names it."""
+    return F.transform(F.array(_c(col)), fn)[0]
+
+
 def _strip_links_and_mentions(lowered: Column) -> Column:
     # Sequential on purpose: a removal can change what the next pattern sees.
     t = F.regexp_replace(lowered, P_HTTP, "")
     t = F.regexp_replace(t, P_WWW, "")
     t = F.regexp_replace(t, P_AT_ANY, "")
-    return F.replace(t, F.lit("#"), F.lit(""))
+    # the patterns run only on texts that hold what they begin with
+    some = F.contains(lowered, F.lit("http")) | F.contains(lowered, F.lit("www")) | F.contains(lowered, F.lit("@"))
+    return F.replace(F.when(some, t).otherwise(lowered), F.lit("#"), F.lit(""))
 
 
 def clean_semantic(col) -> Column:
@@ -115,15 +122,15 @@ def clean_semantic(col) -> Column:
     Mapping every non [a-z] run to one space and trimming is the same as the
     two-step "non-letter -> space, collapse whitespace, strip".
     """
-    t = _strip_links_and_mentions(F.lower(_c(col)))
-    return F.trim(F.regexp_replace(t, P_NOT_LOWER, " "))
+    return _bound(F.lower(_c(col)), lambda t: F.trim(F.regexp_replace(_strip_links_and_mentions(t), P_NOT_LOWER, " ")))
 
 
 def clean_emotion(col) -> Column:
-    """Like clean_semantic but keeps digits, upper case after lowering and four emoji ranges."""
-    t = _strip_links_and_mentions(F.lower(_c(col)))
-    t = F.regexp_replace(t, P_EMOTION_DROP, " ")
-    return F.trim(F.regexp_replace(t, P_WS_RUN, " "))
+    """Like clean_semantic but keeps digits, upper case after lowering and four emoji ranges.
+
+    Dropped characters become a space and runs of white space one, so a run of either or both is one space.
+    """
+    return _bound(F.lower(_c(col)), lambda t: F.trim(F.regexp_replace(_strip_links_and_mentions(t), P_NOT_EMOTION, " ")))
 
 
 # --- display cleaning, one rule each (I4..I12) ------------------------------

@@ -170,3 +170,33 @@ def test_vectors_of_the_pipeline_are_those_of_the_long_table(spark):
     long = {(r["id"], r["bucket"]): r["weight"] for r in vectors.hashed_tfidf(df, "id", "t", 32).collect()}
     assert all(dense[i][b] == w for (i, b), w in long.items()) and sum(map(bool, dense[1])) == len([1 for i, _ in long if i == 1])
     assert dense[3] == dense[4] == [0.0] * 32
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_vector_and_its_length_are_computed_once_for_all_its_elements(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [])], "id long, v array<double>")
+    out = df.select("id", vectors.l2_normalize(F.col("v")).alias("u"))
+    assert {r["id"]: r["u"] for r in out.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [1.0, None], 5: []}
+    assert _plan(out).count("aggregate(") == 1
+
+
+def test_tfidf_is_linear_in_the_buckets_and_bit_for_bit_that_of_the_expressions(spark):
+    rng = np.random.default_rng(4)
+    words = ["the", "a", "x", "élan", "ab", *[f"w{i}" for i in range(60)]]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(300)] + [(300, None), (301, "  "), (302, "a the")]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    counted = vectors.bucket_counts(df, "t", 16, out="tf")
+    tf = {r["id"]: r["tf"] for r in counted.collect()}
+    terms = vectors.doc_terms(df, "id", "t").groupBy("id", vectors.term_bucket(F.col("term"), 16).alias("b")).count()
+    assert {(i, b): n for i, row in tf.items() for b, n in enumerate(row) if n} == {(r["id"], r["b"]): r["count"] for r in terms.collect()}
+    idf = [0.0, *np.log(rng.uniform(1, 9, 15)).tolist()]
+    plain = F.zip_with("tf", F.array(*map(F.lit, idf)), lambda n, w: n.cast("double") * w)
+    both = counted.select(vectors.tfidf_unit("tf", idf).alias("x"), vectors.l2_normalize(plain).alias("y"))
+    assert both.where("x <> y").count() == 0 and both.count() == 303
+    long = vectors.hashed_tfidf(df, "id", "t", 16)
+    assert "zip_with" not in _plan(long) and "zip_with" not in _plan(vectors.text_vectors(df, "t", 16))
+    assert long.count() == sum(n > 0 for row in tf.values() for n in row)
+    assert vectors.text_vectors(df, "t", 16, keep=["id"]).columns == ["id", "embedding"]

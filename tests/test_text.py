@@ -178,3 +178,23 @@ def test_a_damaged_text_is_computed_once_for_its_repair(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
         assert plan.count("utf-8") == 2, repair.__name__
         assert found.collect()[2]["r"] is None
+
+
+def test_cleaners_equal_their_steps_one_by_one(spark):
+    odd = [None, "", " ", "#", "@", "www", "http", "wwwhttp://x y", "ht@x tp www.a.b@c #Tag", "a\u3000b\x1cc 1\u00a02", "Ünïted 😔😔 🇫🇷 £5,00--x ",
+           "  ÉÉ  ", "x http", "httpwww@", "A#htt#p://q", "K \u212a İ ß 🚀!", "123 45", "a@b.c d", "no links, only text."]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+
+    def steps(keep, collapse):
+        x = F.lower("t")
+        for p in (tx.P_HTTP, tx.P_WWW, tx.P_AT_ANY):
+            x = F.regexp_replace(x, p, "")
+        x = F.regexp_replace(F.replace(x, F.lit("#"), F.lit("")), keep, " ")
+        return F.trim(F.regexp_replace(x, collapse, " "))
+
+    emotion = f"[^a-zA-Z0-9{tx.WS}{tx._ranges(tx.EMOTION_KEEP_RANGES)}]+"
+    out = df.select(tx.clean_semantic("t").alias("a"), steps(tx.P_NOT_LOWER, " +").alias("b"), tx.clean_emotion("t").alias("c"), steps(emotion, tx.P_WS_RUN).alias("d"))
+    assert [(r["a"], r["c"]) for r in out.collect()] == [(r["b"], r["d"]) for r in out.collect()]
+    for clean in (tx.clean_semantic, tx.clean_emotion):  # lower case is made once, and links are sought where one can be
+        plan = df.select(clean("t").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(lower(") == 1 and "CASE WHEN" in plan
