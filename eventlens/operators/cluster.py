@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventlens.operators.rows import dense_codes
-from eventlens.session import materialize
+from eventlens.session import discard, materialize
 
 # Clusters per pipeline and seed.
 COVID_CLUSTERS = 120
@@ -52,6 +52,17 @@ class Grid:
     def squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
         return (points**2).sum(1)[:, None] - 2.0 * (points @ centres.T) + (centres**2).sum(1)[None]
 
+    @staticmethod
+    def nearest(points: np.ndarray, centres: np.ndarray, step: int = 4096) -> np.ndarray:
+        """The place of each point's nearest centre, the first of equals; a point's own square moves all its distances alike and is left out."""
+        turn, own = -2.0 * centres.T, (centres**2).sum(1)
+        near = np.empty(len(points), np.int64)
+        for i in range(0, len(points), step):
+            far = points[i : i + step] @ turn
+            far += own
+            near[i : i + step] = far.argmin(1)
+        return near
+
 
 def _moved(total: list[int], count: int) -> np.ndarray:
     """A mean of whole numbers, rounded to one: the same for the same rows."""
@@ -60,13 +71,16 @@ def _moved(total: list[int], count: int) -> np.ndarray:
 
 def _lloyd(points: np.ndarray, weights: np.ndarray, centres: np.ndarray, tol: float) -> np.ndarray:
     """Weighted Lloyd rounds on few points, in memory."""
+    weighed = weights[:, None] * points
     for _ in range(MAX_ROUNDS):
-        near = np.concatenate([Grid.squares(points[i : i + 4096], centres).argmin(1) for i in range(0, len(points), 4096)])
+        near = Grid.nearest(points, centres)
+        order = np.argsort(near, kind="stable")
+        there, first = np.unique(near[order], return_index=True)
+        # whole numbers: exact below 2^53
+        total, count = np.add.reduceat(weighed[order], first), np.add.reduceat(weights[order], first)
         new = centres.copy()
-        for c in np.unique(near):
-            own = near == c
-            # whole numbers: exact below 2^53
-            new[c] = _moved([int(x) for x in (weights[own, None] * points[own]).sum(0)], int(weights[own].sum()))
+        for c, t, n in zip(there, total, count):
+            new[c] = _moved([int(x) for x in t], int(n))
         shift = ((new - centres) ** 2).sum()
         centres = new
         if shift <= tol:
@@ -105,26 +119,48 @@ def _unpacked(column: pa.Array) -> np.ndarray:
 
 
 def _sums(centres: np.ndarray):
-    """mapInArrow function: per centre, the number of its rows and their sums, in whole numbers."""
-    dim = centres.shape[1]
+    """mapInArrow function: per centre, the number of its rows and their sums, in whole numbers; one row of bytes a partition."""
 
     def run(batches):
-        count, total = np.zeros(len(centres), np.int64), np.zeros(centres.shape, np.int64)
+        total = np.zeros((len(centres), 1 + centres.shape[1]), np.int64)
         for batch in batches:
             if batch.num_rows:
                 points, weight = _unpacked(batch.column("p")), batch.column("w").to_numpy()
-                near = Grid.squares(points.astype(np.float64), centres).argmin(1)
+                near = Grid.nearest(points.astype(np.float64), centres)
                 order = np.argsort(near, kind="stable")
                 there, first = np.unique(near[order], return_index=True)
-                count[there] += np.add.reduceat(weight[order], first)
-                total[there] += np.add.reduceat((points * weight[:, None])[order], first)
-        some = np.flatnonzero(count)
-        names = ["c", "n", *[f"s{i}" for i in range(dim)]]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some]), *[pa.array(total[some, i]) for i in range(dim)]], names=names)
+                total[there, 0] += np.add.reduceat(weight[order], first)
+                total[there, 1:] += np.add.reduceat((points * weight[:, None])[order], first)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
     return run
 
 
+def _added(batches):
+    """mapInArrow function: the sum of tables of whole numbers of one shape, given as bytes."""
+    total = None
+    for batch in batches:
+        for s in batch.column("s").to_pylist():
+            total = np.frombuffer(s, np.int64) + (0 if total is None else total)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+
+#: Partitions whose sums (a few kilobytes each) reach the driver as they are; those of more are added in tasks first.
+DIRECT_PARTS = 256
+
+
+def _totals(packed: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """(rows, sums...) per centre, over all rows; nothing is shuffled but, with many partitions, a row of each."""
+    parts = packed.mapInArrow(_sums(centres), "s binary")
+    if (n := packed.rdd.getNumPartitions()) > DIRECT_PARTS:
+        parts = parts.repartition(int(n**0.5)).mapInArrow(_added, "s binary")
+    total = np.zeros((len(centres), 1 + centres.shape[1]), np.int64)
+    for r in parts.collect():  # a table of a row per centre each
+        total += np.frombuffer(r["s"], np.int64).reshape(total.shape)
+    return total
+
+
 def keyed_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = SEED, key: str | None = None, fit_rows: int = FIT_ROWS):
     """J3's centres, the same for the same rows under any partitioning; returns (centres on the grid, grid).
 
@@ -156,16 +192,18 @@ def keyed_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = SEED, key: str
     if share < 1.0:
         centres = _with_far_rows(rows, packed, grid, centres, k, rng, tol)
     centres = centres[np.lexsort(centres.T[::-1])]
-    schema = "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))
     for _ in range(MAX_ROUNDS):
-        sums = packed.mapInArrow(_sums(centres), schema).groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(dim)])
+        totals = _totals(packed, centres)
         new = centres.copy()
-        for r in sums.collect():  # a row per centre
-            new[r["c"]] = _moved([r[f"s{i}"] for i in range(dim)], r["n"])
+        for c in np.flatnonzero(totals[:, 0]):
+            count, *total = totals[c].tolist()
+            new[c] = _moved(total, count)
         shift = ((new - centres) ** 2).sum()
         centres = new
         if shift <= tol:
             break
+    discard(rows)
+    discard(packed)
     return centres, grid
 
 
@@ -186,11 +224,7 @@ def _with_far_rows(rows: DataFrame, packed: DataFrame, grid: Grid, centres: np.n
     if not len(more):
         return centres
     points = np.unique(np.vstack([centres, grid.on(_points(more))]), axis=0)
-    dim = points.shape[1]
-    counts = packed.mapInArrow(_sums(points), "c long, n long, " + ", ".join(f"s{i} long" for i in range(dim))).groupBy("c").agg(F.sum("n").alias("n"))
-    weights = np.zeros(len(points))
-    for r in counts.collect():  # a row per candidate
-        weights[r["c"]] = r["n"]
+    weights = _totals(packed, points)[:, 0].astype(np.float64)
     held = weights > 0
     points, weights = points[held], weights[held]
     return _lloyd(points, weights, _first_centres(points, weights, k, rng), tol)

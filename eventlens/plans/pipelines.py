@@ -31,7 +31,7 @@ from eventlens.operators.schema import (
 )
 from eventlens.operators.topics import COHERENCE_MAX_TERMS, mean_coherence, title_events, topic_coherence
 from eventlens.operators.vectors import embed_text, reduce_dims, text_vectors
-from eventlens.session import materialize
+from eventlens.session import discard, materialize
 from eventlens.sources.files import list_event_folders, read_headerless_posts, scan_event_folders, with_row_numbers, write_events
 
 # ---------------------------------------------------------------------------
@@ -198,12 +198,13 @@ def prepare_posts(
     date_candidates: Sequence[str] = DATE_COLUMNS,
     with_emotion: bool = True,
     carry: Sequence[str] = (),
+    spent: list | None = None,
 ) -> DataFrame:
     """Cleaning stages of discovery: resolve columns, drop null text, clean,
     keep clean text longer than 10, dedupe on clean text (first by order),
     then parse dates (dropping unparsable) or use the single 'global' window.
     Dedupe runs before date parsing, as in the reference. A text date column is
-    read by one layout, the one that most of its rows vote for.
+    read by one layout, the one that most of its rows vote for. ``spent``: as in ``dedupe_first``.
     """
     text_col = resolve_column(df, text_candidates)
     date_col = resolve_column(df, date_candidates, required=False)
@@ -215,7 +216,7 @@ def prepare_posts(
     if with_emotion:
         posts = posts.withColumn("emotion_text", tx.clean_emotion("raw_text"))
     posts = keep_rows(posts, tx.has_min_length("clean_text"))
-    posts = dedupe_first(posts, "clean_text", [order_col])
+    posts = dedupe_first(posts, "clean_text", [order_col], spent=spent)
     if date_col:
         if dates.is_text(posts, "_date"):
             posts = dates.with_timestamp(posts, "_date", dates.column_layout(df, date_col))
@@ -293,23 +294,25 @@ def discover_from_labels(
     vectors that the silhouette is taken of, by default the same). The events are written once.
     """
     merged = merge_events(labelled.select(order_col, F.col(vec_col).alias("_v"), F.col(label_col).alias("_label")), "_label", "_v")
-    facts = materialize(posts.join(merged.select(order_col, "event_id"), order_col), "events")
+    facts = materialize(posts.join(merged.select(order_col, "event_id"), order_col), "events", "zstd")
     return Discovery(facts, order_col, labelled, label_col, score_col or vec_col, tables)
 
 
 def discover(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None, carry: Sequence[str] = ()) -> Discovery:
     """Posts -> cleaned/deduped -> vectors -> reduce -> k-means -> ``discover_from_labels``, with score and stage counts.
 
-    Posts, vectors and labels are tables written once; every later step reads them.
+    Posts, vectors and labels are tables written once; every later step reads them. What no later step reads is removed.
     """
     from eventlens.operators.rows import sample_n
 
-    cfg = cfg or DiscoveryConfig()
-    posts = materialize(prepare_posts(df, order_col, with_emotion=cfg.with_emotion, carry=carry), "posts")
+    cfg, spent = cfg or DiscoveryConfig(), []
+    posts = materialize(prepare_posts(df, order_col, with_emotion=cfg.with_emotion, carry=carry, spent=spent), "posts", "zstd")
+    for table in spent:
+        discard(table)
     kept = sample_n(posts, cfg.sample_cap, cfg.seed, order_col) if cfg.sample_cap else posts
     texts = kept.select(order_col, "clean_text")
     if cfg.encoder is None:
-        feats = text_vectors(texts, "clean_text", cfg.embed_dim)
+        feats = text_vectors(texts, "clean_text", cfg.embed_dim, keep=[order_col])
     else:
         feats = embed_text(texts, "clean_text", cfg.encoder)
     feats = materialize(feats.select(order_col, "embedding"), "post-vectors")
@@ -318,7 +321,9 @@ def discover(df: DataFrame, order_col: str, cfg: DiscoveryConfig | None = None,
     else:
         reduced = reduce_dims(feats, "embedding", cfg.reduced_dim)
     reduced = materialize(reduced, "post-reduced")
+    discard(feats)
     labelled = materialize(assign_events(reduced, "reduced", cfg.clusters, cfg.seed, out="_cluster", key=order_col), "post-clusters")
+    discard(reduced)
     return discover_from_labels(kept, labelled, order_col, "_cluster", "embedding", "reduced", [("read", df), ("clean", posts), ("sampled", kept)])
 
 

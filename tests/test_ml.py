@@ -200,3 +200,17 @@ def test_tfidf_is_linear_in_the_buckets_and_bit_for_bit_that_of_the_expressions(
     assert "zip_with" not in _plan(long) and "zip_with" not in _plan(vectors.text_vectors(df, "t", 16))
     assert long.count() == sum(n > 0 for row in tf.values() for n in row)
     assert vectors.text_vectors(df, "t", 16, keep=["id"]).columns == ["id", "embedding"]
+
+
+def test_sums_of_a_round_are_whole_and_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points, weights = rng.integers(-(2**22), 2**22, (500, 3)), rng.integers(1, 2**20, 500)
+    centres = points[:7].astype(float)
+    rows = [(p.astype("<i4").tobytes(), int(w)) for p, w in zip(points, weights)]
+    packed = spark.createDataFrame(rows, "p binary, w long").repartition(9)
+    near = cluster.Grid.squares(points.astype(float), centres).argmin(1)
+    assert (cluster.Grid.nearest(points.astype(float), centres, 64) == near).all()
+    want = np.array([[weights[near == c].sum(), *(points * weights[:, None])[near == c].sum(0)] for c in range(7)])
+    assert (cluster._totals(packed, centres) == want).all()
+    monkeypatch.setattr(cluster, "DIRECT_PARTS", 2)
+    assert (cluster._totals(packed, centres) == want).all()

@@ -85,3 +85,19 @@ def test_scratch_is_cleared(spark):
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     assert not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
+
+def test_discovery_leaves_no_table_that_no_step_reads(spark):
+    import glob
+    import re
+
+    from eventlens.session import scratch_root
+
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    docs = spark.createDataFrame([(i, f"flood water river number {'abcdefghij'[i % 10] * (3 + i // 10)}") for i in range(60)], "doc_id long, text string")
+    found = pl.discover(docs, "doc_id", pl.DiscoveryConfig(clusters=3))
+    left = {re.sub("-[0-9a-f]{32}$", "", x.rsplit("/", 1)[1]) for x in set(glob.glob(f"{root}/*")) - before}
+    assert {"posts", "post-clusters", "events"} <= left
+    assert not left & {"dedupe-rows", "dedupe-losers", "post-vectors", "post-reduced", "kmeans-rows", "kmeans-points"}
+    assert found.events.count() == found.facts.count() and {r["stage"] for r in found.stages.collect()} == {"read", "clean", "sampled", "clustered", "events"}
